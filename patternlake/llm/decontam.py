@@ -21,34 +21,36 @@ SKETCH = 256
 
 
 class Words:
-    """Texts as 32-bit hashes of words: lower case, without marks at either end; what has only marks is no word."""
+    """Texts as 32-bit hashes of words, in bytes: lower case, without marks at either end; what has only marks is no word."""
 
     def __init__(self, keep: int = 800_000):
-        self.known: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}
         self.keep = keep
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def raw(self, text: str | None) -> bytes:
         parts, known = (text or "").lower().split(), self.known
         try:
-            got = [known[c] for c in parts]
+            return b"".join([known[c] for c in parts])
         except KeyError:
-            if len(known) > self.keep:
-                known.clear()
-            for c in parts:
-                if c not in known:
-                    known[c] = word_hash(c)
-            got = [known[c] for c in parts]
-        out = np.array(got, np.uint32)
-        return out[out > 0]
+            pass
+        if len(known) > self.keep:
+            known.clear()
+        for c in parts:
+            if c not in known:
+                known[c] = word_hash(c)
+        return b"".join([known[c] for c in parts])
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.raw(text), np.uint32)
 
 
-def word_hash(chunk: str) -> int:
+def word_hash(chunk: str) -> bytes:
     if not chunk[0].isalnum() or not chunk[-1].isalnum():
         at = [k for k, c in enumerate(chunk) if c.isalnum()]
         if not at:
-            return 0
+            return b""
         chunk = chunk[at[0] : at[-1] + 1]
-    return xxhash.xxh64_intdigest(chunk.encode("utf-8", "replace")) % 0xFFFFFFFF + 1
+    return (xxhash.xxh64_intdigest(chunk.encode("utf-8", "replace")) & 0xFFFFFFFF).to_bytes(4, "little")
 
 
 _WORDS = Words()
@@ -115,12 +117,20 @@ def frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
 class Block:
     """A block of benchmark items: their vocabulary, weights and latent vectors."""
 
-    def __init__(self, items: list[tuple], idf: np.ndarray, floor: float):
+    def __init__(self, items: list[tuple], idf: np.ndarray, floor: float, common: np.ndarray | None = None, own: int = 8):
+        """``common``: slots without weight, but for the ``own`` rarest words of each item, so that no item is without words."""
         self.ids = [i for i, _, _ in items]
         self.words = [w for _, w, _ in items]
         self.answers = [a for _, _, a in items]
-        self.idf = idf.astype(np.float32)
+        weight = idf.astype(np.float32)
+        if common is not None:
+            rare = [np.unique(w)[np.argsort(-idf[np.unique(w) % SLOTS], kind="stable")[:own]] for w in self.words]
+            common = common.copy()
+            common[np.concatenate(rare) % SLOTS] = False
+            weight[common] = 0
+        self.idf = weight
         self.vocab = np.unique(np.concatenate(self.words))
+        self.vocab = self.vocab[weight[self.vocab % SLOTS] > 0]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.vocab & 0xFFFFF] = True
         self.least = np.array([min(floor, 2 * floor * (len(w) / (2 * HALF)) ** 0.5) for w in self.words], np.float32)
@@ -136,6 +146,7 @@ class Block:
         """TF-IDF rows of the items over the vocabulary, of length 1."""
         q = np.zeros((len(self.words), len(self.vocab)), np.float32)
         for i, w in enumerate(self.words):
+            w = w[self.idf[w % SLOTS] > 0]
             np.add.at(q[i], np.searchsorted(self.vocab, w), self.idf[w % SLOTS])
         return q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
 
@@ -144,7 +155,7 @@ class Block:
         q = self.query()
         both = np.vstack([sketch * (np.linalg.norm(q) / max(float(np.linalg.norm(sketch)), 1e-9)), q]).astype(np.float32)
         values, left = np.linalg.eigh(both @ both.T)
-        top = np.argsort(-values)[:rank]
+        top = np.argsort(-values)[: min(rank, max(64, len(self.words)))]
         top = top[values[top] > max(values.max(), 0) * 1e-7]
         basis = both.T @ (left[:, top] / np.sqrt(values[top]))
         self.weighted = (basis * self.idf[self.vocab % SLOTS][:, None]).astype(np.float32)
@@ -291,11 +302,12 @@ def answer_of(text: str, words: Words) -> np.ndarray:
     return words(text)
 
 
-def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0.6, answer: float = 0.8, floor: float = 0.3, block_items: int = 256, rank: int = 320) -> DataFrame:
+def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0.6, answer: float = 0.8, floor: float = 0.3, block_items: int = 256, rank: int = 256, max_df: float = 0.05) -> DataFrame:
     """Documents that hold a benchmark item: (doc_id, item_id, cosine, lcs, answer, start), one row per pair.
 
     Passages of 64 words, one beginning every 32, are compared with all items in a latent space: TF-IDF with
-    frequencies of the whole corpus, reduced by a distributed randomised SVD. Above ``floor`` (less for items of
+    frequencies of the whole corpus, reduced by a distributed randomised SVD; words in over ``max_df`` of all
+    passages have no weight there, but for the eight rarest of each item. Above ``floor`` (less for items of
     under 16 words) the item's longest common subsequence with the passage and its surroundings decides: at
     least ``near`` of the item's words, or ``loose`` and ``answer`` of the words of its last sentence. start is the passage's first word.
 
@@ -307,7 +319,7 @@ def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0
 
     def cut(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_WORDS(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_WORDS.raw(t) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "words"])
 
     words = stash(docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, words binary"), f"{path}/words")
     n_items = bench.count()
@@ -325,7 +337,7 @@ def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0
         items = [x for x in items if len(x[1])]
         if not items:
             continue
-        block = Block(items, idf, floor)
+        block = Block(items, idf, floor, df > max_df * passages)
         block.fit(sketch(words, block), rank)
         names = spark.createDataFrame([(i, x[0]) for i, x in enumerate(items)], f"item long, item_id {item_kind}")
         found = search(words, block, near, loose, answer)
