@@ -7,6 +7,7 @@ from math import comb, erfc, sqrt
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 Z95 = 1.96
@@ -27,13 +28,13 @@ def mcnemar_chi2(b: Column, c: Column) -> Column:
     return F.when(b + c == 0, 0.0).otherwise(F.try_divide(gap * gap, b + c))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(stat: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom (neither SQL dialect has erfc)."""
     return stat.map(lambda x: None if pd.isna(x) else erfc(sqrt(x / 2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mcnemar_exact_p(b: pd.Series, c: pd.Series) -> pd.Series:
     """Two-sided binomial test of ``b`` against ``c`` discordant pairs."""
 

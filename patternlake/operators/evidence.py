@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def random_patterns(items: list[str], seed: int, draws: int = 8, sizes: tuple[int, int] = (2, 4)) -> list[list[str]]:
@@ -40,7 +41,7 @@ def call(prompts: DataFrame, client: Callable[[str], str], attempts: int = 3, sc
             f["reply"] = [_ask(client, p, attempts) for p in f[schema_from]]
             yield f
 
-    return prompts.mapInPandas(run, prompts.schema.add("reply", "string"))
+    return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("reply", T.StringType())]))
 
 
 def _ask(client, prompt: str, attempts: int) -> str:
