@@ -52,7 +52,7 @@ def components(edges: DataFrame, path: str, a: str = "a", b: str = "b", rounds:
     """Connected components of an undirected graph, as (node, root): root is the smallest node reachable.
 
     Alternates large-star and small-star steps. Every step is a partial aggregate and an equi-join, so a node
-    of any degree is split by the skew join; nothing is gathered on the driver but a count and a checksum.
+    of any degree is split by the skew join; a root is in the result as its own. Nothing is gathered on the driver but a count and a checksum.
     Each round is written to the shared folder. Nodes without an edge to another node are not in the result.
     Null ends and self loops are ignored; repeated edges count once.
     """
@@ -61,7 +61,7 @@ def components(edges: DataFrame, path: str, a: str = "a", b: str = "b", rounds:
     e = stash(clean.select(big.alias("a"), small.alias("b")).distinct(), f"{path}/cc0")
     seen = _mark(e)
     if seen[0] == 0:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return e.toDF("node", "root")
     for k in range(1, rounds + 1):
         both = e.union(e.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -71,6 +71,6 @@ def components(edges: DataFrame, path: str, a: str = "a", b: str = "b", rounds:
         e = stash(joined.union(lowest.toDF("a", "b")).distinct(), f"{path}/cc{k}")
         now = _mark(e)
         if now == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return e.union(e.select("b", "b").distinct()).toDF("node", "root")
         seen = now
     raise RuntimeError(f"components did not settle within {rounds} rounds")

@@ -31,8 +31,7 @@ def _unit(rows) -> np.ndarray:
 
 
 def _matrix(col) -> np.ndarray:
-    flat = col.values.to_numpy(zero_copy_only=False) if col.offset == 0 else col.flatten().to_numpy(zero_copy_only=False)
-    return flat[: len(col) * (len(flat) // max(1, len(col)))].reshape(len(col), -1)
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)  # flatten() keeps to a slice
 
 
 def _by_run(batches, key: int):

@@ -84,13 +84,12 @@ def judge(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | None =
     if redirects is not None:
         edges = edges.union(redirects.select(key(F.col("src")), key(F.col("dst"))).toDF("a", "b").where("a is not null and b is not null and a != b"))
     group = components(edges, path)
-    whole = group.union(group.select("root", "root").distinct()).distinct()
     # a node is host/path?query: judge it as a url
     host, where = parts(F.concat(F.lit("http://"), F.col("node")))
-    judged = decide(whole.withColumns({"host": host, "path": where}), rules)
+    judged = decide(group.withColumns({"host": host, "path": where}), rules)
     told = judged.groupBy("root").agg(F.max((F.col("own") == "allow").cast("int")).alias("allow"), F.max((F.col("own") == "block").cast("int")).alias("block"))
     spread = F.when(F.col("allow") == 1, "allow").when(F.col("block") == 1, "block")
-    alias = stash(whole.join(told, "root").select("node", F.col("root").alias("alias_of"), spread.alias("spread")), f"{path}/alias")
+    alias = stash(group.join(told, "root").select("node", F.col("root").alias("alias_of"), spread.alias("spread")), f"{path}/alias")
     host, where = parts(F.col("url"))
     own = decide(pages.select("page_id", "url").withColumns({"host": host, "path": where}), rules)
     out = own.withColumn("node", key(F.col("url"))).join(alias, "node", "left")
