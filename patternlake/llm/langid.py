@@ -63,7 +63,8 @@ class Model:
             self.roots.append(start)
             self.scale.append(log2(max(2, len(s))))
             start += len(t)
-        self.table = np.concatenate(tables) if tables else np.empty((0, self.size), np.int32)
+        tables.append(np.full((1, self.size), -1, np.int32))  # the last state leads nowhere: where an unknown symbol ends
+        self.table = np.concatenate(tables)
 
     def lookup(self) -> np.ndarray:
         """Class of every code point."""
@@ -114,7 +115,8 @@ def phrases(code: np.ndarray, sizes: np.ndarray, table: np.ndarray, roots: list[
         bad = nxt < 0
         if t:
             count[:, :live] += bad
-        nxt = np.where(bad, np.maximum(flat[root * alphabet + c], root), nxt)
+        begun = flat[root * alphabet + c]
+        nxt = np.where(bad, np.where(begun < 0, len(table) - 1, begun), nxt)
         state[:, :live] = nxt
     out = np.zeros((len(sizes), len(roots)), np.int64)
     np.add.at(out, of, count.T)
