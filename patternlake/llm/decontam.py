@@ -16,6 +16,8 @@ from patternlake.llm.common import partitions, shared_dir, stash
 HALF = 32
 #: Slots of the corpus-wide document frequencies.
 SLOTS = 1 << 17
+#: A word in this many passages or fewer is never too common.
+RARE = 200
 #: Rows of the random sketch.
 SKETCH = 256
 
@@ -307,7 +309,7 @@ def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0
 
     Passages of 64 words, one beginning every 32, are compared with all items in a latent space: TF-IDF with
     frequencies of the whole corpus, reduced by a distributed randomised SVD; words in over ``max_df`` of all
-    passages have no weight there, but for the eight rarest of each item. Above ``floor`` (less for items of
+    passages, and in over 200, have no weight there, but for the eight rarest of each item. Above ``floor`` (less for items of
     under 16 words) the item's longest common subsequence with the passage and its surroundings decides: at
     least ``near`` of the item's words, or ``loose`` and ``answer`` of the words of its last sentence. start is the passage's first word.
 
@@ -337,7 +339,7 @@ def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0
         items = [x for x in items if len(x[1])]
         if not items:
             continue
-        block = Block(items, idf, floor, df > max_df * passages)
+        block = Block(items, idf, floor, (df > max_df * passages) & (df > RARE))
         block.fit(sketch(words, block), rank)
         names = spark.createDataFrame([(i, x[0]) for i, x in enumerate(items)], f"item long, item_id {item_kind}")
         found = search(words, block, near, loose, answer)
