@@ -186,6 +186,17 @@ def planted_recall(spark, d):
     return want.join(found, "items", "left").agg(F.count("*").alias("planted"), F.count("support").alias("found"))
 
 
+def sensor_maximal(spark, d):
+    """Maximal sets of the multichannel windows."""
+    t = cut(f.sensor_windows(spark, d).groupBy("items").agg(F.count("*").alias("weight")), "windows")
+    return _named(itemsets.mine(t, _least(t, 0.1), "maximal", "powerset"), "support")
+
+
+def sensor_maximal_vertical(spark, d):
+    t = cut(f.sensor_windows(spark, d).groupBy("items").agg(F.count("*").alias("weight")), "windows")
+    return _named(itemsets.mine(t, _least(t, 0.1), "maximal", "vertical"), "support")
+
+
 # ----------------------------------------------------------------- anytime
 
 
@@ -369,6 +380,29 @@ def budget_curve(spark, d):
     return evaluation.budget_curve(_facts(spark, d), ["model"]).select("model", "budget", "n", "k", "accuracy", "gain")
 
 
+def class_spec_join(spark, d):
+    """Rows mapped to classes by a specification table: orders by their customer's region."""
+    spec = f.table(spark, d, "nation").join(f.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("cls"))
+    owner = f.table(spark, d, "customer").join(spec, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "cls")
+    return f.table(spark, d, "orders").join(owner, F.col("o_custkey") == F.col("c_custkey")).groupBy("cls").agg(F.count("*").alias("n"))
+
+
+def resume_keys(spark, d):
+    """Calls that an interrupted log still lacks: those that ended in an error."""
+    from patternlake.operators import evidence
+
+    log = f.calls(spark, d)
+    done = log.where(~text.is_error(F.col("reply")))
+    return evidence.resume(log, done, ["model", "cond", "case_key"]).select("model", "cond", "case_key")
+
+
+def citation_membership(spark, d):
+    """How often each cited pattern is cited, and whether the library has it."""
+    cited = f.calls(spark, d).where(~text.is_error(F.col("reply"))).select(F.explode(text.parse_reply(F.col("reply"))["cited_patterns"]).alias("pattern")).withColumn("pattern", F.trim("pattern"))
+    known = f.library(spark).withColumn("known", F.lit(True))
+    return cited.groupBy("pattern").agg(F.count("*").alias("n")).join(known, "pattern", "left").select("pattern", "n", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def prompt_render(spark, d):
     w = f.series_windows(spark, d)
     lib = F.array(F.struct(F.lit("value=2").alias("pattern"), F.lit(0.25).alias("sup_anom"), F.lit(2.5).alias("lift")), F.struct(F.lit("k=1").alias("pattern"), F.lit(0.125).alias("sup_anom"), F.lit(float("inf")).alias("lift")))
@@ -423,10 +457,10 @@ def queries() -> dict:
         edges_quantile, edges_equal_width, bin_histogram, items_rowwise, channel_select_variance, empty_bins,
         windows_label_max, raw_concat_windows, tail_label_units, signal_features, progress_segments, time_split_guard,
         dictionary, encode_ids, txn_text_roundtrip, txn_profile, reduce_infrequent, replicate_invariance,
-        item_support, maximal_topn, support_of_sets, closure_check, planted_recall,
+        item_support, maximal_topn, support_of_sets, sensor_maximal, sensor_maximal_vertical, closure_check, planted_recall,
         stage_thresholds, stage_pools, first_stage, cumulative_pool, coverage_curve, prefix_coverage, identity_gate,
         contingency, truth_patterns, class_support_pivot, class_topk, discriminative_topk, library_top8, library_grid, union_coverage, window_flagging,
-        reply_parse, accuracy_by_condition, accuracy_parsed_only, faithfulness, hallucination_rate, fpr_cells, macro_cells, mcnemar_chi2, mcnemar_exact, holm_adjust, budget_curve, prompt_render,
+        reply_parse, accuracy_by_condition, accuracy_parsed_only, faithfulness, hallucination_rate, fpr_cells, macro_cells, mcnemar_chi2, mcnemar_exact, holm_adjust, budget_curve, class_spec_join, resume_keys, citation_membership, prompt_render,
         median_iqr, speedup_pivot, online_vs_offline, flagship,
     ]
     made = {

@@ -69,6 +69,12 @@ def sensors(spark, sf_dir) -> DataFrame:
     return e.select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(DIMS)])
 
 
+def sensor_windows(spark, sf_dir, size: int = 10, hop: int = 5) -> DataFrame:
+    """(label, win, items): windows over the eight sensor channels, with edges of the whole table."""
+    s = sensors(spark, sf_dir)
+    return window_transactions(s, ["label"], ["vec_id"], DIMS, fit_edges(s, DIMS), size, hop)
+
+
 def calls(spark, sf_dir) -> DataFrame:
     """A log of diagnosis calls (model, cond, case_key, grp, truth, reply), made from labels: plain and fenced JSON, prose and errors."""
     rows = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")

@@ -111,6 +111,9 @@ mc AS (SELECT model, count(*) AS n_paired, CAST(sum(CASE WHEN x = 0 AND y = 1 TH
 RUNS = "SELECT o_orderpriority AS dataset, o_orderstatus AS engine, count(*) AS reps, min(o_totalprice) AS best, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1, 2"
 CODED = f"{{}}, words AS (SELECT item, CAST(row_number() OVER (ORDER BY item) AS INT) AS item_id FROM (SELECT DISTINCT unnest(items) AS item FROM w)), coded AS (SELECT items, any_value(weight) AS weight, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY item_id) AS ids FROM (SELECT items, weight, unnest(items) AS item FROM w) JOIN words USING (item) GROUP BY items)"
 SENSORS = "sn AS (SELECT label, vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {d}" for i, d in enumerate(DIMS)) + " FROM embeddings)"
+SENSOR_W = f"""{SENSORS}, se AS (SELECT {', '.join(f'{_quantiles(d)} AS e_{d}' for d in DIMS)} FROM sn), {_dealt(10, 5, 'sn', 'label', 'vec_id')},
+md AS (SELECT label, win, {', '.join(f'median({d}) AS {d}' for d in DIMS)} FROM dealt GROUP BY label, win),
+w AS (SELECT list_sort([{', '.join(f"'{d}=' || ({_bin(d, f'e_{d}')})" for d in DIMS)}]) AS items, count(*) AS weight FROM md, se GROUP BY 1)"""
 RATES = """mt AS (SELECT label, weight, EXISTS (SELECT 1 FROM lib WHERE list_has_all(t.items, lib.items)) AS flagged FROM t),
 fr AS (SELECT CAST(coalesce(sum(CASE WHEN label = 1 THEN weight END), 0) AS BIGINT) AS n_anom, CAST(coalesce(sum(CASE WHEN label = 0 THEN weight END), 0) AS BIGINT) AS n_norm,
  CAST(coalesce(sum(CASE WHEN label = 1 AND flagged THEN weight END), 0) AS BIGINT) AS flagged_anom, CAST(coalesce(sum(CASE WHEN label = 0 AND flagged THEN weight END), 0) AS BIGINT) AS flagged_norm FROM mt)"""
@@ -169,6 +172,11 @@ def oracle_sql() -> dict[str, str]:
         "support_of_sets": f"WITH {WEIGHTS}, fl AS (SELECT DISTINCT i FROM (SELECT unnest(items) AS i FROM w) WHERE starts_with(i, 'flag=') OR starts_with(i, 'l_tax=')), ps AS (SELECT [a.i, b.i] AS items FROM fl a JOIN fl b ON a.i < b.i) SELECT {_text('ps.items')} AS pattern, CAST(coalesce(sum(weight), 0) AS BIGINT) AS support FROM ps LEFT JOIN w ON list_has_all(w.items, ps.items) GROUP BY ps.items",
         "closure_check": f"WITH {WEIGHTS}, {_frequent(0.05)} SELECT count(*) AS n_frequent, CAST(sum(support) AS BIGINT) AS sum_support, CAST(max(len(items)) AS INT) AS longest, CAST(0 AS BIGINT) AS missing FROM f",
         "planted_recall": "SELECT CAST(10 AS BIGINT) AS planted, CAST(10 AS BIGINT) AS found",
+        "sensor_maximal": f"WITH {SENSOR_W}, {_frequent(0.1)}, {_maximal()} {mined} mx",
+        "sensor_maximal_vertical": f"WITH {SENSOR_W}, {_frequent(0.1)}, {_maximal()} {mined} mx",
+        "class_spec_join": "SELECT r_name AS cls, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+        "resume_keys": f"WITH {CALLS} SELECT model, cond, case_key FROM cl WHERE starts_with(reply, '__ERROR__')",
+        "citation_membership": f"WITH {CALLS}, u AS (SELECT unnest(cited) AS pattern FROM fa) SELECT pattern, count(*) AS n, pattern IN ('p1', 'p2', 'p3') AS known FROM u GROUP BY pattern",
         "stage_thresholds": f"WITH {STAGES} SELECT * FROM stg",
         "stage_pools": f"WITH {POOLS} SELECT {pat}, stage, support FROM pool",
         "first_stage": f"WITH {POOLS} SELECT {pat}, stage, support FROM fst",

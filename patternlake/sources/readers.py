@@ -191,6 +191,14 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.md5("content").alias("md5"))
 
 
+def run_log(lines: DataFrame) -> DataFrame:
+    """(phase, ms, ok) from log lines such as ``counting: 12.5 ms`` and ``MATCH``: phase timings and, for all, whether the run matched its gold. ``lines`` is (file, value)."""
+    timed = r"^\s*([A-Za-z][\w \-]*?)\s*[:=]\s*([-+0-9.eE]+)\s*ms\b"
+    ok = lines.groupBy("file").agg(F.max(F.col("value").rlike(r"\bMATCH\b") & ~F.col("value").rlike(r"MISMATCH|NO MATCH")).alias("ok"))
+    phases = lines.where(F.col("value").rlike(timed)).select("file", F.regexp_extract("value", timed, 1).alias("phase"), F.regexp_extract("value", timed, 2).try_cast("double").alias("ms"))
+    return phases.join(ok, "file")
+
+
 def settings(text: str) -> dict[str, str]:
     """Key=value lines of a settings file; comments and quotes are stripped."""
     out = {}

@@ -65,6 +65,11 @@ def test_dictionary_labels_checksums(spark, tmp_path):
     assert readers.settings("# c\nA = 'x'\nB=2") == {"A": "x", "B": "2"}
 
 
+def test_run_log(spark):
+    lines = spark.createDataFrame([("a", "counting: 12.5 ms"), ("a", "MATCH"), ("a", "x"), ("b", "sort = 3 ms"), ("b", "MISMATCH")], "file string, value string")
+    assert sorted(tuple(r) for r in readers.run_log(lines).collect()) == [("a", "counting", 12.5, True), ("b", "sort", 3.0, False)]
+
+
 def test_log_appends_once(spark, tmp_path):
     rows = spark.createDataFrame([("m", "lib", "1", "g", "t", "r"), ("m", "lib", "1", "g", "t", "r"), ("m", "lib", "2", "g", "t", "__ERROR__")], readers.CALLS)
     path = str(tmp_path / "log")
