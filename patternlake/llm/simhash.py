@@ -9,7 +9,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from patternlake.llm.common import components, partitions, shared_dir, stash
 
@@ -143,13 +142,15 @@ def links(fps: DataFrame, tau: int = 4, segments: int = 6) -> DataFrame:
         mask = sum(((1 << at[k][1]) - 1) << at[k][0] for k in chosen)
         mask -= (mask >> 63) << 64
         keys.append(F.struct(F.lit(n).cast("short").alias("c"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")))
-    w = Window.partitionBy("k")
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("k")).withColumn("n", F.count("*").over(w)).where("n > 1")
+    rows = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.c", "k.bits")
+    # counted by partial sums and joined back, so a key that many share is split by the skew join
+    shared = rows.groupBy("c", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(shared, ["c", "bits"])
     nb = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), nb).cast("int")
     spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
-    rows = rows.withColumn("nb", nb).withColumn("own", own).select("fp", "k", spread.alias("t"))
-    rows = rows.select("fp", F.xxhash64("k.c", "k.bits", "t.i", "t.j").alias("key"))
+    rows = rows.withColumn("nb", nb).withColumn("own", own).select("fp", "c", "bits", spread.alias("t"))
+    rows = rows.select("fp", F.xxhash64("c", "bits", "t.i", "t.j").alias("key"))
 
     def run(batches):
         key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
