@@ -127,7 +127,7 @@ def lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
     """The ``k`` best neighbours of each vector; a list that is full of links is enlarged fourfold."""
     both = edges.select("u", "v", "c").union(edges.select("v", "u", "c")).groupBy("u", "v").agg(F.max("c").alias("c"))
     w = Window.partitionBy("u").orderBy(F.desc("c"), "v")
-    return both.withColumn("r", F.row_number().over(w)).where((F.col("r") <= k) | ((F.col("r") <= 4 * k) & (F.col("c") >= threshold))).drop("r")
+    return both.withColumn("r", F.row_number().over(w)).where((F.col("r") <= 4 * k) & ((F.col("r") <= k) | (F.col("c") >= threshold))).drop("r")
 
 
 def refine(graph: DataFrame, vecs: DataFrame, k: int, floor: float) -> DataFrame:
@@ -143,8 +143,8 @@ def count_links(member: DataFrame, threshold: float) -> DataFrame:
 
     Every pair of a component is looked at, in blocks; what leaves a block is a count for each vector.
     """
-    w = Window.partitionBy("root")
-    rows = member.withColumn("nb", F.ceil(F.count("*").over(w) / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
+    size = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    rows = member.join(size, "root").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
     rows = rows.select("rid", "root", "n", "e", "own", pair.alias("p")).select(F.xxhash64("root", "p.i", "p.j").alias("key"), "rid", "n", "e", (F.col("own") == F.col("p.i")).alias("left"), (F.col("p.i") == F.col("p.j")).alias("same"))
 
