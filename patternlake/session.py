@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,22 @@ def session(master: str = "local[*]", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once for a context, unless their search path or folder has it already."""
+    package = Path(__file__).resolve().parent
+    parent = str(package.parent)
+    sc = spark.sparkContext
+    reachable = parent in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == parent
+    if reachable or getattr(sc, "_patternlake_shipped", False):
+        return
+    name = Path(tempfile.mkdtemp()) / "patternlake.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(name))
+    sc._patternlake_shipped = True
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, which the cluster shares; a temporary folder only where that is unset (local sessions)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/patternlake-shared"
