@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,7 +121,7 @@ def start(vecs: DataFrame, trees: int, leaf: int, k: int, floor: float, seed: in
 
     coded = rows.mapInArrow(cells, "key long, rid long, e array<double>, place double")
     hot = coded.groupBy("key").agg(F.count("*").alias("m")).where(f"m > {4 * BLOCK}")
-    salted = coded.join(hot, "key", "left").withColumn("key", F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("rid"), F.ceil(F.col("m") / BLOCK)))))
+    salted = coded.join(hot, "key", "left").withColumn("key", F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("rid", "key", F.lit(seed)), F.ceil(F.col("m") / BLOCK)))))
     return _compare(salted, k, floor)
 
 
@@ -130,11 +132,11 @@ def lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
     return both.withColumn("r", F.row_number().over(w)).where((F.col("r") <= 4 * k) & ((F.col("r") <= k) | (F.col("c") >= threshold))).drop("r")
 
 
-def refine(graph: DataFrame, vecs: DataFrame, k: int, floor: float) -> DataFrame:
-    """One round: the neighbours of each vector, in either direction, are compared with each other."""
+def refine(graph: DataFrame, vecs: DataFrame, k: int, floor: float, salt: int = 0) -> DataFrame:
+    """One round: the neighbours of each vector, in either direction, are compared with each other; long lists are parted anew for each ``salt``."""
     near = graph.select(F.col("u").alias("w"), F.col("v").alias("rid")).union(graph.select(F.col("v"), F.col("u"))).union(graph.select("u", "u")).distinct()
     size = near.groupBy("w").agg(F.count("*").alias("m"))
-    near = near.join(size, "w").where("m > 2").select("rid", F.xxhash64("w", F.pmod(F.xxhash64("rid", "w"), F.ceil(F.col("m") / 128))).alias("key"))
+    near = near.join(size, "w").where("m > 2").select("rid", F.xxhash64("w", F.pmod(F.xxhash64("rid", "w", F.lit(salt)), F.ceil(F.col("m") / 128))).alias("key"))
     return _compare(near.join(vecs.select("rid", "e"), "rid").withColumn("place", F.col("rid").cast("double")), k, floor)
 
 
@@ -171,41 +173,83 @@ def count_links(member: DataFrame, threshold: float) -> DataFrame:
     return counted.groupBy("rid").agg(F.sum("links").alias("links"))
 
 
-def audit(vecs: DataFrame, roots: DataFrame, threshold: float, sample: int = 256) -> float:
-    """Share of the links of at most ``sample`` vectors, found by comparing them with all, whose ends are in one component."""
-    rows = vecs.orderBy("rid").limit(sample).select("rid", "grp", "e").collect()  # hashes: as good as drawn
-    if not rows:
-        return 1.0
-    chosen = vecs.sparkSession.sparkContext.broadcast([(r["rid"], r["grp"], r["e"]) for r in rows])
+def audit(vecs: DataFrame, roots: DataFrame, threshold: float, sample: int = 256) -> DataFrame:
+    """(grp, share, low) of each label with links: the mean and the least share, of ``sample`` vectors, of a vector's links that end in its component.
 
-    def run(batches):
-        by: dict[int, list] = {}
-        for r, g, e in chosen.value:
-            by.setdefault(g, []).append((r, e))
-        by = {g: (np.array([r for r, _ in v]), _unit([e for _, e in v])) for g, v in by.items()}
-        for b in batches:
-            grp, rid = b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False)
-            for g in np.unique(grp).tolist():
-                if g in by:
-                    at = np.flatnonzero(grp == g)
-                    x = _unit(_matrix(b.column(2).take(pa.array(at))))
-                    i, j = np.nonzero(x @ by[g][1].T >= threshold)
-                    a, z = rid[at[i]], by[g][0][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[a != z]), pa.array(z[a != z])], ["a", "b"])
-
-    true = vecs.select("rid", "grp", "e").mapInArrow(run, "a long, b long")
-    got = true.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").agg(F.count("*").alias("n"), F.sum((F.col("ra") == F.col("rb")).cast("long")).alias("hit")).first()
-    return (got["hit"] or 0) / got["n"] if got["n"] else 1.0
+    Each drawn vector is compared with all of its label, whose rows are dealt in blocks, and counts once, however many links it has.
+    """
+    full = vecs.select("rid", "grp", "e").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    size = vecs.groupBy("grp").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("nb"))
+    drawn = F.row_number().over(Window.partitionBy("grp").orderBy("rid")) <= sample  # hashes: as good as drawn
+    some = vecs.select("grp", "rid").withColumn("in", drawn).where("in").drop("in")
+    some = full.join(some.select("rid"), "rid").join(size, "grp").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("asks", F.lit(True))
+    rows = full.join(size, "grp").withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int")).withColumn("asks", F.lit(False))
+    cols = ["rid", "grp", "root", "e", "asks"]
+    both = some.union(rows.select(some.columns)).select(F.xxhash64("grp", "blk").alias("key"), *cols)
 
+    def run(batches):
+        for b in _by_run(batches, 0):
+            rid, grp, root, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 5))
+            x = _unit(_matrix(b.column(4)))
+            i, j = np.flatnonzero(asks), np.flatnonzero(~asks)
+            hit = (x[i] @ x[j].T >= threshold) & (rid[i][:, None] != rid[j][None, :])
+            inside = hit & (root[i][:, None] == root[j][None, :])
+            yield pa.RecordBatch.from_arrays([pa.array(grp[i]), pa.array(rid[i]), pa.array(hit.sum(axis=1)), pa.array(inside.sum(axis=1))], ["grp", "rid", "n", "hit"])
+
+    counted = both.repartition(partitions(vecs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "grp long, rid long, n long, hit long")
+    each = counted.groupBy("grp", "rid").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).where("n > 0").select("grp", (F.col("hit") / F.col("n")).alias("share"))
+    return each.groupBy("grp").agg(F.avg("share").alias("share"), F.min("share").alias("low"))
+
+
+def _joins(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of roots that connect what ``hit`` links and is not yet in one component: a forest."""
+    names, at = np.unique(np.r_[a, b], return_inverse=True)
+    up = at[: len(a)], at[len(a) :]
+    root, out = np.arange(len(names)), []
+    for i in np.flatnonzero(hit.any(axis=1)):
+        mine = root[up[0][i]]
+        for other in np.unique(root[up[1][hit[i]]]):
+            if other != mine:
+                out.append((int(names[mine]), int(names[other])))
+                root[root == other] = mine
+    return out
+
+
+def exact_joins(vecs: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): pairs of roots whose components a link joins, from every pair of ``vecs`` of one label, in pairs of blocks."""
+    size = vecs.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    rows = vecs.select("rid", "grp", "e").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")).join(size, "grp")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
+    rows = rows.select("rid", "grp", "root", "e", "own", pair.alias("p")).select(F.xxhash64("grp", "p.i", "p.j").alias("key"), "root", "e", (F.col("own") == F.col("p.i")).alias("left"), (F.col("p.i") == F.col("p.j")).alias("same"))
 
-def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 8, leaf: int = 48, floor: float = 0.7, rounds: int = 3, recall: float = 0.98) -> DataFrame:
+    def run(batches):
+        for b in _by_run(batches, 0):
+            root, left = b.column(1).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
+            x = _unit(_matrix(b.column(2)))
+            i, j = (np.arange(len(x)),) * 2 if b.column(4)[0].as_py() else (np.flatnonzero(left), np.flatnonzero(~left))
+            out = []
+            for s in range(0, len(i), BLOCK):
+                a = i[s : s + BLOCK]
+                hit = (x[a] @ x[j].T >= threshold) & (root[a][:, None] != root[j][None, :])
+                if hit.any():
+                    out += _joins(hit, root[a], root[j])
+            if out:
+                u, v = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return rows.repartition(partitions(vecs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 8, leaf: int = 48, floor: float = 0.7, attempts: int = 3, recall: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``table`` (vec_id, embedding, label).
 
     Vectors of one label (and one length) link at a cosine of ``threshold``, in double precision. Equal vectors stand for each other.
     NN-descent finds the graph: lists from random cells, then neighbours of neighbours until a round
-    finds no new link or ``rounds`` are over. Links join components; within a component every pair is
-    counted exactly, so a full list loses nothing. Recall is audited against brute force for up to 256
-    vectors; below ``recall`` the search goes on from new cells, twice at most.
+    finds no new link. Links join components; within a component every pair is
+    counted exactly, so a full list loses nothing. Recall is audited against brute force for up to 256 vectors
+    of each label, as the mean of their shares; while a label is below ``recall`` the search goes on from new cells,
+    up to ``attempts``. Then each label of which a drawn vector still lacks a link is compared whole, in pairs of blocks.
 
     Null labels and vectors that are null, empty, zero or not finite in a place link with nothing: n_links 0 and
     their own component. Repeated rows link with each other. A null vec_id is kept, and never smallest.
@@ -213,22 +257,28 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tree
     spark, path = table.sparkSession, shared_dir(table.sparkSession)
     vecs = stash(vectors_of(table), f"{path}/vecs")
     edges = None
-    for attempt in range(3):
+    for attempt in range(attempts):
         new = stash(start(vecs, trees, leaf, k, floor, attempt), f"{path}/start{attempt}")
         edges = new if edges is None else edges.union(new)
         linked = -1
-        for r in range(rounds):
+        for r in count():
             graph = stash(lists(edges, k, threshold), f"{path}/lists{attempt}.{r}")
             now = graph.where(F.col("c") >= threshold).count()
-            if now == linked:
+            if now <= linked:  # grows, and not without end: lists are bounded
                 break
             linked = now
-            found = refine(graph, vecs, k, floor)
+            found = refine(graph, vecs, k, floor, 1000 * attempt + r)
             edges = stash(graph.unionByName(found).where("u < v").groupBy("u", "v").agg(F.max("c").alias("c")), f"{path}/edges{attempt}.{r}")
         sure = edges.where(F.col("c") >= threshold)
         roots = components(sure, f"{path}/cc{attempt}", "u", "v").toDF("rid", "root")
-        if audit(vecs, roots, threshold) >= recall:
+        short = stash(audit(vecs, roots, threshold).where("low < 1"), f"{path}/short{attempt}")
+        if not short.where(F.col("share") < recall).limit(1).count():
             break
+    if short.limit(1).count():
+        joins = stash(exact_joins(vecs.join(short.select("grp"), "grp", "left_semi"), roots, threshold), f"{path}/joins")
+        known = vecs.select("rid").join(roots, "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"))
+        higher = components(joins, f"{path}/higher", "u", "v").toDF("root", "top")
+        roots = known.join(higher, "root", "left").select("rid", F.coalesce("top", "root").alias("root"))
     member = stash(vecs.join(roots, "rid"), f"{path}/member")
     counts = count_links(member, threshold)
     info = vecs.select("rid", "label", "e", "low", "n").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))

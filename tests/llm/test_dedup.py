@@ -135,6 +135,29 @@ def test_embedding_recall_on_table(spark):
     assert sum(min(got[i][0], want[i][0]) for i in want) >= 0.9 * links and all(got[i][0] <= want[i][0] for i in want)
 
 
+def test_embeddings_where_the_search_finds_no_link(spark, monkeypatch):
+    """Whatever the search misses, labels that the audit finds short are compared whole."""
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    monkeypatch.setattr(neardup, "_nearest", lambda rid, x, k, floor: (rid[:0], rid[:0], np.empty(0)))
+    rng = np.random.default_rng(9)
+    cone = rng.normal(size=8)
+    rows = [(k, (cone + rng.normal(size=8) * 0.12).tolist(), 0) for k in range(150)] + [(200 + k, rng.normal(size=8).tolist(), 1) for k in range(40)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = plain_vectors(rows)
+    assert got == want and max(n for n, _ in want.values()) > 10
+
+
+def test_hot_cells_are_parted_anew(spark, monkeypatch):
+    """One cone in one cell of every tree: the pairs that are compared differ from draw to draw."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=8)
+    rows = [(k, (base + rng.normal(size=8) * 1e-3).tolist(), 0) for k in range(120)]
+    vecs = neardup.vectors_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).cache()
+    a, b = ({(r["u"], r["v"]) for r in neardup.start(vecs, 1, 10**6, 200, 0.7, seed).collect()} for seed in (0, 1))
+    assert a and len(a - b) > len(a) / 2
+
+
 PASSAGE = "The first sentence of a passage that comes back. Then a second one follows it here. And a third closes the passage now."
 
 
