@@ -35,7 +35,7 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def span_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated spans from texts; drops a document of which nothing is left."""
-    out = spans.dedup_spans(docs.select(COLUMNS))
+    out = spans.dedup_spans(docs.select(COLUMNS), passage=spans.PASSAGE)
     out = out.where((F.col("n_removed") == 0) | (F.trim(F.col("text")) != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 

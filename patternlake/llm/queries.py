@@ -64,7 +64,7 @@ def op9(spark, sf_dir):
 
 def op10(spark, sf_dir):
     """Every document with the text that is left, and how many sentences went."""
-    return spans.dedup_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spans.dedup_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), passage=spans.PASSAGE)
 
 
 def pipeline(spark, sf_dir):

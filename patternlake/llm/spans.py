@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from patternlake.llm.common import partitions
 
 _GAP = re.compile(r"(?<=[.!?])\s+|\n+")
+_WORD = re.compile(r"\S+")
+
+#: Words of a passage that may not repeat.
+PASSAGE = 51
 
 
 def sentences(text: str) -> list[tuple[str, str]]:
@@ -54,8 +58,73 @@ def runs(text: str, least: int, words: int) -> tuple[list[bytes], list[int], lis
     return hashes, first, end
 
 
-def repeated(docs: DataFrame, least: int = 2, words: int = 12) -> DataFrame:
-    """(doc_id, rid, first, end): every span of sentences that is not the first of its kind.
+def _numbers(words: list[str], known: dict[str, int]) -> list[int]:
+    """64-bit hashes of words; ``known`` keeps them."""
+    if len(known) > 800_000:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    return [known[w] for w in words]
+
+
+def anchors(numbers: np.ndarray, sizes: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, 128-bit hashes as two columns) of word runs chosen by content, of texts one behind the other.
+
+    Runs have about half of ``passage`` words; of the runs in any ``passage`` words the one with the least hash is chosen (winnowing). So equal
+    stretches of ``passage`` words share a run, and chosen runs next to each other leave no word between them.
+    """
+    width = (passage + 1) // 2
+    reach = passage - width + 1
+    n = len(numbers)
+    if n < passage:
+        return np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+    both = []
+    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        up = np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+        down = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)])
+        total = np.cumsum(np.r_[np.uint64(0), numbers * up[:-1]])
+        h = (total[width:] - total[:-width]) * down[: n - width + 1]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        both.append(h ^ (h >> np.uint64(29)))
+    last = np.repeat(np.cumsum(sizes), sizes)  # where each word's text ends
+    begin = np.flatnonzero(np.arange(n) + passage <= last)
+    bits = np.uint64(n.bit_length())
+    least = both[0] >> bits << bits | np.arange(len(both[0]), dtype=np.uint64)  # the place in the low bits: of equal hashes the first
+    span = 1
+    while 2 * span <= reach:
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    least = np.minimum(least[: len(least) - (reach - span)], least[reach - span :])
+    at = np.unique(least[begin] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return at, np.stack([both[0][at], both[1][at]], axis=1)
+
+
+#: Added to first and end of a span that counts words and not sentences.
+WORD = 1 << 30
+
+
+def passages(texts: list[str | None], passage: int, words: int, known: dict[str, int]) -> tuple[list[bytes], list[int], list[int], list[int]]:
+    """(hash, text, first, end) of the ``anchors`` of texts, and of texts of a single sentence with ``words`` words or more as a whole."""
+    split = [(t or "").lower().split() for t in texts]
+    sizes = np.array([len(x) for x in split], np.int64)
+    numbers = np.array(_numbers([w for x in split for w in x], known), np.uint64)
+    at, mark = anchors(numbers, sizes, passage)
+    begin = np.cumsum(sizes) - sizes
+    row = np.searchsorted(np.cumsum(sizes), at, "right")
+    first = at - begin[row] + WORD
+    marks, owner, end = [m.tobytes() for m in mark], row.tolist(), (first + (passage + 1) // 2).tolist()
+    first = first.tolist()
+    for k, x in enumerate(split):
+        if len(x) >= words and not _GAP.search(texts[k].strip()):
+            marks.append(xxhash.xxh3_128_digest("\n".join(["whole", *x])))
+            owner.append(k)
+            first.append(WORD)
+            end.append(WORD + len(x))
+    return marks, owner, first, end
+
+
+def repeated(docs: DataFrame, least: int = 2, words: int = 12, passage: int = 0) -> DataFrame:
+    """(doc_id, rid, first, end): every span of sentences that is not the first of its kind; with ``passage`` also spans of words, from WORD on.
 
     The first is the one with the smallest (doc_id, rid, first), null ids before all; rid is a hash of doc_id and text,
     so rows that are the same in both count as one document. A task keeps only the
@@ -65,16 +134,21 @@ def repeated(docs: DataFrame, least: int = 2, words: int = 12) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
+        known_words: dict[str, int] = {}
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 marks, owner, first, end = [], [], [], []
-                for row, text in enumerate(part.column(2).to_pylist()):
+                texts = part.column(2).to_pylist()
+                for row, text in enumerate(texts):
                     h, f, e = runs(text or "", least, words)
                     marks += h
                     owner += [row] * len(h)
                     first += f
                     end += e
+                if passage:
+                    for all_of, new in zip((marks, owner, first, end), passages(texts, passage, words, known_words)):
+                        all_of += new
                 if not marks:
                     continue
                 mark = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
@@ -112,23 +186,46 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def without(text: str, gone: list[int]) -> tuple[str, int, int]:
     """(text without the sentences that spans cover, how many those are, how many there were). gone: first, end, first, end, ..."""
     parts = sentences(text)
+    stretches = [(f - WORD, e - WORD) for f, e in zip(gone[::2], gone[1::2]) if f >= WORD]
+    gone = [x for f, e in zip(gone[::2], gone[1::2]) if f < WORD for x in (f, e)]
     drop = np.zeros(len(parts) + 1, np.int64)
     for f, e in zip(gone[::2], gone[1::2]):
         drop[f] += 1
         drop[min(e, len(parts))] -= 1
     cover = np.cumsum(drop)[:-1] > 0
+    if stretches and not cover.all():
+        return _without_words(text, parts, cover, stretches)
     return "".join([s + g for (s, g), c in zip(parts, cover.tolist()) if not c]), int(cover.sum()), len(parts)
 
 
-def dedup_spans(docs: DataFrame, least: int = 2, words: int = 12) -> DataFrame:
+def _without_words(text: str, parts: list[tuple[str, str]], cover: np.ndarray, stretches: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """As ``without``, for ``cover`` of sentences and stretches of words; a sentence counts that loses a word."""
+    begin = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    gone = np.zeros(len(text) + 1, np.int64)
+    for a, e in stretches:
+        gone[begin[a]] += 1
+        gone[begin[e]] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    at, n = 0, 0
+    for (s, g), c in zip(parts, cover.tolist()):
+        n += bool(c or gone[at : at + len(s)].any())
+        gone[at : at + len(s) + len(g)] |= c
+        at += len(s) + len(g)
+    cut = [0, *(np.flatnonzero(gone[1:] != gone[:-1]) + 1).tolist(), len(text)]
+    return "".join(text[a:e] for a, e in zip(cut, cut[1:]) if not gone[a]), n, len(parts)
+
+
+def dedup_spans(docs: DataFrame, least: int = 2, words: int = 12, passage: int = 0) -> DataFrame:
     """Every row of ``docs`` with the text left after removal, and n_removed (sentences).
 
     A run is the shortest of at least ``least`` consecutive sentences that has ``words`` words or more; each sentence that lies in a
     run whose hash stands earlier in the corpus, or earlier in its own text, is removed with the gap behind it.
+    With ``passage``, no stretch of that many words that stands earlier stays whole either, wherever sentences end: runs of half as many words, chosen
+    by content so that each such stretch holds one, are removed where they repeat, and so are texts of one sentence with ``words`` words that repeat whole.
     Texts without such a run return as they are, null as null; a text that repeats whole becomes empty. Rows equal in doc_id and text share one
     result. Other columns are kept; n_removed replaces a column of that name, and columns named rid or gone are kept too.
     """
-    gone = repeated(docs, least, words).groupBy("doc_id", "rid").agg(F.flatten(F.collect_list(F.array("first", "end"))).alias("gone"))  # at most a text's runs
+    gone = repeated(docs, least, words, passage).groupBy("doc_id", "rid").agg(F.flatten(F.collect_list(F.array("first", "end"))).alias("gone"))  # at most a text's runs
     gone = gone.select(F.col("rid").alias("__rid"), F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     rows = docs.drop("n_removed").withColumn("__rid", F.xxhash64("doc_id", "text")).alias("d")
     joined = rows.join(gone.alias("g"), (F.col("d.__rid") == F.col("g.__rid")) & F.col("d.doc_id").eqNullSafe(F.col("g.__id")), "left")

@@ -197,3 +197,20 @@ def test_spans_repeated_rows_and_null_ids(spark):
 def test_sentences_join_again():
     for text in ("", "a", "a. b", "a.\n\nb! c?  d", "\n\nx", ". . .", "a. "):
         assert "".join(s + g for s, g in spans.sentences(text)) == text
+
+
+def test_passages_without_sentence_ends(spark):
+    """51 words or more that stand earlier never stay whole, wherever sentences end; what stands once stays."""
+    rng = random.Random(8)
+    shared, count = " ".join(words(rng, 51)), iter(range(10**6))
+    own = lambda n: " ".join(f"own{next(count)}" for _ in range(n))
+    docs = [(k, f"{own(20 + k)}\t{shared.upper() if k % 2 else shared} {own(30)}") for k in range(8)] + [(20, own(14)), (22, own(60)), (30, own(3) + " " + own(80))]
+    docs += [(i + 1, t) for i, t in docs if i in (20, 22)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in spans.dedup_spans(spark.createDataFrame(docs, DOCS), passage=51).collect()}
+    low = {i: " ".join(t.lower().split()) for i, (t, _) in got.items()}
+    assert got[0] == (docs[0][1], 0) and got[30] == (dict(docs)[30], 0) and got[20][1] == got[22][1] == 0
+    assert got[21] == ("", 1) and got[23] == ("", 1)
+    for k in range(1, 8):
+        w = low[k].split()
+        assert " ".join(shared.lower().split()) not in low[k] and got[k][1] == 1
+        assert [x for x in w if x.startswith("own")] == [x for x in docs[k][1].lower().split() if x.startswith("own")]
