@@ -116,17 +116,37 @@ def frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
     return (got[:16].ravel(), int(got[16, 0])) if len(got) else (np.zeros(SLOTS, np.int64), 0)
 
 
+def pieces(w: np.ndarray) -> list[np.ndarray]:
+    """An item as passages like those of documents, the last one whole too."""
+    return [w[a : a + 2 * HALF] for a in [*range(0, len(w) - 2 * HALF, HALF), max(0, len(w) - 2 * HALF)]]
+
+
+def bounded(items: list[tuple], most: int) -> list[list[tuple]]:
+    """Items in blocks of at most ``most`` passages; an item with more is a block of its own."""
+    out, held = [], most + 1
+    for x in items:
+        n = len(pieces(x[1]))
+        if held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append(x)
+        held += n
+    return out
+
+
 class Block:
     """A block of benchmark items: their vocabulary, weights and latent vectors."""
 
     def __init__(self, items: list[tuple], idf: np.ndarray, floor: float, common: np.ndarray | None = None, own: int = 8):
-        """``common``: slots without weight, but for the ``own`` rarest words of each item, so that no item is without words."""
+        """``common``: slots without weight, but for the ``own`` rarest words of each passage of an item, so that none is without words."""
         self.ids = [i for i, _, _ in items]
         self.words = [w for _, w, _ in items]
         self.answers = [a for _, _, a in items]
+        self.parts = [(i, p) for i, w in enumerate(self.words) for p in pieces(w)]
+        self.item = [i for i, _ in self.parts]
         weight = idf.astype(np.float32)
         if common is not None:
-            rare = [np.unique(w)[np.argsort(-idf[np.unique(w) % SLOTS], kind="stable")[:own]] for w in self.words]
+            rare = [np.unique(w)[np.argsort(-idf[np.unique(w) % SLOTS], kind="stable")[:own]] for _, w in self.parts]
             common = common.copy()
             common[np.concatenate(rare) % SLOTS] = False
             weight[common] = 0
@@ -135,7 +155,7 @@ class Block:
         self.vocab = self.vocab[weight[self.vocab % SLOTS] > 0]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.vocab & 0xFFFFF] = True
-        self.least = np.array([min(floor, 2 * floor * (len(w) / (2 * HALF)) ** 0.5) for w in self.words], np.float32)
+        self.least = np.array([min(floor, 2 * floor * (len(w) / (2 * HALF)) ** 0.5) for _, w in self.parts], np.float32)
 
     def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of words of the vocabulary, their numbers)."""
@@ -145,9 +165,9 @@ class Block:
         return at[same], k[same]
 
     def query(self) -> np.ndarray:
-        """TF-IDF rows of the items over the vocabulary, of length 1."""
-        q = np.zeros((len(self.words), len(self.vocab)), np.float32)
-        for i, w in enumerate(self.words):
+        """TF-IDF rows of the items' passages over the vocabulary, of length 1."""
+        q = np.zeros((len(self.parts), len(self.vocab)), np.float32)
+        for i, (_, w) in enumerate(self.parts):
             w = w[self.idf[w % SLOTS] > 0]
             np.add.at(q[i], np.searchsorted(self.vocab, w), self.idf[w % SLOTS])
         return q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
@@ -157,7 +177,7 @@ class Block:
         q = self.query()
         both = np.vstack([sketch * (np.linalg.norm(q) / max(float(np.linalg.norm(sketch)), 1e-9)), q]).astype(np.float32)
         values, left = np.linalg.eigh(both @ both.T)
-        top = np.argsort(-values)[: min(rank, max(64, len(self.words)))]
+        top = np.argsort(-values)[: min(rank, max(64, len(self.parts)))]
         top = top[values[top] > max(values.max(), 0) * 1e-7]
         basis = both.T @ (left[:, top] / np.sqrt(values[top]))
         self.weighted = (basis * self.idf[self.vocab % SLOTS][:, None]).astype(np.float32)
@@ -289,8 +309,11 @@ def _candidates(m: Block, w: np.ndarray, sizes: np.ndarray):
         find = lambda x: np.where((i := np.minimum(np.searchsorted(hs, x), len(hs) - 1)) >= 0, np.where(hs[i] == x, i, len(hs)), len(hs))
         both = latent[find(some)] + np.where(same[some][:, None], latent[find(some + 1)], 0)
         cos = (both @ m.latent) / norm[some][:, None]
-        p, item = np.nonzero(cos >= m.least[None, :])
-        for x, i, c in zip(p.tolist(), item.tolist(), cos[p, item].tolist()):
+        p, piece = np.nonzero(cos >= m.least[None, :])
+        high: dict[tuple[int, int], float] = {}
+        for x, i, c in zip(p.tolist(), piece.tolist(), cos[p, piece].tolist()):
+            high[x, m.item[i]] = max(c, high.get((x, m.item[i]), c))
+        for (x, i), c in high.items():
             yield int(row[some[x]]), i, int(begin[some[x]]), min(1.0, c)
 
 
@@ -307,13 +330,13 @@ def answer_of(text: str, words: Words) -> np.ndarray:
 def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0.6, answer: float = 0.8, floor: float = 0.3, block_items: int = 256, rank: int = 256, max_df: float = 0.05) -> DataFrame:
     """Documents that hold a benchmark item: (doc_id, item_id, cosine, lcs, answer, start), one row per pair.
 
-    Passages of 64 words, one beginning every 32, are compared with all items in a latent space: TF-IDF with
+    Passages of 64 words, one beginning every 32, are compared with all items, cut likewise, in a latent space: TF-IDF with
     frequencies of the whole corpus, reduced by a distributed randomised SVD; words in over ``max_df`` of all
     passages, and in over 200, have no weight there, but for the eight rarest of each item. Above ``floor`` (less for items of
     under 16 words) the item's longest common subsequence with the passage and its surroundings decides: at
     least ``near`` of the item's words, or ``loose`` and ``answer`` of the words of its last sentence. start is the passage's first word.
 
-    Items are taken in blocks of ``block_items``, so what is broadcast is bounded. Texts are compared whole.
+    Items are taken in blocks of ``block_items``, and of twice as many passages, so what is broadcast is bounded. Texts are compared whole.
     Null or empty texts and items without words match nothing. Repeated rows each return; null ids are kept.
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -336,12 +359,10 @@ def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0
         of = Words()
         rows = bench.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)).select("item_id", "text").distinct().collect()
         items = [(r["item_id"], of(r["text"]), answer_of(r["text"], of)) for r in sorted(rows, key=lambda r: (str(r["item_id"]), r["text"]))]
-        items = [x for x in items if len(x[1])]
-        if not items:
-            continue
-        block = Block(items, idf, floor, (df > max_df * passages) & (df > RARE))
-        block.fit(sketch(words, block), rank)
-        names = spark.createDataFrame([(i, x[0]) for i, x in enumerate(items)], f"item long, item_id {item_kind}")
-        found = search(words, block, near, loose, answer)
-        out = out.union(found.join(F.broadcast(names), "item").select("doc_id", "item_id", "cosine", "lcs", "answer", "start"))
+        for some in bounded([x for x in items if len(x[1])], 2 * block_items):
+            block = Block(some, idf, floor, (df > max_df * passages) & (df > RARE))
+            block.fit(sketch(words, block), rank)
+            names = spark.createDataFrame([(i, x[0]) for i, x in enumerate(some)], f"item long, item_id {item_kind}")
+            found = search(words, block, near, loose, answer)
+            out = out.union(found.join(F.broadcast(names), "item").select("doc_id", "item_id", "cosine", "lcs", "answer", "start"))
     return out

@@ -56,6 +56,16 @@ def test_paraphrases_and_answers(spark):
     assert decontam.leaks(d.limit(0), b).collect() == [] and decontam.leaks(d, b.limit(0)).collect() == []
 
 
+def test_copies_of_long_items(spark):
+    """Items of many passages are found wherever a copy stands, and no less than without a candidate search."""
+    rng = np.random.default_rng(3)
+    noise = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 30_000, n))
+    bench = [(k, noise(n)) for k, n in enumerate((64, 65, 500, 1000, 2000))]
+    docs = [(k, noise(40 + 9 * k) + " " + x + " " + noise(60)) for k, x in bench] + [(9, noise(900))]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string"), block_items=16).collect()}
+    assert got == {(k, k) for k, _ in bench}
+
+
 # ---------------------------------------------------------------- language ID
 
 
