@@ -13,24 +13,40 @@ from patternlake.llm.queries import tokenizer
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with __row, a hash of doc_id and text: rows equal in both are one, others are not, whether ids repeat or are null."""
+    return docs.withColumn("__row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the row's hash as doc_id."""
+    return _rows(docs).select(F.col("__row").alias("doc_id"), "text")
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``gone``; null ids are compared as values."""
-    return docs.join(gone.distinct().withColumnRenamed("doc_id", "__gone"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """Rows of ``docs`` whose hash is not among the ``doc_id`` of ``gone``."""
+    return _rows(docs).join(gone.distinct().withColumnRenamed("doc_id", "__gone"), F.col("__row") == F.col("__gone"), "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without a letter."""
-    found = langid.identify(docs, langid.train(docs))
+    found = langid.identify(_by_row(docs), langid.train(docs))
     return _without(docs, found.where("lang_pred = 'und'").select("doc_id")).select(COLUMNS)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash component the document with the smallest doc_id; repeated rows of it count as one."""
-    found = simhash.near_duplicates(docs, tau=4, width=4)
-    kept = found.where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "__kept")
-    left = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").select(COLUMNS)
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if twice else left
+    """Keeps one document of each SimHash component: that with the smallest doc_id, null after all others, then the smallest hash.
+
+    Rows that repeat in doc_id and text count as one; of different texts with one doc_id each is decided by itself.
+    """
+    kind = docs.schema["doc_id"].dataType
+    rows = _rows(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("id"), F.col("__row").alias("row"))
+    found = simhash.near_duplicates(rows.select(order.alias("doc_id"), "text"), tau=4, width=4)
+    kept = found.where("kept").select(F.col("doc_id.row").alias("__kept")).distinct()
+    left = rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi")
+    twice = rows.groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return (left.dropDuplicates(["__row"]) if twice else left).select(COLUMNS)
 
 
 def span_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +59,7 @@ def span_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontam.leaks(docs, bench).select("doc_id")).select(COLUMNS)
+    return _without(docs, decontam.leaks(_by_row(docs), bench).select("doc_id")).select(COLUMNS)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,14 @@ def test_stages_with_odd_rows(spark):
     empty = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).collect() == []
+
+
+def test_rows_with_null_or_repeated_ids(spark):
+    """What is decided of one row touches no other row of its id."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(2).collect()
+    texts = ["Rivers carry gravel down from quiet hills every spring.", "Nobody expected the old clock to ring at noon.", "Seven boats lay on the beach while gulls cried."]
+    rows = [(None, texts[0]), (None, texts[1]), (None, "12 34"), (None, None), (None, item[0]["text"]), (5, texts[2]), (5, "56"), (5, item[1]["text"] + " More."), (5, texts[2])]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+    assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr) == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2])], key=repr)
