@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from patternlake.llm.common import partitions, shared_dir
 
-MAGIC = b"PLRP1\0"
+MAGIC = b"PLRP2\0"
 #: Characters for which lower case, composition and white space are the same for Python and the tokenizer.
 _SIMPLE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 
@@ -91,103 +91,111 @@ def word_encoder(file: str) -> WordEncoder:
     return _KEPT[file]
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, base: int, rounds: int = 3, least: int = 16, per_round: int = 5000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: (symbols, symbols of each document, rules).
+def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: (symbols, symbols of each document, rules), until no pair occurs ``least`` times.
 
-    Each round takes the pairs that occur at least ``least`` times, the most frequent first, and replaces
-    their places by new symbols from ``base`` on; where places overlap the more frequent pair goes first.
-    Pairs never reach over a document's end, so each document is decoded alone. Symbols stay below 65536
-    where ``base`` does.
+    Each round replaces many pairs by new symbols from ``base`` on: the most frequent first where places overlap, of equally
+    frequent ones by a hash, so that a long repeated stretch halves in each round. Of a run of one symbol every
+    other place counts. Pairs never reach over a document's end, so each document is decoded alone. A pair of two old symbols can't become more frequent,
+    so places whose pair was too rare once are not looked at again.
     """
-    room = (1 << 16) - base if base < 1 << 16 else 1 << 20
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
-    ends = np.cumsum(sizes)
-    last[ends[sizes > 0] - 1] = True
+    last[np.cumsum(sizes)[sizes > 0] - 1] = True
+    at = np.flatnonzero(~last).astype(np.int32)
     rules: list[np.ndarray] = []
-    n = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or n >= room:
+    made = 0
+    while len(at):
+        at, skipped = _alternate(at, seq)
+        width = np.uint64((base + made).bit_length())
+        code, place, times = _sorted_pairs(at, seq, width)
+        often = times >= least
+        if not often.any():
             break
-        wide = base + n > 1 << 16
-        code = (seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]) if wide else (seq[:-1] << np.uint32(16) | seq[1:])
-        order = np.sort(code[~last[:-1]])
-        if not len(order):
-            break
-        at = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
-        times = np.diff(np.r_[at, len(order)])
-        often = np.flatnonzero(times >= least)
-        if not len(often):
-            break
-        top = often[np.argsort(-times[often], kind="stable")[: min(per_round, room - n)]]
-        pair = order[at[top]]  # by rank
-        rank = _ranks(pair, code)
-        none = len(pair)
-        rank[last[:-1]] = none
-        lower = rank[:-1] < rank[1:]
-        take = rank < none
-        take[1:] &= rank[1:] < rank[:-1]
-        take[:-1] &= lower | (rank[:-1] == rank[1:])
-        take = np.flatnonzero(take)
-        if not len(take):
-            break
-        used, which = np.unique(rank[take], return_inverse=True)
-        if not len(used):
-            break
-        seq[take] = base + n + which
-        drop = np.ones(len(seq), bool)
-        drop[take + 1] = False
+        place = place[np.repeat(often, times)]
+        pair, times = code[np.cumsum(times) - times][often], times[often]
+        rarity = np.uint64(len(seq)) - times.astype(np.uint64)
+        order = np.argsort(rarity << np.uint64(24) | pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40))
+        rank_of = np.empty(len(pair), np.int32)
+        rank_of[order] = np.arange(len(pair), dtype=np.int32)
+        mine = np.repeat(rank_of, times)
+        rank = np.full(len(seq) + 2, len(pair), np.int32)  # rank[k + 1] belongs to place k
+        rank[place + 1] = mine
+        free = (mine < rank[place]) & (mine <= rank[place + 2])
+        take, which = place[free], mine[free]
+        kept = np.bincount(which, minlength=len(pair)) >= least  # the others lost their places to pairs that go first
+        use = kept[which]
+        take, which = take[use], which[use]
+        chosen = pair[order[kept]]
+        rules.append(np.stack([chosen >> width, chosen & ((np.uint64(1) << width) - np.uint64(1))], axis=1).astype(np.uint32))
+        number = np.cumsum(kept, dtype=np.uint32) + np.uint32(base + made - 1)
+        made += len(chosen)
+        look = np.zeros(len(seq) + 1, bool)  # the last entry takes what lies before the first place
+        for some in (place, skipped, take, take - 1):
+            look[some] = True
+        seq[take] = number[which]
         last[take] = last[take + 1]
-        seq, last = seq[drop], last[drop]
-        p = pair[used].astype(np.uint64)
-        shift = np.uint64(32 if wide else 16)
-        rules.append(np.column_stack([p >> shift, p & ((np.uint64(1) << shift) - np.uint64(1))]).astype(np.uint32))
-        n += len(used)
+        stay = np.ones(len(seq), bool)
+        stay[take + 1] = False
+        seq, last, look = seq[stay], last[stay], look[:-1][stay]
+        at = np.flatnonzero(look & ~last).astype(np.int32)
     count = np.zeros(len(sizes), np.int64)
-    closed = np.diff(np.r_[-1, np.flatnonzero(last)])
-    count[sizes > 0] = closed
+    count[sizes > 0] = np.diff(np.r_[-1, np.flatnonzero(last)])
     return seq, count, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 
-def _ranks(pairs: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Place of each code in ``pairs``, or their number. Of pairs whose hash slots clash the first stays; a later round finds the others."""
-    none = len(pairs)
-    if code.dtype == np.uint32:
-        slots = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(16)
+def _alternate(at: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places that count, places left out): within a run of one symbol every other place is left out."""
+    twin = np.flatnonzero(seq[at] == seq[at + 1])
+    if not len(twin):
+        return at, at[:0]
+    t = at[twin]
+    begin = np.flatnonzero(np.r_[True, t[1:] != t[:-1] + 1])
+    odd = (np.arange(len(t)) - np.repeat(begin, np.diff(np.r_[begin, len(t)]))) % 2 == 1
+    keep = np.ones(len(at), bool)
+    keep[twin[odd]] = False
+    return at[keep], t[odd]
+
+
+def _sorted_pairs(at: np.ndarray, seq: np.ndarray, width: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs as codes, sorted; their places; how often each distinct pair occurs). Code and place share a word where they fit, which sorts fastest."""
+    room = np.uint64(len(seq).bit_length())
+    code = seq[at].astype(np.uint64)
+    code <<= width
+    code |= seq[at + 1]
+    if 2 * width + room <= 64:
+        code <<= room
+        code |= at.view(np.uint32)
+        code.sort()
+        place = (code & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int32)
+        code >>= room
     else:
-        slots = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-    keys, ranks = np.zeros(1 << 16, code.dtype), np.full(1 << 16, none, np.int32)
-    at = slots(pairs)[::-1]
-    keys[at], ranks[at] = pairs[::-1], np.arange(none - 1, -1, -1, dtype=np.int32)  # the last write, the most frequent pair, stays
-    at = slots(code)
-    out = ranks[at]
-    out[keys[at] != code] = none
-    return out
+        order = np.argsort(code, kind="stable")
+        code, place = code[order], at[order]
+    return code, place, np.diff(np.r_[np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)]), len(code)])
 
 
 class Expansion:
     """What each symbol stands for, laid out once for a shard."""
 
     def __init__(self, rules: np.ndarray, base: int):
-        length = np.ones(base + len(rules), np.int64)
-        text: list[np.ndarray] = [np.arange(base, dtype=np.uint32)]
-        start = np.arange(base + len(rules), dtype=np.int64)
-        done, at = base, base
-        self.length, self.start = length, start
-        while done < len(length):  # a stretch of rules whose parts are all laid out: one for each round of the compression
+        n = base + len(rules)
+        self.length, self.start = np.ones(n, np.int64), np.arange(n, dtype=np.int64)
+        levels, done = [], base
+        while done < n:  # a stretch of rules whose parts are all known: one for each round of the compression
             new = rules[done - base :]
             ready = int(np.argmax(np.r_[(new >= done).any(axis=1), True]))
             if not ready:
                 raise ValueError("damaged rules")
-            new = new[:ready]
-            size = length[new[:, 0]] + length[new[:, 1]]
-            length[done : done + ready] = size
-            start[done : done + ready] = at + np.cumsum(size) - size
-            self.flat = np.concatenate(text)
-            text = [self.flat, self(new.ravel())]
-            at += int(size.sum())
+            self.length[done : done + ready] = self.length[new[:ready]].sum(axis=1)
+            levels.append((done, done + ready))
             done += ready
-        self.flat = np.concatenate(text)
+        self.start[base:] = base + np.cumsum(self.length[base:]) - self.length[base:]
+        self.flat = np.empty(base + int(self.length[base:].sum()), np.uint32)
+        self.flat[:base] = np.arange(base)
+        for a, z in levels:
+            part = self(rules[a - base : z - base].ravel())
+            self.flat[self.start[a] : self.start[a] + len(part)] = part
 
     def __call__(self, seq: np.ndarray) -> np.ndarray:
         """The ids that ``seq`` stands for."""
@@ -200,23 +208,33 @@ class Expansion:
         return self.flat[at]
 
 
-def pack(ids: np.ndarray, sizes: np.ndarray, base: int) -> bytes:
-    """One shard. Layout, little-endian: magic, base, counts, then rules (left, right), their expansion lengths, tokens and symbols of each document, symbols."""
-    seq, count, rules = compress(ids, sizes, base)
+def _pack_symbols(x: np.ndarray, high: int) -> bytes:
+    """Symbols in 16 + ``high`` bits: the low halves, then the high bits packed."""
+    low = x.astype("<u2").tobytes()
+    return low + np.packbits((x[:, None] >> np.arange(16, 16 + high, dtype=np.uint32)) & 1 == 1).tobytes() if high else low
+
+
+def pack(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 2) -> bytes:
+    """One shard. Layout, little-endian: magic; base, rules, documents, symbols, long rules (32 bits each), bits over 16 in a symbol (8 bits);
+    the rules' parts; their expansion lengths in a byte each, 255 for those of 255 and more, which follow in 32 bits; tokens and symbols of each document; the symbols.
+    """
+    seq, count, rules = compress(ids, sizes, base, least)
     length = Expansion(rules, base).length[base:]
-    narrow = base + len(rules) <= 1 << 16
-    head = MAGIC + struct.pack("<IIIIB", base, len(rules), len(sizes), len(seq), narrow)
-    return head + rules.astype("<u4").tobytes() + length.astype("<u4").tobytes() + sizes.astype("<u4").tobytes() + count.astype("<u4").tobytes() + seq.astype("<u2" if narrow else "<u4").tobytes()
+    high = max(0, (base + len(rules) - 1).bit_length() - 16)
+    long = length[length >= 255]
+    head = MAGIC + struct.pack("<IIIIIB", base, len(rules), len(sizes), len(seq), len(long), high)
+    parts = [head, _pack_symbols(rules.ravel(), high), np.minimum(length, 255).astype("u1").tobytes(), long.astype("<u4").tobytes()]
+    return b"".join([*parts, sizes.astype("<u4").tobytes(), count.astype("<u4").tobytes(), _pack_symbols(seq, high)])
 
 
 class Shard:
     """Reads a shard: a document or a stretch of one without expanding the rest."""
 
     def __init__(self, blob: bytes):
-        if blob[:6] != MAGIC:
+        if blob[: len(MAGIC)] != MAGIC:
             raise ValueError("not a token shard")
-        self.base, r, d, s, narrow = struct.unpack_from("<IIIIB", blob, 6)
-        at = 23
+        self.base, r, d, s, n_long, high = struct.unpack_from("<IIIIIB", blob, len(MAGIC))
+        at = len(MAGIC) + 21
 
         def take(n, kind):
             nonlocal at
@@ -224,14 +242,22 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.rules = take(2 * r, "<u4").reshape(r, 2)
-        self.length = take(r, "<u4")
+        def symbols(n):
+            low = take(n, "<u2").astype(np.uint32)
+            if high:
+                bits = np.unpackbits(take(-(-n * high // 8), "u1"), count=n * high).reshape(n, high)
+                low |= (bits.astype(np.uint32) << np.arange(16, 16 + high, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+            return low
+
+        self.rules = symbols(2 * r).reshape(r, 2)
+        self.length = take(r, "u1").astype(np.int64)
+        self.length[self.length == 255] = take(n_long, "<u4")
         self.sizes = take(d, "<u4")
         self.count = take(d, "<u4")
-        self.seq = take(s, "<u2" if narrow else "<u4")
+        self.seq = symbols(s)
         self.expand = Expansion(self.rules, self.base)
         self.first = np.r_[0, np.cumsum(self.count.astype(np.int64))]
-        if self.first[-1] != s:
+        if self.first[-1] != s or (self.expand.length[self.base :] != self.length).any():
             raise ValueError("damaged shard")
 
     def __len__(self) -> int:
