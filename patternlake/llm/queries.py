@@ -50,6 +50,19 @@ def op6(spark, sf_dir):
     return urls.judge(_table(spark, sf_dir, "pages"), RULES)
 
 
+def url_aliases(spark, sf_dir):
+    """op6 over the pages with canonical links and refreshes put in, as LINKED_SQL has them."""
+    pages = _table(spark, sf_dir, "pages")
+    html = """CASE CAST(page_id % 7 AS INT)
+      WHEN 0 THEN concat('<link rel="canonical" href="http://alias.example.org/', page_id div 21, '">')
+      WHEN 1 THEN concat('<meta http-equiv="refresh" content="0; url=//hop', page_id div 14, '.example.org/x?a=1&amp;b=2">')
+      WHEN 2 THEN concat('<link href=\\'http://hop', page_id div 14, '.example.org/x?a=1&b=2\\' rel=canonical><link rel="canonical" href="http://block', page_id % 3, '.net/">')
+      WHEN 3 THEN concat('<link rel="canonical" href="../up/./', page_id % 5, '"><link rel="canonical" href="http://www.example.net/en/', page_id div 70, '">')
+      WHEN 4 THEN concat('<!-- <link rel="canonical" href="http://x.net/"> --><link rel="canonical" href="?q=', page_id % 4, '">')
+      WHEN 5 THEN concat('<link rel="canonical" href="http://www.example.net/en/', page_id div 70, '">') ELSE html END"""
+    return urls.judge(pages.select("page_id", "url", F.expr(html).alias("html")), RULES)
+
+
 def op7(spark, sf_dir):
     return spencode.encode(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_arrays=False)
 
@@ -81,6 +94,7 @@ def queries() -> dict:
         "op4_simhash_neardup": op4,
         "op5_license_scan": op5,
         "op6_url_filter": op6,
+        "url_aliases": url_aliases,
         "op7_sentencepiece": op7,
         "op8_warc_archive": op8,
         "op9_token_shards": op9,
@@ -112,13 +126,28 @@ def _rule(what: int) -> str:
     return out
 
 
-_LINK = r"regexp_extract(regexp_extract(html, '(?is)<link\b([^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*)>', 1), '(?is)\bhref\s*=\s*[\"'']?([^\"''\s>]+)', 1)"
-_META = r"regexp_extract(regexp_extract(html, '(?is)<meta\b([^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*)>', 1), '(?is)\burl\s*=\s*[\"'']?([^\"''\s>]+)', 1)"
+_TAGS = f"""list_concat(
+ list_transform(regexp_extract_all(plain, '{urls.CANONICAL.replace("'", "''")}', 1), lambda t: trim(regexp_extract(t, '{urls.HREF.replace("'", "''")}', 1) || regexp_extract(t, '{urls.HREF.replace("'", "''")}', 2) || regexp_extract(t, '{urls.HREF.replace("'", "''")}', 3))),
+ list_transform(regexp_extract_all(plain, '{urls.REFRESH.replace("'", "''")}', 1), lambda t: regexp_extract(t, '{urls.REFRESH_URL.replace("'", "''")}', 1)))"""
+
+
+def _entities(x: str) -> str:
+    for entity, char in urls.ENTITIES.items():
+        x = f"replace({x}, '{entity}', '{char.replace("'", "''")}')"
+    return x
 
-OP6_SQL = f"""
-WITH RECURSIVE own AS (SELECT *, {_rule(0)} AS rule, {_rule(1)} AS own FROM (SELECT page_id, url, {_key('url')} AS node, {_split('url')} FROM pages)),
-hint AS (SELECT url, host, unnest([{_LINK}, {_META}]) AS dst FROM (SELECT url, html, {_split('url')} FROM pages) WHERE url IS NOT NULL AND html IS NOT NULL),
-link AS (SELECT url, CASE WHEN starts_with(dst, '//') THEN 'http:' || dst WHEN starts_with(dst, '/') THEN 'http://' || host || dst ELSE dst END AS dst FROM hint WHERE dst <> ''),
+
+def aliases_sql(pages: str) -> str:
+    """SQL of ``urls.judge`` over a table or subquery of (page_id, url, html)."""
+    return rf"""
+WITH RECURSIVE src AS (SELECT * FROM {pages}),
+own AS (SELECT *, {_rule(0)} AS rule, {_rule(1)} AS own FROM (SELECT page_id, url, {_key('url')} AS node, {_split('url')} FROM src)),
+hint AS (SELECT url, host, path, unnest({_TAGS}) AS raw FROM (SELECT url, regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g') AS plain, {_split('url')} FROM src WHERE url IS NOT NULL AND html IS NOT NULL)),
+dst AS (SELECT url, host, path, {_entities('raw')} AS dst FROM hint),
+cut AS (SELECT *, regexp_extract(dst, '(?s)^[^?#]*') AS bare, regexp_extract(dst, '(?s)^[^?#]*(.*)$', 1) AS rest, regexp_extract(path, '(?s)^(.*/)?', 1) AS folder FROM dst WHERE dst <> ''),
+steps AS (SELECT *, string_split(substr(CASE WHEN bare = '' THEN path WHEN starts_with(bare, '/') THEN bare ELSE CASE WHEN folder = '' THEN '/' ELSE folder END || bare END, 2), '/') AS s FROM cut),
+walked AS (SELECT *, list_reduce(list_prepend('', s), lambda a, x: CASE WHEN x = '.' THEN a WHEN x = '..' THEN regexp_replace(a, '/[^/]*\z', '') ELSE a || '/' || x END) || CASE WHEN s[-1] IN ('.', '..') THEN '/' ELSE '' END AS clean FROM steps),
+link AS (SELECT url, CASE WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN dst WHEN starts_with(dst, '//') THEN 'http:' || dst ELSE 'http://' || host || clean || rest END AS dst FROM walked),
 one AS (SELECT {_key('url')} AS a, {_key('dst')} AS b FROM link),
 edge AS (SELECT a, b FROM one WHERE a <> b UNION SELECT b, a FROM one WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM edge UNION SELECT r.node, e.b FROM reach r JOIN edge e ON r.other = e.a),
@@ -127,6 +156,17 @@ alias AS (SELECT node, min(other) AS alias_of, CASE WHEN bool_or(coalesce(own =
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(own, spread, 'allow') AS verdict, alias_of FROM own LEFT JOIN alias USING (node)
 """
 
+
+OP6_SQL = aliases_sql("pages")
+#: The pages with links of every kind put in: to the next page, to an allowed host, to a blocked one and to nowhere.
+LINKED_SQL = aliases_sql("""(SELECT page_id, url, CASE CAST(page_id % 7 AS INT)
+ WHEN 0 THEN '<link rel="canonical" href="http://alias.example.org/' || (page_id // 21) || '">'
+ WHEN 1 THEN '<meta http-equiv="refresh" content="0; url=//hop' || (page_id // 14) || '.example.org/x?a=1&amp;b=2">'
+ WHEN 2 THEN '<link href=''http://hop' || (page_id // 14) || '.example.org/x?a=1&b=2'' rel=canonical><link rel="canonical" href="http://block' || (page_id % 3) || '.net/">'
+ WHEN 3 THEN '<link rel="canonical" href="../up/./' || (page_id % 5) || '"><link rel="canonical" href="http://www.example.net/en/' || (page_id // 70) || '">'
+ WHEN 4 THEN '<!-- <link rel="canonical" href="http://x.net/"> --><link rel="canonical" href="?q=' || (page_id % 4) || '">'
+ WHEN 5 THEN '<link rel="canonical" href="http://www.example.net/en/' || (page_id // 70) || '">' ELSE html END AS html FROM pages)""")
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages)
 SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
@@ -139,4 +179,4 @@ FROM p WINDOW w AS (PARTITION BY hex)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op8_warc_archive": OP8_SQL}
+    return {"op6_url_filter": OP6_SQL, "url_aliases": LINKED_SQL, "op8_warc_archive": OP8_SQL}

@@ -56,16 +56,61 @@ def key(url: Column) -> Column:
     return F.when(url.rlike(r"(?s)^(?:(?!://).)*://[^/?#]"), F.concat(ascii_lower(host), tail))
 
 
+#: Entities that are read in link targets, the ampersand last.
+ENTITIES = {"&#38;": "&", "&#x26;": "&", "&#39;": "'", "&apos;": "'", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+CANONICAL = r"(?is)<link(\s[^>]*?\brel\s*=\s*(?:\"[^\">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*)>"
+HREF = r"(?is)(?:^|\s)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+REFRESH = r"(?is)<meta(\s[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b[^>]*)>"
+REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+
+
+def _href(tag: Column) -> Column:
+    return F.trim(F.concat(*[F.regexp_extract(tag, HREF, k) for k in (1, 2, 3)]))
+
+
+def targets(html: Column) -> Column:
+    """All targets of a page's canonical links and meta refreshes, as written but for entities; what stands in comments is no link."""
+    plain = F.regexp_replace(html, COMMENT, "")
+    links = F.transform(F.regexp_extract_all(plain, F.lit(CANONICAL), F.lit(1)), _href)
+    metas = F.transform(F.regexp_extract_all(plain, F.lit(REFRESH), F.lit(1)), lambda tag: F.regexp_extract(tag, REFRESH_URL, 1))
+
+    def read(x: Column) -> Column:
+        for entity, char in ENTITIES.items():
+            x = F.replace(x, F.lit(entity), F.lit(char))
+        return x
+
+    return F.filter(F.transform(F.concat(links, metas), read), lambda x: x != "")
+
+
+def resolve(host: Column, path: Column, to: Column) -> Column:
+    """``to`` as a whole url, seen from a page at host and path: with a scheme as it is, else from the page's scheme-less place, dot segments removed.
+
+    A target that is only a fragment is the page itself.
+    """
+    bare = F.regexp_extract(to, r"(?s)^[^?#]*", 0)
+    rest = F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)?", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    whole = F.when(bare == "", path).when(bare.startswith("/"), bare).otherwise(F.concat(folder, bare))
+    steps = F.split(F.substring(whole, 2, 1 << 30), "/")
+    last = F.element_at(steps, -1)
+    walked = F.aggregate(
+        steps,
+        F.lit(""),
+        lambda at, x: F.when(x == ".", at).when(x == "..", F.regexp_replace(at, r"/[^/]*\z", "")).otherwise(F.concat(at, F.lit("/"), x)),
+    )
+    clean = F.concat(walked, F.when(last.isin(".", ".."), "/").otherwise(""))
+    local = F.concat(F.lit("http://"), host, clean, rest)
+    return F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).otherwise(local)
+
+
 def page_edges(pages: DataFrame, path: str) -> DataFrame:
-    """(a, b) as nodes: from each page to where its canonical link or its meta refresh points. Links without a scheme and host are taken as the page's own."""
-    tag = F.regexp_extract("html", r"(?is)<link\b([^>]*\brel\s*=\s*[\"']?canonical\b[^>]*)>", 1)
-    canonical = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract("html", r"(?is)<meta\b([^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*)>", 1)
-    refresh = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    """(a, b) as nodes: from each page to wherever its canonical links and meta refreshes point, relative targets resolved as browsers do."""
     hinted = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|refresh"))
-    to = hinted.select("url", F.explode(F.array(canonical, refresh)).alias("to")).where("to != ''")
-    host, _ = parts(F.col("url"))
-    full = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host, F.col("to"))).otherwise(F.col("to"))
+    host, place = parts(F.col("url"))
+    to = hinted.select("url", host.alias("host"), place.alias("path"), F.explode(targets(F.col("html"))).alias("to"))
+    full = resolve(F.col("host"), F.col("path"), F.col("to"))
     return stash(to.select(key(F.col("url")).alias("a"), key(full).alias("b")), f"{path}/links").where("a is not null and b is not null and a != b")
 
 
@@ -73,7 +118,7 @@ def judge(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | None =
     """Judge every url of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, alias_of.
 
     A url's own longest rule decides. Without one, the url takes the decision of its aliases: the urls that
-    redirects (src, dst), canonical links and meta refreshes connect with it, over any number of steps. Among them an explicit
+    redirects (src, dst), canonical links and meta refreshes (all of a page, relative ones resolved) connect with it, over any number of steps. Among them an explicit
     allow goes before any block; with neither, and for null or malformed urls, the verdict is allow. alias_of
     is the smallest node of the component, null without links. Targets count even if no page has them.
     Repeated rows each return; other columns are ignored; null html has no links.
