@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +131,6 @@ class Encoder:
         across = any(MARK in p.piece.lstrip(MARK) for p in spec.pieces)
         self.wordwise = plain and self.byte and not across and not any(p.type == 4 for p in spec.pieces)  # 4: user defined
         self.size = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in spec.pieces], np.int32)  # 6: a byte
-        #: As size, with one byte for a space: what a piece takes of the source, but for the space put before a text.
-        self.source = np.array([1 if p.type == 6 else len(p.piece.replace(MARK, " ").encode()) for p in spec.pieces], np.int64)
         self.marked = np.array([p.piece.startswith(MARK) for p in spec.pieces], bool)
         self.decimal = [str(k) for k in range(len(spec.pieces))]
         self.words: dict[str, bytes] = {}
@@ -153,34 +152,36 @@ class Encoder:
         return [np.frombuffer(b"".join([words[w] for w in parts]), np.int32) if p else np.array(next(whole), np.int32) for parts, p in zip(split, plain)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encode words together, as one text: a word begins with the one piece that has a space mark."""
+        """Encode words together, as one text: a word begins with the one piece that has a space mark. Where that does not part them, each goes alone."""
         for k in range(0, len(new), 512):
             some = new[k : k + 512]
             ids = np.array(self.lib.encode(" ".join(some)), np.int32)
             cut = [*np.flatnonzero(self.marked[ids]).tolist(), len(ids)]
             if len(cut) != len(some) + 1:
-                raise ValueError("the vocabulary does not keep words apart")
+                self.words.update(zip(some, [np.array(x, np.int32).tobytes() for x in self.lib.encode(some, num_threads=1)]))
+                continue
             for w, i, j in zip(some, cut, cut[1:]):
                 self.words[w] = ids[i:j].tobytes()
 
     def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
         """(pieces, 2): begin and end in the text's UTF-8 of each piece of ``ids``.
 
-        Pieces lie one after the other in the normalised text; an unknown piece takes what lies before the next.
+        The text is normalised with its alignment; pieces lie one after the other in the normalised text and are projected
+        to the source. Should they not add up to it, the library's own offsets are taken.
         """
-        if self.wordwise and MARK not in text:  # only spaces change: what lies before a piece is known from its pieces
-            end = np.cumsum(self.source[ids]) - 1
-            return np.column_stack([np.maximum(end - self.source[ids], 0), end]) if len(ids) else np.empty((0, 2), np.int64)
+        if not len(ids):
+            return np.empty((0, 2), np.int64)
         normal, source = self.normal(text.encode())
         size = self.size[ids]
-        unk = ids == self.lib.unk_id()
-        if unk.any():
+        if not self.byte and (ids == self.lib.unk_id()).any():
             size = self._unknown(text, ids, len(normal))
         end = np.cumsum(size)
-        if len(end) and end[-1] != len(normal):
-            raise ValueError("pieces do not cover the normalised text")
-        begin = end - size
-        return np.column_stack([source[begin], source[end]]) if len(ids) else np.empty((0, 2), np.int64)
+        if end[-1] != len(normal):
+            return self._library_spans(text)
+        return np.column_stack([source[end - size], source[end]])
+
+    def _library_spans(self, text: str) -> np.ndarray:
+        return np.array([[p.begin, p.end] for p in self.lib.encode(text, return_type="proto").pieces], np.int64).reshape(-1, 2)
 
     def _unknown(self, text: str, ids: np.ndarray, total: int) -> np.ndarray:
         got = self.lib.encode(text, out_type=str)  # an unknown piece is returned as its text
@@ -210,9 +211,10 @@ def encoder(model_file: str) -> Encoder:
 def encode(docs: DataFrame, model_file: str, with_arrays: bool = True) -> DataFrame:
     """Encode and decode each text of ``docs`` (doc_id, text); null counts as the empty text, which has no ids.
 
-    Returns doc_id, n_tokens, ids_sha256, decoded_sha256, covered (every source byte lies in a piece's span, in order) and, with
+    Returns doc_id, n_tokens, ids_sha256, decoded_sha256, covered (every source byte lies in a piece's span, in order), offsets_crc32 (of all
+    begins, then all ends, as little-endian 64-bit integers) and, with
     ``with_arrays``, ids, begins and ends (UTF-8 offsets of each piece in the source) and decoded. Texts are
-    never cut; repeated rows each return; other columns are ignored. ``model_file`` must exist on executors.
+    never cut; an empty table gives an empty result; repeated rows each return; other columns are ignored. ``model_file`` must exist on executors.
     """
 
     def run(batches):
@@ -224,14 +226,14 @@ def encode(docs: DataFrame, model_file: str, with_arrays: bool = True) -> DataFr
                 covered = bool(not len(spans) or (spans[0, 0] == 0 and spans[-1, 1] == len(text.encode()) and (spans[1:, 0] <= spans[:-1, 1]).all()))
                 listed = ids.tolist()
                 decoded = e.decode(listed)
-                row = [len(listed), hashlib.sha256(",".join([e.decimal[k] for k in listed]).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest(), covered]
+                row = [len(listed), hashlib.sha256(",".join([e.decimal[k] for k in listed]).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest(), covered, zlib.crc32(spans.T.astype("<i8").tobytes())]
                 rows.append(row + [listed, spans[:, 0], spans[:, 1], decoded] if with_arrays else row)
             cols = [b.column(0)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered boolean"
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered", "offsets_crc32"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered boolean, offsets_crc32 long"
     if with_arrays:
         names += ["ids", "begins", "ends", "decoded"]
         kinds += [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
