@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +100,8 @@ def anchors(numbers: np.ndarray, sizes: np.ndarray, passage: int) -> tuple[np.nd
     return at, np.stack([both[0][at], both[1][at]], axis=1)
 
 
+#: Repeating spans that a task remembers; beyond them each batch sends its first.
+HOT = 100_000
 #: Added to first and end of a span that counts words and not sentences.
 WORD = 1 << 30
 
@@ -123,18 +126,43 @@ def passages(texts: list[str | None], passage: int, words: int, known: dict[str,
     return marks, owner, first, end
 
 
+def repeats_first(m: np.ndarray, rid: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows at the same place as the first of their hash: the same document's row again."""
+    new = np.r_[True, (m[1:] != m[:-1]).any(axis=1)]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))
+    return (rid == rid[head]) & (first == first[head])
+
+
 def repeated(docs: DataFrame, least: int = 2, words: int = 12, passage: int = 0) -> DataFrame:
     """(doc_id, rid, first, end): every span of sentences that is not the first of its kind; with ``passage`` also spans of words, from WORD on.
 
     The first is the one with the smallest (doc_id, rid, first), null ids before all; rid is a hash of doc_id and text,
-    so rows that are the same in both count as one document. A task keeps only the
-    first of each hash of a batch for the join of all; others are known to repeat. So a span that a third of all rows
-    share reaches the join once for each batch. What reaches it is read in order, never gathered.
+    so rows that are the same in both count as one document; doc_id may be of any type that sorts. A task keeps only the
+    first of each hash of a batch for the join of all, and of hashes that repeated in a batch only what comes before all it sent; others are known to repeat.
+    So a span that a third of all rows share reaches the join about once for each task. What reaches it is read in order, never gathered.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def after_hot(known, m, ids, rid, first, order, hot):
+        """Mark in ``known`` also what follows a span that this task sent before; spans that repeat within a batch are remembered."""
+        place = lambda k: ((x := ids[int(order[k])].as_py()) is not None, x, int(rid[order[k]]), int(first[order[k]]))
+        begins = np.flatnonzero(~known)
+        repeats = begins[np.r_[known[1:], False][begins]]
+        if hot:
+            for k, x in zip(begins.tolist(), map(tuple, m[begins].tolist())):
+                if x in hot:
+                    if hot[x] < place(k):
+                        known[k] = True
+                    else:
+                        hot[x] = place(k)
+        if len(hot) < HOT:
+            for k, x in zip(repeats.tolist(), map(tuple, m[repeats].tolist())):
+                if x not in hot:
+                    hot[x] = place(k)
+
     def cut(batches):
         known_words: dict[str, int] = {}
+        hot: dict[tuple, tuple] = {}
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
@@ -155,22 +183,26 @@ def repeated(docs: DataFrame, least: int = 2, words: int = 12, passage: int = 0)
                 owner, first, end = np.array(owner), np.array(first, np.int32), np.array(end, np.int32)
                 ids = part.column(0).take(pa.array(owner))
                 rid = part.column(1).to_numpy(zero_copy_only=False)[owner]
-                key = np.nan_to_num(ids.to_numpy(zero_copy_only=False).astype(float), nan=-np.inf) if ids.null_count else ids.to_numpy(zero_copy_only=False)
+                key = pc.rank(part.column(0), null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)[owner]
                 order = np.lexsort((first, rid, key, mark[:, 1], mark[:, 0]))
                 m = mark[order]
-                known = np.r_[False, (m[1:] == m[:-1]).all(axis=1)]
+                known = np.r_[False, (m[1:] == m[:-1]).all(axis=1)] & ~repeats_first(m, rid[order], first[order])
+                after_hot(known, m, ids, rid, first, order, hot)
                 yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(m[:, 0]), pa.array(m[:, 1]), ids.take(pa.array(order)), pa.array(rid[order]), pa.array(first[order]), pa.array(end[order])], names)
 
     def later(batches):
-        """Of rows in order of hash and place, those that follow one of their hash, and those known to."""
-        before = None
+        """Of rows in order of hash and place, those that follow one of their hash at another place, and those known to."""
+        before = (None,) * 5
         for b in batches:
             if not b.num_rows:
                 continue
-            known, x, y = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
-            same = np.r_[before == (x[0], y[0], bool(known[0])), (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (known[1:] == known[:-1])]
-            before = (x[-1], y[-1], bool(known[-1]))
-            hit = pa.array(known | same)
+            known, x, y, rid, first = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4, 5))
+            same = np.r_[before[:3] == (x[0], y[0], bool(known[0])), (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (known[1:] == known[:-1])]
+            head = np.maximum.accumulate(np.where(same, -1, np.arange(len(x))))  # -1: the run began in an earlier batch
+            own = np.where(head < 0, (rid == before[3]) & (first == before[4]), (rid == rid[head]) & (first == first[head]))
+            h = head[-1]
+            before = (x[-1], y[-1], bool(known[-1]), *(before[3:] if h < 0 else (rid[h], first[h])))
+            hit = pa.array(known | (same & ~own))
             yield pa.RecordBatch.from_arrays([b.column(k).filter(hit) for k in (3, 4, 5, 6)], names[3:])
 
     names = ["known", "x", "y", "doc_id", "rid", "first", "end"]
