@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from math import ceil
 
 import numpy as np
@@ -16,14 +17,16 @@ from patternlake.llm.common import partitions, shared_dir, stash
 HALF = 32
 #: Slots of the corpus-wide document frequencies.
 SLOTS = 1 << 17
-#: A word in this many passages or fewer is never too common.
-RARE = 200
-#: Rows of the random sketch.
-SKETCH = 256
+#: Passages that every corpus is taken to have besides its own when the share of passages with a word is estimated.
+PRIOR = 4000
 
 
 class Words:
-    """Texts as 32-bit hashes of words, in bytes: lower case, without marks at either end; what has only marks is no word."""
+    """Texts as 32-bit hashes of words, in bytes: lower case, without marks at either end; what has only marks is no word.
+
+    Words with equal hashes count as one word. Of an item's words and a passage's some 10,000 pairs meet, so about one
+    passage in 400,000 has one word too many in common with an item.
+    """
 
     def __init__(self, keep: int = 800_000):
         self.known: dict[str, bytes] = {}
@@ -74,8 +77,13 @@ def _halves(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, first[row] + HALF * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
 
 
+def _merged(words: DataFrame) -> DataFrame:
+    """``words`` with some splits read by one task, so that the vectors that tasks add up to number as the cores, not as the splits."""
+    return words.coalesce(4 * words.sparkSession.sparkContext.defaultParallelism)
+
+
 def _sums(df: DataFrame, size: int, kind) -> np.ndarray:
-    """Add up rows (k, v): v is a vector in bytes; per k on the executors. Returns (k, size)."""
+    """Add up rows (k, v): v is a vector in bytes; per k on the executors, first in groups. Returns (k, size)."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -85,7 +93,10 @@ def _sums(df: DataFrame, size: int, kind) -> np.ndarray:
                 total[k] = total[k] + v if k in total else v
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["k", "v"])
 
-    rows = df.repartition(min(16, partitions(df.sparkSession)), "k").mapInArrow(add, "k long, v binary").collect()  # one row for each k
+    n, groups = partitions(df.sparkSession), max(1, round(df.sparkSession.sparkContext.defaultParallelism ** 0.5))
+    if groups > 4:  # a tree of two levels
+        df = df.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(n, "k", "g").select("k", "v").mapInArrow(add, "k long, v binary")
+    rows = df.repartition(n, "k").mapInArrow(add, "k long, v binary").collect()  # one row for each k
     out = np.zeros((max((r["k"] for r in rows), default=-1) + 1, size), kind)
     for r in rows:
         out[r["k"]] = np.frombuffer(r["v"], kind)
@@ -112,7 +123,7 @@ def frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
         v = [total[k * width : (k + 1) * width].tobytes() for k in range(16)] + [np.full(width, n).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array(range(17), pa.int64()), pa.array(v, pa.binary())], ["k", "v"])
 
-    got = _sums(words.mapInArrow(count, "k long, v binary"), width, np.int64)
+    got = _sums(_merged(words).mapInArrow(count, "k long, v binary"), width, np.int64)
     return (got[:16].ravel(), int(got[16, 0])) if len(got) else (np.zeros(SLOTS, np.int64), 0)
 
 
@@ -177,7 +188,7 @@ class Block:
         q = self.query()
         both = np.vstack([sketch * (np.linalg.norm(q) / max(float(np.linalg.norm(sketch)), 1e-9)), q]).astype(np.float32)
         values, left = np.linalg.eigh(both @ both.T)
-        top = np.argsort(-values)[: min(rank, max(64, len(self.parts)))]
+        top = np.argsort(-values)[: min(rank, 64 + len(self.parts))]
         top = top[values[top] > max(values.max(), 0) * 1e-7]
         basis = both.T @ (left[:, top] / np.sqrt(values[top]))
         self.weighted = (basis * self.idf[self.vocab % SLOTS][:, None]).astype(np.float32)
@@ -185,8 +196,8 @@ class Block:
         self.latent = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)
 
 
-def sketch(words: DataFrame, block: Block) -> np.ndarray:
-    """A random sketch of all TF-IDF passages over the block's vocabulary: every passage is added, with a random sign, to one of SKETCH rows.
+def sketch(words: DataFrame, block: Block, size: int) -> np.ndarray:
+    """A random sketch of all TF-IDF passages over the block's vocabulary: every passage is added, with a random sign, to one of ``size`` rows.
 
     Its singular vectors approximate those of the whole matrix, in one pass whose result has a fixed size.
     """
@@ -194,7 +205,7 @@ def sketch(words: DataFrame, block: Block) -> np.ndarray:
 
     def run(batches):
         m = shipped.value
-        total = np.zeros(SKETCH * width)
+        total = np.zeros(size * width)
         for b in batches:
             w, sizes = _rows(b, 1)
             if not len(w):
@@ -205,13 +216,13 @@ def sketch(words: DataFrame, block: Block) -> np.ndarray:
             part = np.searchsorted(begin, at, "right") - 1
             # a passage's row and sign come from its words, so they are the same on every run
             mix = np.bitwise_xor.reduceat(w, begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            to = (mix >> np.uint64(40)).astype(np.int64) % SKETCH
+            to = (mix >> np.uint64(40)).astype(np.int64) % size
             sign = 1 - 2 * (mix >> np.uint64(63)).astype(np.int64)
-            total += np.bincount(to[part] * width + k, (m.idf[w[at] % SLOTS] * sign[part] / norm[part]), minlength=SKETCH * width)
-        v = total.astype(np.float32).reshape(SKETCH, width)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH), pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["k", "v"])
+            total += np.bincount(to[part] * width + k, (m.idf[w[at] % SLOTS] * sign[part] / norm[part]), minlength=size * width)
+        v = total.astype(np.float32).reshape(size, width)
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["k", "v"])
 
-    got = _sums(words.mapInArrow(run, "k long, v binary"), width, np.float32)
+    got = _sums(_merged(words).mapInArrow(run, "k long, v binary"), width, np.float32)
     return got if len(got) else np.zeros((1, width), np.float32)
 
 
@@ -229,13 +240,24 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def at_most(times: dict[int, int], region: list[int], need: float) -> bool:
+    """Whether ``region`` holds ``need`` of an item's words, each as often as it has it at most: a bound of their common subsequence."""
+    left = dict(times)
+    n = 0
+    for x in region:
+        if left.get(x):
+            left[x] -= 1
+            n += 1
+    return n >= need
+
+
 def search(words: DataFrame, block: Block, near: float, loose: float, answer: float) -> DataFrame:
     """(doc_id, item, cosine, lcs, answer, start) of every pair that passes the checks; all passages against all items of the block."""
     shipped = words.sparkSession.sparkContext.broadcast(block)
 
     def run(batches):
         m = shipped.value
-        sets = [set(x.tolist()) for x in m.words]
+        times = [Counter(x.tolist()) for x in m.words]
         for b in batches:
             for k in range(0, b.num_rows, 400):
                 part = b.slice(k, 400)
@@ -247,7 +269,7 @@ def search(words: DataFrame, block: Block, near: float, loose: float, answer: fl
                         first = int(sizes[:row].sum()) if row else 0
                         lo, hi = max(first, start - size), min(first + int(sizes[row]), start + 2 * HALF + size)
                         region = w[lo:hi]
-                        if len(sets[item].intersection(region.tolist())) < loose * len(sets[item]):
+                        if not at_most(times[item], region.tolist(), loose * size):
                             continue
                         share = common(x, region) / size
                         if share < loose:
@@ -331,13 +353,14 @@ def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0
     """Documents that hold a benchmark item: (doc_id, item_id, cosine, lcs, answer, start), one row per pair.
 
     Passages of 64 words, one beginning every 32, are compared with all items, cut likewise, in a latent space: TF-IDF with
-    frequencies of the whole corpus, reduced by a distributed randomised SVD; words in over ``max_df`` of all
-    passages, and in over 200, have no weight there, but for the eight rarest of each item. Above ``floor`` (less for items of
+    frequencies of the whole corpus, reduced by a distributed randomised SVD; words whose share of passages, estimated as df / (passages + 4000),
+    is over ``max_df`` have no weight there, but for the eight rarest of each passage of an item. Above ``floor`` (less for items of
     under 16 words) the item's longest common subsequence with the passage and its surroundings decides: at
     least ``near`` of the item's words, or ``loose`` and ``answer`` of the words of its last sentence. start is the passage's first word.
 
     Items are taken in blocks of ``block_items``, and of twice as many passages, so what is broadcast is bounded. Texts are compared whole.
-    Null or empty texts and items without words match nothing. Repeated rows each return; null ids are kept.
+    An item with more passages than that is a block of its own. Null or empty texts and items without words match nothing. Repeated rows each return, as do
+    items that repeat under other ids; null ids are kept. Other columns are ignored.
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -360,8 +383,8 @@ def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0
         rows = bench.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)).select("item_id", "text").distinct().collect()
         items = [(r["item_id"], of(r["text"]), answer_of(r["text"], of)) for r in sorted(rows, key=lambda r: (str(r["item_id"]), r["text"]))]
         for some in bounded([x for x in items if len(x[1])], 2 * block_items):
-            block = Block(some, idf, floor, (df > max_df * passages) & (df > RARE))
-            block.fit(sketch(words, block), rank)
+            block = Block(some, idf, floor, df > max_df * (passages + PRIOR))
+            block.fit(sketch(words, block, min(rank, 64 + len(block.parts))), rank)
             names = spark.createDataFrame([(i, x[0]) for i, x in enumerate(some)], f"item long, item_id {item_kind}")
             found = search(words, block, near, loose, answer)
             out = out.union(found.join(F.broadcast(names), "item").select("doc_id", "item_id", "cosine", "lcs", "answer", "start"))
