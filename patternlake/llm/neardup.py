@@ -17,13 +17,16 @@ BLOCK = 1024
 
 
 def vectors_of(table: DataFrame) -> DataFrame:
-    """(rid, grp, low, n, vec): each distinct usable vector of a label. low: smallest vec_id; n: how many rows have it."""
+    """(rid, grp, label, dim, low, n, e): each distinct usable vector of a label. low: smallest vec_id; n: how many rows have it.
+
+    rid numbers the vectors: it holds for the table that is written from this, not for a second evaluation.
+    """
     fine = F.col("embedding").isNotNull() & F.col("label").isNotNull()
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     rows = table.where(fine).where(finite & some).select("vec_id", "label", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))).alias("e"))
     same = rows.groupBy("label", "e").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
-    return same.select(F.xxhash64("label", "e").alias("rid"), F.xxhash64("label", F.size("e")).alias("grp"), "label", F.size("e").alias("dim"), "low", "n", "e")
+    return same.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64("label", F.size("e")).alias("grp"), "label", F.size("e").alias("dim"), "low", "n", "e")
 
 
 def _unit(rows) -> np.ndarray:
@@ -60,22 +63,48 @@ def _runs(b, k):
             yield b.slice(s, e - s)
 
 
-def _nearest(rid: np.ndarray, x: np.ndarray, k: int, floor: float):
-    """Each row's ``k`` nearest among ``x`` with at least ``floor``, as (u, v, cosine)."""
+def _nearest(rid: np.ndarray, x: np.ndarray, k: int, floor: float, link: float):
+    """Each row's ``k`` nearest among ``x`` with at least ``floor``, as (u, v, cosine).
+
+    Where a row has more links than that (``link`` and over), pairs that connect all that is linked here are added, at most one for each row.
+    """
     s = x @ x.T
     np.fill_diagonal(s, -2)
-    kth = np.partition(s, -k, axis=1)[:, -k] if len(s) > k else np.full(len(s), -2.0)
-    u, v = np.nonzero((s >= np.maximum(kth, floor)[:, None]))
+    k = min(k, len(s) - 1)
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    u, v = np.repeat(np.arange(len(s)), k), near.ravel()
+    fine = s[u, v] >= floor
+    u, v = u[fine], v[fine]
+    hit = s >= link
+    if hit.sum(axis=1).max() > k:
+        a, b = _forest(hit)
+        u, v = np.r_[u, a], np.r_[v, b]
     return rid[u], rid[v], s[u, v]
 
 
+def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect each component of a symmetric matrix of links."""
+    left, a, b = np.ones(len(hit), bool), [], []
+    for i in range(len(hit)):
+        todo = [i] if left[i] else []
+        left[i] = False
+        while todo:
+            u = todo.pop()
+            near = np.flatnonzero(hit[u] & left)
+            left[near] = False
+            a += [u] * len(near)
+            b += near.tolist()
+            todo += near.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _edges(found) -> pa.RecordBatch:
     u, v, c = (np.concatenate(x) for x in zip(*found))
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(c, pa.float64())], ["u", "v", "c"])
 
 
-def _compare(rows: DataFrame, k: int, floor: float) -> DataFrame:
-    """(u, v, c) of the nearest within each run of ``key`` of rows (key, rid, e)."""
+def _compare(rows: DataFrame, k: int, floor: float, link: float) -> DataFrame:
+    """(u, v, c) of the nearest within each run of ``key`` of rows (key, rid, e, place), 256 by place at a time."""
 
     def run(batches):
         found, held = [], 0
@@ -84,7 +113,7 @@ def _compare(rows: DataFrame, k: int, floor: float) -> DataFrame:
                 part = b.slice(s, 256)
                 if part.num_rows > 1:
                     x = _unit(_matrix(part.column(2)))
-                    found.append(_nearest(part.column(1).to_numpy(zero_copy_only=False), x, k, floor))
+                    found.append(_nearest(part.column(1).to_numpy(zero_copy_only=False), x, k, floor, link))
                     held += len(found[-1][0])
             if held > 50_000:
                 yield _edges(found)
@@ -93,10 +122,10 @@ def _compare(rows: DataFrame, k: int, floor: float) -> DataFrame:
             yield _edges(found)
 
     n = partitions(rows.sparkSession)
-    return rows.select("key", "rid", "e", "place").repartition(n, "key").sortWithinPartitions("key", "place").select("key", "rid", "e").mapInArrow(run, "u long, v long, c double")
+    return rows.select("key", "rid", "e", "place").repartition(n, "key").sortWithinPartitions("key", "place", "rid").select("key", "rid", "e").mapInArrow(run, "u long, v long, c double")
 
 
-def start(vecs: DataFrame, trees: int, leaf: int, k: int, floor: float, seed: int) -> DataFrame:
+def start(vecs: DataFrame, trees: int, leaf: int, k: int, floor: float, seed: int, link: float = 2.0) -> DataFrame:
     """First neighbour lists: cells of random hyperplanes, as many as give about ``leaf`` vectors each, over ``trees`` draws."""
     size = vecs.groupBy("grp").agg(F.count("*").alias("in_grp"))
     rows = vecs.join(size, "grp").select("rid", "grp", "dim", F.greatest(F.lit(0), F.ceil(F.log2(F.col("in_grp") / leaf))).cast("int").alias("bits"), "e")
@@ -122,22 +151,27 @@ def start(vecs: DataFrame, trees: int, leaf: int, k: int, floor: float, seed: in
     coded = rows.mapInArrow(cells, "key long, rid long, e array<double>, place double")
     hot = coded.groupBy("key").agg(F.count("*").alias("m")).where(f"m > {4 * BLOCK}")
     salted = coded.join(hot, "key", "left").withColumn("key", F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("rid", "key", F.lit(seed)), F.ceil(F.col("m") / BLOCK)))))
-    return _compare(salted, k, floor)
+    return _compare(salted, k, floor, link)
 
 
-def lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The ``k`` best neighbours of each vector; a list that is full of links is enlarged fourfold."""
+def lists(edges: DataFrame, k: int, threshold: float, room: int) -> DataFrame:
+    """The ``k`` best neighbours of each vector; a list that is full of links is enlarged to ``room`` of them."""
     both = edges.select("u", "v", "c").union(edges.select("v", "u", "c")).groupBy("u", "v").agg(F.max("c").alias("c"))
     w = Window.partitionBy("u").orderBy(F.desc("c"), "v")
-    return both.withColumn("r", F.row_number().over(w)).where((F.col("r") <= 4 * k) & ((F.col("r") <= k) | (F.col("c") >= threshold))).drop("r")
+    return both.withColumn("r", F.row_number().over(w)).where((F.col("r") <= room) & ((F.col("r") <= k) | (F.col("c") >= threshold))).drop("r")
 
 
-def refine(graph: DataFrame, vecs: DataFrame, k: int, floor: float, salt: int = 0) -> DataFrame:
+def refine(graph: DataFrame, vecs: DataFrame, k: int, floor: float, link: float, salt: int = 0) -> DataFrame:
     """One round: the neighbours of each vector, in either direction, are compared with each other; long lists are parted anew for each ``salt``."""
     near = graph.select(F.col("u").alias("w"), F.col("v").alias("rid")).union(graph.select(F.col("v"), F.col("u"))).union(graph.select("u", "u")).distinct()
     size = near.groupBy("w").agg(F.count("*").alias("m"))
     near = near.join(size, "w").where("m > 2").select("rid", F.xxhash64("w", F.pmod(F.xxhash64("rid", "w", F.lit(salt)), F.ceil(F.col("m") / 128))).alias("key"))
-    return _compare(near.join(vecs.select("rid", "e"), "rid").withColumn("place", F.col("rid").cast("double")), k, floor)
+    return _compare(near.join(vecs.select("rid", "e"), "rid").withColumn("place", F.col("rid").cast("double")), k, floor, link)
+
+
+def _blocks(n) -> F.Column:
+    """Into how many blocks a group of ``n`` rows is cut: of at most BLOCK rows, and a group of over 128 into up to twelve even so, to spread it."""
+    return F.greatest(F.ceil(n / BLOCK), F.least(F.ceil(n / 128), F.lit(12))).cast("int")
 
 
 def count_links(member: DataFrame, threshold: float) -> DataFrame:
@@ -145,7 +179,7 @@ def count_links(member: DataFrame, threshold: float) -> DataFrame:
 
     Every pair of a component is looked at, in blocks; what leaves a block is a count for each vector.
     """
-    size = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    size = member.groupBy("root").agg(_blocks(F.count("*")).alias("nb"))
     rows = member.join(size, "root").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
     rows = rows.select("rid", "root", "n", "e", "own", pair.alias("p")).select(F.xxhash64("root", "p.i", "p.j").alias("key"), "rid", "n", "e", (F.col("own") == F.col("p.i")).alias("left"), (F.col("p.i") == F.col("p.j")).alias("same"))
@@ -180,7 +214,7 @@ def audit(vecs: DataFrame, roots: DataFrame, threshold: float, sample: int = 256
     """
     full = vecs.select("rid", "grp", "e").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     size = vecs.groupBy("grp").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("nb"))
-    drawn = F.row_number().over(Window.partitionBy("grp").orderBy("rid")) <= sample  # hashes: as good as drawn
+    drawn = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("rid"), "rid")) <= sample  # as good as drawn
     some = vecs.select("grp", "rid").withColumn("in", drawn).where("in").drop("in")
     some = full.join(some.select("rid"), "rid").join(size, "grp").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("asks", F.lit(True))
     rows = full.join(size, "grp").withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int")).withColumn("asks", F.lit(False))
@@ -217,7 +251,7 @@ def _joins(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int
 
 def exact_joins(vecs: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """(u, v): pairs of roots whose components a link joins, from every pair of ``vecs`` of one label, in pairs of blocks."""
-    size = vecs.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    size = vecs.groupBy("grp").agg(_blocks(F.count("*")).alias("nb"))
     rows = vecs.select("rid", "grp", "e").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")).join(size, "grp")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
@@ -246,30 +280,34 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tree
 
     Vectors of one label (and one length) link at a cosine of ``threshold``, in double precision. Equal vectors stand for each other.
     NN-descent finds the graph: lists from random cells, then neighbours of neighbours until a round
-    finds no new link. Links join components; within a component every pair is
+    finds no new link; lists that are full of links double, up to eight times ``k``. All links found join components, also those that no list has room for; within a component every pair is
     counted exactly, so a full list loses nothing. Recall is audited against brute force for up to 256 vectors
     of each label, as the mean of their shares; while a label is below ``recall`` the search goes on from new cells,
     up to ``attempts``. Then each label of which a drawn vector still lacks a link is compared whole, in pairs of blocks.
 
     Null labels and vectors that are null, empty, zero or not finite in a place link with nothing: n_links 0 and
-    their own component. Repeated rows link with each other. A null vec_id is kept, and never smallest.
+    their own component. Repeated rows link with each other. A null vec_id returns its row, is never smallest and never kept.
     """
     spark, path = table.sparkSession, shared_dir(table.sparkSession)
     vecs = stash(vectors_of(table), f"{path}/vecs")
-    edges = None
+    edges = sure = None
+
+    def add(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        new = stash(found, f"{path}/{name}")
+        links = new.where(F.col("c") >= threshold).select("u", "v")
+        return (new, links) if edges is None else (edges.unionByName(new), sure.unionByName(links))
+
     for attempt in range(attempts):
-        new = stash(start(vecs, trees, leaf, k, floor, attempt), f"{path}/start{attempt}")
-        edges = new if edges is None else edges.union(new)
+        edges, sure = add(start(vecs, trees, leaf, k, floor, attempt, threshold), f"start{attempt}")
         linked = -1
         for r in count():
-            graph = stash(lists(edges, k, threshold), f"{path}/lists{attempt}.{r}")
+            graph = stash(lists(edges, k, threshold, k << min(r + 1, 3)), f"{path}/lists{attempt}.{r}")
             now = graph.where(F.col("c") >= threshold).count()
             if now <= linked:  # grows, and not without end: lists are bounded
                 break
-            linked = now
-            found = refine(graph, vecs, k, floor, 1000 * attempt + r)
-            edges = stash(graph.unionByName(found).where("u < v").groupBy("u", "v").agg(F.max("c").alias("c")), f"{path}/edges{attempt}.{r}")
-        sure = edges.where(F.col("c") >= threshold)
+            linked = max(now, linked)
+            edges = graph
+            edges, sure = add(refine(graph, vecs, k, floor, threshold, 1000 * attempt + r), f"found{attempt}.{r}")
         roots = components(sure, f"{path}/cc{attempt}", "u", "v").toDF("rid", "root")
         short = stash(audit(vecs, roots, threshold).where("low < 1"), f"{path}/short{attempt}")
         if not short.where(F.col("share") < recall).limit(1).count():
@@ -283,9 +321,10 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tree
     counts = count_links(member, threshold)
     info = vecs.select("rid", "label", "e", "low", "n").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     lowest = info.groupBy("root").agg(F.min("low").alias("component_id"))
-    per = stash(info.join(lowest, "root").join(counts, "rid", "left").select("rid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), f"{path}/per")
-    usable = F.col("label").isNotNull() & F.col("embedding").isNotNull()
-    rows = table.select("vec_id", F.when(usable, F.xxhash64("label", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))))).alias("rid"))
-    out = rows.join(per, "rid", "left")
+    per = info.join(lowest, "root").join(counts, "rid", "left").select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    per = stash(per.withColumn("h", F.xxhash64("label", "e")), f"{path}/per")
+    same = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))
+    rows = table.select("vec_id", "label", same.alias("e")).withColumn("h", F.xxhash64("label", "e"))
+    out = rows.join(per, ["h", "label", "e"], "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
