@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, tau: int = 4, width: int = 4, segments: int
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows with equal fingerprints
     belong together; component_id is the smallest doc_id reachable over links of at most ``tau`` bits, null
-    only if every doc_id of the component is null. Repeated rows each return. Other columns are ignored;
+    only if every doc_id of the component is null. kept: doc_id is component_id; never for a null doc_id. Repeated rows each return. Other columns are ignored;
     an empty table gives an empty result.
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -189,4 +189,4 @@ def near_duplicates(docs: DataFrame, tau: int = 4, width: int = 4, segments: int
     member = stash(member, f"{path}/member")
     lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
     of = member.join(lowest, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
