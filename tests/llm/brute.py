@@ -1,12 +1,12 @@
 """Plain versions of the operators, to compare results with."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
 
-from patternlake.llm import decontam, licenses
+from patternlake.llm import licenses
 
 
 def groups(nodes, linked):
@@ -42,6 +42,12 @@ def simhash(docs, tau=4):
 
 def spans(docs, least=2, words=12):
     """{doc_id: text left}"""
+    gone, parts = spans_gone(docs, least, words, True)
+    return {i: "".join(s + g for k, (s, g) in enumerate(p) if k not in gone[i]) for i, p in parts.items()}
+
+
+def spans_gone(docs, least=2, words=12, with_parts=False):
+    """{doc_id: numbers of the sentences that go}"""
     cut = re.compile(r"(?<=[.!?])\s+|\n+")
     first, runs, parts = {}, [], {}
     for i, text in sorted(docs):
@@ -64,7 +70,7 @@ def spans(docs, least=2, words=12):
     for key, i, a, b in runs:
         if first[key] != (i, a):
             gone[i].update(range(a, b))
-    return {i: "".join(s + g for k, (s, g) in enumerate(p) if k not in gone[i]) for i, p in parts.items()}
+    return (gone, parts) if with_parts else gone
 
 
 def lcs(a, b):
@@ -77,16 +83,26 @@ def lcs(a, b):
     return row[-1]
 
 
+def plain_words(text):
+    """Lower-case words without marks at either end."""
+    found = (re.sub(r"^(?:\W|_)+|(?:\W|_)+$", "", c) for c in (text or "").lower().split())
+    return [w for w in found if w]
+
+
 def leaks(docs, bench, near=0.8, loose=0.6, answer=0.8):
-    """{(doc_id, item_id)}: every passage against every item, without a candidate search."""
-    of, found = decontam.Words(), set()
-    items = [(i, of(t).tolist(), decontam.answer_of(t, of).tolist()) for i, t in bench if t and len(of(t))]
+    """{(doc_id, item_id)}: every passage (64 words from every 32nd, and as many more around it as the item has) against every item."""
+    items = []
+    for i, t in bench:
+        if x := plain_words(t):
+            last = [w for s in re.split(r"(?<=[.!?])\s+|\n+", t) if len(w := plain_words(s)) >= 3]
+            items.append((i, x, Counter(x), last[-1] if last else x))
+    found = set()
     for d, text in docs:
-        w = of(text).tolist()
-        for at in range(0, len(w), decontam.HALF):
-            for i, x, told in items:
-                region = w[max(0, at - len(x)) : at + 2 * decontam.HALF + len(x)]
-                if (d, i) in found or len(set(x) & set(region)) < loose * len(set(x)):
+        w = plain_words(text)
+        for at in range(0, len(w), 32):
+            for i, x, times, told in items:
+                region = w[max(0, at - len(x)) : at + 64 + len(x)]
+                if (d, i) in found or (times & Counter(region)).total() < loose * len(x):  # no common subsequence is longer
                     continue
                 share = lcs(x, region) / len(x)
                 if share >= near or (share >= loose and lcs(told, region) / max(1, len(told)) >= answer):
@@ -117,3 +133,119 @@ def licensing(text):
     hits = [(k, label) for p, label in licenses.BASE.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
     at = [k for k, _ in hits]
     return len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in hits}))
+
+
+def _regions(markup):
+    """A template as nested lists: words, ("any", n), ("optional", [...])."""
+    stack = [[]]
+    for t in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", markup):
+        if t == "[[":
+            stack.append([])
+        elif t == "]]":
+            inner = stack.pop()
+            stack[-1].append(("optional", inner))
+        elif t[:2] == "{{":
+            stack[-1].append(("any", int(t[2:-2])))
+        else:
+            stack[-1] += re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    return stack[0]
+
+
+def _ends(parts, words, starts):
+    """All places where ``parts`` may end that begin at one of ``starts``."""
+    for x in parts:
+        if isinstance(x, str):
+            starts = {k + 1 for k in starts if k < len(words) and words[k] == x}
+        elif x[0] == "any":
+            starts = {k + j for k in starts for j in range(x[1] + 1) if k + j <= len(words)}
+        else:
+            starts = starts | _ends(x[1], words, starts)
+        if not starts:
+            return starts
+    return starts
+
+
+def license_labels(text, templates):
+    """(labels, score, matches): every template at every word."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    labels, covered, n = set(), set(), 0
+    for p, label in licenses.BASE.items():
+        for k in range(len(words)):
+            if words[k : k + len(p.split())] == p.split():
+                labels.add(label)
+                covered |= set(range(k, k + len(p.split())))
+    for label, markup in templates:
+        parts = _regions(markup)
+        for k in range(len(words)):
+            if words[k] == parts[0] or not isinstance(parts[0], str):
+                if ends := _ends(parts, words, {k}):
+                    labels.add(label)
+                    covered |= set(range(k, max(ends)))
+                    n += 1
+    return ",".join(sorted(labels)), len(covered) / len(words) if words else 0.0, n
+
+
+def language(text, samples):
+    """(lang, score) by greedy parsing of the letters into longest pieces that stand in a sample."""
+
+    def letters(t):
+        t = "".join(c if c.isalpha() else " " for c in (t or "").lower())
+        return re.sub(" +", " ", t).lstrip(" ")
+
+    x = letters(text)
+    if not x.strip():
+        return "und", 0.0
+    cost = {}
+    for lang, sample in samples.items():
+        s, n = letters(sample), 0
+        for k in range(0, len(x), 1024):
+            part, at = x[k : k + 1024], 0
+            while at < len(part):
+                size = 1
+                while at + size < len(part) and part[at : at + size + 1] in s:
+                    size += 1
+                at, n = at + size, n + 1
+        cost[lang] = n * np.log2(max(2, len(s)))
+    best = min(sorted(cost), key=lambda k: cost[k])
+    rest = [c for k, c in cost.items() if k != best]
+    return best, (min(rest) - cost[best]) / min(rest) if rest else 1.0
+
+
+def passages(docs, passage=51, words=12):
+    """{doc_id: words that go}: of the runs of half a passage that any passage holds the one with the least hash, where it is not the first; and repeated texts of one sentence."""
+    mask, width = (1 << 64) - 1, (passage + 1) // 2
+    first, gone = {}, defaultdict(set)
+
+    def mixed(numbers, base):
+        h = sum(x * pow(base, k, 1 << 64) for k, x in enumerate(numbers)) & mask
+        h = ((h ^ h >> 31) * 0xD6E8FEB86659FD93) & mask
+        return h ^ h >> 29
+
+    for i, text in sorted(docs):
+        w = (text or "").lower().split()
+        numbers = [xxhash.xxh3_64_intdigest(x.encode()) for x in w]
+        runs = [mixed(numbers[k : k + width], 0x9E3779B97F4A7C15) for k in range(len(w) - width + 1)]
+        at = {min(range(k, k + passage - width + 1), key=lambda j: (runs[j], j)) for k in range(len(w) - passage + 1)}
+        spans = [((tuple(w[k : k + width])), k, k + width) for k in sorted(at)]
+        if len(w) >= words and not re.search(r"(?<=[.!?])\s+|\n+", text.strip()):
+            spans.append((("whole", *w), 0, len(w)))
+        for key, a, e in spans:
+            if first.setdefault(key, (i, a)) != (i, a):
+                gone[i].update(range(a, e))
+    return gone
+
+
+def dedup(docs, passage=51):
+    """{doc_id: text left} by sentence runs and passages together."""
+    sentences, words = spans_gone(docs, with_parts=True), passages(docs, passage)
+    out = {}
+    for i, text in docs:
+        gone, parts = sentences[0][i], sentences[1][i]
+        keep = [k not in gone for k, (s, g) in enumerate(parts) for _ in s + g]
+        if text and len(gone) < len(parts):
+            begins = [m.start() for m in re.finditer(r"\S+", text)] + [len(text)]
+            for k in words[i]:
+                keep[begins[k] : begins[k + 1]] = [False] * (begins[k + 1] - begins[k])
+        out[i] = "".join(c for c, k in zip(text or "", keep) if k)
+    return out

@@ -75,7 +75,7 @@ def test_links_of_dense_group(spark, monkeypatch, segments):
 def test_simhash_ids(spark):
     df = spark.createDataFrame([(None, "same words in here"), (None, "quite other words"), (5, "same words in here"), (5, "same words in here")], DOCS)
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in simhash.near_duplicates(df).collect()), key=repr)
-    assert got == sorted([(None, 5, None), (None, None, None), (5, 5, True), (5, 5, True)], key=repr)
+    assert got == sorted([(None, 5, False), (None, None, False), (5, 5, True), (5, 5, True)], key=repr)
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
 
@@ -123,7 +123,7 @@ def test_embeddings_of_floats_repeats_and_null_ids(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [2.0, 0.01], 1), (4, [0.0, 1.0], 1)]
     df = spark.createDataFrame([(*r, "e") for r in rows], "vec_id long, embedding array<float>, label int, rid string")
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()), key=repr)
-    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, None), (4, 0, 4, True)], key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (4, 0, 4, True)], key=repr)
 
 
 def test_embedding_recall_on_table(spark):
@@ -138,7 +138,7 @@ def test_embedding_recall_on_table(spark):
 def test_embeddings_where_the_search_finds_no_link(spark, monkeypatch):
     """Whatever the search misses, labels that the audit finds short are compared whole."""
     monkeypatch.setattr(neardup, "BLOCK", 32)
-    monkeypatch.setattr(neardup, "_nearest", lambda rid, x, k, floor: (rid[:0], rid[:0], np.empty(0)))
+    monkeypatch.setattr(neardup, "_nearest", lambda rid, *more: (rid[:0], rid[:0], np.empty(0)))
     rng = np.random.default_rng(9)
     cone = rng.normal(size=8)
     rows = [(k, (cone + rng.normal(size=8) * 0.12).tolist(), 0) for k in range(150)] + [(200 + k, rng.normal(size=8).tolist(), 1) for k in range(40)]
@@ -147,6 +147,16 @@ def test_embeddings_where_the_search_finds_no_link(spark, monkeypatch):
     assert got == want and max(n for n, _ in want.values()) > 10
 
 
+def test_equal_cosines_give_no_more_than_k():
+    """A slice of vectors that are all as near to each other: k for each, and pairs that join them all."""
+    x = np.full((256, 3), 1.0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u, v, _ = neardup._nearest(np.arange(256), x, 10, 0.7, 0.98)
+    assert len(u) <= 256 * 11 and set(groups(range(256), list(zip(u.tolist(), v.tolist()))).values()) == {0}
+    u, v, _ = neardup._nearest(np.arange(256), x, 10, 0.7, 2.0)
+    assert len(u) == 2560
+
+
 def test_hot_cells_are_parted_anew(spark, monkeypatch):
     """One cone in one cell of every tree: the pairs that are compared differ from draw to draw."""
     monkeypatch.setattr(neardup, "BLOCK", 8)

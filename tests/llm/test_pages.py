@@ -96,12 +96,72 @@ def test_archive_least_and_odd_rows(spark):
     assert warc.archive(df.limit(0)).collect() == []
 
 
+def test_payloads_are_stored_once(spark, tmp_path):
+    """Null and repeated ids with one payload: one stored row for each distinct payload, headers apart, and every record rebuilt."""
+    rows = [(None, "a", "same"), (None, "b", "same"), (None, None, "same"), (3, "c", "other"), (3, "c", "other"), (4, "d", "same")]
+    path = f"file://{tmp_path}/once"
+    warc.write_archive(spark.createDataFrame(rows, PAGES), path)
+    stored = spark.read.parquet(f"{path}/payloads").collect()
+    assert sorted(bytes(r["payload"]) for r in stored) == [b"other", b"same"] and all(hashlib.sha256(r["payload"]).digest() == bytes(r["address"]) for r in stored)
+    assert spark.read.parquet(f"{path}/headers").columns == ["page_id", "header", "address"]
+    assert warc.records(spark, path).count() == warc.summary(spark, path).count() == len(rows)
+
+
+@pytest.mark.parametrize("text", ["", "a", "é" * 1000, "\x00\r\n"])
+def test_digests(spark, text):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(text,)], "t string").select(warc.base32_sha1(F.col("t").cast("binary"))).first()[0]
+    assert got == base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
+
+
 def test_damage_is_found(spark, tmp_path):
     from pyspark.sql import functions as F
 
     path = f"file://{tmp_path}/b"
     warc.write_archive(spark.createDataFrame([(1, "u", "good")], PAGES), path)
-    bad = spark.read.parquet(f"{path}/records").withColumn("payload", F.lit(b"evil"))
-    bad.write.parquet(f"file://{tmp_path}/c/records")
+    good = {t: spark.read.parquet(f"{path}/{t}") for t in ("headers", "payloads")}
+
+    def spoiled(name, **changed):
+        for t, df in good.items():
+            (df.withColumns(changed) if set(changed) & set(df.columns) else df).write.parquet(f"file://{tmp_path}/{name}/{t}")
+        return f"file://{tmp_path}/{name}"
+
     with pytest.raises(Exception, match="damaged payload"):
-        warc.records(spark, f"file://{tmp_path}/c").collect()
+        warc.records(spark, spoiled("c", payload=F.lit(b"evil"))).collect()
+    for k, (old, new) in enumerate((("sha1:", "sha1:A"), ("Length: 4", "Length: 5"))):
+        with pytest.raises(Exception, match="damaged record"):
+            warc.summary(spark, spoiled(f"d{k}", header=F.replace(F.col("header").cast("string"), F.lit(old), F.lit(new)).cast("binary"))).collect()
+
+
+RELATIVE = [
+    (1, "http://m.example.com/dir/x", '<link rel="canonical" href="y.html">'),  # http://m.example.com/dir/y.html is blocked by its own alias
+    (2, "http://m.example.com/dir/y.html", '<link rel=stylesheet href="z.css"><link title="t" rel=\'nofollow canonical\' href=\'http://b.net/\'>'),
+    (3, "http://n.example.com/a/b/c?old=1", '<META http-equiv="Refresh" content="3; URL=../up/./d?x=1&amp;y=2">'),
+    (4, "http://n.example.com/a/up/d?x=1&y=2", LINK.format("http://c.net/")),
+    (5, "http://o.example.com/p/q", LINK.format("?id=3")),
+    (6, "http://o.example.com/p/q?id=3", LINK.format("https://D.net")),
+    (7, "http://p.example.com", "<!-- " + LINK.format("http://e.net/") + " -->"),  # a comment is no link
+    (8, "http://q.example.com/1", LINK.format("http://plain.example.com/") + LINK.format("http://f.net/")),  # both links count
+    (9, "http://r.example.com/1", LINK.format("#top") + LINK.format("mailto:x@g.net") + "<!-- open " + LINK.format("http://h.net/")),
+    (10, "http://s.example.com/a/", LINK.format("../../../t")),
+    (11, "http://s.example.com/t", LINK.format("http://i.net/")),
+]
+
+
+def test_links_of_every_kind(spark):
+    rows = spark.createDataFrame(RELATIVE, PAGES)
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(rows, queries.RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "block", 9: "allow", 10: "block", 11: "block"}
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(RELATIVE, columns=["page_id", "url", "html"]))
+    cur = con.execute(queries.OP6_SQL)
+    cols = [c[0] for c in cur.description]
+    assert sorted((tuple(r[c] for c in cols) for r in urls.judge(rows, queries.RULES).collect()), key=repr) == sorted(cur.fetchall(), key=repr)
+
+
+def test_native_plans(spark, pages):
+    """No Python worker on the way of the url filter and the archive."""
+    for df in (urls.judge(pages, queries.RULES), warc.archive(pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan

@@ -3,7 +3,7 @@
 import hashlib
 
 import public_tokenizers
-from brute import leaks, simhash, spans
+from brute import dedup, leaks, simhash
 
 import corpus_pipeline
 
@@ -17,8 +17,8 @@ def test_stages(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     left = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t)]
-    left = [(i, t) for i, t in left if simhash(left)[i][1] == i] if not left else [(i, dict(left)[i]) for i, (_, c) in simhash(left).items() if c == i]
-    new = spans(left)
+    left = [(i, dict(left)[i]) for i, (_, c) in simhash(left).items() if c == i]
+    new = dedup(left)
     left = [(i, new[i]) for i, t in left if new[i] == t or new[i].strip()]
     gone = {d for d, _ in leaks(left, bench)}
     left = [(i, t) for i, t in left if i not in gone]
@@ -35,7 +35,7 @@ def test_stages_with_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, SF)
         assert docs.columns == corpus_pipeline.COLUMNS
-    assert [r["doc_id"] for r in docs.collect()] == [1]
+    assert sorted((r["doc_id"] for r in docs.collect()), key=repr) == [1, None]
     empty = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).collect() == []

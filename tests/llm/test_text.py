@@ -1,13 +1,14 @@
 """Decontamination, language ID, license scans, encoders and token files."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 from brute import leaks as plain_leaks
-from brute import lcs, licensing
+from brute import language, lcs, license_labels, licensing
 from pyspark.sql import functions as F
 
 from patternlake.llm import decontam, langid, licenses, spencode, tokenbin
@@ -56,6 +57,27 @@ def test_paraphrases_and_answers(spark):
     assert decontam.leaks(d.limit(0), b).collect() == [] and decontam.leaks(d, b.limit(0)).collect() == []
 
 
+def test_repeated_words_and_planted_paraphrases(spark):
+    """What decides is the subsequence: words that repeat count as often as they stand, and replaced words are borne up to the limit."""
+    rng = np.random.default_rng(11)
+    noise = lambda n: [f"v{rng.integers(60 if common else 3000)}" for common in rng.random(n) < 0.35]
+    bench = [(0, " ".join(["ja"] * 44 + [f"u{k}" for k in range(8)]))] + [(k, " ".join(noise(20 + k)) + ". " + " ".join(noise(6)) + ".") for k in range(1, 40)]
+    docs = [(0, " ".join(noise(50) + ["ja"] * 46 + noise(50)))]
+    for k, (_, text) in enumerate(bench[1:], 1):
+        w = text.split()
+        for share in (0.1, 0.18, 0.3, 0.45):
+            kept = [x if rng.random() > share else f"r{rng.integers(9999)}" for x in w]
+            docs.append((len(docs), " ".join(noise(int(rng.integers(0, 200))) + kept + noise(40))))
+    docs += [(1000, docs[1][1]), (1000, docs[1][1]), (None, docs[1][1]), (1001, "v1 " * 30_000 + bench[5][1])]
+    found = decontam.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).select("doc_id", "item_id").collect()
+    want = plain_leaks(docs, bench)
+    got = {tuple(r) for r in found}
+    assert (0, 0) in got and (1001, 5) in got and len(want) > 60
+    # brute force also takes regions that barely touch the copy, where chance words of the text before complete an answer
+    assert got <= want and len(want - got) <= 0.05 * len(want)
+    assert len([r for r in found if r["doc_id"] == 1000]) == 2 * len({r["item_id"] for r in found if r["doc_id"] == 1000})
+
+
 def test_copies_of_long_items(spark):
     """Items of many passages are found wherever a copy stands, and no less than without a candidate search."""
     rng = np.random.default_rng(3)
@@ -113,6 +135,27 @@ def test_phrases_like_greedy_parse():
             assert got[t, j] == greedy(x, langid.symbols([samples[lang]], look)[0].tolist()), (text, lang)
 
 
+def test_predictions_like_greedy_parse():
+    """Choice and score over several scripts, with more letters than the table has columns."""
+    rng = np.random.default_rng(5)
+    word = lambda base, n, k: " ".join("".join(chr(base + int(x)) for x in rng.zipf(1.4, 5) % n) for _ in range(k))
+    samples = {"zh": word(0x4E00, 900, 300), "ru": word(0x430, 32, 300), "en": word(97, 26, 300), "ja": word(0x3041, 80, 300), "de": word(97, 24, 200) + " äöü ß"}
+    m = langid.Model(samples)
+    assert len(m.classes) > langid.COLUMNS and m.rare is not None
+    texts = [t[:200] for t in samples.values()] + [samples["zh"][:50] + samples["ru"][:80], "龘龘 ab", "", None, "12", "ß", samples["en"] * 2, " a "]
+    for text, (lang, score) in zip(texts, langid.predict(texts, m, m.lookup())):
+        want = language(text, samples)
+        assert lang == want[0] and abs(score - want[1]) < 1e-12, text
+    alike = langid.Model({"b": "same words", "a": "same words"})
+    assert langid.predict(["same words"], alike, alike.lookup()) == [("a", 0.0)]
+
+
+def test_repeated_rows_of_a_language(spark):
+    rows = [(1, "the cat sat on the mat", "en")] * 3 + [(2, "le chat est sur la table", "fr")]
+    df = spark.createDataFrame(rows, DOCS + ", lang string")
+    assert sorted(r["lang_pred"] for r in langid.identify(df, langid.train(df)).collect()) == ["en", "en", "en", "fr"]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs, langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id")
@@ -166,6 +209,39 @@ def test_templates(text, labels):
     assert licenses.Scanner(licenses.BASE, licenses.TEMPLATES).scan(text)[5] == labels
 
 
+ALL = [(label, m) for some in (licenses.TEMPLATES, licenses.NOTICES) for label, ms in some.items() for m in ms]
+
+
+def filled(markup, optional):
+    """A text of the template, with or without its optional regions."""
+    t = re.sub(r"\{\{\d+\}\}", "Jane", markup)
+    while "[[" in t:
+        t = re.sub(r"\[\[([^\[\]]*)\]\]", r"\1" if optional else "", t)
+    return t
+
+
+def test_notices_like_brute_force():
+    """Whole notices with and without optional regions, broken ones, and notices one after the other."""
+    s, texts = licenses.Scanner(licenses.BASE, licenses.TEMPLATES, licenses.NOTICES), [None, "", "x", "cc by all rights reserved"]
+    for label, m in ALL:
+        for optional in (False, True):
+            t = filled(m, optional)
+            w = t.split()
+            assert label in s.scan(f"Before. {t} After.")[5].split(",")
+            texts += [t, " ".join([*w[: len(w) // 2], "changed", *w[len(w) // 2 :]]), " ".join(w[:-1]), f"{t} {t}", t.upper()]
+    for t in texts:
+        assert s.scan(t)[5:] == license_labels(t, ALL), t
+
+
+def test_scan_like_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lines = [filled(m, k % 2) for k, (_, m) in enumerate(ALL)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(None, lines[0]), (None, lines[0]), (-1, " ".join(lines))]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], DOCS + ", labels string")
+    got = sorted(((r["doc_id"], r["labels"], r["score"], r["n_templates"]) for r in licenses.scan(df).collect()), key=repr)
+    assert got == sorted(((i, *license_labels(t, ALL)) for i, t in rows), key=repr)
+
+
 def test_template_markup():
     t = licenses.Template("x", "a [[b [[c]]]] {{2}} d")
     assert [t.match(s.split(), 0) for s in ("a d", "a b d", "a b c d", "a c d", "a q r d", "a q r s d", "a b q r d e", "a")] == [2, 3, 4, 3, 4, -1, 5, -1]
@@ -205,6 +281,30 @@ def test_spans_hold_the_pieces():
         assert b"".join(raw[a:b] for a, b in s.tolist()) == raw
 
 
+def test_offsets_like_library(spark, tmp_path):
+    """Offsets of a model without and of one with a character map."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+    import sentencepiece
+
+    m = pb.ModelProto.FromString(open(PIECES, "rb").read())
+    rules = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    m.normalizer_spec.precompiled_charsmap = pb.ModelProto.FromString(rules.serialized_model_proto()).normalizer_spec.precompiled_charsmap
+    m.normalizer_spec.remove_extra_whitespaces = True
+    mapped = tmp_path / "mapped.model"
+    mapped.write_bytes(m.SerializeToString())
+    real = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    for file in (PIECES, str(mapped)):
+        e = spencode.Encoder(file)
+        assert bool(e.normal.map.list) == (file != PIECES)
+        for text in [t for t in ODD if t] + ["ＡＢＣ　x", "①ﬁ  Å", " ab  c ", "㍿ Ⅷ"] + [t for t in real if t]:
+            ids = e.ids(text)
+            assert ids.tolist() == e.lib.encode(text)
+            if not any(p.type == 6 for p in (m.pieces[i] for i in ids)):  # the library gives a character's bytes to the last of its byte pieces
+                assert e.spans(text, ids).tolist() == e._library_spans(text).tolist()
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "")], DOCS)
+    assert sorted(r["n_tokens"] for r in spencode.encode(df, PIECES).collect()) == [0, 2, 2] and spencode.encode(df.limit(0), PIECES).collect() == []
+
+
 def test_character_map_like_library():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -247,6 +347,27 @@ def test_grammar_round_trip():
         tokenbin.Shard(b"nothing at all, and long enough to be read")
 
 
+def test_no_pair_is_left():
+    """Re-Pair goes on until no pair occurs twice within documents, runs of one symbol and long repeats included."""
+    rng = np.random.default_rng(3)
+    text = rng.zipf(1.5, 4000) % 280
+    docs = [text, text, text[100:900], np.full(3001, 7), np.arange(200) % 2, rng.zipf(1.3, 9000) % 280, np.array([], int), np.array([5])]
+    ids, sizes = np.concatenate(docs).astype(np.uint32), np.array([len(x) for x in docs])
+    for least in (2, 5):
+        seq, count, rules = tokenbin.compress(ids, sizes, 300, least)
+        pairs = {}
+        for part in np.split(seq, np.cumsum(count)[:-1]):
+            part, at = part.tolist(), 0
+            while at + 1 < len(part):
+                p = (part[at], part[at + 1])
+                pairs[p] = pairs.get(p, 0) + 1
+                at += 2 if len(part) > at + 2 and part[at] == part[at + 1] == part[at + 2] else 1
+        assert max(pairs.values(), default=0) < least
+        assert (tokenbin.Expansion(rules, 300)(seq) == ids).all() and count[6] == 0
+        s = tokenbin.Shard(tokenbin.pack(ids, sizes, 300, least))
+        assert all((s.document(k) == x).all() for k, x in enumerate(docs))
+
+
 def test_token_files(spark):
     texts = ODD + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
     df = spark.createDataFrame([(10 * k, t, k) for k, t in enumerate(texts)], DOCS + ", start int")
