@@ -43,9 +43,29 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, which the cluster shares; a temporary folder only where that is unset (local sessions)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/patternlake-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below ``spark.checkpoint.dir``, which the cluster shares.
+
+    Only a local session may do without that setting: it gets a temporary folder. ``clear_shared`` removes what was given out.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/patternlake-shared"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    given = getattr(spark.sparkContext, "_patternlake_paths", [])
+    spark.sparkContext._patternlake_paths = [*given, path]
+    return path
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete the tables of intermediate steps that this context wrote; results that are still to be read from them must be written before. Returns how many."""
+    sc, n = spark.sparkContext, 0
+    for path in getattr(sc, "_patternlake_paths", []):
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True))
+    sc._patternlake_paths = []
+    return n
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
