@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patternlake.session import shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is missing (a local session, as in tests) is a temporary folder used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/patternlake-shared"
-    return f"{base.rstrip('/')}/patternlake-{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share; see session.shared_path."""
+    return shared_path(spark, "corpus")
 
 
 def stash(df: DataFrame, path: str) -> DataFrame:
