@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,15 @@ def _settle(edges: Column) -> Column:
     return F.when(F.size(e) < 2, F.array(e[0] - 0.5, e[0] + 0.5)).otherwise(e)
 
 
+#: Accuracy of the first look at a channel's quantiles, and how many values between two bounds are taken to the driver to end the search.
+SKETCH, HELD = 10_000, 100_000
+
+
 def quantile_edges(col: str, bins: int = 3, accuracy: int | None = None) -> Column:
     """Aggregate: edges of equal-frequency bins, nulls left out.
 
-    Exact by default (linear interpolation); that keeps a count of every distinct value in one place, so for
-    channels with unbounded distinct values pass ``accuracy`` and take the mergeable sketch instead.
+    Exact by default (linear interpolation); that keeps a count of every distinct value of a group in one place. For
+    a whole table ``exact_edges`` needs no such place; ``accuracy`` takes the mergeable sketch instead.
     """
     value = F.col(col).cast("double")
     if accuracy is None:
@@ -28,6 +34,72 @@ def quantile_edges(col: str, bins: int = 3, accuracy: int | None = None) -> Colu
     return _settle(F.percentile_approx(value, quantile_points(bins), accuracy))
 
 
+def exact_edges(df: DataFrame, channels: list[str], bins: int = 3) -> dict[str, list[float] | None]:
+    """Exact quantile edges (linear interpolation) of whole channels, nulls and NaN left out; None for a channel without values.
+
+    A mergeable sketch bounds each wanted rank by two values; one more pass counts what lies outside and takes what lies between.
+    On tables so large that this would be too much the bounds are narrowed by further sketches first. No task ever holds more than a
+    sketch or HELD values, and rows are never shuffled.
+    """
+    x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in channels}
+    inner = quantile_points(bins)[1:-1]
+    near = sorted({min(1.0, max(0.0, p + d / SKETCH)) for p in inner for d in (-3, 3)})
+    looks = [F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile_approx(v, near, SKETCH).alias("at")).alias(c) for c, v in x.items()]
+    seen = df.agg(*looks).first()
+    bounds: dict[tuple[str, float], tuple[float, float]] = {}
+    for c in channels:
+        if seen[c]["n"]:
+            for p in inner:
+                few = seen[c]["n"] <= SKETCH  # of so few values all are taken
+                below = [v for q, v in zip(near, seen[c]["at"]) if q < p and not few]
+                above = [v for q, v in zip(near, seen[c]["at"]) if q > p and not few]
+                bounds[c, p] = (max(below, default=seen[c]["low"]), min(above, default=seen[c]["high"]))
+    while wide := [k for k in bounds if 6 * seen[k[0]]["n"] / SKETCH > HELD]:
+        counts = _between(df, x, {k: bounds[k] for k in wide}, lambda v, lo, hi: F.count(F.when((v > lo) & (v < hi), v)))
+        wide = [k for k in wide if counts[k]["inside"] > max(HELD, SKETCH)]
+        if not wide:
+            break
+        share = {k: (k[1] * (seen[k[0]]["n"] - 1) - counts[k]["below"]) / counts[k]["inside"] for k in wide}
+        row = df.agg(*[F.percentile_approx(F.when((x[c] > bounds[c, p][0]) & (x[c] < bounds[c, p][1]), x[c]), [min(1.0, max(0.0, share[c, p] + d / SKETCH)) for d in (-3, 3)], SKETCH).alias(f"b{k}") for k, (c, p) in enumerate(wide)]).first()
+        bounds |= {key: tuple(row[f"b{k}"]) for k, key in enumerate(wide)}
+    held = _between(df, x, bounds, lambda v, lo, hi: F.sort_array(F.collect_list(F.when((v > lo) & (v < hi), v)))) if bounds else {}
+    out: dict[str, list[float] | None] = {}
+    for c in channels:
+        if not seen[c]["n"]:
+            out[c] = None
+            continue
+        edges = [seen[c]["low"]]
+        for p in inner:
+            at = p * (seen[c]["n"] - 1)
+            low, high = (_ranked(held[c, p], bounds[c, p], r) for r in (floor(at), ceil(at)))
+            edges.append(low if low == high else (ceil(at) - at) * low + (at - floor(at)) * high)
+        edges = list(dict.fromkeys([*edges, seen[c]["high"]]))
+        out[c] = edges if len(edges) > 1 else [edges[0] - 0.5, edges[0] + 0.5]
+    return out
+
+
+def _between(df: DataFrame, x: dict[str, Column], bounds: dict, inside) -> dict:
+    """For each bound (low, high) of a channel: how many values lie at or below low and at high, and ``inside`` of those between."""
+    cols = []
+    for k, ((c, _), (lo, hi)) in enumerate(bounds.items()):
+        v = x[c]
+        cols.append(F.struct(F.count(F.when(v < lo, 1)).alias("less"), F.count(F.when(v <= lo, 1)).alias("below"), F.count(F.when(v == hi, 1)).alias("top"), inside(v, lo, hi).alias("inside")).alias(f"b{k}"))
+    row = df.agg(*cols).first()
+    return {key: row[f"b{k}"] for k, key in enumerate(bounds)}
+
+
+def _ranked(counts, bound: tuple[float, float], rank: int) -> float:
+    """The value of a rank (from 0) that lies within ``bound``."""
+    if counts["less"] <= rank < counts["below"]:
+        return bound[0]
+    rank -= counts["below"]
+    if 0 <= rank < len(counts["inside"]):
+        return counts["inside"][rank]
+    if 0 <= rank - len(counts["inside"]) < counts["top"] and bound[1] > bound[0]:
+        return bound[1]
+    raise ValueError("the sketch missed a quantile by more than its accuracy")
+
+
 def equal_width_edges(col: str, bins: int = 3) -> Column:
     """Aggregate: edges of bins of equal width from the smallest to the largest value."""
     low, high = F.min(F.col(col).cast("double")), F.max(F.col(col).cast("double"))
@@ -41,6 +113,16 @@ def bin_index(value: Column, edges: Column) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.lit(0), F.least(F.size(edges) - 2, below)))
 
 
+def fixed_bin(value: Column, edges: list[float] | None) -> Column:
+    """bin_index for edges that are known: how many inner edges the value reaches, as comparisons that are compiled."""
+    if edges is None:
+        return F.lit(None).cast("int")
+    state = F.lit(0)
+    for e in edges[1:-1]:
+        state = state + (value >= F.lit(e)).cast("int")
+    return F.when(value.isNotNull() & ~F.isnan(value), state)
+
+
 def item(name: str, state: Column) -> Column:
     """``name=state``, null for a null state; a unit in brackets at the end of a name is dropped."""
     short = name.split(" [")[0]
@@ -53,17 +135,22 @@ def itemize(items: list[Column]) -> Column:
 
 
 def fit_edges(df: DataFrame, channels: list[str], bins: int = 3, method: str = "quantile", by: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
-    """One row (per group of ``by``): for each channel an array of edges, in one aggregate over the table."""
+    """One row (per group of ``by``): for each channel an array of edges. Exact quantiles of a whole table are found in two passes; see exact_edges."""
+    if method == "quantile" and not by and accuracy is None:
+        found = exact_edges(df, channels, bins)
+        return df.sparkSession.createDataFrame([tuple(found[c] for c in channels)], ", ".join(f"`{c}` array<double>" for c in channels))
     make = (lambda c: quantile_edges(c, bins, accuracy)) if method == "quantile" else (lambda c: equal_width_edges(c, bins))
     return df.groupBy(*(by or [])).agg(*[make(c).alias(c) for c in channels])
 
 
 def with_states(df: DataFrame, edges: DataFrame, channels: list[str], by: list[str] | None = None) -> DataFrame:
     """Replace each channel by its state. ``edges`` is one row, or one for each group of ``by``."""
-    named = edges.select(*(by or []), *[F.col(c).alias(f"__edges_{c}") for c in channels])
-    joined = df.join(named, by) if by else df.crossJoin(F.broadcast(named))  # one row
+    if not by:
+        row = edges.select(*channels).first()
+        return df.withColumns({c: fixed_bin(F.col(c).cast("double"), row[c]) for c in channels})
+    named = edges.select(*by, *[F.col(c).alias(f"__edges_{c}") for c in channels])
     states = {c: bin_index(F.col(c).cast("double"), F.col(f"__edges_{c}")) for c in channels}
-    return joined.withColumns(states).drop(*[f"__edges_{c}" for c in channels])
+    return df.join(named, by).withColumns(states).drop(*[f"__edges_{c}" for c in channels])
 
 
 def select_channels(df: DataFrame, channels: list[str], quantile: float = 0.4, most: int = 25) -> DataFrame:

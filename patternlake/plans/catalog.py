@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternlake.functions import features, stats, text
-from patternlake.functions.states import bin_index, fit_edges, select_channels
+from patternlake.functions.states import fit_edges, select_channels, with_states
 from patternlake.operators import anytime, evaluation, itemsets, online, scoring, transactions, windows
 from patternlake.plans import frames as f
 from patternlake.session import cut, shared_path
@@ -54,8 +54,8 @@ def channel_select_variance(spark, d):
 def empty_bins(spark, d):
     """Equal-width bins that hold no row, per channel."""
     e = fit_edges(f.table(spark, d, "lineitem"), f.ROW_CHANNELS, method="width")
-    rows = f.table(spark, d, "lineitem").select(*f.ROW_CHANNELS).crossJoin(F.broadcast(e.select(*[F.col(c).alias(f"e_{c}") for c in f.ROW_CHANNELS])))
-    used = rows.agg(*[F.countDistinct(bin_index(F.col(c), F.col(f"e_{c}"))).alias(c) for c in f.ROW_CHANNELS])
+    states = with_states(f.table(spark, d, "lineitem").select(*f.ROW_CHANNELS), e, f.ROW_CHANNELS)
+    used = states.agg(*[F.count_distinct(c).alias(c) for c in f.ROW_CHANNELS])
     return used.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("used"), (F.lit(3) - F.col(c)).alias("empty")) for c in f.ROW_CHANNELS])).alias("x")).select("x.*")
 
 
@@ -441,8 +441,7 @@ def online_vs_offline(spark, d):
     s = f.series(spark, d)
     on = _online("textbook")(spark, d).withColumnRenamed("value", "state").select("user_id", "win", "state")
     medians = windows.count_windows(s, ["user_id"], ["ts", "event_id"], 20, 10, [F.median("value").alias("value")])
-    edges = fit_edges(s, ["value"]).withColumnRenamed("value", "e")
-    off = medians.crossJoin(F.broadcast(edges)).select("user_id", "win", bin_index(F.col("value"), F.col("e")).alias("state"))
+    off = with_states(medians, fit_edges(s, ["value"]), ["value"]).withColumnRenamed("value", "state")
     return evaluation.agreement(windows.segments(off, ["user_id"], "win"), on, ["user_id", "win"], "state", ["segment"])
 
 

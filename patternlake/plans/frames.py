@@ -28,20 +28,25 @@ def row_states(spark, sf_dir) -> DataFrame:
     return with_states(rows, row_edges(spark, sf_dir), ROW_CHANNELS)
 
 
-def row_transactions(spark, sf_dir, flag: bool = True) -> DataFrame:
-    """(items, label, cls): a row is a transaction of its states and its line status, with its return flag as item unless that is the label."""
+def _row_groups(spark, sf_dir, flag: bool) -> DataFrame:
+    """(items, label, cls, weight): a row is a transaction of its states and its line status, with its return flag as item unless that is the label.
+
+    Rows are counted by their states first, which are numbers; items are made for the groups only.
+    """
+    keys = [*ROW_CHANNELS, "l_linestatus", "l_returnflag"]
+    groups = row_states(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("weight"))
     states = [item(c, F.col(c)) for c in ROW_CHANNELS] + [item("status", F.col("l_linestatus"))] + ([item("flag", F.col("l_returnflag"))] if flag else [])
-    return row_states(spark, sf_dir).select(itemize(states).alias("items"), (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_returnflag").alias("cls"))
+    return groups.select(itemize(states).alias("items"), (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_returnflag").alias("cls"), "weight")
 
 
 def row_weights(spark, sf_dir) -> DataFrame:
     """Distinct row transactions with their number."""
-    return row_transactions(spark, sf_dir).groupBy("items").agg(F.count("*").alias("weight"))
+    return _row_groups(spark, sf_dir, True).groupBy("items").agg(F.sum("weight").alias("weight"))
 
 
 def labelled(spark, sf_dir) -> DataFrame:
     """(items, label, cls, weight) without the flag item."""
-    return row_transactions(spark, sf_dir, flag=False).groupBy("items", "label", "cls").agg(F.count("*").alias("weight"))
+    return _row_groups(spark, sf_dir, False).groupBy("items", "label", "cls").agg(F.sum("weight").alias("weight"))
 
 
 def baskets(spark, sf_dir) -> DataFrame:

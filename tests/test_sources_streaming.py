@@ -98,34 +98,62 @@ def test_signals(spark, tmp_path, packed):
     assert [(r["file"], r["channel"], r["samples"]) for r in got] == [("a.mat", "X097_DE_time", [1.0, 2.5])]
 
 
+ONE = np.zeros(1, np.int64)
+
+
+def fed(values, bins, mode="textbook"):
+    m = online.Quantiles(1, bins, mode)
+    for v in values:
+        m.add(ONE, np.array([[float(v)]]))
+    return m
+
+
 def test_textbook_markers_converge():
-    rng = np.random.default_rng(0)
-    m = online.Markers(1 / 3)
-    x = rng.normal(size=5000)
-    for v in x:
-        m.add(float(v))
-    assert abs(m.value() - np.quantile(x, 1 / 3)) < 0.05
-    few = online.Markers(0.5)
-    assert few.value() == 0.0
-    few.add(3.0)
-    assert few.value() == 3.0
+    x = np.random.default_rng(0).normal(size=5000)
+    assert np.allclose(fed(x, 3).values(ONE)[0, 0], np.quantile(x, [1 / 3, 2 / 3]), atol=0.05)
+    assert fed([], 2).values(ONE).ravel().tolist() == [0.0] and fed([3.0], 2).values(ONE).ravel().tolist() == [3.0]
 
 
-def test_shifted_markers_step_by_step():
-    m = online.Markers(0.5, "shifted")
-    for v in (5.0, 1.0, 4.0, 2.0, 3.0):
-        m.add(v)
-    assert m.pos == [0.0, 2.0, 3.0, 4.0, 4.0] and m.value() == 3.0
-    m.add(0.0)  # lowest: all positions advance by one
-    assert m.pos == [1.0, 3.0, 4.0, 5.0, 5.0] and m.height[0] == 0.0
+def test_published_example():
+    """The twenty observations of the P-square paper; its median ends at 4.44."""
+    x = [0.02, 0.15, 0.74, 3.39, 0.83, 22.37, 10.15, 15.43, 38.62, 15.92, 34.60, 10.28, 1.47, 0.40, 0.05, 11.39, 0.27, 0.42, 0.09, 11.37]
+    assert abs(fed(x, 2).values(ONE)[0, 0, 0] - 4.44) < 0.01
 
 
-def test_close_edges_are_pushed_apart():
-    b = online.Binner(3)
-    for _ in range(10):
-        b.add(2.0)
-    e = b.edges()
-    assert len(e) == 4 and (np.diff(e) > 0).all()
+def test_shifted_markers_step_by_step():
+    m = fed([5, 1, 4, 2, 3], 2, "shifted")
+    assert m.place[0, 0, 0].tolist() == [0.0, 2.0, 3.0, 4.0, 4.0] and m.values(ONE)[0, 0, 0] == 3.0
+    m.add(ONE, np.array([[0.0]]))  # lowest: all places advance by one
+    assert m.place[0, 0, 0].tolist() == [1.0, 3.0, 4.0, 5.0, 5.0] and m.height[0, 0, 0, 0] == 0.0
+
+
+@pytest.mark.parametrize("bins", [2, 3, 5])
+def test_close_edges_are_pushed_apart(bins):
+    e = fed([2.0] * 10, bins).edges(ONE)[0, 0]
+    assert len(e) == bins + 1 and (np.diff(e) > 0).all()
+
+
+@pytest.mark.parametrize("mode", ["textbook", "shifted"])
+def test_units_together_are_as_each_alone(mode):
+    rng = np.random.default_rng(4)
+    rows = {u: rng.normal(size=(rng.integers(3, 60), 2)) for u in range(7)}
+    together = online.Windows(2, 8, 4, 3, mode, 7)
+    got = []
+    for t in range(60):
+        units = np.array([u for u in rows if t < len(rows[u])])
+        if len(units):
+            done, win, states = together.push(units, np.array([rows[u][t] for u in units]))
+            got += [(int(units[d]), int(w), *s.tolist()) for d, w, s in zip(done, win, states)]
+    want = []
+    for u, x in rows.items():
+        w = online.Windows(2, 8, 4, 3, mode)
+        for row in x:
+            kept = online.Windows(2, 8, 4, 3, mode)  # the state passes through plain numbers
+            kept.load(w.dump())
+            w = kept
+            done, win, states = w.push(ONE, row[None, :])
+            want += [(u, int(k), *s.tolist()) for k, s in zip(win, states)]
+    assert sorted(got) == sorted(want) and got
 
 
 def test_online_states_batch_equals_stream(spark, tmp_path):
@@ -146,3 +174,41 @@ def test_online_states_batch_equals_stream(spark, tmp_path):
     assert shifted.count() == 15
     with pytest.raises(ValueError, match="gaps"):
         online.online_states(df, "unit", ["t"], ["a"], 5, 6)
+
+
+def test_units_are_forgotten(spark):
+    with pytest.raises(ValueError, match="gaps"):
+        states.stream_states(spark.createDataFrame([("u", 0, 1.0)], "unit string, t int, a double"), "unit", ["t"], ["a"], 5, 6)
+
+
+def test_null_units_and_repeated_orders(spark):
+    df = spark.createDataFrame([(None, 0, 1.0)] * 4 + [("u", 0, 2.0)] * 3, "unit string, t int, a double")
+    assert sorted(((r["unit"], r["win"]) for r in online.online_states(df, "unit", ["t"], ["a"], 2, 1).collect()), key=repr) == sorted([(None, 0), (None, 1), (None, 2), ("u", 0), ("u", 1)], key=repr)
+    assert online.online_states(df.limit(0), "unit", ["t"], ["a"], 2, 1).collect() == []
+
+
+def test_remine_and_windowed_support(spark, tmp_path):
+    """Stages are mined again at each micro-batch; event-time supports close with the watermark."""
+    from patternlake.operators import anytime, transactions
+
+    schema = "ts timestamp, items array<string>"
+    rows = [(f"2024-01-01 00:{m:02d}:00", x) for m, x in ((0, ["a", "b"]), (1, ["a"]), (2, ["a", "b"]), (7, ["b"]), (30, ["c"]))]
+    for k in range(len(rows)):
+        spark.createDataFrame([rows[k]], "ts string, items array<string>").selectExpr("cast(ts as timestamp) as ts", "items").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen, mined = [], {}
+
+    def again(batch, k):
+        seen.extend(batch.select("items").collect())
+        pool = anytime.pools(transactions.compact(spark.createDataFrame(seen, "items array<string>")), 2)
+        mined[k] = {(r["stage"], tuple(r["items"]), r["support"]) for r in pool.collect()}
+
+    q = states.remine(stream(), again, str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert len(mined) == 5 and mined[4] == {(r["stage"], tuple(r["items"]), r["support"]) for r in anytime.pools(transactions.compact(spark.createDataFrame(seen, "items array<string>")), 2).collect()}
+    q = states.windowed_support(stream(), "ts", "5 minutes", "1 minute").writeStream.format("memory").queryName("supports").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r["start"].minute, r["item"], r["support"]) for r in spark.table("supports").collect()}
+    assert got == {(0, "a", 3), (0, "b", 2), (5, "b", 1)}

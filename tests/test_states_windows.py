@@ -52,6 +52,28 @@ def test_edges_by_group(spark):
     assert [r["x"] for r in out.orderBy("g").collect()].count(2) == 4
 
 
+@pytest.mark.parametrize(("held", "sketch", "n"), [(100_000, 10_000, 1), (100_000, 10_000, 30_000), (300, 100, 30_000)])
+def test_exact_edges_like_numpy(spark, monkeypatch, held, sketch, n):
+    """Normal, tied, heavy-tailed and spiked channels; also where bounds must be narrowed first."""
+    from patternlake.functions import states
+
+    monkeypatch.setattr(states, "HELD", held)
+    monkeypatch.setattr(states, "SKETCH", sketch)
+    rng = np.random.default_rng(n)
+    frame = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float), "c": rng.zipf(1.5, n).astype(float), "d": np.where(rng.random(n) < 0.4, 3.0, rng.random(n))})
+    got = states.exact_edges(spark.createDataFrame(frame).repartition(3), list("abcd"), 4)
+    for c in "abcd":
+        want = np.unique(np.quantile(frame[c], np.arange(5) / 4))
+        assert np.allclose(got[c], want if len(want) > 1 else [want[0] - 0.5, want[0] + 0.5], rtol=1e-12)
+
+
+def test_edges_of_nothing(spark):
+    df = spark.createDataFrame([(None, float("nan"), 1.0)], "a double, b double, c double")
+    e = fit_edges(df, ["a", "b", "c"])
+    assert tuple(e.first()) == (None, None, [0.5, 1.5])
+    assert tuple(with_states(df, e, ["a", "b", "c"]).first()) == (None, None, 0)
+
+
 def test_select_channels(spark):
     df = spark.createDataFrame([(1.0, 1.0, 5.0), (2.0, 1.0, -5.0), (9.0, 1.1, 0.0)], "a double, b double, c double")
     assert [r["channel"] for r in select_channels(df, ["a", "b", "c"]).collect()] == ["a", "c"]
