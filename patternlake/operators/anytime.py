@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from patternlake.operators.itemsets import frequent_powerset, maximal, mine
+from patternlake.operators.itemsets import maximal, mine
 from patternlake.operators.transactions import ranked_items
 from patternlake.session import cut
 
@@ -22,13 +22,16 @@ def stages(txns: DataFrame, upto: int | None = None) -> DataFrame:
 
 
 def pools(txns: DataFrame, upto: int) -> DataFrame:
-    """(stage, items, support) of all stages at once, for narrow rows: mined once at the last threshold, then cut per stage."""
+    """(stage, items, support) of all stages at once: mined once at the last threshold, by the strategy that suits the rows' width, then cut per stage."""
     steps = cut(stages(txns, upto), "stages")
     last = steps.agg(F.min("least")).first()[0]
     if last is None:
         return steps.select("stage", F.array("item").alias("items"), F.col("least").alias("support")).limit(0)
-    every = cut(frequent_powerset(txns, last), "frequent")
-    at = every.join(F.broadcast(steps.select("stage", "least")), F.col("support") >= F.col("least")).select("stage", "items", "support")
+    every = cut(mine(txns, last, "frequent"), "frequent")
+    # as many stages as were asked for: a set is listed for each of those whose threshold it reaches
+    at = every.crossJoin(F.broadcast(steps.agg(F.sort_array(F.collect_list(F.struct("stage", "least"))).alias("__steps"))))
+    reached = F.filter("__steps", lambda s: s["least"] <= F.col("support"))
+    at = at.select(F.explode(reached["stage"]).alias("stage"), "items", "support")
     return maximal(at, ["stage"])
 
 

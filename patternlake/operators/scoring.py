@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from patternlake.operators.itemsets import contained
+
 
 def contingency(sets: DataFrame, txns: DataFrame) -> DataFrame:
-    """(items, pos, cnt, npos, n): over (items, label 0/1, weight). Containment is an equi-join on the set's first item and a test of the rest."""
+    """(items, pos, cnt, npos, n): over (items, label 0/1, weight). Containment is an equi-join on the set's rarest item and a test of the rest."""
     compact = txns.groupBy("items", "label").agg(F.sum("weight").alias("weight"))
     total = compact.agg(F.sum(F.when(F.col("label") == 1, F.col("weight")).otherwise(0)).cast("long").alias("npos"), F.sum("weight").cast("long").alias("n"))
-    s = sets.select("items").distinct().select(F.col("items").alias("want"), F.col("items")[0].alias("__first"))
-    t = compact.select("items", "label", "weight", F.explode("items").alias("__first"))
-    hit = s.join(t, "__first").where(F.size(F.array_except("want", "items")) == 0)
+    s = sets.select(F.array_sort("items").alias("want")).distinct()
+    hit = contained(sets, compact)
     got = hit.groupBy("want").agg(F.sum(F.when(F.col("label") == 1, F.col("weight")).otherwise(0)).cast("long").alias("pos"), F.sum("weight").cast("long").alias("cnt"))
     out = s.select("want").join(got, "want", "left").crossJoin(F.broadcast(total))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
@@ -87,9 +88,7 @@ def library_grid(table: DataFrame, lifts: list[float], sups: list[float], k: int
 def class_support(sets: DataFrame, txns: DataFrame, classes: list) -> DataFrame:
     """(items, sup_<class> ...): share of each class's transactions (items, cls, weight) that hold the set."""
     size = txns.groupBy("cls").agg(F.sum("weight").alias("size"))
-    s = sets.select("items").distinct().select(F.col("items").alias("want"), F.col("items")[0].alias("__first"))
-    t = txns.select("items", "cls", "weight", F.explode("items").alias("__first"))
-    hit = s.join(t, "__first").where(F.size(F.array_except("want", "items")) == 0)
+    hit = contained(sets, txns.groupBy("items", "cls").agg(F.sum("weight").alias("weight")))
     each = hit.groupBy("want", "cls").agg(F.sum("weight").alias("hits")).join(F.broadcast(size), "cls")
     wide = each.groupBy("want").pivot("cls", classes).agg(F.first(F.col("hits") / F.col("size")))
     return wide.select(F.col("want").alias("items"), *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"sup_{c}") for c in classes])
@@ -97,9 +96,7 @@ def class_support(sets: DataFrame, txns: DataFrame, classes: list) -> DataFrame:
 
 def matched(sets: DataFrame, txns: DataFrame) -> DataFrame:
     """``txns`` (items, ...) with flagged: whether any set is contained. Tested once for each distinct transaction."""
-    s = sets.select("items").distinct().select(F.col("items").alias("want"), F.col("items")[0].alias("__first"))
-    kinds = txns.select("items").distinct()
-    hit = kinds.select("items", F.explode("items").alias("__first")).join(s, "__first").where(F.size(F.array_except("want", "items")) == 0).select("items").distinct().withColumn("__hit", F.lit(True))
+    hit = contained(sets, txns.select("items").distinct()).select("items").distinct().withColumn("__hit", F.lit(True))
     return txns.join(hit, "items", "left").withColumn("flagged", F.col("__hit").isNotNull()).drop("__hit")
 
 
