@@ -155,10 +155,10 @@ def start(vecs: DataFrame, trees: int, leaf: int, k: int, floor: float, seed: in
 
 
 def lists(edges: DataFrame, k: int, threshold: float, room: int) -> DataFrame:
-    """The ``k`` best neighbours of each vector; a list that is full of links is enlarged to ``room`` of them."""
+    """(u, v, c, r): the ``k`` best neighbours of each vector by rank r; a list that is full of links is enlarged to ``room`` of them."""
     both = edges.select("u", "v", "c").union(edges.select("v", "u", "c")).groupBy("u", "v").agg(F.max("c").alias("c"))
     w = Window.partitionBy("u").orderBy(F.desc("c"), "v")
-    return both.withColumn("r", F.row_number().over(w)).where((F.col("r") <= room) & ((F.col("r") <= k) | (F.col("c") >= threshold))).drop("r")
+    return both.withColumn("r", F.row_number().over(w)).where((F.col("r") <= room) & ((F.col("r") <= k) | (F.col("c") >= threshold)))
 
 
 def refine(graph: DataFrame, vecs: DataFrame, k: int, floor: float, link: float, salt: int = 0) -> DataFrame:
@@ -275,12 +275,12 @@ def exact_joins(vecs: DataFrame, roots: DataFrame, threshold: float) -> DataFram
     return rows.repartition(partitions(vecs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 8, leaf: int = 48, floor: float = 0.7, attempts: int = 3, recall: float = 0.98) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 8, leaf: int = 48, floor: float = 0.7, attempts: int = 3, recall: float = 0.98, settled: float = 0.001) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``table`` (vec_id, embedding, label).
 
     Vectors of one label (and one length) link at a cosine of ``threshold``, in double precision. Equal vectors stand for each other.
     NN-descent finds the graph: lists from random cells, then neighbours of neighbours until a round
-    finds no new link; lists that are full of links double, up to eight times ``k``. All links found join components, also those that no list has room for; within a component every pair is
+    adds less than a share of ``settled`` to the links in them; lists that are full of links double, up to eight times ``k``. All links found join components, also those that no list has room for; within a component every pair is
     counted exactly, so a full list loses nothing. Recall is audited against brute force for up to 256 vectors
     of each label, as the mean of their shares; while a label is below ``recall`` the search goes on from new cells,
     up to ``attempts``. Then each label of which a drawn vector still lacks a link is compared whole, in pairs of blocks.
@@ -299,14 +299,14 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tree
 
     for attempt in range(attempts):
         edges, sure = add(start(vecs, trees, leaf, k, floor, attempt, threshold), f"start{attempt}")
-        linked = -1
+        linked = 0
         for r in count():
             graph = stash(lists(edges, k, threshold, k << min(r + 1, 3)), f"{path}/lists{attempt}.{r}")
-            now = graph.where(F.col("c") >= threshold).count()
-            if now <= linked:  # grows, and not without end: lists are bounded
+            now = graph.where((F.col("c") >= threshold) & (F.col("r") <= k)).count()
+            if now <= linked * (1 + settled):  # grows, and not without end: lists are bounded
                 break
-            linked = max(now, linked)
-            edges = graph
+            linked = now
+            edges = graph.drop("r")
             edges, sure = add(refine(graph, vecs, k, floor, threshold, 1000 * attempt + r), f"found{attempt}.{r}")
         roots = components(sure, f"{path}/cc{attempt}", "u", "v").toDF("rid", "root")
         short = stash(audit(vecs, roots, threshold).where("low < 1"), f"{path}/short{attempt}")
