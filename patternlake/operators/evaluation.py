@@ -67,9 +67,7 @@ def paired(rows: DataFrame, first: str, second: str, by: list[str], key: str = "
     """McNemar counts of two conditions over the cases that both have: b only the second is right, c only the first; one pass, no self-join."""
     side = lambda c: F.max(F.when(F.col("cond") == c, F.col("correct").cast("int")))
     case = rows.where(F.col("cond").isin(first, second)).groupBy(*by, key).agg(side(first).alias("x"), side(second).alias("y"))
-    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
-    out = case.where("x is not null and y is not null").groupBy(*by).agg(F.count("*").alias("n_paired"), n((F.col("x") == 0) & (F.col("y") == 1)).alias("b"), n((F.col("x") == 1) & (F.col("y") == 0)).alias("c"))
-    return out.withColumn("chi2", mcnemar_chi2(F.col("b"), F.col("c")))
+    return _discordant(case, by)
 
 
 def budget_curve(rows: DataFrame, by: list[str], budget: str = "budget") -> DataFrame:
@@ -80,6 +78,30 @@ def budget_curve(rows: DataFrame, by: list[str], budget: str = "budget") -> Data
     return joined.withColumn("gain", F.col("accuracy") - F.col("at_zero"))
 
 
+def _discordant(cases: DataFrame, by: list[str]) -> DataFrame:
+    """McNemar counts of cases (by, x, y) that have both sides."""
+    n = lambda cond: F.count(F.when(cond, 1))
+    out = cases.where("x is not null and y is not null").groupBy(*by).agg(F.count("*").alias("n_paired"), n((F.col("x") == 0) & (F.col("y") == 1)).alias("b"), n((F.col("x") == 1) & (F.col("y") == 0)).alias("c"))
+    return out.withColumn("chi2", mcnemar_chi2(F.col("b"), F.col("c")))
+
+
+def budget_contrasts(rows: DataFrame, pairs: list[tuple[int, int]], by: list[str], key: str = "case_key", budget: str = "budget") -> DataFrame:
+    """(lo, hi, by, n_paired, b, c, chi2): McNemar of each pair of budgets over the cases that have both; one pass for all pairs."""
+    right = F.col("correct").cast("int")
+    grid = F.explode(F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in pairs])).alias("p")
+    dealt = rows.select(*by, key, budget, right.alias("ok"), grid).select("*", "p.lo", "p.hi").where((F.col(budget) == F.col("lo")) | (F.col(budget) == F.col("hi")))
+    side = lambda c: F.max(F.when(F.col(budget) == F.col(c), F.col("ok")))
+    return _discordant(dealt.groupBy("lo", "hi", *by, key).agg(side("lo").alias("x"), side("hi").alias("y")), ["lo", "hi", *by])
+
+
+def peak_contrast(rows: DataFrame, by: list[str], key: str = "case_key", budget: str = "budget") -> DataFrame:
+    """(by, peak, n_paired, b, c, chi2): McNemar of the budget with the best accuracy (of equal ones the smallest) against budget 0."""
+    best = accuracy(rows.where(F.col(budget) > 0), [*by, budget]).groupBy(*by).agg(F.max_by(budget, F.struct("accuracy", -F.col(budget))).alias("peak"))
+    side = lambda b: F.max(F.when(F.col(budget) == b, F.col("correct").cast("int")))
+    cases = rows.join(F.broadcast(best), by).groupBy(*by, "peak", key).agg(side(F.lit(0)).alias("x"), side(F.col("peak")).alias("y"))
+    return _discordant(cases, [*by, "peak"])
+
+
 def run_summary(runs: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median, quartiles and number of repeats."""
     q = lambda p: F.percentile(value, F.lit(p))

@@ -61,23 +61,42 @@ def reduce(txns: DataFrame, least: int, items: str = "items", weight: str | None
 
 
 def profile(txns: DataFrame, items: str = "items") -> DataFrame:
-    """One row: transactions, items in all, distinct items, shortest, longest and mean length."""
+    """One row: transactions, items in all, distinct items, shortest, longest and mean length, smallest and largest item."""
     size = F.size(items)
-    whole = txns.agg(F.count("*").alias("n_txns"), F.sum(size).cast("long").alias("n_items"), F.min(size).cast("long").alias("min_len"), F.max(size).cast("long").alias("max_len"), F.avg(size).alias("mean_len"))
+    whole = txns.agg(F.count("*").alias("n_txns"), F.sum(size).cast("long").alias("n_items"), F.min(size).cast("long").alias("min_len"), F.max(size).cast("long").alias("max_len"), F.avg(size).alias("mean_len"), F.min(F.array_min(items)).alias("min_item"), F.max(F.array_max(items)).alias("max_item"))
     kinds = txns.select(F.explode(items).alias("item")).agg(F.countDistinct("item").alias("n_distinct"))
     return whole.crossJoin(kinds)
 
 
+def reduction(txns: DataFrame, least: int, weight: str = "weight") -> DataFrame:
+    """One row: how many transactions, items and item kinds are there before and after ``reduce``, and which share of each goes."""
+    after = reduce(txns, least, weight=weight)
+
+    def sizes(df: DataFrame, tag: str) -> DataFrame:
+        w = F.col(weight)
+        whole = df.agg(F.coalesce(F.sum(w), F.lit(0)).cast("long").alias(f"n_txns_{tag}"), F.coalesce(F.sum(w * F.size("items")), F.lit(0)).cast("long").alias(f"n_items_{tag}"))
+        return whole.crossJoin(df.select(F.explode("items").alias("item")).agg(F.count_distinct("item").alias(f"n_kinds_{tag}")))
+
+    both = sizes(txns, "before").crossJoin(sizes(after, "after"))  # one row each
+    gone = lambda c: (1 - F.try_divide(f"{c}_after", f"{c}_before")).alias(f"{c}_gone")
+    return both.select("*", *[gone(c) for c in ("n_txns", "n_items", "n_kinds")])
+
+
 def replicate(txns: DataFrame, times: int) -> DataFrame:
     """Every transaction ``times`` times, with copy from 0: supports grow in proportion, maximal sets stay."""
     return txns.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
 
 def planted(spark, n: int, patterns: int = 80, length: int = 5, noise_items: int = 400, noise: int = 6, share: float = 0.1) -> DataFrame:
-    """Synthetic transactions (txn_id, items) with planted patterns: pattern p holds items p * length + 1 ...; all from hashes, so the same on every run."""
+    """Synthetic transactions (txn_id, items) with planted patterns: pattern p holds items p * length + 1 ...; all from MD5, so the same on every run and in any engine."""
     base = patterns * length
+
+    def roll(*parts):
+        return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 7), 16, 10).cast("long")
+
     row = spark.range(n).withColumnRenamed("id", "txn_id")
-    hits = F.filter(F.sequence(F.lit(0), F.lit(patterns - 1)), lambda p: F.pmod(F.xxhash64("txn_id", p), F.lit(10_000)) < int(share * 10_000))
+    own = F.col("txn_id").cast("string")
+    hits = F.filter(F.sequence(F.lit(0), F.lit(patterns - 1)), lambda p: roll(own, F.lit(":"), p.cast("string")) % 10_000 < int(share * 10_000))
     real = F.flatten(F.transform(hits, lambda p: F.sequence(p * length + 1, p * length + length)))
-    fuzz = F.transform(F.sequence(F.lit(1), F.lit(noise)), lambda k: (F.pmod(F.xxhash64("txn_id", k + 1_000_000), F.lit(noise_items)) + base + 1).cast("int"))
+    fuzz = F.transform(F.sequence(F.lit(1), F.lit(noise)), lambda k: (roll(own, F.lit("+"), k.cast("string")) % noise_items + base + 1).cast("int"))
     return row.select("txn_id", F.array_sort(F.array_distinct(F.concat(real, fuzz))).alias("items"))

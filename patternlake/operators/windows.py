@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from patternlake.session import cut
+
 
 def with_position(df: DataFrame, unit: list[str], order: list[str]) -> DataFrame:
     """Add seq (from 0 in each unit by ``order``) and n (rows of the unit)."""
@@ -13,6 +15,20 @@ def with_position(df: DataFrame, unit: list[str], order: list[str]) -> DataFrame
     return df.withColumn("seq", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w))
 
 
+def position(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Add seq, the row's place from 0 by ``order`` over the whole table, or over each group of ``by`` (``order`` then begins with it).
+
+    Rows are dealt by ranges of ``order`` and written, so that ranges are counted and numbered apart: no task holds more than its range.
+    Rows that are equal in ``order`` are numbered in any order.
+    """
+    part = ["__part", *(by or [])]
+    dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*part).agg(F.count("*").alias("__n"))  # one row for each range and group in it
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part")) - F.col("__n")).drop("__n")
+    numbered = dealt.withColumn("seq", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1)
+    return numbered.join(before, part).withColumn("seq", F.col("seq") + F.col("__before")).drop("__part", "__before")
+
+
 def window_ids(size: int, hop: int) -> Column:
     """All windows [k * hop, k * hop + size) that hold row seq of n and end within the unit; empty if none."""
     first = F.greatest(F.lit(0), F.ceil((F.col("seq") - size + 1) / hop).cast("int"))

@@ -9,6 +9,7 @@ from patternlake.functions import features, stats, text
 from patternlake.functions.states import fit_edges, select_channels, with_states
 from patternlake.operators import anytime, evaluation, itemsets, online, scoring, transactions, windows
 from patternlake.plans import frames as f
+from patternlake.plans import roundtrips
 from patternlake.session import cut, shared_path
 
 #: Supports at which the catalogue mines.
@@ -137,6 +138,11 @@ def reduce_infrequent(spark, d):
     return out.groupBy(text.pattern_text(F.col("items")).alias("pattern")).agg(F.sum("weight").alias("weight"))
 
 
+def reduction_rates(spark, d):
+    t = cut(f.baskets(spark, d), "rows")
+    return transactions.reduction(t, _least(t, 0.15))
+
+
 def replicate_invariance(spark, d):
     t = cut(f.row_weights(spark, d), "rows")
     four = transactions.replicate(t, 4).groupBy("items").agg(F.sum("weight").alias("weight"))
@@ -197,6 +203,29 @@ def sensor_maximal_vertical(spark, d):
     return _named(itemsets.mine(t, _least(t, 0.1), "maximal", "vertical"), "support")
 
 
+def candidate_join(spark, d):
+    """Candidates of three items, from the frequent pairs, before anything is counted."""
+    t = cut(f.row_weights(spark, d), "rows")
+    pairs = itemsets.mine(t, _least(t, SHARE), "frequent").where(F.size("items") == 2)
+    return _named(itemsets.candidates(cut(pairs.select("items"), "pairs")))
+
+
+def levelwise_resumed(spark, d):
+    """Levels one and two from a written checkpoint, the others mined on from there."""
+    t = cut(f.row_weights(spark, d), "rows")
+    least = _least(t, SHARE)
+    done = cut(itemsets.mine(t, least, "frequent").where(F.size("items") <= 2), "levels")
+    return _named(itemsets.frequent_levelwise(t, least, resume=done), "support")
+
+
+def result_fingerprint(spark, d):
+    """MD5 of the sorted list of maximal sets with their supports; the list is a result, so it is short."""
+    t = cut(f.row_weights(spark, d), "rows")
+    lines = itemsets.mine(t, _least(t, SHARE)).select(F.concat(text.pattern_text(F.col("items")), F.lit(":"), F.col("support").cast("string")).alias("line"), text.pattern_text(F.col("items")).alias("pattern"))
+    sets = F.sort_array(F.collect_list(F.struct("pattern", "line")))
+    return lines.agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(sets, lambda x: x["line"]), "\n")).alias("md5"))
+
+
 # ----------------------------------------------------------------- anytime
 
 
@@ -281,6 +310,21 @@ def truth_patterns(spark, d):
     return _named(scoring.truth(_table(spark, d), 20, 0.3), "pos", "cnt")
 
 
+def truth_top(spark, d):
+    """The truth patterns with the most positives."""
+    best = scoring.top(scoring.truth(_table(spark, d), 20, 0.3), 10, [F.desc("pos"), "items"])
+    return _named(best, "rank", "pos", "cnt")
+
+
+def minsup_library(spark, d):
+    """A library from all frequent sets of two items or more, by rate lift."""
+    t = cut(f.labelled(spark, d), "labelled")
+    w = cut(t.groupBy("items").agg(F.sum("weight").alias("weight")), "weights")
+    sets = itemsets.mine(w, _least(w, SHARE), "frequent").where(F.size("items") >= 2)
+    table = scoring.contingency(cut(sets, "sets"), t).withColumn("lift", scoring.lift_rate())
+    return _named(scoring.top(table, 8, [F.desc("lift"), F.desc("pos"), "items"]), "rank", "pos", "cnt", "lift")
+
+
 def class_support_pivot(spark, d):
     t, sets = _labelled(spark, d, 0.1)
     out = scoring.class_support(sets, t, ["A", "N", "R"])
@@ -367,7 +411,7 @@ def mcnemar_chi2(spark, d):
 
 
 def mcnemar_exact(spark, d):
-    return mcnemar_chi2(spark, d).select("model", "b", "c", stats.mcnemar_exact_p(F.col("b"), F.col("c")).alias("p"), stats.chi2_p(F.col("chi2")).alias("p_chi2"), stats.direction(F.col("b"), F.col("c")).alias("direction"))
+    return mcnemar_chi2(spark, d).select("model", "b", "c", F.round(stats.mcnemar_exact_p(F.col("b"), F.col("c")), 9).alias("p"), F.round(stats.chi2_p(F.col("chi2")), 9).alias("p_chi2"), stats.direction(F.col("b"), F.col("c")).alias("direction"))
 
 
 def holm_adjust(spark, d):
@@ -380,6 +424,16 @@ def budget_curve(spark, d):
     return evaluation.budget_curve(_facts(spark, d), ["model"]).select("model", "budget", "n", "k", "accuracy", "gain")
 
 
+def budget_contrasts(spark, d):
+    """Paired tests of neighbouring budgets, and of the largest against none."""
+    return evaluation.budget_contrasts(_facts(spark, d), [(0, 1), (1, 2), (2, 3), (0, 3)], ["model"])
+
+
+def budget_peak(spark, d):
+    """Paired test of each model's best budget against none."""
+    return evaluation.peak_contrast(_facts(spark, d), ["model"])
+
+
 def class_spec_join(spark, d):
     """Rows mapped to classes by a specification table: orders by their customer's region."""
     spec = f.table(spark, d, "nation").join(f.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("cls"))
@@ -455,11 +509,11 @@ def queries() -> dict:
     plain = [
         edges_quantile, edges_equal_width, bin_histogram, items_rowwise, channel_select_variance, empty_bins,
         windows_label_max, raw_concat_windows, tail_label_units, signal_features, progress_segments, time_split_guard,
-        dictionary, encode_ids, txn_text_roundtrip, txn_profile, reduce_infrequent, replicate_invariance,
-        item_support, maximal_topn, support_of_sets, sensor_maximal, sensor_maximal_vertical, closure_check, planted_recall,
+        dictionary, encode_ids, txn_text_roundtrip, txn_profile, reduce_infrequent, reduction_rates, replicate_invariance,
+        item_support, maximal_topn, support_of_sets, sensor_maximal, sensor_maximal_vertical, closure_check, planted_recall, candidate_join, levelwise_resumed, result_fingerprint,
         stage_thresholds, stage_pools, first_stage, cumulative_pool, coverage_curve, prefix_coverage, identity_gate,
-        contingency, truth_patterns, class_support_pivot, class_topk, discriminative_topk, library_top8, library_grid, union_coverage, window_flagging,
-        reply_parse, accuracy_by_condition, accuracy_parsed_only, faithfulness, hallucination_rate, fpr_cells, macro_cells, mcnemar_chi2, mcnemar_exact, holm_adjust, budget_curve, class_spec_join, resume_keys, citation_membership, prompt_render,
+        contingency, truth_patterns, truth_top, minsup_library, class_support_pivot, class_topk, discriminative_topk, library_top8, library_grid, union_coverage, window_flagging,
+        reply_parse, accuracy_by_condition, accuracy_parsed_only, faithfulness, hallucination_rate, fpr_cells, macro_cells, mcnemar_chi2, mcnemar_exact, holm_adjust, budget_curve, budget_contrasts, budget_peak, class_spec_join, resume_keys, citation_membership, prompt_render,
         median_iqr, speedup_pivot, online_vs_offline, flagship,
     ]
     made = {
@@ -470,4 +524,4 @@ def queries() -> dict:
         "lift_eps": _lift(scoring.lift_eps), "lift_table": _lift(scoring.lift_table), "lift_pos": _lift(scoring.lift_pos), "lift_rate": _lift(scoring.lift_rate), "lift_ratio": _lift(scoring.lift_ratio),
         "online_states": _online("textbook"), "online_states_shifted": _online("shifted"),
     }
-    return {q.__name__: q for q in plain} | made
+    return {q.__name__: q for q in plain} | made | roundtrips.queries()

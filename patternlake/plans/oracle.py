@@ -128,6 +128,50 @@ def _channels(expr) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS channel, {expr(c)}" for c in ROW)
 
 
+def _roll(text: str) -> str:
+    """28 bits of a text's MD5 as a number."""
+    return f"CAST('0x' || substr(md5(CAST({text} AS VARCHAR)), 1, 7) AS BIGINT)"
+
+
+def _markers(mode: str) -> str:
+    """Quantile markers of every series by recursion over its samples: (user_id, channel, q, f, h) after sample f, with the windows' ends as f."""
+    fed = {
+        "textbook": "fed AS (SELECT user_id, seq + 1 AS f, value, k FROM pos), ends AS (SELECT DISTINCT user_id, win, win * 10 + 20 AS f FROM dealt)",
+        "shifted": "fed AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY win, seq) AS f, value, k FROM dealt), ends AS (SELECT DISTINCT user_id, win, (win + 1) * 20 AS f FROM dealt)",
+    }[mode]
+    place = {"textbook": "CAST([1, 2, 3, 4, 5] AS DOUBLE[])", "shifted": "[0.0::DOUBLE, 1 + 2 * q, 1 + 4 * q, 3 + 2 * q, 4.0::DOUBLE]"}[mode]
+    put = lambda a, i, v: f"list_concat(list_concat({a}[:{i - 1}], [{v}]), {a}[{i + 1}:])"
+    step = "SELECT user_id, channel, q, f, h0 AS h, " + {
+        "textbook": "list_transform(n, lambda v, i: v + CAST(i - 1 > cell AS INT)) AS n, list_transform(w, lambda v, i: v + [0.0::DOUBLE, q / 2, q, (1 + q) / 2, 1.0::DOUBLE][i]) AS w",
+        "shifted": "list_transform(n, lambda v, i: v + 1 + CAST(i BETWEEN 2 AND 4 AND i - 1 <= cell AS INT)) AS n, w",
+    }[mode]
+    step += f" FROM (SELECT *, CAST(x >= h[2] AS INT) + CAST(x >= h[3] AS INT) + CAST(x >= h[4] AS INT) AS cell, list_concat(list_concat([least(h[1], x)], h[2:4]), [greatest(h[5], x)]) AS h0 FROM (SELECT m.user_id, m.channel, m.q, l.f, m.h, m.n, m.w, l.x FROM mk m JOIN long l ON l.user_id = m.user_id AND l.channel = m.channel AND l.f = m.f + 1))"
+    for i in (2, 3, 4):
+        if mode == "textbook":
+            step = f"SELECT *, CASE WHEN w[{i}] - n[{i}] >= 1 AND n[{i + 1}] - n[{i}] > 1 THEN 1 WHEN w[{i}] - n[{i}] <= -1 AND n[{i}] - n[{i - 1}] > 1 THEN -1 ELSE 0 END AS s FROM ({step})"
+            step = f"SELECT *, h[{i}] + s / (n[{i + 1}] - n[{i - 1}]) * ((n[{i}] - n[{i - 1}] + s) * (h[{i + 1}] - h[{i}]) / (n[{i + 1}] - n[{i}]) + (n[{i + 1}] - n[{i}] - s) * (h[{i}] - h[{i - 1}]) / (n[{i}] - n[{i - 1}])) AS curve, h[{i}] + CASE WHEN s > 0 THEN (h[{i + 1}] - h[{i}]) / (n[{i + 1}] - n[{i}]) ELSE -(h[{i}] - h[{i - 1}]) / (n[{i}] - n[{i - 1}]) END AS line FROM ({step})"
+            step = f"SELECT user_id, channel, q, f, CASE WHEN s = 0 THEN h WHEN h[{i - 1}] < curve AND curve < h[{i + 1}] THEN {put('h', i, 'curve')} ELSE {put('h', i, 'line')} END AS h, {put('n', i, f'n[{i}] + s')} AS n, w FROM ({step})"
+        else:
+            step = f"SELECT *, h[{i}] + (n[{i}] - n[{i - 1}] + 1) * (h[{i + 1}] - h[{i - 1}]) / (n[{i + 1}] - n[{i - 1}]) AS moved FROM ({step})"
+            step = f"SELECT user_id, channel, q, f, CASE WHEN n[{i}] - n[{i - 1}] >= 1 AND n[{i + 1}] - n[{i - 1}] > 1 AND h[{i - 1}] < moved AND moved < h[{i + 1}] THEN {put('h', i, 'moved')} ELSE h END AS h, n, w FROM ({step})"
+    return f"""WITH RECURSIVE {SERIES}, ss AS (SELECT * FROM s WHERE value IS NOT NULL AND k IS NOT NULL), {_dealt(20, 10, 'ss')}, {fed},
+long AS (SELECT user_id, 'value' AS channel, f, value AS x FROM fed UNION ALL SELECT user_id, 'k' AS channel, f, k AS x FROM fed),
+mk AS (SELECT user_id, channel, q, CAST(5 AS BIGINT) AS f, h, {place} AS n, [1.0::DOUBLE, 1 + 2 * q, 1 + 4 * q, 3 + 2 * q, 5.0::DOUBLE] AS w FROM (SELECT user_id, channel, list_sort(list(x)) AS h FROM long WHERE f <= 5 GROUP BY ALL HAVING count(*) = 5), (SELECT unnest([1 / 3.0::DOUBLE, 2 / 3.0::DOUBLE]) AS q)
+ UNION ALL {step}),
+ed AS (SELECT user_id, channel, win, list_sort(list(h[3])) AS e FROM ends JOIN mk USING (user_id, f) GROUP BY ALL),
+sp AS (SELECT *, greatest(e[2] - e[1], 1e-9) AS span FROM ed),
+ap AS (SELECT *, CASE WHEN e[2] - e[1] < 0.05 * span THEN [(e[1] + e[2]) / 2 - 0.025 * span, (e[1] + e[2]) / 2 + 0.025 * span] ELSE e END AS i FROM sp),
+md AS (SELECT user_id, win, unnest(['value', 'k']) AS channel, unnest([median(value), median(k)]) AS x FROM dealt GROUP BY user_id, win),
+os AS (SELECT user_id, CAST(win AS INT) AS win, max(CASE WHEN channel = 'value' THEN CAST(x >= i[1] AS INT) + CAST(x >= i[2] AS INT) END) AS value, max(CASE WHEN channel = 'k' THEN CAST(x >= i[1] AS INT) + CAST(x >= i[2] AS INT) END) AS k FROM md JOIN ap USING (user_id, win, channel) GROUP BY ALL)"""
+
+
+#: Tails by Simpson's rule, since there is no erfc: the integral of exp(-t * t) from x on, 8 further, in 4,000 steps.
+_TAIL = "(2 / sqrt(pi()) * 8 / 4000 / 3 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(({0}) + i * 8.0 / 4000) * (({0}) + i * 8.0 / 4000)))))"
+_BINOMIAL = "least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0)))))"
+_CHI2 = "CASE WHEN b + c = 0 THEN 0.0 ELSE CAST((abs(b - c) - 1) * (abs(b - c) - 1) AS DOUBLE) / (b + c) END"
+_SIDE = "max(CASE WHEN budget = {0} THEN CAST(correct AS INT) END)"
+
+
 def oracle_sql() -> dict[str, str]:
     pat = f"{_text()} AS pattern"
     edges = lambda make: " UNION ALL ".join(f"SELECT '{c}' AS channel, CAST(unnest(range(0, len(x))) AS INT) AS k, round(unnest(x), 6) AS edge FROM (SELECT {make(c)} AS x FROM lineitem)" for c in ROW)
@@ -155,8 +199,13 @@ def oracle_sql() -> dict[str, str]:
         "dictionary": f"{'WITH ' + CODED.format(WEIGHTS)} SELECT item, item_id FROM words",
         "encode_ids": f"{'WITH ' + CODED.format(WEIGHTS)} SELECT ids, weight FROM coded",
         "txn_text_roundtrip": f"{'WITH ' + CODED.format(BASKETS)} SELECT ids AS line, weight AS n FROM coded",
-        "txn_profile": f"WITH {BASKETS} SELECT count(*) AS n_txns, CAST(sum(len(items)) AS BIGINT) AS n_items, CAST(min(len(items)) AS BIGINT) AS min_len, CAST(max(len(items)) AS BIGINT) AS max_len, avg(len(items)) AS mean_len, (SELECT count(DISTINCT i) FROM (SELECT unnest(items) AS i FROM b)) AS n_distinct FROM b",
+        "txn_profile": f"WITH {BASKETS} SELECT count(*) AS n_txns, CAST(sum(len(items)) AS BIGINT) AS n_items, CAST(min(len(items)) AS BIGINT) AS min_len, CAST(max(len(items)) AS BIGINT) AS max_len, avg(len(items)) AS mean_len, min(list_min(items)) AS min_item, max(list_max(items)) AS max_item, (SELECT count(DISTINCT i) FROM (SELECT unnest(items) AS i FROM b)) AS n_distinct FROM b",
         "reduce_infrequent": f"WITH {WEIGHTS}, good AS (SELECT item FROM (SELECT unnest(items) AS item, weight FROM w) GROUP BY item HAVING sum(weight) >= {_least(0.3)}), g AS (SELECT list(item) AS ok FROM good), r AS (SELECT list_sort(list_filter(items, lambda x: list_contains(ok, x))) AS items, weight FROM w, g) SELECT {pat}, CAST(sum(weight) AS BIGINT) AS weight FROM r WHERE len(items) > 0 GROUP BY items",
+        "reduction_rates": f"""WITH {BASKETS}, sup AS (SELECT item FROM (SELECT unnest(items) AS item, weight FROM w) GROUP BY item HAVING sum(weight) >= {_least(0.15)}), g AS (SELECT list(item) AS ok FROM sup),
+            r AS (SELECT list_filter(items, lambda x: list_contains(ok, x)) AS items, weight FROM w, g), z AS (SELECT * FROM r WHERE len(items) > 0),
+            a AS (SELECT CAST(sum(weight) AS BIGINT) AS n_txns_before, CAST(sum(weight * len(items)) AS BIGINT) AS n_items_before, (SELECT count(DISTINCT i) FROM (SELECT unnest(items) AS i FROM w)) AS n_kinds_before FROM w),
+            c AS (SELECT CAST(coalesce(sum(weight), 0) AS BIGINT) AS n_txns_after, CAST(coalesce(sum(weight * len(items)), 0) AS BIGINT) AS n_items_after, (SELECT count(DISTINCT i) FROM (SELECT unnest(items) AS i FROM z)) AS n_kinds_after FROM z)
+            SELECT *, 1 - n_txns_after / n_txns_before AS n_txns_gone, 1 - n_items_after / n_items_before AS n_items_gone, 1 - n_kinds_after / n_kinds_before AS n_kinds_gone FROM a, c""",
         "replicate_invariance": f"WITH {WEIGHTS}, {_frequent(0.05)}, {_maximal()} SELECT {pat}, 4 * support AS support FROM mx",
         "item_support": f"WITH {WEIGHTS} SELECT item, CAST(sum(weight) AS BIGINT) AS support FROM (SELECT unnest(items) AS item, weight FROM w) GROUP BY item",
         "frequent_itemsets": frequent,
@@ -170,8 +219,14 @@ def oracle_sql() -> dict[str, str]:
         "basket_frequent": f"WITH {BASKETS}, {_frequent(0.02)} {mined} f",
         "basket_maximal": f"WITH {BASKETS}, {_frequent(0.02)}, {_maximal()} {mined} mx",
         "support_of_sets": f"WITH {WEIGHTS}, fl AS (SELECT DISTINCT i FROM (SELECT unnest(items) AS i FROM w) WHERE starts_with(i, 'flag=') OR starts_with(i, 'l_tax=')), ps AS (SELECT [a.i, b.i] AS items FROM fl a JOIN fl b ON a.i < b.i) SELECT {_text('ps.items')} AS pattern, CAST(coalesce(sum(weight), 0) AS BIGINT) AS support FROM ps LEFT JOIN w ON list_has_all(w.items, ps.items) GROUP BY ps.items",
-        "closure_check": f"WITH {WEIGHTS}, {_frequent(0.05)} SELECT count(*) AS n_frequent, CAST(sum(support) AS BIGINT) AS sum_support, CAST(max(len(items)) AS INT) AS longest, CAST(0 AS BIGINT) AS missing FROM f",
-        "planted_recall": "SELECT CAST(10 AS BIGINT) AS planted, CAST(10 AS BIGINT) AS found",
+        "closure_check": f"WITH {WEIGHTS}, {_frequent(0.05)} SELECT count(*) AS n_frequent, CAST(sum(support) AS BIGINT) AS sum_support, CAST(max(len(items)) AS INT) AS longest, (SELECT count(*) FROM (SELECT DISTINCT list_filter(items, lambda y: y <> x) AS part FROM (SELECT items, unnest(items) AS x FROM f WHERE len(items) > 1)) WHERE part NOT IN (SELECT items FROM f)) AS missing FROM f",
+        "planted_recall": f"""WITH r AS (SELECT unnest(range(4000)) AS txn_id), p AS (SELECT unnest(range(10)) AS p),
+            hits AS (SELECT txn_id, unnest(range(p * 4 + 1, p * 4 + 5)) AS item FROM r, p WHERE {_roll("txn_id || ':' || p")} % 10000 < 2000),
+            fuzz AS (SELECT txn_id, {_roll("txn_id || '+' || k")} % 200 + 41 AS item FROM r, (SELECT unnest(range(1, 4)) AS k)),
+            t AS (SELECT DISTINCT * FROM (SELECT * FROM hits UNION ALL SELECT * FROM fuzz)),
+            whole AS (SELECT p, count(*) AS support FROM (SELECT p, txn_id FROM p JOIN t ON item BETWEEN p * 4 + 1 AND p * 4 + 4 GROUP BY p, txn_id HAVING count(*) = 4) GROUP BY p HAVING count(*) >= 600),
+            more AS (SELECT DISTINCT w.p FROM whole w, (SELECT DISTINCT item FROM t) x WHERE x.item NOT BETWEEN w.p * 4 + 1 AND w.p * 4 + 4 AND (SELECT count(*) FROM (SELECT txn_id FROM t WHERE item = x.item OR item BETWEEN w.p * 4 + 1 AND w.p * 4 + 4 GROUP BY txn_id HAVING count(*) = 5)) >= 600)
+            SELECT (SELECT count(*) FROM p) AS planted, count(*) AS found FROM whole WHERE p NOT IN (SELECT p FROM more)""",
         "sensor_maximal": f"WITH {SENSOR_W}, {_frequent(0.1)}, {_maximal()} {mined} mx",
         "sensor_maximal_vertical": f"WITH {SENSOR_W}, {_frequent(0.1)}, {_maximal()} {mined} mx",
         "class_spec_join": "SELECT r_name AS cls, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
@@ -181,9 +236,12 @@ def oracle_sql() -> dict[str, str]:
         "stage_pools": f"WITH {POOLS} SELECT {pat}, stage, support FROM pool",
         "first_stage": f"WITH {POOLS} SELECT {pat}, stage, support FROM fst",
         "cumulative_pool": f"WITH {POOLS} SELECT stage, pool, CAST(cum_pool AS BIGINT) AS cum_pool FROM cum",
-        "coverage_curve": f"WITH {POOLS} SELECT stage, CAST(truth_found AS BIGINT) AS truth_found, CAST(cum_pool AS BIGINT) AS cum_pool, truth_found / (SELECT count(*) FROM truth) AS coverage, truth_found / cum_pool AS precision, true AS monotone FROM cum",
+        "coverage_curve": f"WITH {POOLS} SELECT stage, CAST(truth_found AS BIGINT) AS truth_found, CAST(cum_pool AS BIGINT) AS cum_pool, truth_found / (SELECT count(*) FROM truth) AS coverage, truth_found / cum_pool AS precision, coalesce(truth_found >= lag(truth_found) OVER (ORDER BY stage), true) AS monotone FROM cum",
         "prefix_coverage": f"WITH {POOLS}, p AS (SELECT items, row_number() OVER (ORDER BY support DESC, items) AS i, count(*) OVER () AS n FROM pool WHERE stage = 8), g AS (SELECT unnest([0.1, 0.25, 0.5, 1.0])::DOUBLE AS fraction) SELECT fraction, count(*) AS found, count(*) FILTER (WHERE items IN (SELECT items FROM truth)) AS truth_found, (SELECT count(*) FROM truth) AS n_truth, count(*) FILTER (WHERE items IN (SELECT items FROM truth)) / (SELECT count(*) FROM truth) AS coverage FROM g JOIN p ON i <= greatest(1, CAST(round_even(fraction * n, 0) AS INT)) GROUP BY fraction",
-        "identity_gate": f"WITH {POOLS} SELECT stage, count(*) AS n_mine, count(*) AS n_gold, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, true AS identical FROM pool WHERE stage <= 4 GROUP BY stage",
+        "identity_gate": f"""WITH {POOLS}, alone AS (SELECT stage, sub.items, CAST(sum(weight) AS BIGINT) AS support FROM (SELECT stage, least FROM stg WHERE stage <= 4) x, sub GROUP BY stage, least, sub.items HAVING sum(weight) >= least),
+            own AS (SELECT * FROM alone a WHERE NOT EXISTS (SELECT 1 FROM alone b WHERE b.stage = a.stage AND len(b.items) > len(a.items) AND list_has_all(b.items, a.items))),
+            fj AS (SELECT coalesce(o.stage, p.stage) AS stage, o.items IS NOT NULL AS mine, p.items IS NOT NULL AS gold FROM own o FULL JOIN (SELECT * FROM pool WHERE stage <= 4) p ON o.stage = p.stage AND o.items = p.items AND o.support = p.support)
+            SELECT stage, count(*) FILTER (WHERE mine) AS n_mine, count(*) FILTER (WHERE gold) AS n_gold, CAST(count(*) FILTER (WHERE NOT mine) AS BIGINT) AS missing, CAST(count(*) FILTER (WHERE NOT gold) AS BIGINT) AS extra, count(*) FILTER (WHERE NOT (mine AND gold)) = 0 AS identical FROM fj GROUP BY stage""",
         "contingency": f"WITH {TABLE} SELECT {pat}, pos, cnt, npos, n FROM ct",
         "truth_patterns": f"WITH {TABLE} SELECT {pat}, pos, cnt FROM ct WHERE cnt >= 20 AND CAST(pos AS DOUBLE) / cnt >= 0.3",
         "class_support_pivot": f"WITH {LABELLED_W}, {_frequent(0.1)}, {_maximal()} SELECT {_text('m.items')} AS pattern, " + ", ".join(f"coalesce(sum(CASE WHEN cls = '{c}' THEN weight END), 0) / (SELECT sum(weight) FROM t WHERE cls = '{c}') AS sup_{c}" for c in "ANR") + " FROM mx m LEFT JOIN t ON list_has_all(t.items, m.items) GROUP BY m.items",
@@ -203,6 +261,26 @@ def oracle_sql() -> dict[str, str]:
         "fpr_cells": f"WITH {CALLS}, a AS (SELECT model, cond, grp, count(*) AS n, CAST(sum(CAST(NOT correct AS INT)) AS BIGINT) AS fp FROM fa WHERE truth = 'normal' GROUP BY 1, 2, 3) SELECT *, fp / n AS fpr FROM a",
         "macro_cells": f"WITH {CALLS}, a AS ({acc('model, cond, grp')}) SELECT model, cond, count(*) AS cells, round(avg(k / n), 9) AS mean, round(stddev_samp(k / n), 9) AS std FROM a GROUP BY 1, 2",
         "mcnemar_chi2": f"WITH {PAIRED} SELECT *, CASE WHEN b + c = 0 THEN 0.0 ELSE CAST((abs(b - c) - 1) * (abs(b - c) - 1) AS DOUBLE) / (b + c) END AS chi2 FROM mc",
+        "mcnemar_exact": f"WITH {PAIRED} SELECT model, b, c, round({_BINOMIAL}, 9) AS p, round(least(1.0, {_TAIL.format(f'sqrt(({_CHI2}) / 2)')}), 9) AS p_chi2, CASE WHEN b > c THEN 'better' WHEN b < c THEN 'worse' ELSE 'equal' END AS direction FROM mc",
+        "budget_contrasts": f"""WITH {CALLS}, pairs AS (SELECT unnest([0, 1, 2, 0]) AS lo, unnest([1, 2, 3, 3]) AS hi),
+            cs AS (SELECT lo, hi, model, case_key, max(CASE WHEN budget = lo THEN CAST(correct AS INT) END) AS x, max(CASE WHEN budget = hi THEN CAST(correct AS INT) END) AS y FROM fa, pairs GROUP BY ALL),
+            mc AS (SELECT lo, hi, model, count(*) AS n_paired, count(*) FILTER (WHERE x = 0 AND y = 1) AS b, count(*) FILTER (WHERE x = 1 AND y = 0) AS c FROM cs WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)
+            SELECT CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, model, n_paired, b, c, {_CHI2} AS chi2 FROM mc""",
+        "budget_peak": f"""WITH {CALLS}, a AS (SELECT model, budget, avg(CAST(correct AS INT)) AS acc FROM fa GROUP BY ALL), t AS (SELECT model, arg_max(budget, (acc, -budget)) AS peak FROM a WHERE budget > 0 GROUP BY model),
+            cs AS (SELECT model, peak, case_key, max(CASE WHEN budget = 0 THEN CAST(correct AS INT) END) AS x, max(CASE WHEN budget = peak THEN CAST(correct AS INT) END) AS y FROM fa JOIN t USING (model) GROUP BY ALL),
+            mc AS (SELECT model, peak, count(*) AS n_paired, count(*) FILTER (WHERE x = 0 AND y = 1) AS b, count(*) FILTER (WHERE x = 1 AND y = 0) AS c FROM cs WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)
+            SELECT model, peak, n_paired, b, c, {_CHI2} AS chi2 FROM mc""",
+        "online_states": f"{_markers('textbook')} SELECT * FROM os",
+        "online_states_shifted": f"{_markers('shifted')} SELECT * FROM os",
+        "online_vs_offline": f"""{_markers('textbook')}, oe AS (SELECT {_quantiles('value')} AS e FROM s),
+            off AS (SELECT user_id, CAST(win AS INT) AS win, {_bin('med', 'e')} AS state FROM (SELECT user_id, win, median(value) AS med FROM dealt GROUP BY ALL), oe),
+            seg AS (SELECT *, CAST(least(4, win * 5 // (max(win) OVER (PARTITION BY user_id) + 1)) AS INT) AS segment FROM off)
+            SELECT segment, count(*) AS n, CAST(sum(CAST(state = value AS INT)) AS BIGINT) AS same, sum(CAST(state = value AS INT)) / count(*) AS agreement FROM seg JOIN os USING (user_id, win) GROUP BY segment""",
+        "candidate_join": f"WITH {WEIGHTS}, {_frequent(0.05)}, two AS (SELECT items FROM f WHERE len(items) = 2), j AS (SELECT list_concat(a.items, [b.items[2]]) AS items FROM two a JOIN two b ON a.items[1] = b.items[1] AND a.items[2] < b.items[2]) SELECT {pat} FROM j WHERE items[2:3] IN (SELECT items FROM two)",
+        "levelwise_resumed": frequent,
+        "truth_top": f"WITH {TABLE} SELECT {pat}, CAST(row_number() OVER (ORDER BY pos DESC, items) AS INT) AS rank, pos, cnt FROM ct WHERE cnt >= 20 AND CAST(pos AS DOUBLE) / cnt >= 0.3 QUALIFY row_number() OVER (ORDER BY pos DESC, items) <= 10",
+        "minsup_library": f"WITH {LABELLED_W}, {_frequent(0.05, out='mx')}, {CONTINGENCY}, r AS (SELECT *, {LIFT['rate']} AS lift FROM ct WHERE len(items) >= 2) SELECT {pat}, CAST(row_number() OVER (ORDER BY lift DESC, pos DESC, items) AS INT) AS rank, pos, cnt, lift FROM r QUALIFY row_number() OVER (ORDER BY lift DESC, pos DESC, items) <= 8",
+        "result_fingerprint": f"WITH {WEIGHTS}, {_frequent(0.05)}, {_maximal()} SELECT count(*) AS n, md5(string_agg({_text()} || ':' || support, chr(10) ORDER BY {_text()})) AS md5 FROM mx",
         "holm_adjust": f"WITH {PAIRED}, p AS (SELECT model, (c % 7 + 1) / 100.0 AS p FROM mc), q AS (SELECT model, CAST(p AS DOUBLE) AS p, (count(*) OVER () - row_number() OVER (ORDER BY p, model) + 1) * CAST(p AS DOUBLE) AS step FROM p) SELECT model, p, least(1.0, max(step) OVER (ORDER BY p, model)) AS p_holm FROM q",
         "budget_curve": f"WITH {CALLS}, a AS (SELECT model, budget, count(*) AS n, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS k, sum(CAST(correct AS INT)) / count(*) AS accuracy FROM fa GROUP BY 1, 2) SELECT *, accuracy - (SELECT accuracy FROM a z WHERE z.model = a.model AND z.budget = 0) AS gain FROM a",
         "prompt_render": f"""WITH {SERIES_W} SELECT user_id, win, md5('Pump diagnosis.' || chr(10) || 'Observed states: ' || {_text('items', ', ')} || chr(10) || 'Known patterns:' || chr(10) || '- value=2 (support in anomalous windows 0.250, lift 2.50)' || chr(10) || '- k=1 (support in anomalous windows 0.125, lift only in anomalous windows)' || chr(10) || 'Answer with JSON: {{"diagnosis": "normal or anomalous", "cited_patterns": [], "reason": ""}}') AS prompt_md5 FROM sw""",
@@ -210,6 +288,35 @@ def oracle_sql() -> dict[str, str]:
         "speedup_pivot": f"WITH r AS ({RUNS}), x AS (SELECT dataset, max(CASE WHEN engine = 'F' THEN median END) AS base_median, max(CASE WHEN engine = 'O' THEN median END) AS other_median FROM r GROUP BY dataset) SELECT dataset, round(base_median, 6) AS base_median, round(other_median, 6) AS other_median, round(base_median / other_median, 6) AS speedup FROM x",
         "flagship": f"WITH {TABLE} SELECT {pat}, pos, cnt, npos, n, {LIFT['pos']} AS lift FROM ct",
     }
+    ids = f"WITH {CODED.format(WEIGHTS + ', ' + _frequent(0.05) + ', ' + _maximal())}, cs AS (SELECT m.items, m.support, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY item_id) AS ids FROM (SELECT items, support, unnest(items) AS item FROM mx) m JOIN words USING (item) GROUP BY m.items, m.support)"
+    lines = "lines AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN [] WHEN 1 THEN list_sort(list_distinct([CAST(l_linenumber AS INT), CAST(l_suppkey % 5 AS INT)])) ELSE list_sort(list_distinct([7, CAST(l_partkey % 4 AS INT)])) END AS t FROM lineitem)"
+    join = lambda x: f"array_to_string(list_transform({x}, lambda v: CAST(v AS VARCHAR)), ' ')"
+    out |= {
+        "sensor_files": f"WITH {SERIES} SELECT event_type AS kind, count(*) AS n, CAST(1 AS BIGINT) AS runs, CAST(count(*) - 1 AS INT) AS last_seq, round(sum(value), 4) AS value, CAST(sum(label) AS BIGINT) AS positives FROM s GROUP BY 1",
+        "turbofan_text": "SELECT CAST(o_custkey % 20 AS INT) AS bucket, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS cycles, round(sum(o_totalprice), 2) AS op1, CAST(sum(length(o_orderstatus)) AS DOUBLE) AS s1, CAST(0 AS BIGINT) AS s2 FROM orders GROUP BY 1",
+        "labelled_csv": "SELECT l_returnflag AS label, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS price, round(sum(l_tax), 4) AS tax FROM lineitem GROUP BY 1",
+        "telemetry_gz": f"WITH {SERIES}, h AS (SELECT * FROM s ORDER BY event_id LIMIT 1000), x AS (SELECT 'value' AS channel, value AS x FROM h UNION ALL SELECT 'k', k FROM h) SELECT channel, count(x) AS n, round(sum(x), 4) AS total, (SELECT count(*) - 1 FROM h) AS last_seq FROM x GROUP BY channel",
+        "signal_arrays": "SELECT 'X_DE_time' AS channel, CAST(count(*) AS INT) AS n, round(sum(round(CAST(embedding[1] AS DOUBLE), 6)), 4) AS total FROM embeddings WHERE label IS NOT NULL GROUP BY label",
+        "txn_lines": f"WITH {lines}, m AS (SELECT 'kept' AS mode, t FROM lines UNION ALL SELECT 'dropped', t FROM lines WHERE len(t) > 0 UNION ALL SELECT 'shifted', list_filter(list_transform(t, lambda v: v - 1), lambda v: v >= 0) FROM lines) SELECT mode, {join('t')} AS line, count(*) AS n FROM m GROUP BY 1, 2",
+        "dictionary_file": f"{'WITH ' + CODED.format(WEIGHTS)} SELECT item, item_id FROM words",
+        "labels_file": "SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS INT) AS position, r_name AS label FROM region",
+        "txn_labels": "SELECT CAST(toxic AS VARCHAR) AS label, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM labels GROUP BY 1",
+        "patterns_file": f"WITH {TABLE}, {_library(8, 0.05, 0.9)} SELECT {pat}, sup_anom, lift FROM lib",
+        "summary_file": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
+        "results_file": f"WITH {WEIGHTS}, {_frequent(0.05)}, {_maximal()} SELECT {pat}, support FROM mx",
+        "results_header": f"{ids} SELECT 'transactions' AS key, CAST((SELECT sum(weight) FROM w) AS VARCHAR) AS value UNION ALL SELECT 'items', CAST((SELECT count(*) FROM words) AS VARCHAR) UNION ALL SELECT 'sets', CAST((SELECT count(*) FROM mx) AS VARCHAR)",
+        "decoded_file": f"WITH {WEIGHTS}, {_frequent(0.05)}, {_maximal()} SELECT support || chr(9) || {_text(by=', ')} AS line FROM mx",
+        "stage_file": f"WITH {CODED.format(POOLS)} SELECT stage, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY item_id) AS ids, support FROM (SELECT stage, items, support, unnest(items) AS item FROM pool WHERE stage <= 4) JOIN words USING (item) GROUP BY stage, items, support",
+        "sets_files": f"{ids} SELECT 'semicolon' AS form, len(items) || ';' || support || ';' || ids AS line FROM cs UNION ALL SELECT 'ratio', ids || ' ' || printf('%.6f', round(support / (SELECT sum(weight) FROM w), 9)) FROM cs",
+        "append_log": f"WITH {CALLS} SELECT model, cond, count(*) AS n, (SELECT count(*) FROM cl) AS appended FROM cl GROUP BY 1, 2",
+        "call_file": f"WITH {CALLS} SELECT model, cond, count(*) AS n FROM cl WHERE NOT starts_with(reply, '__ERROR__') AND case_key % 10 <> 3 GROUP BY 1, 2",
+        "file_checksums": "SELECT CAST(octet_length(encode(t)) AS BIGINT) AS bytes, md5(t) AS md5, sha256(t) AS sha256 FROM (SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS t FROM region)",
+        "run_logs": "WITH r AS (SELECT o_totalprice, o_orderstatus = 'F' AS ok FROM orders WHERE o_orderkey % 50 = 1), p AS (SELECT 'counting' AS phase, ok, o_totalprice AS ms FROM r UNION ALL SELECT 'merge', ok, 1.5 FROM r) SELECT phase, ok, count(*) AS n, round(sum(ms), 2) AS ms FROM p GROUP BY 1, 2",
+        "validation_report": f"""WITH {WEIGHTS}, {_frequent(0.05)}, {_maximal()}, f2 AS (SELECT * FROM f WHERE support >= {_least(0.2)}), {_maximal('f2', 'mx2')},
+            tm AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'rows-0.05' ELSE 'rows-0.2' END AS config, round(median(o_totalprice), 4) AS median_s FROM orders GROUP BY 1),
+            v AS (SELECT 'rows-0.05' AS config, count(*) AS n_mine, count(*) AS n_gold FROM mx UNION ALL SELECT 'rows-0.2', count(*), count(*) FILTER (WHERE NOT list_contains(items, 'status=F')) FROM mx2)
+            SELECT config, n_mine, n_gold, CAST(0 AS BIGINT) AS missing, n_mine - n_gold AS extra, median_s, CASE WHEN n_mine = n_gold THEN 'PASS' ELSE 'FAIL' END AS verdict FROM v JOIN tm USING (config)""",
+    }
     for name, expr in LIFT.items():
         out[f"lift_{name}"] = f"WITH {TABLE} SELECT {pat}, {expr} AS lift FROM ct"
     return out

@@ -51,15 +51,19 @@ def labelled_rows(spark: SparkSession, path: str, schema: T.StructType, label: s
     return spark.read.csv(path, schema=schema, header=True, encoding="UTF-8", enforceSchema=True).withColumnRenamed(label, "label")
 
 
-def telemetry(spark: SparkSession, path: str, order: str, rows: int | None = None, drop: str = "^(time|attack.*)$") -> tuple[DataFrame, list[str]]:
-    """Compressed CSV with unknown channels: (rows with seq, numeric channels). ``rows`` keeps the first by ``order``."""
-    df = spark.read.csv(path, header=True, inferSchema=True)
+def telemetry(spark: SparkSession, path: str, order: str, rows: int | None = None, drop: str = "^(time|attack.*)$", schema: T.StructType | str | None = None) -> tuple[DataFrame, list[str]]:
+    """Compressed CSV: (rows with seq, numeric channels). ``rows`` keeps the first by ``order``. Where channels are not known, types are
+    taken from the files in a pass of their own; a ``schema`` spares it."""
+    import re
+
+    from patternlake.operators.windows import position
+
+    df = spark.read.csv(path, header=True, schema=schema) if schema else spark.read.csv(path, header=True, inferSchema=True)
     if rows is not None:
         df = df.orderBy(order).limit(rows)
-    import re
 
     channels = [n for n, t in df.dtypes if not re.match(drop, n) and t in ("int", "bigint", "double", "float") and n != order]
-    return df.withColumn("seq", F.row_number().over(Window.orderBy(order)) - 1), channels
+    return position(df, [order]), channels
 
 
 def mat_arrays(data: bytes) -> dict[str, np.ndarray]:
@@ -156,6 +160,12 @@ def results_text(lines: DataFrame) -> DataFrame:
     return hit.select(F.array_sort(ids).alias("items"), F.regexp_extract("value", RESULT_LINE, 4).cast("long").alias("support"))
 
 
+def results_header(lines: DataFrame) -> DataFrame:
+    """(key, value) of the header lines "# key: value"."""
+    pattern = r"^#\s*([^:]+):\s*(.*)$"
+    return lines.where(F.col("value").rlike(pattern)).select(F.regexp_extract("value", pattern, 1).alias("key"), F.regexp_extract("value", pattern, 2).alias("text")).withColumnRenamed("text", "value")
+
+
 def stage_results_text(lines: DataFrame, header: str = r"(?i)^\W*stage\D*(\d+)") -> DataFrame:
     """(stage, items, support): each result line belongs to the last stage header before it. ``lines`` is (file, line_no, value)."""
     from patternlake.operators.windows import carry_forward
@@ -169,8 +179,8 @@ def stage_results_text(lines: DataFrame, header: str = r"(?i)^\W*stage\D*(\d+)")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): result files are small, one row per file when read."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    """(file, line_no, value), file as a whole path, since names may repeat in other folders: result files are small, one row per file when read."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
@@ -186,9 +196,9 @@ def call_log(spark: SparkSession, path: str, schema: str = CALLS) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, md5) for verifying a download."""
+    """(file, bytes, md5, sha256) for verifying a download."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.md5("content").alias("md5"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
 
 
 def run_log(lines: DataFrame) -> DataFrame:

@@ -30,14 +30,38 @@ def summary_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def results_text(sets: DataFrame, total: int, path: str) -> None:
-    """Result lines, the most frequent first; the inverse of readers.results_text."""
-    from pyspark.sql.window import Window
+def _result_lines(sets: DataFrame, total: int, by: list[str] | None = None) -> DataFrame:
+    """(by, n, value): numbered result lines of each group, the most frequent first."""
+    from patternlake.operators.windows import position
 
-    n = F.row_number().over(Window.orderBy(F.desc("support"), "items"))
     ids = F.array_join(F.transform("items", lambda x: x.cast("string")), " ")
-    line = F.format_string("%dth: %d { %s } support: %s frequency: %d", n, F.size("items"), ids, (F.col("support") / total).cast("string"), F.col("support"))
-    sets.select(line.alias("value")).write.mode("overwrite").text(path)
+    numbered = position(sets.select(*(by or []), "items", "support", (-F.col("support")).alias("__s"), ids.alias("__ids")), [*(by or []), "__s", "items"], by)
+    line = F.format_string("%dth: %d { %s } support: %s frequency: %d", F.col("seq") + 1, F.size("items"), F.col("__ids"), (F.col("support") / total).cast("string"), F.col("support"))
+    return numbered.select(*(by or []), (F.col("seq") + 1).alias("n"), line.alias("value"))
+
+
+def results_text(sets: DataFrame, total: int, path: str, header: dict | None = None) -> None:
+    """Result lines, the most frequent first, under a ``header`` of "key: value" lines; the inverse of readers.results_text."""
+    lines = _result_lines(sets, total)
+    if header:
+        top = sets.sparkSession.createDataFrame([(k - len(header), f"# {name}: {value}") for k, (name, value) in enumerate(header.items())], "n long, value string")
+        lines = lines.select("n", "value").union(top)
+    lines.repartitionByRange("n").sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+
+
+def stage_results_text(pools: DataFrame, total: int, path: str) -> None:
+    """A file for each stage of (stage, items, support): its header, then its result lines."""
+    lines = _result_lines(pools, total, ["stage"])
+    heads = pools.select("stage").distinct().select("stage", F.lit(0).cast("long").alias("n"), F.concat(F.lit("=== stage "), F.col("stage").cast("string"), F.lit(" ===")).alias("value"))
+    both = lines.select("stage", "n", "value").union(heads).withColumn("file", F.col("stage"))
+    both.repartition("file").sortWithinPartitions("file", "n").select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
+
+
+def sets_decoded(sets: DataFrame, words: DataFrame, path: str) -> None:
+    """support<tab>items by name"""
+    from patternlake.operators.transactions import decode
+
+    decode(sets, words).select(F.concat_ws("\t", F.col("support").cast("string"), F.array_join("items", ", ")).alias("value")).write.mode("overwrite").text(path)
 
 
 def sets_semicolon(sets: DataFrame, path: str) -> None:
