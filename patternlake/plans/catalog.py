@@ -49,7 +49,8 @@ def items_rowwise(spark, d):
 
 
 def channel_select_variance(spark, d):
-    return select_channels(f.sensors(spark, d), f.DIMS).select("position", "channel", F.round("variance", 9).alias("variance"))
+    """Of all components of the vectors the 25 first that vary enough."""
+    return select_channels(f.wide_sensors(spark, d), [f"d{i}" for i in range(64)]).select("position", "channel", F.round("variance", 9).alias("variance"))
 
 
 def empty_bins(spark, d):
@@ -87,9 +88,9 @@ def tail_label_units(spark, d):
 
 
 def signal_features(spark, d):
-    """RMS, corrected kurtosis and peak-to-peak of tumbling windows over the sensor channels."""
-    aggs = [F.round(x, 6).alias(f"{n}_{c}") for c in f.DIMS[:2] for n, x in (("rms", features.rms(c)), ("kurt", features.kurtosis_unbiased(c)), ("pp", features.peak_to_peak(c)))]
-    return windows.count_windows(f.sensors(spark, d), ["label"], ["vec_id"], 16, 16, aggs)
+    """RMS, corrected kurtosis and peak-to-peak of tumbling windows over every component of the vectors."""
+    aggs = [F.round(x, 6).alias(n) for n, x in (("rms", features.rms("x")), ("kurt", features.kurtosis_unbiased("x")), ("pp", features.peak_to_peak("x")))]
+    return windows.count_windows(f.channels_long(spark, d), ["label", "channel"], ["vec_id"], 16, 16, aggs)
 
 
 def progress_segments(spark, d):

@@ -74,6 +74,17 @@ def sensors(spark, sf_dir) -> DataFrame:
     return e.select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(DIMS)])
 
 
+def channels_long(spark, sf_dir) -> DataFrame:
+    """embeddings with a row for each of a vector's components: label, vec_id, channel, x."""
+    e = table(spark, sf_dir, "embeddings").where("label is not null")
+    return e.select("label", "vec_id", F.posexplode("embedding").alias("channel", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+def wide_sensors(spark, sf_dir, channels: int = 64) -> DataFrame:
+    """embeddings with every component as a channel."""
+    return table(spark, sf_dir, "embeddings").select("label", "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"d{i}") for i in range(channels)])
+
+
 def sensor_windows(spark, sf_dir, size: int = 10, hop: int = 5) -> DataFrame:
     """(label, win, items): windows over the eight sensor channels, with edges of the whole table."""
     s = sensors(spark, sf_dir)

@@ -184,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
         "edges_equal_width": edges(_widths),
         "bin_histogram": f"WITH {STATES} SELECT channel, CAST(state AS INT) AS state, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS channel, {c} AS state FROM st" for c in ROW) + ") GROUP BY 1, 2",
         "items_rowwise": f"WITH {WEIGHTS} SELECT {pat}, weight FROM w",
-        "channel_select_variance": f"WITH {SENSORS}, v AS (" + " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS channel, var_samp({c}) AS variance FROM sn" for i, c in enumerate(DIMS)) + ") SELECT CAST(position AS INT) AS position, channel, round(variance, 9) AS variance FROM v WHERE variance > (SELECT quantile_cont(variance, 0.4) FROM v) ORDER BY position LIMIT 25",
+        "channel_select_variance": "WITH v AS (SELECT i AS position, 'd' || i AS channel, var_samp(CAST(embedding[i + 1] AS DOUBLE)) AS variance FROM embeddings, (SELECT unnest(range(64)) AS i) GROUP BY i) SELECT CAST(position AS INT) AS position, channel, round(variance, 9) AS variance FROM v WHERE variance > (SELECT quantile_cont(variance, 0.4) FROM v) ORDER BY position LIMIT 25",
         "empty_bins": f"WITH e AS (SELECT {', '.join(f'{_widths(c)} AS e_{c}' for c in ROW)} FROM lineitem), u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS channel, count(DISTINCT {_bin(c, f'e_{c}')}) AS used FROM lineitem, e" for c in ROW) + ") SELECT channel, used, 3 - used AS empty FROM u",
         "count_windows_median": _medians(20, 10),
         "windows_w15": _medians(15, 7),
@@ -193,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
         "windows_label_max": f"WITH {SERIES_W} SELECT user_id, win, {pat}, label FROM sw",
         "raw_concat_windows": f"WITH {SERIES}, {_dealt(30, 15, unit='event_type', order='user_id, ts, event_id')} SELECT event_type AS grp, CAST(win AS INT) AS win, round(median(value), 6) AS value, count(DISTINCT user_id) AS n_runs FROM dealt GROUP BY 1, 2",
         "tail_label_units": "WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle FROM events), q AS (SELECT *, max(cycle) OVER (PARTITION BY user_id) AS top FROM p) SELECT user_id, CAST(sum(CAST(cycle > (1 - 0.15) * top AS INT)) AS BIGINT) AS n_tail, count(*) AS n FROM q GROUP BY user_id",
-        "signal_features": f"WITH {SENSORS}, {_dealt(16, 16, 'sn', 'label', 'vec_id')} SELECT label, CAST(win AS INT) AS win, " + ", ".join(f"round(sqrt(avg({c} * {c})), 6) AS rms_{c}, round(kurtosis({c}), 6) AS kurt_{c}, round(max({c}) - min({c}), 6) AS pp_{c}" for c in DIMS[:2]) + " FROM dealt GROUP BY label, win",
+        "signal_features": f"WITH lg AS (SELECT label, vec_id, i AS channel, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(64)) AS i) WHERE label IS NOT NULL), {_dealt(16, 16, 'lg', 'label, channel', 'vec_id')} SELECT label, CAST(channel AS INT) AS channel, CAST(win AS INT) AS win, round(sqrt(avg(x * x)), 6) AS rms, round(kurtosis(x), 6) AS kurt, round(max(x) - min(x), 6) AS pp FROM dealt GROUP BY label, channel, win",
         "progress_segments": f"WITH {SERIES_W}, p AS (SELECT least(4, win * 5 // (max(win) OVER (PARTITION BY user_id) + 1)) AS segment FROM sw) SELECT CAST(segment AS INT) AS segment, count(*) AS n FROM p GROUP BY 1",
         "time_split_guard": f"WITH {SERIES_W}, p AS (SELECT win, CASE WHEN win < 2 THEN 'fit' WHEN win >= 4 THEN 'test' END AS part FROM sw) SELECT part, count(*) AS n, max(win) AS last FROM p WHERE part IS NOT NULL GROUP BY part",
         "dictionary": f"{'WITH ' + CODED.format(WEIGHTS)} SELECT item, item_id FROM words",

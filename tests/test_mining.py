@@ -91,6 +91,80 @@ def test_budget_marks_results(spark):
     assert all(not r["complete"] for r in got)
 
 
+@pytest.mark.parametrize("width", [18, 30])
+def test_one_wide_transaction_takes_few_nodes(width):
+    k = itemsets.Kernel(np.ones((1, width), bool), np.array([5]), 1)
+    assert k.mine(list(range(width))) == [(tuple(range(width)), 5)] and k.nodes < 100
+
+
+def test_kernel_like_brute_force():
+    """Any order of roots, all at once or each alone; no set twice."""
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n = int(rng.integers(1, 8))
+        m, least = rng.random((int(rng.integers(1, 25)), n)) < rng.choice([0.3, 0.6, 0.85]), int(rng.integers(1, 20))
+        w = rng.integers(1, 5, len(m))
+        rows = [r for x, k in zip(m, w) for r in [np.flatnonzero(x).tolist()] * k]
+        want = brute_maximal(brute(rows, least))
+        order = rng.permutation(n).tolist()
+        found = itemsets.Kernel(m, w, least).mine(order)
+        assert dict(found) == want and len(found) == len(want)
+        assert {s: c for r in range(n) for s, c in itemsets.Kernel(m, w, least).mine([r])} == want
+
+
+def test_cut_search_is_seen_without_sets(spark):
+    """A task that was stopped before it found anything still says so."""
+    rows = [sorted(np.random.default_rng(k).choice(14, size=9, replace=False).tolist()) for k in range(80)]
+    got = itemsets.maximal_vertical(frame(spark, rows), 10, max_nodes=1).collect()
+    assert any(r["items"] is None and not r["complete"] for r in got)
+    whole = itemsets.maximal_vertical(frame(spark, rows), 10).collect()
+    assert all(r["complete"] and r["items"] for r in whole)
+
+
+def test_candidates(spark):
+    sets = lambda *x: spark.createDataFrame([(list(s),) for s in x], "items array<int>")
+    got = lambda df: sorted(tuple(r["items"]) for r in df.collect())
+    assert got(itemsets.candidates(sets([1], [2], [5]))) == [(1, 2), (1, 5), (2, 5)]
+    assert got(itemsets.candidates(sets([1, 2], [1, 3], [2, 3], [2, 4]))) == [(1, 2, 3)]  # {2, 3, 4} lacks {3, 4}
+    assert got(itemsets.candidates(sets([1, 2, 3], [1, 2, 4], [1, 3, 4], [2, 3, 4], [2, 3, 5]))) == [(1, 2, 3, 4)]
+    assert got(itemsets.candidates(sets([1, 2]).limit(0))) == []
+
+
+def test_levels_resume_and_are_logged(spark):
+    rng = np.random.default_rng(8)
+    rows = [sorted(rng.choice(9, size=rng.integers(2, 7), replace=False).tolist()) for _ in range(60)]
+    t, f, log = frame(spark, rows), brute(rows, 8), []
+    every = itemsets.frequent_levelwise(t, 8, log=log)
+    assert as_dict(every) == f
+    assert [(size, n) for size, _, n in log] == [(k, sum(len(s) == k for s in f)) for k in range(2, max(map(len, f)) + 2)] and all(c >= n for _, c, n in log)
+    for upto in (1, 2):
+        assert as_dict(itemsets.frequent_levelwise(t, 8, resume=every.where(F.size("items") <= upto))) == f
+    assert as_dict(itemsets.frequent_levelwise(t, 8, resume=every)) == f
+    assert as_dict(itemsets.frequent_levelwise(t, 8, resume=every.limit(0))) == {}
+
+
+def test_powerset_refuses_wide_rows(spark):
+    wide = frame(spark, [list(range(itemsets.POWERSET_WIDTH + 1))] * 2)
+    with pytest.raises(Exception, match="frequent items"):
+        itemsets.frequent_powerset(wide, 1).collect()
+    assert as_dict(itemsets.frequent_powerset(frame(spark, [list(range(14))] * 2 + [[1, 2]] * 3), 4)) == {(1,): 5, (2,): 5, (1, 2): 5}  # rare items do not count
+
+
+def test_stages_of_wide_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [sorted(rng.choice(16, size=13, replace=False).tolist()) for _ in range(6)]
+    pool = anytime.pools(frame(spark, rows), 3)
+    for k, sets in anytime.run(frame(spark, rows), 3, "vertical"):
+        assert as_dict(pool.where(F.col("stage") == k).select("items", "support")) == as_dict(sets)
+
+
+def test_contained_by_the_rarest_item(spark):
+    t = frame(spark, [[1, 2, 3], [1, 2], [1], [1, 3], []])
+    s = spark.createDataFrame([([2, 1],), ([1],), ([3, 9],), ([1, 3],)], "items array<int>")
+    got = sorted((tuple(r["want"]), tuple(r["items"])) for r in itemsets.contained(s, t).collect())
+    assert got == sorted([((1, 2), (1, 2, 3)), ((1, 2), (1, 2)), ((1, 3), (1, 2, 3)), ((1, 3), (1, 3))] + [((1,), x) for x in ((1, 2, 3), (1, 2), (1,), (1, 3))])
+
+
 def test_broadcast_is_checked(spark, monkeypatch):
     monkeypatch.setattr(itemsets, "BROADCAST_BYTES", 1)
     with pytest.raises(ValueError, match="broadcast"):
@@ -101,7 +175,10 @@ def test_broadcast_is_checked(spark, monkeypatch):
 def test_reduce_and_profile(spark):
     t = spark.createDataFrame([([1, 2],), ([2],), ([3],), ([],)], "items array<int>")
     assert sorted(r["items"] for r in transactions.reduce(t, 2).collect()) == [[2], [2]]
+    r = transactions.reduction(transactions.compact(t), 2).first()
+    assert (r["n_txns_before"], r["n_txns_after"], r["n_items_before"], r["n_items_after"], r["n_kinds_gone"]) == (4, 2, 4, 2, 1 - 1 / 3)
     p = transactions.profile(t).first()
+    assert (p["min_item"], p["max_item"]) == (1, 3)
     assert (p["n_txns"], p["n_items"], p["min_len"], p["max_len"], p["n_distinct"]) == (4, 4, 0, 2, 3)
 
 

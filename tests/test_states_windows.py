@@ -104,6 +104,37 @@ def test_tail_segments_guard_prefixes(spark):
     assert got == {0.01: 1, 0.125: 2, 1.0: 20}
 
 
+@pytest.mark.parametrize("by", [None, ["g"]])
+def test_position(spark, by):
+    rows = [("a" if i % 3 else "b", (i * 7) % 101) for i in range(101)]
+    got = windows.position(spark.createDataFrame(rows, "g string, x int").repartition(5), [*(by or []), "x"], by).collect()
+    groups = {g: sorted(x for k, x in rows if k == g) for g in "ab"} if by else {None: sorted(x for _, x in rows)}
+    assert all(groups[r["g"] if by else None][r["seq"]] == r["x"] for r in got) and len(got) == 101
+    assert windows.position(spark.createDataFrame([], "g string, x int"), ["x"]).collect() == []
+
+
+def test_shared_folders(spark, tmp_path):
+    from patternlake import session
+
+    kept = getattr(spark.sparkContext, "_patternlake_paths", [])
+    spark.sparkContext._patternlake_paths = []
+    df = session.cut(spark.range(3), "gone")
+    assert df.count() == 3 and session.clear_shared(spark) == 1 and session.clear_shared(spark) == 0
+    spark.sparkContext._patternlake_paths = kept
+
+    class Cluster:
+        master = "spark://host:7077"
+
+    class Remote:
+        sparkContext = Cluster()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="share"):
+        session.shared_path(Remote(), "x")
+
+
 def test_carry_forward(spark):
     df = spark.createDataFrame([(0, None), (1, 5), (2, None), (3, 7)], "n int, v int")
     assert [r["o"] for r in windows.carry_forward(df, ["n"], "v", "o").orderBy("n").collect()] == [None, 5, 5, 7]
