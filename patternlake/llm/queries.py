@@ -103,6 +103,16 @@ def queries() -> dict:
     }
 
 
+OP2_SQL = """
+WITH RECURSIVE g AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT a AS node, a AS other FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON r.other = l.a),
+low AS (SELECT node, min(other) AS c FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON vec_id = node LEFT JOIN n ON vec_id = n.a
+"""
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -179,4 +189,4 @@ FROM p WINDOW w AS (PARTITION BY hex)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "url_aliases": LINKED_SQL, "op8_warc_archive": OP8_SQL}
+    return {"op2_embedding_neardup": OP2_SQL, "op6_url_filter": OP6_SQL, "url_aliases": LINKED_SQL, "op8_warc_archive": OP8_SQL}

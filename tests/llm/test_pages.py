@@ -54,6 +54,18 @@ def test_judge_like_sql(spark, pages):
     assert sorted((tuple(r[c] for c in cols) for r in urls.judge(pages, queries.RULES).collect()), key=repr) == want
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_registered_sql(spark, name):
+    """Every query with SQL over its whole table."""
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df, cur = queries.queries()[name](spark, folder), con.execute(queries.oracle_sql()[name])
+    cols = [c[0] for c in cur.description]
+    assert sorted(cols) == sorted(df.columns)
+    assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == sorted(cur.fetchall(), key=repr)
+
+
 def test_many_rules_are_joined(spark, pages, monkeypatch):
     plain = sorted(map(tuple, urls.judge(pages, queries.RULES).collect()), key=repr)
     monkeypatch.setattr(urls, "INLINE", 0)
