@@ -53,7 +53,8 @@ def compact(txns: DataFrame, items: str = "items") -> DataFrame:
 def reduce(txns: DataFrame, least: int, items: str = "items", weight: str | None = None) -> DataFrame:
     """Drop items below ``least`` and then empty transactions. Shares stay shares of all transactions: keep their number.
 
-    Only frequent items are joined back; their list is as small as the number of items.
+    Only the list of frequent items is sent out. It has at most as many as items stand in all transactions, divided by ``least``: for a share
+    of the transactions, their mean length divided by that share.
     """
     good = item_support(txns, items, weight).where(F.col("support") >= least).agg(F.collect_set("item").alias("__good"))
     out = txns.crossJoin(F.broadcast(good)).withColumn(items, F.array_sort(F.array_intersect(items, "__good"))).drop("__good")

@@ -9,8 +9,14 @@ from pyspark.sql.window import Window
 from patternlake.session import cut
 
 
-def with_position(df: DataFrame, unit: list[str], order: list[str]) -> DataFrame:
-    """Add seq (from 0 in each unit by ``order``) and n (rows of the unit)."""
+def with_position(df: DataFrame, unit: list[str], order: list[str], long_units: bool = False) -> DataFrame:
+    """Add seq (from 0 in each unit by ``order``) and n (rows of the unit).
+
+    A unit's rows are sorted by one task; with ``long_units`` they are numbered by ranges instead, so a unit may be as large as the table.
+    """
+    if long_units:
+        size = df.groupBy(*unit).agg(F.count("*").alias("n"))
+        return position(df, [*unit, *order], unit).join(size, unit).withColumn("seq", F.col("seq").cast("int"))
     w = Window.partitionBy(*unit)
     return df.withColumn("seq", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w))
 
@@ -36,13 +42,13 @@ def window_ids(size: int, hop: int) -> Column:
     return F.when((F.col("n") >= size) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def count_windows(df: DataFrame, unit: list[str], order: list[str], size: int, hop: int, aggs: list[Column]) -> DataFrame:
+def count_windows(df: DataFrame, unit: list[str], order: list[str], size: int, hop: int, aggs: list[Column], long_units: bool = False) -> DataFrame:
     """Sliding windows of ``size`` rows, one every ``hop``; the rest at a unit's end is dropped, units below ``size`` have none.
 
     Rows are numbered in their unit, dealt to their windows by arithmetic and aggregated: two shuffles on
-    keys that begin with the unit, no self-join.
+    keys that begin with the unit, no self-join. ``long_units``: see with_position.
     """
-    dealt = with_position(df, unit, order).withColumn("win", F.explode(window_ids(size, hop)))
+    dealt = with_position(df, unit, order, long_units).withColumn("win", F.explode(window_ids(size, hop)))
     return dealt.groupBy(*unit, "win").agg(*aggs)
 
 

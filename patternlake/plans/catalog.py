@@ -79,7 +79,7 @@ def windows_label_max(spark, d):
 def raw_concat_windows(spark, d):
     """Windows that cross from series to series: the units of a kind one after the other."""
     s = f.series(spark, d).withColumnRenamed("event_type", "grp").withColumn("run_id", F.col("user_id"))
-    return windows.count_windows(s, ["grp"], ["run_id", "ts", "event_id"], 30, 15, [F.round(F.median("value"), 6).alias("value"), F.countDistinct("run_id").alias("n_runs")])
+    return windows.count_windows(s, ["grp"], ["run_id", "ts", "event_id"], 30, 15, [F.round(F.median("value"), 6).alias("value"), F.countDistinct("run_id").alias("n_runs")], long_units=True)
 
 
 def tail_label_units(spark, d):
@@ -254,7 +254,7 @@ def cumulative_pool(spark, d):
 def _labelled(spark, d, share=SHARE):
     t = cut(f.labelled(spark, d), "labelled")
     w = t.groupBy("items").agg(F.sum("weight").alias("weight"))
-    every = cut(itemsets.mine(cut(w, "weights"), _least(w, share), "maximal", "powerset"), "sets")
+    every = cut(itemsets.mine(w, _least(w, share), "maximal", "powerset"), "sets")
     return t, every
 
 

@@ -28,9 +28,11 @@ def sensor_csv(spark: SparkSession, path: str, schema: T.StructType, order: str,
 
 
 def raw_concat(runs: DataFrame) -> DataFrame:
-    """Runs of a group as one unit: windows then cross from run to run."""
-    w = Window.partitionBy("grp").orderBy("run_id", "seq")
-    return runs.withColumn("seq", F.row_number().over(w) - 1).drop("run_id")
+    """Runs of a group as one unit: windows then cross from run to run. Rows are numbered by ranges, since a group may be large."""
+    from patternlake.operators.windows import position
+
+    dealt = runs.withColumnRenamed("seq", "__in_run")
+    return position(dealt, ["grp", "run_id", "__in_run"], ["grp"]).withColumn("seq", F.col("seq").cast("int")).drop("run_id", "__in_run")
 
 
 def with_classes(runs: DataFrame, spec: DataFrame) -> DataFrame:

@@ -113,6 +113,13 @@ def test_position(spark, by):
     assert windows.position(spark.createDataFrame([], "g string, x int"), ["x"]).collect() == []
 
 
+def test_long_units_give_the_same_windows(spark):
+    df = spark.createDataFrame([("uv"[i % 2], (i * 37) % 83, float(i)) for i in range(83)], "u string, i int, x double").repartition(4)
+    aggs = [F.sum("x").alias("x"), F.min("i").alias("i"), F.count("*").alias("n")]
+    plain, spread = (sorted(map(tuple, windows.count_windows(df, ["u"], ["i"], 10, 4, aggs, k).collect())) for k in (False, True))
+    assert plain == spread and len(plain) > 10
+
+
 def test_shared_folders(spark, tmp_path):
     from patternlake import session
 
