@@ -288,6 +288,20 @@ def search(words: DataFrame, block: Block, near: float, loose: float, answer: fl
     return words.mapInArrow(run, f"doc_id {kind}, item long, cosine double, lcs double, answer double, start long")
 
 
+def _row_sums(table: np.ndarray, rows: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of ``table``'s rows over stretches of ``rows`` that begin at ``cut``: the first of all stretches, then the second of all that have one, and so on."""
+    size = np.diff(np.r_[cut, len(rows)])
+    order = np.argsort(-size, kind="stable")
+    begin, size = cut[order], size[order]
+    total = np.zeros((len(cut), table.shape[1]), table.dtype)
+    for j in range(int(size[0])):
+        n = int(np.searchsorted(-size, -j))
+        total[:n] += table[rows[begin[:n] + j]]
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def _candidates(m: Block, w: np.ndarray, sizes: np.ndarray):
     """(row, item, first word, cosine) of passages whose latent cosine with an item is high enough.
 
@@ -327,7 +341,7 @@ def _candidates(m: Block, w: np.ndarray, sizes: np.ndarray):
             continue
         cut = np.flatnonzero(np.r_[True, inv[1:] != inv[:-1]])
         latent = np.zeros((len(hs) + 1, m.weighted.shape[1]), np.float32)
-        latent[:-1] = np.add.reduceat(m.weighted[k[a:z]], cut, axis=0)
+        latent[:-1] = _row_sums(m.weighted, k[a:z], cut)
         find = lambda x: np.where((i := np.minimum(np.searchsorted(hs, x), len(hs) - 1)) >= 0, np.where(hs[i] == x, i, len(hs)), len(hs))
         both = latent[find(some)] + np.where(same[some][:, None], latent[find(some + 1)], 0)
         cos = (both @ m.latent) / norm[some][:, None]
