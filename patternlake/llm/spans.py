@@ -63,9 +63,12 @@ def _numbers(words: list[str], known: dict[str, int]) -> list[int]:
     """64-bit hashes of words; ``known`` keeps them."""
     if len(known) > 800_000:
         known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    try:
+        return [known[w] for w in words]
+    except KeyError:
+        pass
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
     return [known[w] for w in words]
 
 
@@ -149,6 +152,9 @@ def repeated(docs: DataFrame, least: int = 2, words: int = 12, passage: int = 0)
         begins = np.flatnonzero(~known)
         repeats = begins[np.r_[known[1:], False][begins]]
         if hot:
+            keys = np.sort(np.fromiter((x for x, _ in hot), np.int64, len(hot)))
+            at = np.minimum(np.searchsorted(keys, m[begins, 0]), len(keys) - 1)
+            begins = begins[keys[at] == m[begins, 0]]
             for k, x in zip(begins.tolist(), map(tuple, m[begins].tolist())):
                 if x in hot:
                     if hot[x] < place(k):
