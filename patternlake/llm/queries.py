@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from patternlake.llm import decontam, langid, licenses, neardup, simhash, spans, spencode, tokenbin, urls, warc
+from patternlake.llm import decontam, fim, kmeans, langid, licenses, neardup, pii, simhash, spans, spencode, tokenbin, urls, warc
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -80,6 +80,23 @@ def op10(spark, sf_dir):
     return spans.dedup_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), passage=spans.PASSAGE)
 
 
+def op11(spark, sf_dir):
+    """Spans of personal data in every document: those of the base rules and those that boosted trees select."""
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
+def op12(spark, sf_dir):
+    return kmeans.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256, seed=2)
+
+
+def op13(spark, sf_dir):
+    """Every document rearranged, and put together again from what was written."""
+    out = fim.arrange(_table(spark, sf_dir, "documents"), fim_percent=100, spm_percent=50, seed=7)
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -99,6 +116,9 @@ def queries() -> dict:
         "op8_warc_archive": op8,
         "op9_token_shards": op9,
         "op10_span_dedup": op10,
+        "op11_pii": op11,
+        "op12_centroids": op12,
+        "op13_fill_in_middle": op13,
         "pipeline": pipeline,
     }
 
@@ -188,5 +208,35 @@ FROM p WINDOW w AS (PARTITION BY hex)
 """
 
 
+def _lloyd(rounds: int = 5, k: int = 40) -> str:
+    """Lloyd's iterations unrolled: centroids c0 .. c<rounds>, assignments a0 .. a<rounds>. Whole numbers below 2^53 are exact as doubles."""
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q FROM embeddings WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, q) - 1 AS INT) AS c, q FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v ORDER BY h, q LIMIT {k}))"""]
+    dot = "list_inner_product({}.q, {}.q)".format
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v.q, min(struct_pack(d := {dot('v', 'v')} - 2 * {dot('v', 'w')} + {dot('w', 'w')}, c := w.c)) AS best FROM v, c{r} w GROUP BY vec_id, v.q)")
+        if r < rounds:
+            mean = f"(SELECT c, list(m ORDER BY i) AS q FROM (SELECT best.c AS c, i, floor(sum(q[i]) / count(*)) AS m FROM a{r}, range(1, 65) t(i) GROUP BY ALL) GROUP BY c)"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.q, o.q) AS q FROM c{r} o LEFT JOIN {mean} n USING (c))")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(w.q, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} w ON best.c = w.c
+"""
+
+
+OP12_SQL = _lloyd()
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+  WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM t),
+c AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_neardup": OP2_SQL, "op6_url_filter": OP6_SQL, "url_aliases": LINKED_SQL, "op8_warc_archive": OP8_SQL}
+    return {"op2_embedding_neardup": OP2_SQL, "op6_url_filter": OP6_SQL, "url_aliases": LINKED_SQL, "op8_warc_archive": OP8_SQL, "op12_centroids": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
