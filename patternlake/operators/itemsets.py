@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patternlake.operators.conditional import frequent_conditional, maximal_fpmax
+from patternlake.operators.frontier import maximal_frontier
 from patternlake.operators.transactions import item_support, reduce
 from patternlake.session import cut
 
@@ -345,17 +347,11 @@ def mine(txns: DataFrame, least: int, kind: str = "maximal", strategy: str = "au
     """(items, support) of ``kind`` frequent, closed or maximal sets over (items, weight); the strategy never changes the result."""
     if strategy == "auto":
         width = txns.agg(F.max(F.size("items"))).first()[0] or 0
-        strategy = "powerset" if width <= POWERSET_WIDTH else "levelwise" if kind != "maximal" else "vertical"
-    if strategy in ("vertical", "partitioned"):
+        strategy = "powerset" if width <= POWERSET_WIDTH else "fpgrowth" if kind != "maximal" else "fpmax"
+    only = {"vertical": maximal_frontier, "fpmax": maximal_fpmax, "partitioned": maximal_partitioned}
+    if strategy in only:
         if kind != "maximal":
             raise ValueError(f"{strategy} finds maximal sets only")
-        kept, names, n, m = _kept(txns, least)
-        if strategy == "vertical" and matrix_bytes(n, m) <= BROADCAST_BYTES:
-            return _vertical(kept, names, least).select("items", "support")
-        return _partitioned(kept, least, n, m)
-    if strategy == "fpgrowth":
-        raw = txns.select("items", F.explode(F.sequence(F.lit(1), F.col("weight"))).alias("__k")).select("items")
-        found = frequent_fpgrowth(raw, least)
-    else:
-        found = {"powerset": frequent_powerset, "levelwise": frequent_levelwise}[strategy](txns, least)
+        return only[strategy](txns, least).select("items", "support")
+    found = {"powerset": frequent_powerset, "levelwise": frequent_levelwise, "fpgrowth": frequent_conditional}[strategy](txns, least)
     return {"frequent": lambda x: x, "closed": closed, "maximal": maximal}[kind](found)

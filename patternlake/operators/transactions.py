@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from patternlake.session import cut
+
 
 def min_count(total: int, min_sup: float) -> int:
     """The least count that reaches a share: whole, guarded against float error, at least 1."""
@@ -20,15 +22,26 @@ def item_support(txns: DataFrame, items: str = "items", weight: str | None = Non
     return each.groupBy("item").agg(F.sum("w").cast("long").alias("support"))
 
 
+def dense_ids(df: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
+    """``df`` with numbers ``first``, ``first`` + 1, ... in ``order``, as int.
+
+    Rows are sorted by ranges, each range counts its own, and a table of offsets, one row for each range, is added: no list of all rows in one task or on the driver.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranges = cut(df.orderBy(*order).select("*", F.spark_partition_id().alias("__range"), at.alias("__at")), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    offsets = ranges.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    return ranges.join(F.broadcast(offsets), "__range").select(*df.columns, (F.col("__offset") + F.col("__at") + first).cast("int").alias(name))
+
+
 def dictionary(txns: DataFrame, items: str = "items") -> DataFrame:
     """(item, item_id): ids from 1 in the order of items. As many rows as there are items."""
-    found = txns.select(F.explode(items).alias("item")).distinct()
-    return found.withColumn("item_id", F.row_number().over(Window.orderBy("item")))
+    return dense_ids(txns.select(F.explode(items).alias("item")).distinct(), ["item"], "item_id", 1)
 
 
 def ranked_items(txns: DataFrame, items: str = "items", weight: str | None = None) -> DataFrame:
     """(item, support, rank): by support, largest first, then by item."""
-    return item_support(txns, items, weight).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("support"), "item")))
+    return dense_ids(item_support(txns, items, weight), [F.desc("support"), "item"], "rank", 1)
 
 
 def encode(txns: DataFrame, words: DataFrame, items: str = "items", key: str = "txn_id") -> DataFrame:
