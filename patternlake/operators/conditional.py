@@ -209,8 +209,8 @@ def tree_miner(search: Callable) -> Callable:
     return run
 
 
-def mined(dealt: DataFrame, least: int, miner: Callable, tasks: int | None = None) -> DataFrame:
-    """(ids, support, complete): what ``miner`` finds in each group, ids rising. A search that was cut short returns a row with null ids besides."""
+def mined(dealt: DataFrame, least: int, miner: Callable, tasks: int) -> DataFrame:
+    """(ids, support, complete): what ``miner`` finds in each group, ids rising, in ``tasks`` tasks. A search that was cut short returns a row with null ids besides."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         head = frame["head"].iloc[0].tolist()
@@ -220,8 +220,7 @@ def mined(dealt: DataFrame, least: int, miner: Callable, tasks: int | None = Non
         rows = [([names[k] for k in bits(m)] + head[::-1], n, complete) for m, n in sets] + ([] if complete else [(None, 0, False)])
         return pd.DataFrame(rows, columns=["ids", "support", "complete"])
 
-    n = tasks or max(4 * dealt.sparkSession.sparkContext.defaultParallelism, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(n, "head").groupBy("head").applyInPandas(run, "ids array<int>, support long, complete boolean")
+    return dealt.repartition(tasks, "head").groupBy("head").applyInPandas(run, "ids array<int>, support long, complete boolean")
 
 
 def clear_subsets(sets: DataFrame) -> DataFrame:
@@ -236,7 +235,8 @@ def clear_subsets(sets: DataFrame) -> DataFrame:
 def _found(txns: DataFrame, least: int, miner: Callable, cells: int) -> tuple[DataFrame, DataFrame]:
     rows, names = coded(txns, least)
     dealt, split = groups(rows, least, cells)
-    found = mined(dealt, least, miner)
+    most = max(4 * dealt.sparkSession.sparkContext.defaultParallelism, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = mined(dealt, least, miner, min(most, dealt.select("head").distinct().count() or 1))
     if split is not None:
         found = found.unionByName(split.select(F.array_sort("ids").alias("ids"), "support", F.lit(True).alias("complete")))
     return found, names

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patternlake.operators.conditional import frequent_conditional, maximal_fpmax
+from patternlake.operators.counting import count_by_trie
 from patternlake.operators.frontier import maximal_frontier
 from patternlake.operators.transactions import item_support, reduce
 from patternlake.session import cut
@@ -59,40 +60,28 @@ def candidates(level: DataFrame) -> DataFrame:
 def frequent_levelwise(txns: DataFrame, least: int, log: list | None = None, resume: DataFrame | None = None) -> DataFrame:
     """For wide, sparse rows: candidates of each size are made from the frequent sets of the size before, then counted, until there are none.
 
-    The places of frequent sets are kept: a transaction that holds a set is joined with its larger items, and what is no candidate is
-    dropped at once. Every step is an equi-join and a partial aggregate and is written to the shared folder. ``log`` gets
-    (size, candidates, frequent) of each level. ``resume`` takes the sets (items, support) of all levels an earlier run had ended, and goes on behind them.
+    A level is one pass of a candidate trie over the distinct transactions and a shuffle of counts (see counting.count_by_trie); occurrences never leave their task. Each level is written to
+    the shared folder. ``log`` gets (size, candidates, frequent) of each level. ``resume`` takes the sets (items, support) of all levels an earlier run had ended, and goes on behind them.
     """
-    base = cut(reduce(txns, least, weight="weight").withColumn("txn", F.monotonically_increasing_id()), "base")
-    single = base.select("txn", "weight", F.explode("items").alias("item"))
+    base = cut(reduce(txns, least, weight="weight").groupBy("items").agg(F.sum("weight").alias("weight")), "base")
     if resume is None:
         frequent = item_support(base, weight="weight").where(F.col("support") >= least).select(F.array("item").alias("items"), "support")
         out, size = cut(frequent, "level1"), 1
-        level, place = out, single.select("txn", F.array("item").alias("items"), F.col("item").alias("last"))
+        level = out
     else:
         out = cut(resume.select("items", F.col("support").cast("long").alias("support")), "resumed")
         size = out.agg(F.max(F.size("items"))).first()[0] or 0
         level = out.where(F.size("items") == size)
-        place = _places(base, level)
     while size and not level.isEmpty():
         wanted = cut(candidates(level), f"candidates{size + 1}")
-        grown = place.join(single, "txn").where("item > last").select("txn", "weight", F.concat("items", F.array("item")).alias("items"), F.col("item").alias("last"))
-        grown = grown.join(wanted, "items", "left_semi")
-        level = cut(grown.groupBy("items").agg(F.sum("weight").cast("long").alias("support")).where(F.col("support") >= least), f"level{size + 1}")
+        level = cut(count_by_trie(base, wanted).where(F.col("support") >= least), f"level{size + 1}")
         size += 1
         if log is not None:
             log.append((size, wanted.count(), level.count()))
         out = out.unionByName(level)
-        place = cut(grown.join(level, "items", "left_semi").select("txn", "items", "last"), f"place{size}")
     return out
 
 
-def _places(base: DataFrame, level: DataFrame) -> DataFrame:
-    """(txn, items, last): which transactions hold which sets of a level; joined on each set's rarest item, then tested for the others."""
-    hit = contained(level.select("items"), base.select("txn", F.col("items").alias("__txn")), "__txn", item_support(base))
-    return hit.select("txn", F.col("want").alias("items"), F.element_at("want", -1).alias("last"))
-
-
 def contained(sets: DataFrame, txns: DataFrame, items: str = "items", support: DataFrame | None = None) -> DataFrame:
     """``txns`` with ``want``: one row for each of ``sets`` (items) that a transaction holds.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patternlake.functions import features, stats, text
 from patternlake.functions.states import fit_edges, select_channels, with_states
-from patternlake.operators import anytime, evaluation, itemsets, online, scoring, transactions, windows
+from patternlake.operators import anytime, counting, evaluation, itemsets, online, scoring, transactions, windows
 from patternlake.plans import frames as f
 from patternlake.plans import roundtrips
 from patternlake.session import cut, shared_path
@@ -170,12 +170,41 @@ def maximal_topn(spark, d):
     return _named(itemsets.largest(itemsets.mine(t, _least(t, SHARE)), 10), "support")
 
 
+def _pairs(t):
+    """Pairs of flags and taxes, some of which never stand together."""
+    flags = t.select(F.explode("items").alias("i")).where(F.col("i").startswith("flag=") | F.col("i").startswith("l_tax=")).distinct()
+    return flags.alias("a").join(flags.alias("b"), F.col("a.i") < F.col("b.i")).select(F.array("a.i", "b.i").alias("items"))
+
+
 def support_of_sets(spark, d):
     """Supports of given sets, also of some that are not frequent."""
     t = cut(f.row_weights(spark, d), "rows")
-    flags = t.select(F.explode("items").alias("i")).where(F.col("i").startswith("flag=") | F.col("i").startswith("l_tax=")).distinct()
-    pairs = flags.alias("a").join(flags.alias("b"), F.col("a.i") < F.col("b.i")).select(F.array("a.i", "b.i").alias("items"))
-    return _named(itemsets.count_sets(t, pairs), "support")
+    return _named(itemsets.count_sets(t, _pairs(t)), "support")
+
+
+def support_by_trie(spark, d):
+    """The same by a trie that each task walks once."""
+    t = cut(f.row_weights(spark, d), "rows")
+    return _named(counting.count_by_trie(t, _pairs(t)), "support")
+
+
+def support_by_index(spark, d):
+    """The same from a written bitmap index, without the transactions."""
+    t = cut(f.row_weights(spark, d), "rows")
+    return _named(counting.BitmapIndex.build(t).supports(_pairs(t)), "support")
+
+
+def basket_index(spark, d):
+    """Supports of all frequent sets of part types from the bitmap index of the baskets."""
+    t = cut(f.baskets(spark, d), "rows")
+    return _named(counting.BitmapIndex.build(t).supports(itemsets.mine(t, _least(t, BASKET_SHARE), "frequent")), "support")
+
+
+def support_hot(spark, d):
+    """Supports of all frequent sets, with the subsets of the six most frequent items looked up."""
+    t = cut(f.row_weights(spark, d), "rows")
+    every = itemsets.mine(t, _least(t, SHARE), "frequent")
+    return _named(counting.count_with_hot(t, every, counting.hot_items(t, 6)), "support")
 
 
 def closure_check(spark, d):
@@ -511,7 +540,7 @@ def queries() -> dict:
         edges_quantile, edges_equal_width, bin_histogram, items_rowwise, channel_select_variance, empty_bins,
         windows_label_max, raw_concat_windows, tail_label_units, signal_features, progress_segments, time_split_guard,
         dictionary, encode_ids, txn_text_roundtrip, txn_profile, reduce_infrequent, reduction_rates, replicate_invariance,
-        item_support, maximal_topn, support_of_sets, sensor_maximal, sensor_maximal_vertical, closure_check, planted_recall, candidate_join, levelwise_resumed, result_fingerprint,
+        item_support, maximal_topn, support_of_sets, support_by_trie, support_by_index, basket_index, support_hot, sensor_maximal, sensor_maximal_vertical, closure_check, planted_recall, candidate_join, levelwise_resumed, result_fingerprint,
         stage_thresholds, stage_pools, first_stage, cumulative_pool, coverage_curve, prefix_coverage, identity_gate,
         contingency, truth_patterns, truth_top, minsup_library, class_support_pivot, class_topk, discriminative_topk, library_top8, library_grid, union_coverage, window_flagging,
         reply_parse, accuracy_by_condition, accuracy_parsed_only, faithfulness, hallucination_rate, fpr_cells, macro_cells, mcnemar_chi2, mcnemar_exact, holm_adjust, budget_curve, budget_contrasts, budget_peak, class_spec_join, resume_keys, citation_membership, prompt_render,
@@ -520,7 +549,8 @@ def queries() -> dict:
     made = {
         "count_windows_median": _medians(20, 10), "windows_w15": _medians(15, 7), "windows_w30": _medians(30, 15), "windows_w60": _medians(60, 30),
         "frequent_itemsets": _mined(rows, SHARE, "frequent"), "frequent_levelwise": _mined(rows, SHARE, "frequent", "levelwise"), "frequent_fpgrowth": _mined(rows, SHARE, "frequent", "fpgrowth"),
-        "closed_itemsets": _mined(rows, SHARE, "closed"), "maximal_itemsets": _mined(rows, SHARE, "maximal"), "maximal_vertical": _mined(rows, SHARE, "maximal", "vertical"), "maximal_partitioned": _mined(rows, SHARE, "maximal", "partitioned"),
+        "closed_itemsets": _mined(rows, SHARE, "closed"), "maximal_itemsets": _mined(rows, SHARE, "maximal"), "maximal_vertical": _mined(rows, SHARE, "maximal", "vertical"), "maximal_partitioned": _mined(rows, SHARE, "maximal", "partitioned"), "maximal_fpmax": _mined(rows, SHARE, "maximal", "fpmax"),
+        "basket_levelwise": _mined(bask, BASKET_SHARE, "frequent", "levelwise"), "basket_fpmax": _mined(bask, BASKET_SHARE, "maximal", "fpmax"), "basket_vertical": _mined(bask, BASKET_SHARE, "maximal", "vertical"),
         "basket_frequent": _mined(bask, BASKET_SHARE, "frequent"), "basket_maximal": _mined(bask, BASKET_SHARE, "maximal"),
         "lift_eps": _lift(scoring.lift_eps), "lift_table": _lift(scoring.lift_table), "lift_pos": _lift(scoring.lift_pos), "lift_rate": _lift(scoring.lift_rate), "lift_ratio": _lift(scoring.lift_ratio),
         "online_states": _online("textbook"), "online_states_shifted": _online("shifted"),

@@ -215,10 +215,12 @@ def oracle_sql() -> dict[str, str]:
         "maximal_itemsets": maximal,
         "maximal_vertical": maximal,
         "maximal_partitioned": maximal,
+        "maximal_fpmax": maximal,
+        "support_hot": frequent,
         "maximal_topn": f"WITH {WEIGHTS}, {_frequent(0.05)}, {_maximal()} SELECT {pat}, support FROM mx ORDER BY len(items) DESC, support DESC, items LIMIT 10",
-        "basket_frequent": f"WITH {BASKETS}, {_frequent(0.02)} {mined} f",
-        "basket_maximal": f"WITH {BASKETS}, {_frequent(0.02)}, {_maximal()} {mined} mx",
-        "support_of_sets": f"WITH {WEIGHTS}, fl AS (SELECT DISTINCT i FROM (SELECT unnest(items) AS i FROM w) WHERE starts_with(i, 'flag=') OR starts_with(i, 'l_tax=')), ps AS (SELECT [a.i, b.i] AS items FROM fl a JOIN fl b ON a.i < b.i) SELECT {_text('ps.items')} AS pattern, CAST(coalesce(sum(weight), 0) AS BIGINT) AS support FROM ps LEFT JOIN w ON list_has_all(w.items, ps.items) GROUP BY ps.items",
+        **dict.fromkeys(("basket_frequent", "basket_levelwise", "basket_index"), f"WITH {BASKETS}, {_frequent(0.02)} {mined} f"),
+        **dict.fromkeys(("basket_maximal", "basket_fpmax", "basket_vertical"), f"WITH {BASKETS}, {_frequent(0.02)}, {_maximal()} {mined} mx"),
+        **dict.fromkeys(("support_of_sets", "support_by_trie", "support_by_index"), f"WITH {WEIGHTS}, fl AS (SELECT DISTINCT i FROM (SELECT unnest(items) AS i FROM w) WHERE starts_with(i, 'flag=') OR starts_with(i, 'l_tax=')), ps AS (SELECT [a.i, b.i] AS items FROM fl a JOIN fl b ON a.i < b.i) SELECT {_text('ps.items')} AS pattern, CAST(coalesce(sum(weight), 0) AS BIGINT) AS support FROM ps LEFT JOIN w ON list_has_all(w.items, ps.items) GROUP BY ps.items"),
         "closure_check": f"WITH {WEIGHTS}, {_frequent(0.05)} SELECT count(*) AS n_frequent, CAST(sum(support) AS BIGINT) AS sum_support, CAST(max(len(items)) AS INT) AS longest, (SELECT count(*) FROM (SELECT DISTINCT list_filter(items, lambda y: y <> x) AS part FROM (SELECT items, unnest(items) AS x FROM f WHERE len(items) > 1)) WHERE part NOT IN (SELECT items FROM f)) AS missing FROM f",
         "planted_recall": f"""WITH r AS (SELECT unnest(range(4000)) AS txn_id), p AS (SELECT unnest(range(10)) AS p),
             hits AS (SELECT txn_id, unnest(range(p * 4 + 1, p * 4 + 5)) AS item FROM r, p WHERE {_roll("txn_id || ':' || p")} % 10000 < 2000),
