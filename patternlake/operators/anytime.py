@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from patternlake.operators.border import Border
 from patternlake.operators.itemsets import maximal, mine
 from patternlake.operators.transactions import ranked_items
 from patternlake.session import cut
@@ -35,12 +36,18 @@ def pools(txns: DataFrame, upto: int) -> DataFrame:
     return maximal(at, ["stage"])
 
 
-def run(txns: DataFrame, upto: int, strategy: str = "auto") -> Iterator[tuple[int, DataFrame]]:
-    """Yield (stage, its maximal sets) one after the other; the caller may stop at any boundary. Tied stages are mined once."""
+def run(txns: DataFrame, upto: int, strategy: str = "border", path: str | None = None, log: list | None = None) -> Iterator[tuple[int, DataFrame]]:
+    """Yield (stage, its maximal sets) one after the other; the caller may stop at any boundary. Tied stages are mined once.
+
+    With ``border`` a stage goes on from what the stages before have counted (see border.Border, also for ``log``), and a run over the same ``path`` goes on where another stopped. Any other
+    strategy mines each stage from nothing.
+    """
+    border = Border(txns, path) if strategy == "border" else None
     before, result = None, None
     for r in stages(txns, upto).orderBy("stage").collect():  # upto rows
         if r["least"] != before:
-            before, result = r["least"], cut(mine(txns, r["least"], "maximal", strategy), f"stage{r['stage']}")
+            before = r["least"]
+            result = cut(maximal(border.descend(before, log)) if border else mine(txns, before, "maximal", strategy), f"stage{r['stage']}")
         yield r["stage"], result
 
 

@@ -67,31 +67,43 @@ class Trie:
                         todo.append((to, own))
 
 
+def _walked(txns: DataFrame, sets: list[list]) -> DataFrame:
+    """(items, support): partial counts of each task, of the sets it met."""
+    shipped = txns.sparkSession.sparkContext.broadcast(sets)  # TRIE_SETS at most
+    kind = txns.schema["items"].dataType.elementType.simpleString()
+
+    def run(batches):
+        trie, form = Trie(shipped.value), None
+        for b in batches:
+            form = b.column(0).type
+            trie.walk(b.column(0), b.column(1).to_numpy(zero_copy_only=False))
+        met = np.flatnonzero(trie.counts).tolist()
+        if not met:
+            return
+        lists = pa.array([shipped.value[k] for k in met], form)
+        yield pa.RecordBatch.from_arrays([lists, pa.array(trie.counts[met], pa.int64())], ["items", "support"])
+
+    return txns.select("items", F.col("weight").cast("long").alias("weight")).mapInArrow(run, f"items array<{kind}>, support long")
+
+
 def count_by_trie(txns: DataFrame, sets: DataFrame, slice_sets: int = TRIE_SETS) -> DataFrame:
     """(items, support) of ``sets`` (items) over (items, weight): each task walks a trie of the sets once over its transactions and sends one partial count for each set it met.
 
-    What is shuffled is at most tasks times sets, never an occurrence. Sets are numbered in their order and sent out in slices of ``slice_sets``, each of which reads
-    the transactions once; the driver holds one slice at a time.
+    What is shuffled is at most tasks times sets, never an occurrence. Over ``slice_sets`` the sets are numbered in their order, which is by first item, and sent out in slices, each of which
+    reads the transactions once; the driver holds one slice at a time.
     """
-    own = cut(dense_ids(sets.select(F.array_sort(F.array_distinct("items")).alias("items")).distinct(), ["items"], "sid"), "sets")
-    n, counted = own.count(), None
-    for low in range(0, n, slice_sets):
-        part = own.where(F.col("sid").between(low, min(n, low + slice_sets) - 1)).orderBy("sid").select("items").collect()  # slice_sets rows
-        shipped = txns.sparkSession.sparkContext.broadcast([list(r["items"]) for r in part])
-
-        def run(batches, shipped=shipped, low=low):
-            trie = Trie(shipped.value)
-            for b in batches:
-                trie.walk(b.column(0), b.column(1).to_numpy(zero_copy_only=False))
-            met = np.flatnonzero(trie.counts)
-            yield pa.RecordBatch.from_arrays([pa.array(met + low, pa.int32()), pa.array(trie.counts[met], pa.int64())], ["sid", "n"])
-
-        one = txns.select("items", F.col("weight").cast("long").alias("weight")).mapInArrow(run, "sid int, n long")
-        counted = one if counted is None else counted.unionByName(one)
-    if counted is None:
-        return own.select("items", F.lit(0).cast("long").alias("support"))
-    total = counted.groupBy("sid").agg(F.sum("n").alias("support"))
-    return own.join(total, "sid", "left").select("items", F.coalesce("support", F.lit(0)).cast("long").alias("support"))
+    own = sets.select(F.array_sort(F.array_distinct("items")).alias("items")).distinct()
+    few = own.limit(slice_sets + 1).collect()
+    if len(few) <= slice_sets:
+        zero = txns.sparkSession.createDataFrame([(r["items"], 0) for r in few], f"items {own.schema['items'].dataType.simpleString()}, support long")
+        every = _walked(txns, [r["items"] for r in few]).unionByName(zero) if few else zero
+        return every.groupBy("items").agg(F.sum("support").alias("support"))
+    own = cut(dense_ids(own, ["items"], "sid"), "sets")
+    every = own.select("items", F.lit(0).cast("long").alias("support"))
+    for low in range(0, own.count(), slice_sets):
+        part = own.where(F.col("sid").between(low, low + slice_sets - 1)).select("items").collect()  # slice_sets rows
+        every = every.unionByName(_walked(txns, [r["items"] for r in part]))
+    return every.groupBy("items").agg(F.sum("support").alias("support"))
 
 
 @dataclass(frozen=True)

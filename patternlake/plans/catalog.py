@@ -11,6 +11,7 @@ from patternlake.operators import anytime, counting, evaluation, itemsets, onlin
 from patternlake.plans import frames as f
 from patternlake.plans import roundtrips
 from patternlake.session import cut, shared_path
+from patternlake.streaming import incremental
 
 #: Supports at which the catalogue mines.
 SHARE, BASKET_SHARE, TRUTH_SHARE = 0.05, 0.02, 0.02
@@ -272,6 +273,25 @@ def stage_pools(spark, d):
     return _named(_pools(spark, d), "stage", "support")
 
 
+def anytime_border(spark, d):
+    """The first four stages, each of which goes on from the sets that the stages before have counted."""
+    t = cut(f.row_weights(spark, d), "rows")
+    out = None
+    for k, sets in anytime.run(t, 4, "border"):
+        one = _named(sets.withColumn("stage", F.lit(k)), "stage", "support")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def incremental_baskets(spark, d):
+    """Frequent sets of part types, kept up to date over five batches of orders."""
+    rows = cut(f.basket_rows(spark, d), "rows")
+    state = incremental.Incremental(spark, shared_path(spark, "incremental"), BASKET_SHARE)
+    for k in range(5):
+        state.apply(rows.where(F.col("l_orderkey") % 5 == k).select("items"), k)
+    return _named(state.frequent(), "support")
+
+
 def first_stage(spark, d):
     return _named(anytime.first_seen(_pools(spark, d)), "stage", "support")
 
@@ -541,7 +561,7 @@ def queries() -> dict:
         windows_label_max, raw_concat_windows, tail_label_units, signal_features, progress_segments, time_split_guard,
         dictionary, encode_ids, txn_text_roundtrip, txn_profile, reduce_infrequent, reduction_rates, replicate_invariance,
         item_support, maximal_topn, support_of_sets, support_by_trie, support_by_index, basket_index, support_hot, sensor_maximal, sensor_maximal_vertical, closure_check, planted_recall, candidate_join, levelwise_resumed, result_fingerprint,
-        stage_thresholds, stage_pools, first_stage, cumulative_pool, coverage_curve, prefix_coverage, identity_gate,
+        stage_thresholds, stage_pools, anytime_border, incremental_baskets, first_stage, cumulative_pool, coverage_curve, prefix_coverage, identity_gate,
         contingency, truth_patterns, truth_top, minsup_library, class_support_pivot, class_topk, discriminative_topk, library_top8, library_grid, union_coverage, window_flagging,
         reply_parse, accuracy_by_condition, accuracy_parsed_only, faithfulness, hallucination_rate, fpr_cells, macro_cells, mcnemar_chi2, mcnemar_exact, holm_adjust, budget_curve, budget_contrasts, budget_peak, class_spec_join, resume_keys, citation_membership, prompt_render,
         median_iqr, speedup_pivot, online_vs_offline, flagship,

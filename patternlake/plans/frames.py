@@ -49,12 +49,16 @@ def labelled(spark, sf_dir) -> DataFrame:
     return _row_groups(spark, sf_dir, False).groupBy("items", "label", "cls").agg(F.sum("weight").alias("weight"))
 
 
-def baskets(spark, sf_dir) -> DataFrame:
-    """(items, weight): distinct part types of each order."""
+def basket_rows(spark, sf_dir) -> DataFrame:
+    """(l_orderkey, items): distinct part types of each order."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    per = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_type")).alias("items"))
-    return per.groupBy("items").agg(F.count("*").alias("weight"))
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_type")).alias("items"))
+
+
+def baskets(spark, sf_dir) -> DataFrame:
+    """(items, weight): distinct sets of part types of the orders."""
+    return basket_rows(spark, sf_dir).groupBy("items").agg(F.count("*").alias("weight"))
 
 
 def series(spark, sf_dir) -> DataFrame:

@@ -218,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
         "maximal_fpmax": maximal,
         "support_hot": frequent,
         "maximal_topn": f"WITH {WEIGHTS}, {_frequent(0.05)}, {_maximal()} SELECT {pat}, support FROM mx ORDER BY len(items) DESC, support DESC, items LIMIT 10",
-        **dict.fromkeys(("basket_frequent", "basket_levelwise", "basket_index"), f"WITH {BASKETS}, {_frequent(0.02)} {mined} f"),
+        **dict.fromkeys(("basket_frequent", "basket_levelwise", "basket_index", "incremental_baskets"), f"WITH {BASKETS}, {_frequent(0.02)} {mined} f"),
         **dict.fromkeys(("basket_maximal", "basket_fpmax", "basket_vertical"), f"WITH {BASKETS}, {_frequent(0.02)}, {_maximal()} {mined} mx"),
         **dict.fromkeys(("support_of_sets", "support_by_trie", "support_by_index"), f"WITH {WEIGHTS}, fl AS (SELECT DISTINCT i FROM (SELECT unnest(items) AS i FROM w) WHERE starts_with(i, 'flag=') OR starts_with(i, 'l_tax=')), ps AS (SELECT [a.i, b.i] AS items FROM fl a JOIN fl b ON a.i < b.i) SELECT {_text('ps.items')} AS pattern, CAST(coalesce(sum(weight), 0) AS BIGINT) AS support FROM ps LEFT JOIN w ON list_has_all(w.items, ps.items) GROUP BY ps.items"),
         "closure_check": f"WITH {WEIGHTS}, {_frequent(0.05)} SELECT count(*) AS n_frequent, CAST(sum(support) AS BIGINT) AS sum_support, CAST(max(len(items)) AS INT) AS longest, (SELECT count(*) FROM (SELECT DISTINCT list_filter(items, lambda y: y <> x) AS part FROM (SELECT items, unnest(items) AS x FROM f WHERE len(items) > 1)) WHERE part NOT IN (SELECT items FROM f)) AS missing FROM f",
@@ -236,6 +236,7 @@ def oracle_sql() -> dict[str, str]:
         "citation_membership": f"WITH {CALLS}, u AS (SELECT unnest(cited) AS pattern FROM fa) SELECT pattern, count(*) AS n, pattern IN ('p1', 'p2', 'p3') AS known FROM u GROUP BY pattern",
         "stage_thresholds": f"WITH {STAGES} SELECT * FROM stg",
         "stage_pools": f"WITH {POOLS} SELECT {pat}, stage, support FROM pool",
+        "anytime_border": f"WITH {POOLS} SELECT {pat}, stage, support FROM pool WHERE stage <= 4",
         "first_stage": f"WITH {POOLS} SELECT {pat}, stage, support FROM fst",
         "cumulative_pool": f"WITH {POOLS} SELECT stage, pool, CAST(cum_pool AS BIGINT) AS cum_pool FROM cum",
         "coverage_curve": f"WITH {POOLS} SELECT stage, CAST(truth_found AS BIGINT) AS truth_found, CAST(cum_pool AS BIGINT) AS cum_pool, truth_found / (SELECT count(*) FROM truth) AS coverage, truth_found / cum_pool AS precision, coalesce(truth_found >= lag(truth_found) OVER (ORDER BY stage), true) AS monotone FROM cum",
