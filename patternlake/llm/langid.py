@@ -208,9 +208,18 @@ def held_out(col) -> object:
     return F.crc32(col.cast("string").cast("binary")) % 5 == 0
 
 
+def _equal_shares(texts: list[str], most: int) -> str:
+    """The texts joined, cut to ``most`` characters in all: each gives an equal stretch, and what short ones leave goes to the others."""
+    left, take = most, [0] * len(texts)
+    for k, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        take[i] = min(len(texts[i]), left // (len(texts) - k))
+        left -= take[i]
+    return " ".join(t[:n] for t, n in zip(texts, take))
+
+
 def train(docs: DataFrame, train_docs: int = 48, train_chars: int = 40_000, total_chars: int = 400_000) -> Model:
     """Fit on a bounded sample: per language the ``train_docs`` labelled documents with the lowest hash of their id,
-    of their joined texts ``train_chars`` characters (fewer with many languages: ``total_chars`` over all).
+    of their texts ``train_chars`` characters (fewer with many languages: ``total_chars`` over all), an equal stretch of each document.
 
     Every letter of the sample has a symbol of its own, whatever the script; letters that no sample has share one. Rows with null text, lang or doc_id and those whose crc32(doc_id) mod 5 is 0 are never used.
     """
@@ -224,7 +233,7 @@ def train(docs: DataFrame, train_docs: int = 48, train_chars: int = 40_000, tota
     parts: dict[str, list] = {k: [] for k in langs}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
         parts[r["lang"]].append(r["text"])
-    return Model({k: " ".join(v)[:most] for k, v in parts.items()})
+    return Model({k: _equal_shares(v, most) for k, v in parts.items()})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -260,13 +260,14 @@ def dedup_spans(docs: DataFrame, least: int = 2, words: int = 12, passage: int =
     run whose hash stands earlier in the corpus, or earlier in its own text, is removed with the gap behind it.
     With ``passage``, no stretch of that many words that stands earlier stays whole either, wherever sentences end: runs of half as many words, chosen
     by content so that each such stretch holds one, are removed where they repeat, and so are texts of one sentence with ``words`` words that repeat whole.
-    Texts without such a run return as they are, null as null; a text that repeats whole becomes empty. Rows equal in doc_id and text share one
-    result. Other columns are kept; n_removed replaces a column of that name, and columns named rid or gone are kept too.
+    Texts without such a run return as they are, null as null; a text that repeats whole becomes empty. Rows equal in doc_id and text count as one document and share one
+    result, so both stay. Other columns are kept, whatever their names; n_removed replaces a column of that name.
     """
     gone = repeated(docs, least, words, passage).groupBy("doc_id", "rid").agg(F.flatten(F.collect_list(F.array("first", "end"))).alias("gone"))  # at most a text's runs
     gone = gone.select(F.col("rid").alias("__rid"), F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    rows = docs.drop("n_removed").withColumn("__rid", F.xxhash64("doc_id", "text")).alias("d")
-    joined = rows.join(gone.alias("g"), (F.col("d.__rid") == F.col("g.__rid")) & F.col("d.doc_id").eqNullSafe(F.col("g.__id")), "left")
+    own = "__rid" + "_" * max([len(c) for c in docs.columns])  # longer than any column's name, so no other's
+    rows = docs.drop("n_removed").withColumn(own, F.xxhash64("doc_id", "text")).alias("d")
+    joined = rows.join(gone.alias("g"), (F.col(f"d.{own}") == F.col("g.__rid")) & F.col("d.doc_id").eqNullSafe(F.col("g.__id")), "left")
     keep = [c for c in docs.columns if c != "n_removed"]
 
     def run(batches):
@@ -280,4 +281,4 @@ def dedup_spans(docs: DataFrame, least: int = 2, words: int = 12, passage: int =
             yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], [*keep, "n_removed"])
 
     schema = docs.select(keep).schema.add("n_removed", "long")
-    return joined.select(*[F.col(f"d.`{c}`") for c in keep], F.col("g.__gone")).mapInArrow(run, schema)
+    return joined.select(*[F.col(f"d.`{c}`") for c in keep], F.col("g.__gone").alias(own)).mapInArrow(run, schema)

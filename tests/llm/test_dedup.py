@@ -224,3 +224,13 @@ def test_passages_without_sentence_ends(spark):
         w = low[k].split()
         assert " ".join(shared.lower().split()) not in low[k] and got[k][1] == 1
         assert [x for x in w if x.startswith("own")] == [x for x in docs[k][1].lower().split() if x.startswith("own")]
+
+
+def test_spans_keep_columns_of_any_name(spark):
+    text = "One two three four five six. Seven eight nine ten eleven twelve thirteen. "
+    names = ["doc_id", "text", "__rid", "__RID_", "__id", "__gone", "rid", "first", "n_removed"]
+    for key in (1, "a"):
+        docs = spark.createDataFrame([(key, text, "u", "v", 1.5, "w", [1], 2, "x"), (key * 2, text, None, None, None, None, None, None, None)], f"doc_id {'string' if key == 'a' else 'long'}, text string, __rid string, __RID_ string, __id double, __gone string, rid array<int>, first int, n_removed string")
+        got = {r["doc_id"]: r for r in spans.dedup_spans(docs, passage=51).collect()}
+        assert got[key]["__rid"] == "u" and got[key]["__id"] == 1.5 and got[key]["rid"] == [1] and got[key]["n_removed"] == 0 and got[key].__fields__ == [*names[:-1], "n_removed"]
+        assert got[key * 2]["text"] == "" and got[key * 2]["n_removed"] == 2

@@ -23,6 +23,11 @@ ODD = [None, "", " ", "a", "a b", " lead", "trail ", "two  spaces", "▁mark", "
 # ------------------------------------------------------------ decontamination
 
 
+def test_language_samples_take_from_all_rows():
+    assert langid._equal_shares(["a" * 10, "b" * 3, "c" * 10], 13) == "aaaaa bbb ccccc"
+    assert langid._equal_shares(["ab", "cd"], 40) == "ab cd" and langid._equal_shares([], 5) == ""
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(50):
