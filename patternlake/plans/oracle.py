@@ -300,6 +300,7 @@ def oracle_sql() -> dict[str, str]:
         "labelled_csv": "SELECT l_returnflag AS label, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS price, round(sum(l_tax), 4) AS tax FROM lineitem GROUP BY 1",
         "telemetry_gz": f"WITH {SERIES}, h AS (SELECT * FROM s ORDER BY event_id LIMIT 1000), x AS (SELECT 'value' AS channel, value AS x FROM h UNION ALL SELECT 'k', k FROM h) SELECT channel, count(x) AS n, round(sum(x), 4) AS total, (SELECT count(*) - 1 FROM h) AS last_seq FROM x GROUP BY channel",
         "signal_arrays": "SELECT 'X_DE_time' AS channel, CAST(count(*) AS INT) AS n, round(sum(round(CAST(embedding[1] AS DOUBLE), 6)), 4) AS total FROM embeddings WHERE label IS NOT NULL GROUP BY label",
+        "signal_source": "WITH c AS (SELECT printf('X%02d_DE_time', i) AS channel, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(64)) AS i) WHERE label IS NOT NULL), s AS (SELECT channel, count(x) AS n, round(sum(x), 3) AS total FROM c GROUP BY 1 UNION ALL SELECT 'damaged', 0, NULL) SELECT form, s.* FROM s, (SELECT unnest(['mat', 'npz']) AS form)",
         "txn_lines": f"WITH {lines}, m AS (SELECT 'kept' AS mode, t FROM lines UNION ALL SELECT 'dropped', t FROM lines WHERE len(t) > 0 UNION ALL SELECT 'shifted', list_filter(list_transform(t, lambda v: v - 1), lambda v: v >= 0) FROM lines) SELECT mode, {join('t')} AS line, count(*) AS n FROM m GROUP BY 1, 2",
         "dictionary_file": f"{'WITH ' + CODED.format(WEIGHTS)} SELECT item, item_id FROM words",
         "labels_file": "SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS INT) AS position, r_name AS label FROM region",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from patternlake.functions import text
 from patternlake.operators import anytime, evaluation, itemsets, scoring, transactions
 from patternlake.plans import frames as f
 from patternlake.session import cut, shared_path
-from patternlake.sources import readers, writers
+from patternlake.sources import readers, signals, writers
 
 #: Items of the rows as numbers: small sets for result files.
 SHARE = 0.05
@@ -75,6 +77,27 @@ def signal_arrays(spark, d):
     return got.select("channel", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+def signal_source(spark, d):
+    """All components of the vectors as channels of real MAT and NPZ files, each of up to 500 vectors of a label, read back through the data source; and one damaged file of each form."""
+    path = shared_path(spark, "signals")
+    rows = f.channels_long(spark, d).select(F.concat_ws("_", "label", F.expr("vec_id div 500")).alias("file"), F.format_string("X%02d_DE_time", "channel").alias("channel"), F.col("vec_id").alias("k"), "x")
+    rows = cut(rows, "channels")
+    for form in signals.FORMS:
+        signals.write_signals(rows, f"{path}/{form}", form)
+        spark.createDataFrame([(b"damaged",)], "x binary").foreach(partial(_spoil, f"{path}/{form}/damaged.{form}"))
+    got = signals.signals(spark, path).withColumn("form", F.element_at(F.split("file", r"\."), -1))
+    each = got.select("form", F.coalesce("channel", F.lit("damaged")).alias("channel"), F.explode_outer("samples").alias("x"))
+    return each.groupBy("form", "channel").agg(F.count("x").alias("n"), F.round(F.sum("x"), 3).alias("total"))
+
+
+def _spoil(path: str, row) -> None:
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_output_stream(name) as out:
+        out.write(row["x"])
+
+
 def txn_lines(spark, d):
     """Blank lines, repeated and unordered ids, and ids counted from one: kept, dropped and shifted."""
     path = shared_path(spark, "lines")
@@ -221,7 +244,7 @@ def validation_report(spark, d):
 
 def queries() -> dict:
     made = [
-        sensor_files, turbofan_text, labelled_csv, telemetry_gz, signal_arrays, txn_lines, dictionary_file, labels_file, txn_labels, patterns_file, summary_file, results_file, results_header, decoded_file,
+        sensor_files, turbofan_text, labelled_csv, telemetry_gz, signal_arrays, signal_source, txn_lines, dictionary_file, labels_file, txn_labels, patterns_file, summary_file, results_file, results_header, decoded_file,
         stage_file, sets_files, append_log, call_file, file_checksums, run_logs, validation_report,
     ]
     return {q.__name__: q for q in made}
