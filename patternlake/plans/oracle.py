@@ -312,7 +312,7 @@ def oracle_sql() -> dict[str, str]:
         "decoded_file": f"WITH {WEIGHTS}, {_frequent(0.05)}, {_maximal()} SELECT support || chr(9) || {_text(by=', ')} AS line FROM mx",
         "stage_file": f"WITH {CODED.format(POOLS)} SELECT stage, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY item_id) AS ids, support FROM (SELECT stage, items, support, unnest(items) AS item FROM pool WHERE stage <= 4) JOIN words USING (item) GROUP BY stage, items, support",
         "sets_files": f"{ids} SELECT 'semicolon' AS form, len(items) || ';' || support || ';' || ids AS line FROM cs UNION ALL SELECT 'ratio', ids || ' ' || printf('%.6f', round(support / (SELECT sum(weight) FROM w), 9)) FROM cs",
-        "append_log": f"WITH {CALLS} SELECT model, cond, count(*) AS n, (SELECT count(*) FROM cl) AS appended FROM cl GROUP BY 1, 2",
+        **dict.fromkeys(("append_log", "append_log_commits"), f"WITH {CALLS} SELECT model, cond, count(*) AS n, (SELECT count(*) FROM cl) AS appended FROM cl GROUP BY 1, 2"),
         "call_file": f"WITH {CALLS} SELECT model, cond, count(*) AS n FROM cl WHERE NOT starts_with(reply, '__ERROR__') AND case_key % 10 <> 3 GROUP BY 1, 2",
         "file_checksums": "SELECT CAST(octet_length(encode(t)) AS BIGINT) AS bytes, md5(t) AS md5, sha256(t) AS sha256 FROM (SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS t FROM region)",
         "run_logs": "WITH r AS (SELECT o_totalprice, o_orderstatus = 'F' AS ok FROM orders WHERE o_orderkey % 50 = 1), p AS (SELECT 'counting' AS phase, ok, o_totalprice AS ms FROM r UNION ALL SELECT 'merge', ok, 1.5 FROM r) SELECT phase, ok, count(*) AS n, round(sum(ms), 2) AS ms FROM p GROUP BY 1, 2",

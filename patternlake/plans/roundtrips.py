@@ -11,6 +11,7 @@ from patternlake.operators import anytime, evaluation, itemsets, scoring, transa
 from patternlake.plans import frames as f
 from patternlake.session import cut, shared_path
 from patternlake.sources import readers, signals, writers
+from patternlake.sources.log import AppendLog
 
 #: Items of the rows as numbers: small sets for result files.
 SHARE = 0.05
@@ -205,6 +206,13 @@ def append_log(spark, d):
     return back.groupBy("model", "cond").agg(F.count("*").alias("n")).crossJoin(spark.createDataFrame([(sum(counts),)], "appended long"))
 
 
+def append_log_commits(spark, d):
+    """The same through the log with commits, whose readers see whole appends only."""
+    log, calls = AppendLog(spark, shared_path(spark, "log"), ["model", "cond", "case_key"]), f.calls(spark, d)
+    counts = [log.append(calls.where(cond)) for cond in ("model = 'm0'", "model in ('m0', 'm1')", "true", "true")]
+    return log.read().groupBy("model", "cond").agg(F.count("*").alias("n")).crossJoin(spark.createDataFrame([(sum(counts),)], "appended long"))
+
+
 def call_file(spark, d):
     """A log of calls in JSON lines with broken lines and errors in it."""
     path = shared_path(spark, "calls")
@@ -245,6 +253,6 @@ def validation_report(spark, d):
 def queries() -> dict:
     made = [
         sensor_files, turbofan_text, labelled_csv, telemetry_gz, signal_arrays, signal_source, txn_lines, dictionary_file, labels_file, txn_labels, patterns_file, summary_file, results_file, results_header, decoded_file,
-        stage_file, sets_files, append_log, call_file, file_checksums, run_logs, validation_report,
+        stage_file, sets_files, append_log, append_log_commits, call_file, file_checksums, run_logs, validation_report,
     ]
     return {q.__name__: q for q in made}
