@@ -6,6 +6,7 @@ from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def quantile_points(bins: int) -> list[float]:
@@ -20,6 +21,8 @@ def _settle(edges: Column) -> Column:
 
 #: Accuracy of the first look at a channel's quantiles, and how many values between two bounds are taken to the driver to end the search.
 SKETCH, HELD = 10_000, 100_000
+#: Channels with up to about so many distinct values are counted by value.
+COUNTED = 1_000_000
 
 
 def quantile_edges(col: str, bins: int = 3, accuracy: int | None = None) -> Column:
@@ -37,12 +40,45 @@ def quantile_edges(col: str, bins: int = 3, accuracy: int | None = None) -> Colu
 def exact_edges(df: DataFrame, channels: list[str], bins: int = 3) -> dict[str, list[float] | None]:
     """Exact quantile edges (linear interpolation) of whole channels, nulls and NaN left out; None for a channel without values.
 
-    A mergeable sketch bounds each wanted rank by two values; one more pass counts what lies outside and takes what lies between.
+    Channels with few distinct values (COUNTED, as a distinct-count sketch has it) are counted by value, before the shuffle and after, and ranks are looked up in running sums of the counts.
+    Of the others a mergeable sketch bounds each wanted rank by two values; one more pass counts what lies outside and takes what lies between.
     On tables so large that this would be too much the bounds are narrowed by further sketches first. No task ever holds more than a
-    sketch or HELD values, and rows are never shuffled.
+    sketch, HELD values or the distinct values of a counted channel, and rows are never shuffled.
     """
     x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in channels}
-    inner = quantile_points(bins)[1:-1]
+    kinds = df.agg(*[F.approx_count_distinct(v, 0.05).alias(c) for c, v in x.items()]).first()
+    few = [c for c in channels if kinds[c] <= COUNTED]
+    found = _counted_edges(df, {c: x[c] for c in few}, bins) if few else {}
+    rest = [c for c in channels if c not in few]
+    found |= _sketched_edges(df, {c: x[c] for c in rest}, bins) if rest else {}
+    return {c: found[c] for c in channels}
+
+
+def _edges(low: float, inner: list[tuple[float, float, float]], high: float) -> list[float]:
+    """Edges from the smallest value, (rank, value at its floor, value at its ceiling) of each inner one, and the largest value."""
+    edges = [low]
+    for at, below, above in inner:
+        edges.append(below if below == above else (ceil(at) - at) * below + (at - floor(at)) * above)
+    edges = list(dict.fromkeys([*edges, high]))
+    return edges if len(edges) > 1 else [edges[0] - 0.5, edges[0] + 0.5]
+
+
+def _counted_edges(df: DataFrame, x: dict[str, Column], bins: int) -> dict[str, list[float] | None]:
+    inner, names = quantile_points(bins)[1:-1], list(x)
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in enumerate(x.values())])).alias("x")).where("x.v is not null")
+    counts = each.groupBy("x.k", "x.v").agg(F.count("*").alias("w"))
+    own = Window.partitionBy("k")  # the distinct values of a channel: about COUNTED rows
+    sums = counts.select("k", "v", F.sum("w").over(own.orderBy("v")).alias("upto"), F.sum("w").over(own).alias("n"))
+    at = [F.lit(p) * (F.col("n") - 1) for p in inner]
+    looks = [F.min(F.when(F.col("upto") > rank(a), F.col("v"))).alias(f"{rank.__name__}{i}") for i, a in enumerate(at) for rank in (F.floor, F.ceil)]
+    out: dict[str, list[float] | None] = dict.fromkeys(names)
+    for r in sums.groupBy("k").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("n").alias("n"), *looks).collect():  # a row for each channel
+        out[names[r["k"]]] = _edges(r["low"], [(p * (r["n"] - 1), r[f"floor{i}"], r[f"ceil{i}"]) for i, p in enumerate(inner)], r["high"])
+    return out
+
+
+def _sketched_edges(df: DataFrame, x: dict[str, Column], bins: int) -> dict[str, list[float] | None]:
+    channels, inner = list(x), quantile_points(bins)[1:-1]
     near = sorted({min(1.0, max(0.0, p + d / SKETCH)) for p in inner for d in (-3, 3)})
     looks = [F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile_approx(v, near, SKETCH).alias("at")).alias(c) for c, v in x.items()]
     seen = df.agg(*looks).first()
@@ -68,13 +104,8 @@ def exact_edges(df: DataFrame, channels: list[str], bins: int = 3) -> dict[str,
         if not seen[c]["n"]:
             out[c] = None
             continue
-        edges = [seen[c]["low"]]
-        for p in inner:
-            at = p * (seen[c]["n"] - 1)
-            low, high = (_ranked(held[c, p], bounds[c, p], r) for r in (floor(at), ceil(at)))
-            edges.append(low if low == high else (ceil(at) - at) * low + (at - floor(at)) * high)
-        edges = list(dict.fromkeys([*edges, seen[c]["high"]]))
-        out[c] = edges if len(edges) > 1 else [edges[0] - 0.5, edges[0] + 0.5]
+        ranks = [(p, p * (seen[c]["n"] - 1)) for p in inner]
+        out[c] = _edges(seen[c]["low"], [(at, *(_ranked(held[c, p], bounds[c, p], r) for r in (floor(at), ceil(at)))) for p, at in ranks], seen[c]["high"])
     return out
 
 

@@ -57,6 +57,7 @@ def test_exact_edges_like_numpy(spark, monkeypatch, held, sketch, n):
     """Normal, tied, heavy-tailed and spiked channels; also where bounds must be narrowed first."""
     from patternlake.functions import states
 
+    monkeypatch.setattr(states, "COUNTED", -1)  # by sketches
     monkeypatch.setattr(states, "HELD", held)
     monkeypatch.setattr(states, "SKETCH", sketch)
     rng = np.random.default_rng(n)
@@ -153,3 +154,17 @@ def test_features_like_pandas(spark):
     assert np.allclose(row, [np.sqrt(np.mean(np.square(v))), pd.Series(v).kurt(), 10.0])
     few = spark.createDataFrame([(1.0,), (2.0,)], "x double").agg(features.kurtosis_unbiased("x")).first()
     assert few[0] is None
+
+
+def test_counted_edges_are_the_sketched_ones(spark, monkeypatch):
+    """Counting by value and bounding by sketches give the same edges, with ties, nulls, NaN and channels without values."""
+    from patternlake.functions import states
+
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.integers(0, 5)), float(rng.normal()), None, 2.0, float("nan") if k % 3 else float(k)) for k in range(700)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(3)
+    counted = states.exact_edges(df, ["a", "b", "c", "d", "e"], 4)
+    monkeypatch.setattr(states, "COUNTED", -1)
+    assert counted == states.exact_edges(df, ["a", "b", "c", "d", "e"], 4)
+    values = np.array([r[1] for r in rows])
+    assert np.allclose(counted["b"], np.quantile(values, [0, 0.25, 0.5, 0.75, 1])) and counted["c"] is None and counted["d"] == [1.5, 2.5]
