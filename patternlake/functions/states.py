@@ -22,7 +22,7 @@ def _settle(edges: Column) -> Column:
 #: Accuracy of the first look at a channel's quantiles, and how many values between two bounds are taken to the driver to end the search.
 SKETCH, HELD = 10_000, 100_000
 #: Channels with up to about so many distinct values are counted by value.
-COUNTED = 1_000_000
+COUNTED = 100_000
 
 
 def quantile_edges(col: str, bins: int = 3, accuracy: int | None = None) -> Column:

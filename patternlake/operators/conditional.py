@@ -26,12 +26,16 @@ INLINE_ITEMS = 256
 def coded(txns: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """((ids, weight) of distinct transactions of frequent items, sorted, empty ones left out; (item, support, id) with 0 for the most frequent)."""
     base = cut(txns.select("items", F.col("weight").cast("long").alias("weight")), "base")
-    names = cut(dense_ids(item_support(base, weight="weight").where(F.col("support") >= least), [F.desc("support"), "item"], "id"), "names")
-    if names.count() <= INLINE_ITEMS:
+    frequent = item_support(base, weight="weight").where(F.col("support") >= least)
+    few = frequent.limit(INLINE_ITEMS + 1).collect()
+    if len(few) <= INLINE_ITEMS:
+        ranked = [(r["item"], r["support"], k) for k, r in enumerate(sorted(few, key=lambda r: (-r["support"], r["item"])))]
+        names = base.sparkSession.createDataFrame(ranked, f"item {base.schema['items'].dataType.elementType.simpleString()}, support long, id int")
         known = names.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "item"))), lambda x: x["item"]).alias("__known"))
         at = F.filter(F.transform("items", lambda x: F.coalesce(F.array_position(F.col("__known"), x), F.lit(0))), lambda k: k > 0)
         rows = base.crossJoin(F.broadcast(known)).select(F.array_sort(F.array_distinct(F.transform(at, lambda k: (k - 1).cast("int")))).alias("ids"), "weight")
     else:
+        names = cut(dense_ids(frequent, [F.desc("support"), "item"], "id"), "names")
         each = base.withColumn("row", F.monotonically_increasing_id()).select("row", "weight", F.explode(F.array_distinct("items")).alias("item"))
         rows = each.join(names, "item").groupBy("row", "weight").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     return cut(rows.where(F.size("ids") > 0).groupBy("ids").agg(F.sum("weight").alias("weight")), "coded"), names
@@ -236,7 +240,7 @@ def _found(txns: DataFrame, least: int, miner: Callable, cells: int) -> tuple[Da
     rows, names = coded(txns, least)
     dealt, split = groups(rows, least, cells)
     most = max(4 * dealt.sparkSession.sparkContext.defaultParallelism, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = mined(dealt, least, miner, min(most, dealt.select("head").distinct().count() or 1))
+    found = mined(dealt, least, miner, most if split is not None else max(1, min(most, names.count())))
     if split is not None:
         found = found.unionByName(split.select(F.array_sort("ids").alias("ids"), "support", F.lit(True).alias("complete")))
     return found, names
