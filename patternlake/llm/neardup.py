@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from itertools import count
 
 import numpy as np
@@ -14,6 +15,10 @@ from patternlake.llm.common import components, partitions, shared_dir, stash
 
 #: Rows compared with each other at once; larger groups are cut into blocks.
 BLOCK = 1024
+#: Numbers that the vectors of a cell may hold; larger cells are split.
+CELL = 1 << 21
+
+log = logging.getLogger(__name__)
 
 
 def vectors_of(table: DataFrame) -> DataFrame:
@@ -249,30 +254,156 @@ def _joins(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int
     return out
 
 
-def exact_joins(vecs: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): pairs of roots whose components a link joins, from every pair of ``vecs`` of one label, in pairs of blocks."""
-    size = vecs.groupBy("grp").agg(_blocks(F.count("*")).alias("nb"))
-    rows = vecs.select("rid", "grp", "e").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")).join(size, "grp")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
-    rows = rows.select("rid", "grp", "root", "e", "own", pair.alias("p")).select(F.xxhash64("grp", "p.i", "p.j").alias("key"), "root", "e", (F.col("own") == F.col("p.i")).alias("left"), (F.col("p.i") == F.col("p.j")).alias("same"))
+def _pivots(x: np.ndarray, apart: float) -> np.ndarray:
+    """Places of rows, from the first on, of which no two have a cosine of ``apart`` or more."""
+    near, kept = x @ x.T, []
+    for i in range(len(x)):
+        if not kept or near[i, kept].max() < apart:
+            kept.append(i)
+    return np.array(kept)
+
+
+class _Borders:
+    """Pivots of a node, and for rows: the nearest pivot and all whose border with it lies within half the linking angle.
+
+    Two vectors that link are at most the linking angle apart. If their nearest pivots differ, the arc between them crosses the border of
+    these two, so one of them lies within half the angle of it and goes to the other's pivot. Hence they meet at a pivot that is the nearest of one.
+    """
+
+    def __init__(self, sample: np.ndarray, threshold: float):
+        self.at = sample[_pivots(sample, 2 * threshold**2 - 1)]
+        self.width = np.sqrt((1 - threshold) / 2) * np.sqrt(np.maximum(0, 2 - 2 * self.at @ self.at.T)) + 1e-9
+        copies = sum(self.of(sample[s : s + 256])[0].sum() for s in range(0, len(sample), 256)) / len(sample)
+        self.stuck = len(self.at) < 2 or copies > len(self.at) / 4
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = x @ self.at.T
+        best = s.argmax(axis=1)
+        return s.max(axis=1, keepdims=True) - s <= self.width[best], best
+
+
+def _deal(rows: DataFrame, size: DataFrame, level: int, threshold: float, most: int) -> DataFrame:
+    """Rows of the nodes in ``size`` sent to the cells of pivots drawn from their node.
+
+    A row keeps in ``miss`` the levels at which it came to a cell that is not its nearest pivot's. Where pivots do not part a node
+    (one direction, or borders near to everything), its rows stay together as ``stuck``. A node is dealt by as many tasks as it has
+    65,536 rows, each with the same pivots.
+    """
+    big = rows.join(size.select("node", "m"), "node")
+    step = F.ceil(F.col("m") / F.least(F.lit(most), F.greatest(F.lit(16), F.ceil(F.col("m") / 96))))
+    salts = F.ceil(F.col("m") / 65536).cast("int")
+    cols = ["node", "miss", "rid", "root", "e"]
+    drawn = big.where(F.pmod(F.xxhash64("rid", "node", F.lit(level)), step) == 0).select(*cols, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("row"))
+    both = drawn.union(big.select(*cols, F.pmod(F.xxhash64("rid"), salts).cast("int").alias("salt"), F.lit(1).alias("row")))
+    both = both.select(F.xxhash64("node", "salt").alias("key"), "row", *cols)
+
+    def run(batches):
+        key, sample, borders = None, [], None
+        for b in batches:
+            k = b.column(0).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(k)]):
+                if k[s] != key:
+                    key, sample, borders = k[s], [], None
+                part = b.slice(s, e - s)
+                first = int((part.column(1).to_numpy(zero_copy_only=False) == 0).sum())
+                if first:
+                    sample.append(_unit(_matrix(part.column(6).slice(0, first))))
+                for at in range(first, part.num_rows, 1024):
+                    rest = part.slice(at, 1024)
+                    x = _unit(_matrix(rest.column(6)))
+                    borders = borders or _Borders(np.concatenate(sample or [x[:1]]), threshold)
+                    yield from cells(rest, x, borders)
+
+    def cells(b, x, borders):
+        miss = b.column(3).to_numpy(zero_copy_only=False)
+        if borders.stuck:
+            i, j, best = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        else:
+            go, best = borders.of(x)
+            i, j = np.nonzero(go)
+        told = miss[i] | np.where(j == best[i], 0, 1 << level)
+        for s in range(0, len(i), 8192):
+            c = b.take(pa.array(i[s : s + 8192]))
+            stuck = pa.array(np.full(c.num_rows, borders.stuck))
+            yield pa.RecordBatch.from_arrays([c.column(2), pa.array(j[s : s + 8192]), pa.array(told[s : s + 8192]), c.column(4), c.column(5), c.column(6), stuck], ["node", "cell", "miss", "rid", "root", "e", "stuck"])
+
+    n = partitions(rows.sparkSession)
+    dealt = both.repartition(n, "key").sortWithinPartitions("key", "row", "rid").mapInArrow(run, "node long, cell long, miss long, rid long, root long, e array<double>, stuck boolean")
+    return dealt.select(F.xxhash64("node", "cell", F.lit(level)).alias("node"), "miss", "rid", "root", "e", "stuck")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """(key, miss, root, e, side) for nodes too large for a task: pairs of blocks, but none of two blocks of one component.
+
+    A component with more rows than a block has blocks of its own, so a dense one meets only what else its node holds.
+    """
+    room = F.greatest(F.lit(BLOCK), F.floor(F.lit(CELL) / (2 * F.col("dim"))))
+    per = rows.groupBy("node", "root").agg(F.count("*").alias("c"), F.max(F.size("e")).alias("dim"))
+    large = F.col("c") > room
+    per = per.select("node", "root", "c", room.alias("room"), large.alias("large"), F.when(large, F.col("root")).otherwise(0).alias("own"))
+    block = per.groupBy("node", "large", "own").agg(F.ceil(F.sum("c") / F.max("room")).cast("int").alias("nb"))
+    name = F.xxhash64("node", "large", "own", "at").alias("block")
+    each = block.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("node", "large", "own", name)
+    i, j = each.toDF("node", "large_i", "own_i", "i"), each.toDF("node", "large_j", "own_j", "j")
+    alike = F.col("large_i") & F.col("large_j") & (F.col("own_i") == F.col("own_j"))
+    pairs = i.join(j, "node").where(F.col("i") <= F.col("j")).where(~alike).select("i", "j")
+    placed = rows.join(per.select("node", "root", "large", "own"), ["node", "root"]).join(block, ["node", "large", "own"])
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int")).select(name, "miss", "root", "e")
+    key, same = F.xxhash64("i", "j").alias("key"), F.col("i") == F.col("j")
+    left = placed.join(pairs, F.col("block") == F.col("i")).select(key, "miss", "root", "e", F.when(same, 0).otherwise(1).alias("side"))
+    return left.union(placed.join(pairs.where(~same), F.col("block") == F.col("j")).select(key, "miss", "root", "e", F.lit(2).alias("side")))
+
+
+def _meet(rows: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): pairs of roots that links join within runs of ``key`` of rows (key, miss, root, e, side)."""
 
     def run(batches):
         for b in _by_run(batches, 0):
-            root, left = b.column(1).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
-            x = _unit(_matrix(b.column(2)))
-            i, j = (np.arange(len(x)),) * 2 if b.column(4)[0].as_py() else (np.flatnonzero(left), np.flatnonzero(~left))
-            out = []
-            for s in range(0, len(i), BLOCK):
-                a = i[s : s + BLOCK]
-                hit = (x[a] @ x[j].T >= threshold) & (root[a][:, None] != root[j][None, :])
-                if hit.any():
-                    out += _joins(hit, root[a], root[j])
+            miss, root, side = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 4))
+            if root.min() == root.max():
+                continue
+            x, out = _unit(_matrix(b.column(3))), []
+            kind = miss * 4 + side
+            names = np.unique(kind).tolist()
+            for p in names:
+                for q in names[names.index(p) :]:
+                    if (p >> 2) & (q >> 2) or (p & 3 and p & 3 == q & 3):
+                        continue  # they meet at a nearest pivot elsewhere, or in another pair of blocks
+                    a, c = np.flatnonzero(kind == p), np.flatnonzero(kind == q)
+                    for s in range(0, len(a), BLOCK):
+                        hit = (x[a[s : s + BLOCK]] @ x[c].T >= threshold) & (root[a[s : s + BLOCK]][:, None] != root[c][None, :])
+                        if hit.any():
+                            out += _joins(hit, root[a[s : s + BLOCK]], root[c])
             if out:
                 u, v = np.array(out, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return rows.repartition(partitions(vecs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    n = partitions(rows.sparkSession)
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def exact_joins(vecs: DataFrame, roots: DataFrame, threshold: float, path: str, small: int | None = None, most: int = 2048, levels: int = 4) -> DataFrame:
+    """(u, v): pairs of roots whose components a link joins; no link between two components is left out.
+
+    A label of over ``small`` vectors is dealt to cells of up to ``most`` pivots (see _Borders), full cells to pivots of their own,
+    up to ``levels`` times; what does not part is compared in pairs of blocks. Cells of one component are done without a look.
+    """
+    rows = vecs.join(roots, "rid", "left").select(F.col("grp").alias("node"), F.lit(0).cast("long").alias("miss"), "rid", F.coalesce("root", "rid").alias("root"), "e", F.lit(False).alias("stuck"))
+    small, out = small or 4 * BLOCK, None
+    for level in count():
+        size = rows.groupBy("node").agg(F.count("*").alias("m"), F.max(F.size("e")).alias("dim"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("stuck").alias("stuck")).where("lo < hi")
+        room = F.lit(small) if level == 0 else F.greatest(F.lit(small), F.floor(F.lit(CELL) / F.col("dim")))
+        size = stash(size.select("node", "m", (F.col("m") > room).alias("full"), (F.col("stuck") | F.lit(level >= levels)).alias("last")), f"{path}/nodes{level}")
+        fits = rows.drop("stuck").join(size.where("not full").select("node"), "node").select(F.col("node").alias("key"), "miss", "root", "e", F.lit(0).alias("side"))
+        if size.where("full and last").limit(1).count():
+            fits = fits.union(_block_pairs(rows.drop("stuck").join(size.where("full and last").select("node"), "node")))
+        met = stash(_meet(fits, threshold), f"{path}/met{level}")
+        out = met if out is None else out.union(met)
+        more = size.where("full and not last")
+        if not more.limit(1).count():
+            return out
+        rows = stash(_deal(rows.drop("stuck"), more, level, threshold, most), f"{path}/dealt{level}")
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 8, leaf: int = 48, floor: float = 0.7, attempts: int = 3, recall: float = 0.98, settled: float = 0.001) -> DataFrame:
@@ -283,7 +414,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tree
     adds less than a share of ``settled`` to the links in them; lists that are full of links double, up to eight times ``k``. All links found join components, also those that no list has room for; within a component every pair is
     counted exactly, so a full list loses nothing. Recall is audited against brute force for up to 256 vectors
     of each label, as the mean of their shares; while a label is below ``recall`` the search goes on from new cells,
-    up to ``attempts``. Then each label of which a drawn vector still lacks a link is compared whole, in pairs of blocks.
+    up to ``attempts``; the figures are logged. Then vectors of different components are compared wherever they could link
+    (``exact_joins``), so no link is lost.
 
     Null labels and vectors that are null, empty, zero or not finite in a place link with nothing: n_links 0 and
     their own component. Repeated rows link with each other. A null vec_id returns its row, is never smallest and never kept.
@@ -303,20 +435,22 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tree
         for r in count():
             graph = stash(lists(edges, k, threshold, k << min(r + 1, 3)), f"{path}/lists{attempt}.{r}")
             now = graph.where((F.col("c") >= threshold) & (F.col("r") <= k)).count()
-            if now <= linked * (1 + settled):  # grows, and not without end: lists are bounded
+            if r and now <= linked * (1 + settled):  # grows, and not without end: lists are bounded
                 break
             linked = now
             edges = graph.drop("r")
             edges, sure = add(refine(graph, vecs, k, floor, threshold, 1000 * attempt + r), f"found{attempt}.{r}")
         roots = components(sure, f"{path}/cc{attempt}", "u", "v").toDF("rid", "root")
-        short = stash(audit(vecs, roots, threshold).where("low < 1"), f"{path}/short{attempt}")
-        if not short.where(F.col("share") < recall).limit(1).count():
+        seen = stash(audit(vecs, roots, threshold), f"{path}/audit{attempt}")
+        short = seen.agg(F.min("share").alias("share"), F.sum((F.col("low") < 1).cast("int")).alias("n")).first()
+        log.info("NN-descent, attempt %s: least recall of a label %s; labels with a vector that lacks a link: %s", attempt, short["share"], short["n"])
+        if short["share"] is None or short["share"] >= recall:
             break
-    if short.limit(1).count():
-        joins = stash(exact_joins(vecs.join(short.select("grp"), "grp", "left_semi"), roots, threshold), f"{path}/joins")
-        known = vecs.select("rid").join(roots, "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"))
+    joins = stash(exact_joins(vecs, roots, threshold, path), f"{path}/joins")
+    if joins.limit(1).count():
+        known = vecs.select("rid").join(roots.withColumn("linked", F.lit(True)), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"), "linked")
         higher = components(joins, f"{path}/higher", "u", "v").toDF("root", "top")
-        roots = known.join(higher, "root", "left").select("rid", F.coalesce("top", "root").alias("root"))
+        roots = known.join(higher, "root", "left").where("linked or top is not null").select("rid", F.coalesce("top", "root").alias("root"))
     member = stash(vecs.join(roots, "rid"), f"{path}/member")
     counts = count_links(member, threshold)
     info = vecs.select("rid", "label", "e", "low", "n").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))

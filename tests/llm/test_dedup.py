@@ -136,7 +136,7 @@ def test_embedding_recall_on_table(spark):
 
 
 def test_embeddings_where_the_search_finds_no_link(spark, monkeypatch):
-    """Whatever the search misses, labels that the audit finds short are compared whole."""
+    """Whatever the search misses, the exact step finds."""
     monkeypatch.setattr(neardup, "BLOCK", 32)
     monkeypatch.setattr(neardup, "_nearest", lambda rid, *more: (rid[:0], rid[:0], np.empty(0)))
     rng = np.random.default_rng(9)
@@ -147,6 +147,61 @@ def test_embeddings_where_the_search_finds_no_link(spark, monkeypatch):
     assert got == want and max(n for n, _ in want.values()) > 10
 
 
+def _joined(spark, path, rows, roots, **how):
+    """Brute-force components over given roots, and those of the exact step."""
+    vecs = neardup.stash(neardup.vectors_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), f"{path}/vecs")
+    at = {r["low"]: r["rid"] for r in vecs.collect()}
+    given = spark.createDataFrame([(at[i], at[r]) for i, r in roots.items()] or [(-1, -1)], "rid long, root long")
+    got = [(r["u"], r["v"]) for r in neardup.exact_joins(vecs, given, 0.98, path, **how).collect()]
+    back = {v: k for k, v in at.items()}
+    return groups(at, [(back[u], back[v]) for u, v in got] + list(roots.items())), got
+
+
+@pytest.mark.parametrize("dim,small,most,cell", [(3, 24, 6, 64), (6, 40, 16, 1 << 21), (16, 32, 64, 16 * 40)])
+def test_exact_step_alone_finds_every_link(spark, monkeypatch, tmp_path, dim, small, most, cell):
+    """Without any search: cells of pivots, cells in cells, and blocks of what does not part give the brute-force components."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "CELL", cell)
+    rng = np.random.default_rng(dim)
+    rows = [(k, rng.normal(size=dim).tolist(), k % 2) for k in range(500)]
+    for k in range(0, 500, 5):  # lone pairs at the very border
+        x, y = np.array(rows[k][1]), rng.normal(size=dim)
+        y -= y @ x / (x @ x) * x
+        z = 0.9803 * x / np.linalg.norm(x) + np.sqrt(1 - 0.9803**2) * y / np.linalg.norm(y)
+        rows.append((1000 + k, (3 * z).tolist(), k % 2))
+    cone = rng.normal(size=dim)
+    rows += [(2000 + k, (cone + rng.normal(size=dim) * 0.13).tolist(), 0) for k in range(150)]
+    found, _ = _joined(spark, str(tmp_path), rows, {}, small=small, most=most, levels=2)
+    want = plain_vectors(rows)
+    assert found == groups(found, [(i, c) for i, (_, c) in want.items()])
+
+
+def test_exact_step_looks_between_components_only(spark, monkeypatch, tmp_path):
+    """A dense component in one cell meets what else the cell holds, not itself; a label of one component is not read."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "CELL", 64)
+    rng = np.random.default_rng(3)
+    base = np.eye(4)[0]
+    rows = [(k, (base + rng.normal(size=4) * 0.004).tolist(), 0) for k in range(300)]
+    rows += [(400 + k, (base + np.eye(4)[1] * 0.18 * (k + 1)).tolist(), 0) for k in range(4)] + [(500 + k, rng.normal(size=4).tolist(), 0) for k in range(9)]
+    rows += [(600 + k, (base * (k + 1) + np.eye(4)[2] * 0.01 * k).tolist(), 1) for k in range(100)]
+    roots = {k: 0 for k in range(300)} | {600 + k: 600 for k in range(100)}
+    seen = []
+    joins = neardup._block_pairs
+    monkeypatch.setattr(neardup, "_block_pairs", lambda r: seen.append(joins(r)) or seen[-1])
+    found, got = _joined(spark, str(tmp_path), rows, roots, small=32, most=8, levels=1)
+    assert found == groups(found, [(i, c) for i, (_, c) in plain_vectors(rows).items()]) and 0 < len(got) < 50
+    runs = [{r["root"] for r in rs} for rs in _runs_of(seen[-1])]
+    assert runs and all(len(r) > 1 for r in runs)
+
+
+def _runs_of(rows):
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r["key"], []).append(r)
+    return by.values()
+
+
 def test_equal_cosines_give_no_more_than_k():
     """A slice of vectors that are all as near to each other: k for each, and pairs that join them all."""
     x = np.full((256, 3), 1.0)
