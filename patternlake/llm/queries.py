@@ -53,13 +53,16 @@ def op6(spark, sf_dir):
 def url_aliases(spark, sf_dir):
     """op6 over the pages with canonical links and refreshes put in, as LINKED_SQL has them."""
     pages = _table(spark, sf_dir, "pages")
-    html = """CASE CAST(page_id % 7 AS INT)
-      WHEN 0 THEN concat('<link rel="canonical" href="http://alias.example.org/', page_id div 21, '">')
-      WHEN 1 THEN concat('<meta http-equiv="refresh" content="0; url=//hop', page_id div 14, '.example.org/x?a=1&amp;b=2">')
-      WHEN 2 THEN concat('<link href=\\'http://hop', page_id div 14, '.example.org/x?a=1&b=2\\' rel=canonical><link rel="canonical" href="http://block', page_id % 3, '.net/">')
-      WHEN 3 THEN concat('<link rel="canonical" href="../up/./', page_id % 5, '"><link rel="canonical" href="http://www.example.net/en/', page_id div 70, '">')
+    html = """CASE CAST(page_id % 10 AS INT)
+      WHEN 0 THEN concat('<link rel="canonical" href="http://alias.example.org/', page_id div 30, '">')
+      WHEN 1 THEN concat('<meta http-equiv="refresh" content="0; url=//hop', page_id div 20, '.example.org/x?a=1&amp;b=2">')
+      WHEN 2 THEN concat('<link href=\\'http://hop', page_id div 20, '.example.org/x?a=1&b=2\\' rel=canonical><link rel="canonical" href="http://block', page_id % 3, '.net/">')
+      WHEN 3 THEN concat('<link rel="canonical" href="../up/./', page_id % 5, '"><link rel="canonical" href="http://www.example.net/en/', page_id div 100, '">')
       WHEN 4 THEN concat('<!-- <link rel="canonical" href="http://x.net/"> --><link rel="canonical" href="?q=', page_id % 4, '">')
-      WHEN 5 THEN concat('<link rel="canonical" href="http://www.example.net/en/', page_id div 70, '">') ELSE html END"""
+      WHEN 5 THEN concat('<link rel="canonical" href="http://www.example.net/en/', page_id div 100, '">')
+      WHEN 7 THEN concat('<base target=x href="http://d.net/deep/er/"><link rel="canonical" href="../page/', page_id div 20, '">')
+      WHEN 8 THEN concat('<link rel="canonical" href="http&#58;&sol;/hop', page_id div 20, '.example.org&#x3A;443/x?a=1&#38;b=2">')
+      WHEN 9 THEN concat('<link rel="canonical" href="HTTP://D.net:80/deep/page/', page_id div 20, '">') ELSE html END"""
     return urls.judge(pages.select("page_id", "url", F.expr(html).alias("html")), RULES)
 
 
@@ -144,7 +147,7 @@ def _split(url: str) -> str:
 def _key(url: str) -> str:
     rest = f"substr({url}, instr({url}, '://') + 3)"
     tail = f"regexp_extract({rest}, '^[^/?#]*([^#]*)', 1)"
-    host = f"regexp_extract({rest}, '^[^/?#]*')"
+    host = f"regexp_replace(regexp_extract({rest}, '^[^/?#]*'), '{urls.PORT}', '')"
     return f"CASE WHEN contains({url}, '://') AND {host} <> '' THEN {_LOWER.format(host)} || CASE WHEN {tail} = '' OR {tail} LIKE '?%' THEN '/' ELSE '' END || {tail} END"
 
 
@@ -156,15 +159,29 @@ def _rule(what: int) -> str:
     return out
 
 
+def _href(tag: str) -> str:
+    groups = " || ".join(f"regexp_extract({tag}, '{urls.HREF.replace("'", "''")}', {k})" for k in (1, 2, 3))
+    return f"trim({groups})"
+
+
 _TAGS = f"""list_concat(
- list_transform(regexp_extract_all(plain, '{urls.CANONICAL.replace("'", "''")}', 1), lambda t: trim(regexp_extract(t, '{urls.HREF.replace("'", "''")}', 1) || regexp_extract(t, '{urls.HREF.replace("'", "''")}', 2) || regexp_extract(t, '{urls.HREF.replace("'", "''")}', 3))),
+ list_transform(regexp_extract_all(plain, '{urls.CANONICAL.replace("'", "''")}', 1), lambda t: {_href('t')}),
  list_transform(regexp_extract_all(plain, '{urls.REFRESH.replace("'", "''")}', 1), lambda t: regexp_extract(t, '{urls.REFRESH_URL.replace("'", "''")}', 1)))"""
 
 
 def _entities(x: str) -> str:
-    for entity, char in urls.ENTITIES.items():
-        x = f"replace({x}, '{entity}', '{char.replace("'", "''")}')"
-    return x
+    code = "CASE WHEN regexp_matches(p, '^&#[xX].*;$') THEN CAST('0x' || p[4:-2] AS INT) WHEN regexp_matches(p, '^&#.*;$') THEN CAST(p[3:-2] AS INT) END"
+    named = " ".join(f"WHEN p = '&{name};' THEN '{char.replace("'", "''")}'" for name, char in urls.ENTITIES.items())
+    read = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) {named} ELSE p END"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '{urls.PIECES}'), lambda p: {read}), '')"
+
+
+def _resolved(name: str, source: str, keep: str) -> str:
+    """Steps that end in table ``name``: ``keep`` and full, the url that dst of ``source`` means at its host and path."""
+    return rf"""{name}_cut AS (SELECT *, regexp_extract(dst, '(?s)^[^?#]*') AS bare, regexp_extract(dst, '(?s)^[^?#]*(.*)$', 1) AS rest, regexp_extract(path, '(?s)^(.*/)?', 1) AS folder FROM {source}),
+{name}_steps AS (SELECT *, string_split(substr(CASE WHEN bare = '' THEN path WHEN starts_with(bare, '/') THEN bare ELSE CASE WHEN folder = '' THEN '/' ELSE folder END || bare END, 2), '/') AS s FROM {name}_cut),
+{name}_walked AS (SELECT *, list_reduce(list_prepend('', s), lambda a, x: CASE WHEN x = '.' THEN a WHEN x = '..' THEN regexp_replace(a, '/[^/]*\z', '') ELSE a || '/' || x END) || CASE WHEN s[-1] IN ('.', '..') THEN '/' ELSE '' END AS clean FROM {name}_steps),
+{name} AS (SELECT {keep}, CASE WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN dst WHEN starts_with(dst, '//') THEN 'http:' || dst ELSE 'http://' || host || clean || rest END AS "full" FROM {name}_walked)"""
 
 
 def aliases_sql(pages: str) -> str:
@@ -172,13 +189,12 @@ def aliases_sql(pages: str) -> str:
     return rf"""
 WITH RECURSIVE src AS (SELECT * FROM {pages}),
 own AS (SELECT *, {_rule(0)} AS rule, {_rule(1)} AS own FROM (SELECT page_id, url, {_key('url')} AS node, {_split('url')} FROM src)),
-hint AS (SELECT url, host, path, unnest({_TAGS}) AS raw FROM (SELECT url, regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g') AS plain, {_split('url')} FROM src WHERE url IS NOT NULL AND html IS NOT NULL)),
-dst AS (SELECT url, host, path, {_entities('raw')} AS dst FROM hint),
-cut AS (SELECT *, regexp_extract(dst, '(?s)^[^?#]*') AS bare, regexp_extract(dst, '(?s)^[^?#]*(.*)$', 1) AS rest, regexp_extract(path, '(?s)^(.*/)?', 1) AS folder FROM dst WHERE dst <> ''),
-steps AS (SELECT *, string_split(substr(CASE WHEN bare = '' THEN path WHEN starts_with(bare, '/') THEN bare ELSE CASE WHEN folder = '' THEN '/' ELSE folder END || bare END, 2), '/') AS s FROM cut),
-walked AS (SELECT *, list_reduce(list_prepend('', s), lambda a, x: CASE WHEN x = '.' THEN a WHEN x = '..' THEN regexp_replace(a, '/[^/]*\z', '') ELSE a || '/' || x END) || CASE WHEN s[-1] IN ('.', '..') THEN '/' ELSE '' END AS clean FROM steps),
-link AS (SELECT url, CASE WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN dst WHEN starts_with(dst, '//') THEN 'http:' || dst ELSE 'http://' || host || clean || rest END AS dst FROM walked),
-one AS (SELECT {_key('url')} AS a, {_key('dst')} AS b FROM link),
+hint AS (SELECT url, regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g') AS plain, {_split('url')} FROM src WHERE url IS NOT NULL AND html IS NOT NULL),
+stated AS (SELECT url, host, path, plain, {_entities('b')} AS dst FROM (SELECT *, {_href(f"regexp_extract(plain, '{urls.BASE}', 1)")} AS b FROM hint)),
+{_resolved('based', 'stated', 'url, plain')},
+told AS (SELECT url, host, path, {_entities('raw')} AS dst FROM (SELECT url, {_split('"full"')}, unnest({_TAGS}) AS raw FROM based)),
+{_resolved('link', "(SELECT * FROM told WHERE dst <> '')", 'url')},
+one AS (SELECT {_key('url')} AS a, {_key('"full"')} AS b FROM link),
 edge AS (SELECT a, b FROM one WHERE a <> b UNION SELECT b, a FROM one WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM edge UNION SELECT r.node, e.b FROM reach r JOIN edge e ON r.other = e.a),
 judged AS (SELECT node, other, {_rule(1)} AS own FROM (SELECT node, other, {_split("('http://' || other)")} FROM reach)),
@@ -189,13 +205,16 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 
 OP6_SQL = aliases_sql("pages")
 #: The pages with links of every kind put in: to the next page, to an allowed host, to a blocked one and to nowhere.
-LINKED_SQL = aliases_sql("""(SELECT page_id, url, CASE CAST(page_id % 7 AS INT)
- WHEN 0 THEN '<link rel="canonical" href="http://alias.example.org/' || (page_id // 21) || '">'
- WHEN 1 THEN '<meta http-equiv="refresh" content="0; url=//hop' || (page_id // 14) || '.example.org/x?a=1&amp;b=2">'
- WHEN 2 THEN '<link href=''http://hop' || (page_id // 14) || '.example.org/x?a=1&b=2'' rel=canonical><link rel="canonical" href="http://block' || (page_id % 3) || '.net/">'
- WHEN 3 THEN '<link rel="canonical" href="../up/./' || (page_id % 5) || '"><link rel="canonical" href="http://www.example.net/en/' || (page_id // 70) || '">'
+LINKED_SQL = aliases_sql("""(SELECT page_id, url, CASE CAST(page_id % 10 AS INT)
+ WHEN 0 THEN '<link rel="canonical" href="http://alias.example.org/' || (page_id // 30) || '">'
+ WHEN 1 THEN '<meta http-equiv="refresh" content="0; url=//hop' || (page_id // 20) || '.example.org/x?a=1&amp;b=2">'
+ WHEN 2 THEN '<link href=''http://hop' || (page_id // 20) || '.example.org/x?a=1&b=2'' rel=canonical><link rel="canonical" href="http://block' || (page_id % 3) || '.net/">'
+ WHEN 3 THEN '<link rel="canonical" href="../up/./' || (page_id % 5) || '"><link rel="canonical" href="http://www.example.net/en/' || (page_id // 100) || '">'
  WHEN 4 THEN '<!-- <link rel="canonical" href="http://x.net/"> --><link rel="canonical" href="?q=' || (page_id % 4) || '">'
- WHEN 5 THEN '<link rel="canonical" href="http://www.example.net/en/' || (page_id // 70) || '">' ELSE html END AS html FROM pages)""")
+ WHEN 5 THEN '<link rel="canonical" href="http://www.example.net/en/' || (page_id // 100) || '">'
+ WHEN 7 THEN '<base target=x href="http://d.net/deep/er/"><link rel="canonical" href="../page/' || (page_id // 20) || '">'
+ WHEN 8 THEN '<link rel="canonical" href="http&#58;&sol;/hop' || (page_id // 20) || '.example.org&#x3A;443/x?a=1&#38;b=2">'
+ WHEN 9 THEN '<link rel="canonical" href="HTTP://D.net:80/deep/page/' || (page_id // 20) || '">' ELSE html END AS html FROM pages)""")
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages)

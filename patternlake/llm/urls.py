@@ -49,15 +49,19 @@ def decide(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def key(url: Column) -> Column:
-    """A url as a node: scheme and fragment dropped, host in lower case. Null without a host."""
+    """A url as a node: scheme, fragment and the ports 80 and 443 dropped, host in lower case. Null without a host."""
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]+[^#]*)", 1)
-    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    host = F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*", 0), PORT, "")
     tail = F.regexp_replace(F.regexp_extract(rest, r"(?s)^[^/?#]*(.*)$", 1), r"^(?=\?|$)", "/")
-    return F.when(url.rlike(r"(?s)^(?:(?!://).)*://[^/?#]"), F.concat(ascii_lower(host), tail))
+    return F.when(url.rlike(r"(?s)^(?:(?!://).)*://[^/?#]") & (host != ""), F.concat(ascii_lower(host), tail))
 
 
-#: Entities that are read in link targets, the ampersand last.
-ENTITIES = {"&#38;": "&", "&#x26;": "&", "&#39;": "'", "&apos;": "'", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+PORT = r":(?:80|443)?\z"
+#: Named entities that are read in link targets.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "colon": ":", "sol": "/", "period": ".", "quest": "?", "num": "#", "equals": "=", "percnt": "%", "lowbar": "_"}
+#: A text as pieces: entities by number, by name, and what stands between.
+PIECES = rf"(?s)&#[0-9]{{1,7}};|&#[xX][0-9A-Fa-f]{{1,6}};|&(?:{'|'.join(ENTITIES)});|[^&]+|&"
+BASE = r"(?is)<base(\s(?:[^>]*\s)?href\s*=[^>]*)>"
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 CANONICAL = r"(?is)<link(\s[^>]*?\brel\s*=\s*(?:\"[^\">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*)>"
 HREF = r"(?is)(?:^|\s)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
@@ -69,18 +73,37 @@ def _href(tag: Column) -> Column:
     return F.trim(F.concat(*[F.regexp_extract(tag, HREF, k) for k in (1, 2, 3)]))
 
 
+def read_entities(x: Column) -> Column:
+    """Text with its entities read, each once; a number that is no character stays as written."""
+
+    def piece(t: Column) -> Column:
+        hexed, number = t.rlike("^&#[xX]"), F.regexp_extract(t, "^&#[xX]?(.*);$", 1)
+        code = F.conv(number, 16, 10)
+        code = F.when(hexed, code).otherwise(number).cast("int")
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        out = F.when(t.rlike("^&#.*;$") & real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for name, char in ENTITIES.items():
+            out = out.when(t == f"&{name};", char)
+        return out.otherwise(t)
+
+    return F.when(F.instr(x, "&") > 0, F.array_join(F.transform(F.regexp_extract_all(x, F.lit(PIECES), F.lit(0)), piece), "")).otherwise(x)
+
+
+def _plain(html: Column) -> Column:
+    return F.regexp_replace(html, COMMENT, "")
+
+
 def targets(html: Column) -> Column:
     """All targets of a page's canonical links and meta refreshes, as written but for entities; what stands in comments is no link."""
-    plain = F.regexp_replace(html, COMMENT, "")
+    plain = _plain(html)
     links = F.transform(F.regexp_extract_all(plain, F.lit(CANONICAL), F.lit(1)), _href)
     metas = F.transform(F.regexp_extract_all(plain, F.lit(REFRESH), F.lit(1)), lambda tag: F.regexp_extract(tag, REFRESH_URL, 1))
+    return F.filter(F.transform(F.concat(links, metas), read_entities), lambda x: x != "")
 
-    def read(x: Column) -> Column:
-        for entity, char in ENTITIES.items():
-            x = F.replace(x, F.lit(entity), F.lit(char))
-        return x
 
-    return F.filter(F.transform(F.concat(links, metas), read), lambda x: x != "")
+def base(html: Column) -> Column:
+    """What the first base element with a href says; empty without one."""
+    return read_entities(_href(F.regexp_extract(_plain(html), BASE, 1)))
 
 
 def resolve(host: Column, path: Column, to: Column) -> Column:
@@ -106,10 +129,12 @@ def resolve(host: Column, path: Column, to: Column) -> Column:
 
 
 def page_edges(pages: DataFrame, path: str) -> DataFrame:
-    """(a, b) as nodes: from each page to wherever its canonical links and meta refreshes point, relative targets resolved as browsers do."""
+    """(a, b) as nodes: from each page to wherever its canonical links and meta refreshes point, relative targets resolved as browsers do: from the base element where there is one."""
     hinted = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|refresh"))
     host, place = parts(F.col("url"))
-    to = hinted.select("url", host.alias("host"), place.alias("path"), F.explode(targets(F.col("html"))).alias("to"))
+    seen = hinted.select("url", resolve(host, place, base(F.col("html"))).alias("from"), "html")
+    host, place = parts(F.col("from"))
+    to = seen.select("url", host.alias("host"), place.alias("path"), F.explode(targets(F.col("html"))).alias("to"))
     full = resolve(F.col("host"), F.col("path"), F.col("to"))
     return stash(to.select(key(F.col("url")).alias("a"), key(full).alias("b")), f"{path}/links").where("a is not null and b is not null and a != b")
 
@@ -118,7 +143,7 @@ def judge(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | None =
     """Judge every url of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, alias_of.
 
     A url's own longest rule decides. Without one, the url takes the decision of its aliases: the urls that
-    redirects (src, dst), canonical links and meta refreshes (all of a page, relative ones resolved) connect with it, over any number of steps. Among them an explicit
+    redirects (src, dst), canonical links and meta refreshes (all of a page, relative ones resolved, from the base element if it has one) connect with it, over any number of steps. Among them an explicit
     allow goes before any block; with neither, and for null or malformed urls, the verdict is allow. alias_of
     is the smallest node of the component, null without links. Targets count even if no page has them.
     Repeated rows each return; other columns are ignored; null html has no links.

@@ -58,7 +58,7 @@ def test_judge_like_sql(spark, pages):
 def test_registered_sql(spark, name):
     """Every query with SQL over its whole table."""
     folder, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     df, cur = queries.queries()[name](spark, folder), con.execute(queries.oracle_sql()[name])
     cols = [c[0] for c in cur.description]
@@ -158,13 +158,27 @@ RELATIVE = [
     (9, "http://r.example.com/1", LINK.format("#top") + LINK.format("mailto:x@g.net") + "<!-- open " + LINK.format("http://h.net/")),
     (10, "http://s.example.com/a/", LINK.format("../../../t")),
     (11, "http://s.example.com/t", LINK.format("http://i.net/")),
+    (12, "http://t.example.com/1", LINK.format("http&#58;&#x2F;&#X2f;b&period;net/")),  # entities by number and by name
+    (13, "http://t.example.com/2", LINK.format("http://plain.example.com/&amp;#58;&#0;&#xD800;&#x1F600;&unknown;&#9999999;")),  # each entity is read once, no character stays as written
+    (14, "http://plain.example.com/&#58;&#0;&#xD800;\U0001f600&unknown;&#9999999;", None),
+    (15, "http://u.example.com/1", "<BASE target=_top data-href='http://plain.example.com/'><base HREF='http://d.net/a/'><base href='http://plain.example.com/'>" + LINK.format("../b")),  # the first base with a target counts
+    (16, "http://u.example.com/dir/2", '<base href="/other/">' + LINK.format("x")),  # a base that is relative itself
+    (17, "http://u.example.com/other/x", LINK.format("http://f.net/")),
+    (18, "http://v.example.com:80/1", None),
+    (19, "http://w.example.com/1", LINK.format("https://V.example.com:443/1")),
+    (20, "http://v.example.com:/1", LINK.format("http://g.net:80")),
+    (21, "http://v.example.com:8080/1", LINK.format("http://plain.example.com/port")),  # another port is another node
+    (22, "http://:80/1", LINK.format("http://h.net/")),  # no host
 ]
 
 
 def test_links_of_every_kind(spark):
     rows = spark.createDataFrame(RELATIVE, PAGES)
     got = {r["page_id"]: r["verdict"] for r in urls.judge(rows, queries.RULES).collect()}
-    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "block", 9: "allow", 10: "block", 11: "block"}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "block", 9: "allow", 10: "block", 11: "block",
+                   12: "block", 13: "allow", 14: "allow", 15: "block", 16: "block", 17: "block", 18: "block", 19: "block", 20: "block", 21: "allow", 22: "allow"}
+    alias = {r["page_id"]: r["alias_of"] for r in urls.judge(rows, queries.RULES).collect()}
+    assert alias[13] == alias[14] is not None and alias[22] is None
     con = duckdb.connect()
     con.register("pages", pd.DataFrame(RELATIVE, columns=["page_id", "url", "html"]))
     cur = con.execute(queries.OP6_SQL)
