@@ -371,10 +371,12 @@ def _meet(rows: DataFrame, threshold: float) -> DataFrame:
                     if (p >> 2) & (q >> 2) or (p & 3 and p & 3 == q & 3):
                         continue  # they meet at a nearest pivot elsewhere, or in another pair of blocks
                     a, c = np.flatnonzero(kind == p), np.flatnonzero(kind == q)
-                    for s in range(0, len(a), BLOCK):
-                        hit = (x[a[s : s + BLOCK]] @ x[c].T >= threshold) & (root[a[s : s + BLOCK]][:, None] != root[c][None, :])
+                    step = max(16, min(BLOCK, (1 << 22) // len(c)))
+                    for s in range(0, len(a), step):
+                        i = a[s : s + step]
+                        hit = (x[i] @ x[c].T >= threshold) & (root[i][:, None] != root[c][None, :])
                         if hit.any():
-                            out += _joins(hit, root[a[s : s + BLOCK]], root[c])
+                            out += _joins(hit, root[i], root[c])
             if out:
                 u, v = np.array(out, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -390,7 +392,7 @@ def exact_joins(vecs: DataFrame, roots: DataFrame, threshold: float, path: str,
     up to ``levels`` times; what does not part is compared in pairs of blocks. Cells of one component are done without a look.
     """
     rows = vecs.join(roots, "rid", "left").select(F.col("grp").alias("node"), F.lit(0).cast("long").alias("miss"), "rid", F.coalesce("root", "rid").alias("root"), "e", F.lit(False).alias("stuck"))
-    small, out = small or 4 * BLOCK, None
+    small, out = small or 8 * BLOCK, None  # comparing that many takes less than dealing them
     for level in count():
         size = rows.groupBy("node").agg(F.count("*").alias("m"), F.max(F.size("e")).alias("dim"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("stuck").alias("stuck")).where("lo < hi")
         room = F.lit(small) if level == 0 else F.greatest(F.lit(small), F.floor(F.lit(CELL) / F.col("dim")))
