@@ -33,6 +33,44 @@ def sample_cases(cases: DataFrame, per_class: int, seed: int, key: str = "case_k
     return top(cases, per_class, [F.xxhash64(key, F.lit(seed)), key], ["grp", "truth"]).drop("rank")
 
 
+def random_sets(items: DataFrame, seed: int, draws: int = 8, sizes: tuple[int, int] = (2, 4)) -> DataFrame:
+    """(draw, items): the control patterns that ``random_patterns`` draws from the sorted items, where these stay a table of column item.
+
+    Only their number comes to the driver, which draws places; items are numbered by ranges. No items give no sets.
+    """
+    from patternlake.operators.windows import position
+
+    pool = position(items.where("item is not null").select("item").distinct(), ["item"])
+    n, r = pool.count(), random.Random(seed)
+    picks = [(d, p) for d in range(draws) for p in r.sample(range(n), min(n, r.randint(*sizes)))]
+    chosen = F.broadcast(items.sparkSession.createDataFrame(picks, "draw int, seq int"))  # draws times the largest size
+    return pool.join(chosen, "seq").groupBy("draw").agg(F.array_sort(F.collect_list("item")).alias("items"))
+
+
+def draw_cases(cases: DataFrame, per_class: int, seed: int, by: str = "grp", label: str = "truth", classes: tuple[str, ...] = ("normal", "anomalous"), key: str = "case_key", balanced: bool = False) -> DataFrame:
+    """``per_class`` cases of each class of each group, exactly those that a seeded generator draws from lists in the order of ``key``; pick is the place in the draw.
+
+    One generator goes through the groups in order, and in each through ``classes``. With ``balanced`` each group has its own, seeded with ``group|seed``, and takes of every
+    class as many as its smallest has. A draw depends on the lists' lengths only, so cases are numbered by ranges and none is gathered: the driver holds a count for each group and class and
+    the drawn places, which are ``per_class`` for each. Classes with fewer cases give all of them; rows with a null group, and classes not named, give none. Keys are unique in a class, or its ties are in any order.
+    """
+    from patternlake.operators.windows import position
+
+    known = cases.where(F.col(by).isNotNull() & F.col(label).isin(*classes))
+    sizes = {(r[by], r[label]): r["count"] for r in known.groupBy(by, label).count().collect()}
+    picks, r = [], random.Random(seed)
+    for g in sorted({g for g, _ in sizes}):
+        n = [sizes.get((g, c), 0) for c in classes]
+        if balanced:
+            r, most = random.Random(f"{g}|{seed}"), min(per_class, *n)
+        for c, size in zip(classes, n):
+            for p in r.sample(range(size), min(size, most if balanced else per_class)):
+                picks.append((g, c, p, len(picks)))
+    kinds = {f.name: f.dataType for f in cases.schema.fields}
+    schema = T.StructType([T.StructField(by, kinds[by]), T.StructField(label, kinds[label]), T.StructField("__at", T.IntegerType()), T.StructField("pick", T.IntegerType())])
+    return position(known, [by, label, key], [by, label], out="__at").join(F.broadcast(cases.sparkSession.createDataFrame(picks, schema)), [by, label, "__at"]).drop("__at")
+
+
 def call(prompts: DataFrame, client: Callable[[str], str], attempts: int = 3, schema_from: str = "prompt") -> DataFrame:
     """Add reply from ``client(prompt)``, tried up to ``attempts`` times; what fails is marked as an error and can be asked again."""
 

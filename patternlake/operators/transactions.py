@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -101,16 +101,28 @@ def replicate(txns: DataFrame, times: int) -> DataFrame:
     return txns.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
 
+def _roll(*parts) -> Column:
+    """28 bits of the MD5 of a text in parts."""
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 7), 16, 10).cast("long")
+
+
+def plant(txns: DataFrame, key: str, shares: list[float], length: int = 3, items: str = "items") -> DataFrame:
+    """``txns`` with planted sets: set p, the items ``plant=p.0`` .., joins a transaction if the MD5 of ``key:p`` falls into the share shares[p], on every run and in any engine.
+
+    A transaction with a null key gets none.
+    """
+    own, least = F.col(key).cast("string"), F.array(*[F.lit(round(s * 10_000)) for s in shares])
+    hits = F.filter(F.sequence(F.lit(0), F.lit(len(shares) - 1)), lambda p: _roll(own, F.lit(":"), p.cast("string")) % 10_000 < F.get(least, p))
+    names = F.flatten(F.transform(hits, lambda p: F.array(*[F.format_string(f"plant=%d.{k}", p) for k in range(length)])))
+    return txns.withColumn(items, F.array_sort(F.array_distinct(F.concat(items, names))))
+
+
 def planted(spark, n: int, patterns: int = 80, length: int = 5, noise_items: int = 400, noise: int = 6, share: float = 0.1) -> DataFrame:
     """Synthetic transactions (txn_id, items) with planted patterns: pattern p holds items p * length + 1 ...; all from MD5, so the same on every run and in any engine."""
     base = patterns * length
-
-    def roll(*parts):
-        return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 7), 16, 10).cast("long")
-
     row = spark.range(n).withColumnRenamed("id", "txn_id")
     own = F.col("txn_id").cast("string")
-    hits = F.filter(F.sequence(F.lit(0), F.lit(patterns - 1)), lambda p: roll(own, F.lit(":"), p.cast("string")) % 10_000 < int(share * 10_000))
+    hits = F.filter(F.sequence(F.lit(0), F.lit(patterns - 1)), lambda p: _roll(own, F.lit(":"), p.cast("string")) % 10_000 < int(share * 10_000))
     real = F.flatten(F.transform(hits, lambda p: F.sequence(p * length + 1, p * length + length)))
-    fuzz = F.transform(F.sequence(F.lit(1), F.lit(noise)), lambda k: (roll(own, F.lit("+"), k.cast("string")) % noise_items + base + 1).cast("int"))
+    fuzz = F.transform(F.sequence(F.lit(1), F.lit(noise)), lambda k: (_roll(own, F.lit("+"), k.cast("string")) % noise_items + base + 1).cast("int"))
     return row.select("txn_id", F.array_sort(F.array_distinct(F.concat(real, fuzz))).alias("items"))

@@ -16,6 +16,8 @@ from patternlake.streaming import incremental
 #: Supports at which the catalogue mines.
 SHARE, BASKET_SHARE, TRUTH_SHARE = 0.05, 0.02, 0.02
 STAGES = 8
+#: Shares of orders that get planted sets.
+PLANTED = [0.005 * (p + 1) for p in range(8)]
 
 
 def _least(txns: DataFrame, share: float) -> int:
@@ -91,7 +93,7 @@ def tail_label_units(spark, d):
 def signal_features(spark, d):
     """RMS, corrected kurtosis and peak-to-peak of tumbling windows over every component of the vectors."""
     aggs = [F.round(x, 6).alias(n) for n, x in (("rms", features.rms("x")), ("kurt", features.kurtosis_unbiased("x")), ("pp", features.peak_to_peak("x")))]
-    return windows.count_windows(f.channels_long(spark, d), ["label", "channel"], ["vec_id"], 16, 16, aggs)
+    return windows.count_windows(f.channels_long(spark, d), ["label", "channel"], ["vec_id"], 16, 16, aggs, long_units=True)
 
 
 def progress_segments(spark, d):
@@ -216,11 +218,31 @@ def closure_check(spark, d):
 
 
 def planted_recall(spark, d):
-    """Planted patterns that mining finds again, in data that are made from hashes."""
-    t = transactions.compact(transactions.planted(spark, 4000, patterns=10, length=4, noise_items=200, noise=3, share=0.2))
-    found = itemsets.mine(t, 600, "maximal", "vertical")
-    want = spark.range(10).select(F.sequence((F.col("id") * 4 + 1).cast("int"), (F.col("id") * 4 + 4).cast("int")).alias("items"))
-    return want.join(found, "items", "left").agg(F.count("*").alias("planted"), F.count("support").alias("found"))
+    """Sets planted into the orders in shares around the threshold: how many orders have each, and whether mining finds it."""
+    t = cut(transactions.plant(f.basket_rows(spark, d), "l_orderkey", PLANTED).groupBy("items").agg(F.count("*").alias("weight")), "rows")
+    want = spark.range(len(PLANTED)).select(F.col("id").cast("int").alias("p"), F.array(*[F.format_string(f"plant=%d.{k}", "id") for k in range(3)]).alias("want"))
+    sets = cut(itemsets.mine(t, _least(t, BASKET_SHARE), "maximal", "fpmax"), "sets")
+    support = itemsets.count_sets(t, want.select(F.col("want").alias("items"))).select(F.col("items").alias("want"), "support")
+    found = itemsets.contained(want.select(F.col("want").alias("items")), sets).select("want").distinct().withColumn("hit", F.lit(True))
+    return want.join(support, "want").join(found, "want", "left").select("p", "support", F.coalesce("hit", F.lit(False)).alias("found"))
+
+
+def random_control(spark, d):
+    """Eight sets of two to four items, drawn by a seeded generator from all items, with their true counts."""
+    from patternlake.operators import evidence
+
+    t = cut(f.labelled(spark, d), "labelled")
+    sets = cut(evidence.random_sets(t.select(F.explode("items").alias("item")), 42), "sets")
+    table = scoring.contingency(sets.select("items"), t).withColumns({"sup_anom": scoring.sup_anom(), "lift": scoring.lift_ratio()})
+    return _named(sets.join(table, "items"), "draw", "pos", "cnt", "npos", "n", "sup_anom", "lift")
+
+
+def seeded_cases(spark, d):
+    """33 normal and 33 anomalous cases of each group, exactly those that a seeded generator draws from the sorted keys."""
+    from patternlake.operators import evidence
+
+    one = f.calls(spark, d).where("model = 'm0' and cond = 'lib'").select("grp", "truth", "case_key")
+    return evidence.draw_cases(one, 33, 42).select("pick", "grp", "truth", "case_key")
 
 
 def sensor_maximal(spark, d):
@@ -560,7 +582,7 @@ def queries() -> dict:
         edges_quantile, edges_equal_width, bin_histogram, items_rowwise, channel_select_variance, empty_bins,
         windows_label_max, raw_concat_windows, tail_label_units, signal_features, progress_segments, time_split_guard,
         dictionary, encode_ids, txn_text_roundtrip, txn_profile, reduce_infrequent, reduction_rates, replicate_invariance,
-        item_support, maximal_topn, support_of_sets, support_by_trie, support_by_index, basket_index, support_hot, sensor_maximal, sensor_maximal_vertical, closure_check, planted_recall, candidate_join, levelwise_resumed, result_fingerprint,
+        item_support, maximal_topn, support_of_sets, support_by_trie, support_by_index, basket_index, support_hot, sensor_maximal, sensor_maximal_vertical, closure_check, planted_recall, random_control, seeded_cases, candidate_join, levelwise_resumed, result_fingerprint,
         stage_thresholds, stage_pools, anytime_border, incremental_baskets, first_stage, cumulative_pool, coverage_curve, prefix_coverage, identity_gate,
         contingency, truth_patterns, truth_top, minsup_library, class_support_pivot, class_topk, discriminative_topk, library_top8, library_grid, union_coverage, window_flagging,
         reply_parse, accuracy_by_condition, accuracy_parsed_only, faithfulness, hallucination_rate, fpr_cells, macro_cells, mcnemar_chi2, mcnemar_exact, holm_adjust, budget_curve, budget_contrasts, budget_peak, class_spec_join, resume_keys, citation_membership, prompt_render,

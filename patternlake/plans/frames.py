@@ -92,7 +92,7 @@ def wide_sensors(spark, sf_dir, channels: int = 64) -> DataFrame:
 def sensor_windows(spark, sf_dir, size: int = 10, hop: int = 5) -> DataFrame:
     """(label, win, items): windows over the eight sensor channels, with edges of the whole table."""
     s = sensors(spark, sf_dir)
-    return window_transactions(s, ["label"], ["vec_id"], DIMS, fit_edges(s, DIMS), size, hop)
+    return window_transactions(s, ["label"], ["vec_id"], DIMS, fit_edges(s, DIMS), size, hop, long_units=True)
 
 
 def calls(spark, sf_dir) -> DataFrame:

@@ -222,13 +222,9 @@ def oracle_sql() -> dict[str, str]:
         **dict.fromkeys(("basket_maximal", "basket_fpmax", "basket_vertical"), f"WITH {BASKETS}, {_frequent(0.02)}, {_maximal()} {mined} mx"),
         **dict.fromkeys(("support_of_sets", "support_by_trie", "support_by_index"), f"WITH {WEIGHTS}, fl AS (SELECT DISTINCT i FROM (SELECT unnest(items) AS i FROM w) WHERE starts_with(i, 'flag=') OR starts_with(i, 'l_tax=')), ps AS (SELECT [a.i, b.i] AS items FROM fl a JOIN fl b ON a.i < b.i) SELECT {_text('ps.items')} AS pattern, CAST(coalesce(sum(weight), 0) AS BIGINT) AS support FROM ps LEFT JOIN w ON list_has_all(w.items, ps.items) GROUP BY ps.items"),
         "closure_check": f"WITH {WEIGHTS}, {_frequent(0.05)} SELECT count(*) AS n_frequent, CAST(sum(support) AS BIGINT) AS sum_support, CAST(max(len(items)) AS INT) AS longest, (SELECT count(*) FROM (SELECT DISTINCT list_filter(items, lambda y: y <> x) AS part FROM (SELECT items, unnest(items) AS x FROM f WHERE len(items) > 1)) WHERE part NOT IN (SELECT items FROM f)) AS missing FROM f",
-        "planted_recall": f"""WITH r AS (SELECT unnest(range(4000)) AS txn_id), p AS (SELECT unnest(range(10)) AS p),
-            hits AS (SELECT txn_id, unnest(range(p * 4 + 1, p * 4 + 5)) AS item FROM r, p WHERE {_roll("txn_id || ':' || p")} % 10000 < 2000),
-            fuzz AS (SELECT txn_id, {_roll("txn_id || '+' || k")} % 200 + 41 AS item FROM r, (SELECT unnest(range(1, 4)) AS k)),
-            t AS (SELECT DISTINCT * FROM (SELECT * FROM hits UNION ALL SELECT * FROM fuzz)),
-            whole AS (SELECT p, count(*) AS support FROM (SELECT p, txn_id FROM p JOIN t ON item BETWEEN p * 4 + 1 AND p * 4 + 4 GROUP BY p, txn_id HAVING count(*) = 4) GROUP BY p HAVING count(*) >= 600),
-            more AS (SELECT DISTINCT w.p FROM whole w, (SELECT DISTINCT item FROM t) x WHERE x.item NOT BETWEEN w.p * 4 + 1 AND w.p * 4 + 4 AND (SELECT count(*) FROM (SELECT txn_id FROM t WHERE item = x.item OR item BETWEEN w.p * 4 + 1 AND w.p * 4 + 4 GROUP BY txn_id HAVING count(*) = 5)) >= 600)
-            SELECT (SELECT count(*) FROM p) AS planted, count(*) AS found FROM whole WHERE p NOT IN (SELECT p FROM more)""",
+        "planted_recall": f"""WITH o AS (SELECT DISTINCT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey), p AS (SELECT unnest(range(8)) AS p),
+            c AS (SELECT p, count(*) FILTER (WHERE {_roll("l_orderkey || ':' || p")} % 10000 < 50 * (p + 1)) AS support FROM o, p GROUP BY p)
+            SELECT CAST(p AS INT) AS p, support, support >= (SELECT greatest(1, CAST(ceil(0.02 * count(*) - 1e-9) AS BIGINT)) FROM o) AS found FROM c""",
         "sensor_maximal": f"WITH {SENSOR_W}, {_frequent(0.1)}, {_maximal()} {mined} mx",
         "sensor_maximal_vertical": f"WITH {SENSOR_W}, {_frequent(0.1)}, {_maximal()} {mined} mx",
         "class_spec_join": "SELECT r_name AS cls, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
@@ -296,6 +292,9 @@ def oracle_sql() -> dict[str, str]:
     join = lambda x: f"array_to_string(list_transform({x}, lambda v: CAST(v AS VARCHAR)), ' ')"
     out |= {
         "sensor_files": f"WITH {SERIES} SELECT event_type AS kind, count(*) AS n, CAST(1 AS BIGINT) AS runs, CAST(count(*) - 1 AS INT) AS last_seq, round(sum(value), 4) AS value, CAST(sum(label) AS BIGINT) AS positives FROM s GROUP BY 1",
+        "sensor_runs": f"""WITH {SERIES}, r AS (SELECT event_type AS kind, event_id, (event_id // 500) || '.csv' AS run FROM s),
+            n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY run, event_id) - 1 AS seq FROM r)
+            SELECT kind, count(*) AS n, CAST(max(seq) AS INT) AS last_seq, count(DISTINCT run) AS runs, CAST(sum(seq * (event_id % 97)) AS BIGINT) AS places FROM n GROUP BY 1""",
         "turbofan_text": "SELECT CAST(o_custkey % 20 AS INT) AS bucket, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS cycles, round(sum(o_totalprice), 2) AS op1, CAST(sum(length(o_orderstatus)) AS DOUBLE) AS s1, CAST(0 AS BIGINT) AS s2 FROM orders GROUP BY 1",
         "labelled_csv": "SELECT l_returnflag AS label, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS price, round(sum(l_tax), 4) AS tax FROM lineitem GROUP BY 1",
         "telemetry_gz": f"WITH {SERIES}, h AS (SELECT * FROM s ORDER BY event_id LIMIT 1000), x AS (SELECT 'value' AS channel, value AS x FROM h UNION ALL SELECT 'k', k FROM h) SELECT channel, count(x) AS n, round(sum(x), 4) AS total, (SELECT count(*) - 1 FROM h) AS last_seq FROM x GROUP BY channel",
@@ -318,8 +317,11 @@ def oracle_sql() -> dict[str, str]:
         "run_logs": "WITH r AS (SELECT o_totalprice, o_orderstatus = 'F' AS ok FROM orders WHERE o_orderkey % 50 = 1), p AS (SELECT 'counting' AS phase, ok, o_totalprice AS ms FROM r UNION ALL SELECT 'merge', ok, 1.5 FROM r) SELECT phase, ok, count(*) AS n, round(sum(ms), 2) AS ms FROM p GROUP BY 1, 2",
         "validation_report": f"""WITH {WEIGHTS}, {_frequent(0.05)}, {_maximal()}, f2 AS (SELECT * FROM f WHERE support >= {_least(0.2)}), {_maximal('f2', 'mx2')},
             tm AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'rows-0.05' ELSE 'rows-0.2' END AS config, round(median(o_totalprice), 4) AS median_s FROM orders GROUP BY 1),
-            v AS (SELECT 'rows-0.05' AS config, count(*) AS n_mine, count(*) AS n_gold FROM mx UNION ALL SELECT 'rows-0.2', count(*), count(*) FILTER (WHERE NOT list_contains(items, 'status=F')) FROM mx2)
-            SELECT config, n_mine, n_gold, CAST(0 AS BIGINT) AS missing, n_mine - n_gold AS extra, median_s, CASE WHEN n_mine = n_gold THEN 'PASS' ELSE 'FAIL' END AS verdict FROM v JOIN tm USING (config)""",
+            mine AS (SELECT 'rows-0.05' AS config, items FROM mx UNION ALL SELECT 'rows-0.2', items FROM mx2),
+            gold AS (SELECT * FROM mine WHERE NOT (config = 'rows-0.2' AND list_contains(items, 'status=F'))),
+            v AS (SELECT coalesce(m.config, g.config) AS config, count(m.items) AS n_mine, count(g.items) AS n_gold, count(*) FILTER (WHERE m.items IS NULL) AS missing, count(*) FILTER (WHERE g.items IS NULL) AS extra
+                FROM mine m FULL JOIN gold g ON m.config = g.config AND m.items = g.items GROUP BY 1)
+            SELECT config, n_mine, n_gold, missing, extra, median_s, CASE WHEN missing = 0 AND extra = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM v JOIN tm USING (config)""",
     }
     for name, expr in LIFT.items():
         out[f"lift_{name}"] = f"WITH {TABLE} SELECT {pat}, {expr} AS lift FROM ct"

@@ -35,6 +35,29 @@ def sensor_files(spark, d):
     return runs.groupBy(F.regexp_extract("grp", "=(.*)$", 1).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"), F.max("seq").alias("last_seq"), F.round(F.sum("value"), 4).alias("value"), F.sum("label").alias("positives"))
 
 
+def sensor_runs(spark, d):
+    """Several files of 500 ids to a kind, named by number: names sort as strings, and the rows of a kind's files stand one after the other."""
+    path = shared_path(spark, "runs")
+    rows = f.series(spark, d).select(F.col("event_type").alias("kind"), F.expr("event_id div 500").alias("run"), "event_id", "value")
+    rows.groupBy("kind", "run").applyInPandas(partial(_csv_file, path), "run long").write.format("noop").mode("overwrite").save()
+    runs = readers.sensor_csv(spark, path, "event_id long, value double", "event_id")
+    places = readers.raw_concat(runs).groupBy("grp").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"), F.sum(F.col("seq") * (F.col("event_id") % 97)).alias("places"))
+    files = runs.groupBy("grp").agg(F.countDistinct("run_id").alias("runs"))
+    return places.join(files, "grp").select(F.col("grp").alias("kind"), "n", "last_seq", "runs", "places")
+
+
+def _csv_file(path: str, rows):
+    """One file of a run, written whole under its name, however often the task runs."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(path)
+    folder = f"{base}/{rows['kind'].iloc[0]}"
+    store.create_dir(folder, recursive=True)
+    with store.open_output_stream(f"{folder}/{rows['run'].iloc[0]}.csv") as out:
+        out.write(rows.sort_values("event_id")[["event_id", "value"]].to_csv(index=False, sep=";").encode())
+    return rows[["run"]].head(1)
+
+
 def turbofan_text(spark, d):
     """Lines of numbers with uneven spaces and no header."""
     path = shared_path(spark, "turbofan")
@@ -252,7 +275,7 @@ def validation_report(spark, d):
 
 def queries() -> dict:
     made = [
-        sensor_files, turbofan_text, labelled_csv, telemetry_gz, signal_arrays, signal_source, txn_lines, dictionary_file, labels_file, txn_labels, patterns_file, summary_file, results_file, results_header, decoded_file,
+        sensor_files, sensor_runs, turbofan_text, labelled_csv, telemetry_gz, signal_arrays, signal_source, txn_lines, dictionary_file, labels_file, txn_labels, patterns_file, summary_file, results_file, results_header, decoded_file,
         stage_file, sets_files, append_log, append_log_commits, call_file, file_checksums, run_logs, validation_report,
     ]
     return {q.__name__: q for q in made}

@@ -39,6 +39,27 @@ def test_query(spark, con, name):
     assert sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr) == want
 
 
+def test_seeded_queries(spark, con):
+    """What no SQL draws: the cases and control sets of the tables, with counts by plain Python."""
+    import random
+    from itertools import product
+
+    rows = {}
+    for r in catalog.f.calls(spark, DIR).where("model = 'm0' and cond = 'lib'").collect():
+        rows.setdefault((r["grp"], r["truth"]), []).append(r["case_key"])
+    draw, want = random.Random(42), []
+    for key in product(sorted({g for g, _ in rows}), ("normal", "anomalous")):
+        want += draw.sample(sorted(rows.get(key, [])), min(33, len(rows.get(key, []))))
+    assert [r["case_key"] for r in catalog.seeded_cases(spark, DIR).orderBy("pick").collect()] == want and want
+
+    txns = [(set(r["items"]), r["label"], r["weight"]) for r in catalog.f.labelled(spark, DIR).collect()]
+    sets = catalog.random_control(spark, DIR).collect()
+    assert sorted(r["draw"] for r in sets) == list(range(8))
+    for r in sets:
+        held = [(y, w) for x, y, w in txns if set(r["pattern"].split(" & ")) <= x]
+        assert (r["pos"], r["cnt"]) == (sum(w for y, w in held if y == 1), sum(w for _, w in held))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(__spark_entry__.queries())

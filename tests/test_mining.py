@@ -226,3 +226,13 @@ def test_planted(spark):
     t = transactions.compact(transactions.planted(spark, 2000, patterns=3, length=3, noise_items=50, noise=2, share=0.3))
     found = {tuple(r["items"]) for r in itemsets.mine(t, 400, "maximal", "vertical").collect()}
     assert {(1, 2, 3), (4, 5, 6), (7, 8, 9)} <= found
+
+
+def test_plant(spark):
+    """Planted sets join what is there, by the key alone; a null key gets none."""
+    df = spark.createDataFrame([(k, ["a"]) for k in range(2000)] + [(None, ["a"])], "k long, items array<string>")
+    out = transactions.plant(df, "k", [0.0, 0.25, 1.0], 2).collect()
+    have = [r["items"] for r in out if r["k"] is not None]
+    assert all(x[0] == "a" and {"plant=2.0", "plant=2.1"} <= set(x) and "plant=0.0" not in x for x in have)
+    assert 400 < sum("plant=1.0" in x for x in have) < 600 and all(("plant=1.0" in x) == ("plant=1.1" in x) for x in have)
+    assert [r["items"] for r in out if r["k"] is None] == [["a"]]

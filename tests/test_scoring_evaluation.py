@@ -1,6 +1,7 @@
 """Scores, selections and statistics."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,36 @@ def test_controls_and_splits():
     assert len(got) == 8 and all(2 <= len(set(p)) <= 4 for p in got)
 
 
+def test_random_sets_are_those_of_the_list(spark):
+    items = [f"i{k:02d}" for k in range(37)]
+    df = spark.createDataFrame([(x,) for x in items[::-1] * 3] + [(None,)], "item string").repartition(5)
+    for seed in (1, 42):
+        got = {r["draw"]: r["items"] for r in evidence.random_sets(df, seed).collect()}
+        assert [got[d] for d in range(8)] == evidence.random_patterns(items, seed)
+    assert evidence.random_sets(df.limit(0), 1).collect() == []
+    one = evidence.random_sets(df.where("item = 'i03'"), 1).collect()
+    assert len(one) == 8 and all(r["items"] == ["i03"] for r in one)
+
+
+@pytest.mark.parametrize("balanced", [False, True])
+def test_drawn_cases_are_those_of_the_generator(spark, balanced):
+    """The same cases in the same order as a generator draws from lists, with classes too small for the draw and a null group."""
+    rng = random.Random(3)
+    rows = [(g, t, k) for k, (g, t) in enumerate((rng.choice(["g1", "g2", "g3"]), rng.choice(["normal", "normal", "anomalous"])) for _ in range(300))]
+    rows = [r for r in rows if r[0] != "g3" or r[1] == "normal" or r[2] % 10 == 0] + [(None, "normal", 900), ("g1", "other", 901)]
+    df = spark.createDataFrame(rows, "grp string, truth string, case_key long").repartition(6)
+    want, r = [], random.Random(7)
+    for g in ("g1", "g2", "g3"):
+        lists = [sorted(k for a, b, k in rows if (a, b) == (g, t)) for t in ("normal", "anomalous")]
+        need = min(20, *map(len, lists)) if balanced else 20
+        if balanced:
+            r = random.Random(f"{g}|7")
+        want += [k for x in lists for k in r.sample(x, min(need, len(x)))]
+    got = evidence.draw_cases(df, 20, 7, balanced=balanced).orderBy("pick").collect()
+    assert [x["case_key"] for x in got] == want and [x["pick"] for x in got] == list(range(len(want)))
+    assert evidence.draw_cases(df.limit(0), 20, 7, balanced=balanced).collect() == []
+
+
 def test_runs(spark):
     df = spark.createDataFrame([("d", e, float(v)) for e, vs in (("x", (4, 2, 6)), ("y", (1, 1, 4))) for v in vs], "dataset string, engine string, secs double")
     s = evaluation.run_summary(df, ["dataset", "engine"], "secs")

@@ -133,14 +133,19 @@ def test_shared_folders(spark, tmp_path):
     class Cluster:
         master = "spark://host:7077"
 
+    class Small:
+        master = "local-cluster[2,1,1024]"
+
     class Remote:
         sparkContext = Cluster()
 
         class conf:
             get = staticmethod(lambda key, default: default)
 
-    with pytest.raises(ValueError, match="share"):
-        session.shared_path(Remote(), "x")
+    for context in (Cluster(), Small()):
+        Remote.sparkContext = context
+        with pytest.raises(ValueError, match="share"):
+            session.shared_path(Remote(), "x")
 
 
 def test_carry_forward(spark):
@@ -148,6 +153,42 @@ def test_carry_forward(spark):
     assert [r["o"] for r in windows.carry_forward(df, ["n"], "v", "o").orderBy("n").collect()] == [None, 5, 5, 7]
 
 
+@pytest.mark.parametrize("unit", [None, ["u"]])
+def test_carry_forward_over_ranges(spark, unit):
+    """Values go on over ranges without any, in units of any size, null being one."""
+    rng = np.random.default_rng(2)
+    rows = [([None, "a", "b"][k % 3 if k < 30 else 1], k, int(rng.integers(9)) if rng.random() < 0.02 or k == 40 else None) for k in range(400)]
+    got = windows.carry_forward(spark.createDataFrame(rows, "u string, n int, v int").repartition(7), ["n"], "v", "o", unit).collect()
+    want, last = {}, {}
+    for u, n, v in rows:
+        key = u if unit else 0
+        last[key] = v if v is not None else last.get(key)
+        want[n] = last[key]
+    assert {r["n"]: r["o"] for r in got} == want and len(got) == 400
+    assert windows.carry_forward(spark.createDataFrame([], "u string, n int, v int"), ["n"], "v", "o", unit).collect() == []
+
+
+def test_units_that_are_null(spark):
+    """A null unit is a unit: in life shares, segments and numbering by ranges."""
+    df = spark.createDataFrame([(u, k) for u in (None, "a") for k in range(20)], "u string, k int")
+    assert {r["u"]: r["n"] for r in windows.tail_label(df, ["u"], "k").groupBy("u").agg(F.sum("label").alias("n")).collect()} == {None: 3, "a": 3}
+    assert windows.segments(df, ["u"], "k").groupBy("segment").count().where("count = 8").count() == 5
+    aggs = [F.sum("k").alias("k"), F.count("*").alias("n")]
+    plain, spread = (sorted(map(str, windows.count_windows(df, ["u"], ["k"], 5, 3, aggs, how).collect())) for how in (False, True))
+    assert plain == spread and len(plain) == 12
+
+
+def test_edges_where_the_sketch_is_wrong(spark, monkeypatch):
+    """A rank outside of the sketch's bounds is counted instead; no error."""
+    from patternlake.functions import states
+
+    df = spark.createDataFrame([(float(x),) for x in np.random.default_rng(6).normal(size=500)], "x double")
+    want = states.exact_edges(df, ["x"], 3)
+    monkeypatch.setattr(states, "COUNTED", -1)
+    monkeypatch.setattr(states, "_ranked", lambda *a: None)
+    assert states.exact_edges(df, ["x"], 3) == want
+
+
 def test_features_like_pandas(spark):
     v = [1.0, 2.0, 2.5, 9.0, -1.0, 0.0, 3.0]
     row = spark.createDataFrame([(x,) for x in v], "x double").agg(features.rms("x"), features.kurtosis_unbiased("x"), features.peak_to_peak("x")).first()
