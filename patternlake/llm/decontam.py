@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from math import ceil
 
 import numpy as np
@@ -82,8 +83,8 @@ def _merged(words: DataFrame) -> DataFrame:
     return words.coalesce(4 * words.sparkSession.sparkContext.defaultParallelism)
 
 
-def _sums(df: DataFrame, size: int, kind) -> np.ndarray:
-    """Add up rows (k, v): v is a vector in bytes; per k on the executors, first in groups. Returns (k, size)."""
+def _sums(df: DataFrame, kind) -> dict[int, np.ndarray]:
+    """Add up rows (k, v): v is a vector in bytes, as long as all of that k; per k on the executors, first in groups. Returns the sum of each k."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -97,10 +98,7 @@ def _sums(df: DataFrame, size: int, kind) -> np.ndarray:
     if groups > 4:  # a tree of two levels
         df = df.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(n, "k", "g").select("k", "v").mapInArrow(add, "k long, v binary")
     rows = df.repartition(n, "k").mapInArrow(add, "k long, v binary").collect()  # one row for each k
-    out = np.zeros((max((r["k"] for r in rows), default=-1) + 1, size), kind)
-    for r in rows:
-        out[r["k"]] = np.frombuffer(r["v"], kind)
-    return out
+    return {r["k"]: np.frombuffer(r["v"], kind) for r in rows}
 
 
 def frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
@@ -123,8 +121,8 @@ def frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
         v = [total[k * width : (k + 1) * width].tobytes() for k in range(16)] + [np.full(width, n).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array(range(17), pa.int64()), pa.array(v, pa.binary())], ["k", "v"])
 
-    got = _sums(_merged(words).mapInArrow(count, "k long, v binary"), width, np.int64)
-    return (got[:16].ravel(), int(got[16, 0])) if len(got) else (np.zeros(SLOTS, np.int64), 0)
+    got = _sums(_merged(words).mapInArrow(count, "k long, v binary"), np.int64)
+    return (np.concatenate([got[k] for k in range(16)]), int(got[16][0])) if got else (np.zeros(SLOTS, np.int64), 0)
 
 
 def pieces(w: np.ndarray) -> list[np.ndarray]:
@@ -168,6 +166,14 @@ class Block:
         self.seen[self.vocab & 0xFFFFF] = True
         self.least = np.array([min(floor, 2 * floor * (len(w) / (2 * HALF)) ** 0.5) for _, w in self.parts], np.float32)
 
+    def rows(self, rank: int) -> int:
+        """Rows of its sketch, and most directions of its latent space."""
+        return min(rank, 64 + len(self.parts))
+
+    def held(self, rank: int) -> int:
+        """Bytes of its basis and tables, and about those of its sketch."""
+        return 4 * self.rows(rank) * (len(self.vocab) + len(self.parts)) + self.idf.nbytes + self.seen.nbytes
+
     def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of words of the vocabulary, their numbers)."""
         at = np.flatnonzero(self.seen[w & 0xFFFFF])
@@ -188,7 +194,7 @@ class Block:
         q = self.query()
         both = np.vstack([sketch * (np.linalg.norm(q) / max(float(np.linalg.norm(sketch)), 1e-9)), q]).astype(np.float32)
         values, left = np.linalg.eigh(both @ both.T)
-        top = np.argsort(-values)[: min(rank, 64 + len(self.parts))]
+        top = np.argsort(-values)[: self.rows(rank)]
         top = top[values[top] > max(values.max(), 0) * 1e-7]
         basis = both.T @ (left[:, top] / np.sqrt(values[top]))
         self.weighted = (basis * self.idf[self.vocab % SLOTS][:, None]).astype(np.float32)
@@ -196,34 +202,54 @@ class Block:
         self.latent = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)
 
 
-def sketch(words: DataFrame, block: Block, size: int) -> np.ndarray:
-    """A random sketch of all TF-IDF passages over the block's vocabulary: every passage is added, with a random sign, to one of ``size`` rows.
+def grouped(blocks: Iterable[Block], rank: int, held: int) -> Iterator[list[Block]]:
+    """Blocks that are searched in one pass: together of at most ``held`` bytes; a block with more stands alone."""
+    group, n = [], 0
+    for block in blocks:
+        size = block.held(rank)
+        if group and n + size > held:
+            yield group
+            group, n = [], 0
+        group.append(block)
+        n += size
+    if group:
+        yield group
 
-    Its singular vectors approximate those of the whole matrix, in one pass whose result has a fixed size.
+
+def sketches(words: DataFrame, blocks: list[Block], rank: int) -> list[np.ndarray]:
+    """For each block a random sketch of all TF-IDF passages over its vocabulary, all in one pass: every passage is added, with a random sign, to one of the rows.
+
+    Its singular vectors approximate those of the whole matrix, and its size does not depend on the corpus.
     """
-    shipped, width = words.sparkSession.sparkContext.broadcast(block), len(block.vocab)
+    shipped = words.sparkSession.sparkContext.broadcast(blocks)
+    size = [b.rows(rank) for b in blocks]
+    begins = np.cumsum([0, *size]).tolist()
 
     def run(batches):
-        m = shipped.value
-        total = np.zeros(size * width)
+        total = [np.zeros(n * len(m.vocab), np.float32) for n, m in zip(size, shipped.value)]
         for b in batches:
             w, sizes = _rows(b, 1)
             if not len(w):
                 continue
             row, begin = _halves(sizes)
-            norm = np.sqrt(np.maximum(np.add.reduceat(m.idf[w % SLOTS] ** 2, begin), 1e-9))
-            at, k = m.find(w)
-            part = np.searchsorted(begin, at, "right") - 1
             # a passage's row and sign come from its words, so they are the same on every run
             mix = np.bitwise_xor.reduceat(w, begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            to = (mix >> np.uint64(40)).astype(np.int64) % size
             sign = 1 - 2 * (mix >> np.uint64(63)).astype(np.int64)
-            total += np.bincount(to[part] * width + k, (m.idf[w[at] % SLOTS] * sign[part] / norm[part]), minlength=size * width)
-        v = total.astype(np.float32).reshape(size, width)
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["k", "v"])
-
-    got = _sums(_merged(words).mapInArrow(run, "k long, v binary"), width, np.float32)
-    return got if len(got) else np.zeros((1, width), np.float32)
+            for i, m in enumerate(shipped.value):
+                at, k = m.find(w)
+                if not len(at):
+                    continue
+                norm = np.sqrt(np.maximum(np.add.reduceat(m.idf[w % SLOTS] ** 2, begin), 1e-9))
+                part = np.searchsorted(begin, at, "right") - 1
+                to = (mix >> np.uint64(40)).astype(np.int64) % size[i]
+                total[i] += np.bincount(to[part] * len(m.vocab) + k, (m.idf[w[at] % SLOTS] * sign[part] / norm[part]), minlength=len(total[i]))
+        for i, t in enumerate(total):
+            v = t.reshape(size[i], -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(begins[i], begins[i + 1]), pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["k", "v"])
+
+    got = _sums(_merged(words).mapInArrow(run, "k long, v binary"), np.float32)
+    none = lambda m: np.zeros(len(m.vocab), np.float32)
+    return [np.stack([got.get(k, none(m)) for k in range(a, a + n)]) for m, a, n in zip(blocks, begins, size)]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -251,25 +277,28 @@ def at_most(times: dict[int, int], region: list[int], need: float) -> bool:
     return n >= need
 
 
-def search(words: DataFrame, block: Block, near: float, loose: float, answer: float) -> DataFrame:
-    """(doc_id, item, cosine, lcs, answer, start) of every pair that passes the checks; all passages against all items of the block."""
-    shipped = words.sparkSession.sparkContext.broadcast(block)
+def search(words: DataFrame, blocks: list[Block], near: float, loose: float, answer: float) -> DataFrame:
+    """(doc_id, item, cosine, lcs, answer, start) of every pair that passes the checks; all passages against all items of the blocks, which are numbered one after the other."""
+    shipped = words.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches):
-        m = shipped.value
-        times = [Counter(x.tolist()) for x in m.words]
+        begins = np.cumsum([0, *(len(m.ids) for m in shipped.value)]).tolist()
+        counted: dict[int, Counter] = {}  # of items that were met
         for b in batches:
             for k in range(0, b.num_rows, 400):
                 part = b.slice(k, 400)
                 best: dict[tuple[int, int], tuple] = {}
                 w, sizes = _rows(part, 1)
-                if len(w):
+                for m, first_item in zip(shipped.value, begins) if len(w) else ():
                     for row, item, start, cos in _candidates(m, w, sizes):
+                        number = first_item + item
+                        if number not in counted:
+                            counted[number] = Counter(m.words[item].tolist())
                         x, size = m.words[item], len(m.words[item])
                         first = int(sizes[:row].sum()) if row else 0
                         lo, hi = max(first, start - size), min(first + int(sizes[row]), start + 2 * HALF + size)
                         region = w[lo:hi]
-                        if not at_most(times[item], region.tolist(), loose * size):
+                        if not at_most(counted[number], region.tolist(), loose * size):
                             continue
                         share = common(x, region) / size
                         if share < loose:
@@ -277,8 +306,8 @@ def search(words: DataFrame, block: Block, near: float, loose: float, answer: fl
                         told = common(m.answers[item], region) / max(1, len(m.answers[item]))
                         if share >= near or told >= answer:
                             new = (share, told, cos, start - first)
-                            if new > best.get((row, item), ()):
-                                best[row, item] = new
+                            if new > best.get((row, number), ()):
+                                best[row, number] = new
                 if best:
                     rows = pa.array([r for r, _ in best])
                     cols = [pa.array([v[c] for v in best.values()], pa.float64()) for c in (2, 0, 1)]
@@ -363,7 +392,7 @@ def answer_of(text: str, words: Words) -> np.ndarray:
     return words(text)
 
 
-def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0.6, answer: float = 0.8, floor: float = 0.3, block_items: int = 256, rank: int = 256, max_df: float = 0.05) -> DataFrame:
+def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0.6, answer: float = 0.8, floor: float = 0.3, block_items: int = 256, rank: int = 256, max_df: float = 0.05, held: int = 256 << 20) -> DataFrame:
     """Documents that hold a benchmark item: (doc_id, item_id, cosine, lcs, answer, start), one row per pair.
 
     Passages of 64 words, one beginning every 32, are compared with all items, cut likewise, in a latent space: TF-IDF with
@@ -372,8 +401,9 @@ def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0
     under 16 words) the item's longest common subsequence with the passage and its surroundings decides: at
     least ``near`` of the item's words, or ``loose`` and ``answer`` of the words of its last sentence. start is the passage's first word.
 
-    Items are taken in blocks of ``block_items``, and of twice as many passages, so what is broadcast is bounded. Texts are compared whole.
-    An item with more passages than that is a block of its own. Null or empty texts and items without words match nothing. Repeated rows each return, as do
+    Items are taken in blocks of ``block_items``, and of twice as many passages, each with a latent space of its own; blocks of up to ``held`` bytes in all are
+    broadcast together and searched in one pass, so the corpus is read twice for each such group (some 10,000 items of benchmark length by default). Texts are compared whole.
+    An item with more passages than a block has is a block of its own. A region that barely touches a copy of an item can be missed where its passages stay below ``floor``, though chance words beside it would complete the answer. Null or empty texts and items without words match nothing. Repeated rows each return, as do
     items that repeat under other ids; null ids are kept. Other columns are ignored.
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -391,15 +421,20 @@ def leaks(docs: DataFrame, bench: DataFrame, near: float = 0.8, loose: float = 0
         return out
     df, passages = frequencies(words)
     idf = np.log((passages + 1) / (df + 1)) + 0.05
-    blocks = ceil(n_items / block_items)
-    for k in range(blocks):
-        of = Words()
-        rows = bench.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)).select("item_id", "text").distinct().collect()
-        items = [(r["item_id"], of(r["text"]), answer_of(r["text"], of)) for r in sorted(rows, key=lambda r: (str(r["item_id"]), r["text"]))]
-        for some in bounded([x for x in items if len(x[1])], 2 * block_items):
-            block = Block(some, idf, floor, df > max_df * (passages + PRIOR))
-            block.fit(sketch(words, block, min(rank, 64 + len(block.parts))), rank)
-            names = spark.createDataFrame([(i, x[0]) for i, x in enumerate(some)], f"item long, item_id {item_kind}")
-            found = search(words, block, near, loose, answer)
-            out = out.union(found.join(F.broadcast(names), "item").select("doc_id", "item_id", "cosine", "lcs", "answer", "start"))
+    parts = ceil(n_items / block_items)
+
+    def blocks() -> Iterator[Block]:
+        for k in range(parts):
+            of = Words()
+            rows = bench.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)).select("item_id", "text").distinct().collect()
+            items = [(r["item_id"], of(r["text"]), answer_of(r["text"], of)) for r in sorted(rows, key=lambda r: (str(r["item_id"]), r["text"]))]
+            for some in bounded([x for x in items if len(x[1])], 2 * block_items):
+                yield Block(some, idf, floor, df > max_df * (passages + PRIOR))
+
+    for group in grouped(blocks(), rank, held):
+        for block, sketch in zip(group, sketches(words, group, rank)):
+            block.fit(sketch, rank)
+        names = spark.createDataFrame(list(enumerate(i for block in group for i in block.ids)), f"item long, item_id {item_kind}")
+        found = search(words, group, near, loose, answer)
+        out = out.union(found.join(F.broadcast(names), "item").select("doc_id", "item_id", "cosine", "lcs", "answer", "start"))
     return out

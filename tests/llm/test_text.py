@@ -83,6 +83,31 @@ def test_repeated_words_and_planted_paraphrases(spark):
     assert len([r for r in found if r["doc_id"] == 1000]) == 2 * len({r["item_id"] for r in found if r["doc_id"] == 1000})
 
 
+def test_passes_do_not_grow_with_blocks(spark, monkeypatch):
+    """Ten blocks of items are sketched and searched in one pass each, with the result of one block and of a pass for each block."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 20_000, n))
+    bench = [(k, noise(20 + k % 60)) for k in range(400)]
+    docs = [(k, noise(30 + k) + " " + bench[7 * k][1] + " " + noise(50)) for k in range(50)] + [(99, noise(400)), (100, None)]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")
+    passes, plain = [], decontam.sketches
+    monkeypatch.setattr(decontam, "sketches", lambda words, blocks, rank: passes.append(len(blocks)) or plain(words, blocks, rank))
+
+    def run(**how):
+        passes.clear()
+        found = decontam.leaks(d, b, **how)
+        scans = found._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+        return {(r["doc_id"], r["item_id"]) for r in found.collect()}, scans, list(passes)
+
+    want = {(k, 7 * k) for k in range(50)}
+    got, scans, blocks = run(block_items=40)
+    assert got == want and scans == 1 and len(blocks) == 1 and blocks[0] >= 10
+    got, scans, blocks = run()
+    assert got == want and scans == 1 and len(blocks) == 1 and blocks[0] <= 4
+    got, scans, blocks = run(block_items=100, held=1)
+    assert got == want and scans == len(blocks) >= 4 and set(blocks) == {1}
+
+
 def test_copies_of_long_items(spark):
     """Items of many passages are found wherever a copy stands, and no less than without a candidate search."""
     rng = np.random.default_rng(3)
