@@ -121,6 +121,26 @@ def test_copies_of_long_items(spark):
 # ---------------------------------------------------------------- language ID
 
 
+def test_many_languages(spark):
+    """Forty-eight languages of three scripts, in families whose words differ by endings and habits of spelling only: held-out documents come out right."""
+    rng = np.random.default_rng(9)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x3B1, 0x3CA)))]
+    rows = []
+    for family in range(12):
+        letters = list(scripts[family % 3])
+        stems = ["".join(rng.choice(letters, int(n))) for n in rng.integers(2, 6, 150)]
+        for branch in range(4):
+            ends = ["".join(rng.choice(letters, int(n))) for n in rng.integers(1, 3, 8)]
+            words = [s + ends[int(k)] for s, k in zip(stems, rng.integers(0, 8, len(stems)))]
+            often = rng.permutation(np.arange(1, len(words) + 1) ** -0.8)
+            rows += [(len(rows) + k, " ".join(rng.choice(words, 60, p=often / often.sum())), f"f{family:02d}.{branch}", "s") for k in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    m = langid.train(docs)
+    assert len(m.langs) == 48
+    got = langid.identify(docs, m).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 150 and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(got)
+
+
 def test_automaton_has_all_substrings():
     s = np.random.default_rng(1).integers(0, 3, 60).tolist()
     t = langid.suffix_automaton(s, 3)
