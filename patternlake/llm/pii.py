@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import partial
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from patternlake.llm.common import shared_dir, stash
 
@@ -46,6 +48,8 @@ SPOILS = [("ip", (r"^[0-9]+", "913")), ("phone", (r"[0-9]{4}$", "")), ("email",
 AROUND = 24
 #: Prefix sums go over blocks of this many matches.
 BLOCK = 256
+#: A task of the training has about this many rows, each a set of equal features.
+TASK_ROWS = 200_000
 
 
 def _empty() -> Column:
@@ -188,10 +192,11 @@ def _examples(kind: str, y: int, spans: Column, change=lambda body: body) -> Col
     return F.transform(spans, row)
 
 
-def labelled(docs: DataFrame, limit: int) -> DataFrame:
-    """(kind, f, y, fold): the ``limit`` labelled proposals with the smallest hashes; a bounded sample, drawn from all rows alike.
+def labelled(docs: DataFrame) -> DataFrame:
+    """(kind, f, y, fold, n): every labelled proposal of ``docs``, counted by what the trees see of it.
 
     Spans of the base rules count as personal data, as found, as their rewritings and with their own context; spoiled, and proposals that touch no base span, they count as none.
+    Equal proposals in equal context share a fold.
     """
     rows = _kinds(_kinds(docs.select(F.coalesce("text", F.lit("")).alias("text")), BASE, "b"), GENERATORS, "p")
     every = F.concat(*[F.transform(_checked(k, F.col(f"__b_{k}")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS])
@@ -204,41 +209,42 @@ def labelled(docs: DataFrame, limit: int) -> DataFrame:
         made += [_examples(kind, y, base, change) for y, changes in ((1, written), (0, spoiled)) for change in changes]
         made.append(_examples(kind, 0, F.filter(F.col(f"__p_{kind}"), lambda x: ~_overlaps(F.col("__every"), x))))
     rows = rows.withColumn("__every", every)
-    each = rows.select(F.explode(F.flatten(F.array(*made))).alias("x")).select("x.*").withColumn("h", F.xxhash64("kind", "body", "left", "right", "y"))
-    few = each.orderBy("h", "kind", "body", "left", "right", "y").limit(limit)
-    return few.select("kind", features(F.col("kind"), F.struct("body", "left", "right")).alias("f"), F.col("y").cast("double").alias("y"), F.pmod("h", F.lit(3)).alias("fold"))
+    each = rows.select(F.explode(F.flatten(F.array(*made))).alias("x")).select("x.*").withColumn("fold", F.pmod(F.xxhash64("kind", "body", "left", "right", "y"), F.lit(3)))
+    seen = each.select("kind", features(F.col("kind"), F.struct("body", "left", "right")).alias("f"), F.col("y").cast("double").alias("y"), "fold")
+    return seen.groupBy("kind", "f", "y", "fold").agg(F.count("*").cast("double").alias("n"))
 
 
-def train(docs: DataFrame, limit: int = 20_000, trees: int = 12, depth: int = 4, precision: float = 0.98) -> Model | None:
-    """Boosted trees from at most ``limit`` labelled proposals of ``docs`` (text), two thirds for the trees and one to calibrate them.
+def train(docs: DataFrame, trees: int = 12, depth: int = 4, precision: float = 0.98) -> Model | None:
+    """Boosted trees from all labelled proposals of ``docs`` (text), two thirds for the trees and one to calibrate them.
 
     The sum of the trees is calibrated by logistic regression. A kind's threshold is the lowest probability from which on ``precision`` of the held-out proposals are personal data;
     a kind without one adds nothing. None if the proposals are too few to have both sorts on both sides.
+
+    Proposals with equal features are one row, weighted by their number. Bins are so many that Spark, which looks for splits in a sample of ``maxBins`` squared rows, takes all.
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     spark = docs.sparkSession
-    rows = stash(labelled(docs, limit).coalesce(1), f"{shared_dir(spark)}/labelled")
-    sides = {(r["held"], r["y"]) for r in rows.select((F.col("fold") == 0).alias("held"), "y").distinct().collect()}
+    rows = stash(labelled(docs), f"{shared_dir(spark)}/labelled")
+    sides = {(r["held"], r["y"]): r["count"] for r in rows.groupBy((F.col("fold") == 0).alias("held"), "y").count().collect()}
     if len(sides) < 4:
         return None
-    table = rows.select("kind", "fold", "f", F.col("y").alias("label"), array_to_vector("f").alias("features"))
-    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=11, minInstancesPerNode=5).fit(table.where("fold <> 0"))
+    size = sum(sides.values())
+    # in a fixed order, since sums of doubles depend on it
+    rows = rows.repartition(1 + size // TASK_ROWS, "kind", "f").sortWithinPartitions("kind", "f", "y", "fold")
+    table = rows.where("fold <> 0").select("n", F.col("y").alias("label"), array_to_vector("f").alias("features"))
+    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=11, minInstancesPerNode=5, maxBins=max(32, isqrt(size) + 1), weightCol="n").fit(table)
     raw = Model([_nested(t._java_obj.rootNode()) for t in fitted.trees], [float(w) for w in fitted.treeWeights], 1.0, 0.0, {})
-    held = rows.where("fold = 0").select("kind", F.col("y").alias("label"), raw.probability(F.col("f")).alias("p"))
+    held = rows.where("fold = 0").select("kind", "n", F.col("y").alias("label"), raw.probability(F.col("f")).alias("p"))
     held = held.withColumn("margin", F.log(F.col("p") / (1 - F.col("p"))))
-    line = LogisticRegression(regParam=1e-4).fit(held.select("label", array_to_vector(F.array("margin")).alias("features")))
+    line = LogisticRegression(regParam=1e-4, weightCol="n").fit(held.select("n", "label", array_to_vector(F.array("margin")).alias("features")))
     slope, offset = float(line.coefficients[0]), float(line.intercept)
     p = 1 / (1 + F.exp(-(F.lit(slope) * F.col("margin") + F.lit(offset))))
-    counts = held.select("kind", F.round(p, 6).alias("p"), "label").groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
-    good: dict[str, float] = {}
-    seen = dict.fromkeys(KINDS, (0, 0.0))
-    for r in counts.orderBy(F.desc("p")).collect():  # at most ``limit`` rows
-        n, hits = seen[r["kind"]]
-        seen[r["kind"]] = n, hits = n + r["n"], hits + r["hits"]
-        if r["p"] >= 0.5 and hits >= precision * n:
-            good[r["kind"]] = r["p"] - 1e-6
+    counts = held.select("kind", F.round(p, 6).alias("p"), "n", "label").where("p >= 0.5").groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hits"))
+    down = Window.partitionBy("kind").orderBy(F.desc("p"))  # at most 500,001 rows a kind, by the rounding
+    sums = counts.select("kind", "p", F.sum("n").over(down).alias("n"), F.sum("hits").over(down).alias("hits"))
+    good = {r["kind"]: r["least"] - 1e-6 for r in sums.where(F.col("hits") >= precision * F.col("n")).groupBy("kind").agg(F.min("p").alias("least")).collect()}
     return Model(raw.trees, raw.weights, slope, offset, good)
 
 

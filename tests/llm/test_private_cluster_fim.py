@@ -84,6 +84,15 @@ def test_trees_select(model, spark):
     assert kinds[1] == ["email"] and kinds[2] == ["ip"] and kinds[4] == ["card"] and not kinds[3] and not kinds[5] and not kinds[6]
 
 
+def test_every_proposal_counts(spark):
+    """Training sees all labelled proposals, more than the 20,000 of a sample: eight of each address, in few distinct features."""
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to x"), letters, F.lit("@b.org soon")).alias("text"))
+    rows = pii.labelled(docs).groupBy("kind", "y").agg(F.sum("n").alias("n"), F.count("*").alias("groups")).collect()
+    assert {(r["kind"], r["y"]): r["n"] for r in rows} == {("email", 1.0): 36_000, ("email", 0.0): 12_000}
+    assert sum(r["groups"] for r in rows) < 500
+
+
 def test_expression_is_the_fitted_ensemble(spark):
     """Trees as expressions give what the library's own transform gives."""
     from pyspark.ml.classification import GBTClassifier
