@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,7 @@ class WordEncoder:
         )
         self.piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+").findall
         self.kind = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = np.dtype(self.kind).char
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.keep = keep
@@ -59,32 +62,69 @@ class WordEncoder:
         self.bytes = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.simple or not _SIMPLE.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind)
-        parts, chunks = text.lower().split(), self.chunks
-        try:
-            return np.frombuffer(b"".join([chunks[c] for c in parts]), self.kind)
-        except KeyError:
-            pass
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. What stands between white space is looked up once for all ``texts``; a text's ids are then gathered by its chunks' numbers."""
+        out: list = [None] * len(texts)
+        plain = []
+        for k, text in enumerate(texts):
+            if not self.simple or not _SIMPLE.fullmatch(text) or any(s in text for s in self.special):
+                out[k] = np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind)
+            else:
+                plain.append(k)
+        if not plain:
+            return out
+        parts = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([texts[k] for k in plain], pa.string())))
+        coded = parts.values.dictionary_encode()
+        known = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        length = np.fromiter(map(len, known), np.int64, len(known)) // self.kind().itemsize
+        which = coded.indices.to_numpy()
+        n = length[which]
+        end = np.r_[0, np.cumsum(n)]
+        at = np.repeat((np.cumsum(length) - length)[which] - end[:-1], n)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(known), self.kind)[at]
+        cut = end[parts.offsets.to_numpy()].tolist()
+        for k, i, j in zip(plain, cut, cut[1:]):
+            out[k] = ids[i:j]
+        return out
+
+    def _known(self, names: list[str]) -> list[bytes]:
+        """Ids of each chunk, as bytes."""
+        chunks, words, piece, tokenize = self.chunks, self.words, self.piece, self.lib.model.tokenize
         if len(chunks) > self.keep:
             chunks.clear()
-        if len(self.words) > self.keep:
-            self.words.clear()
-        words, piece = self.words, self.piece
-        for c in parts:
+        if len(words) > self.keep:
+            words.clear()
+        for c in names:
             if c not in chunks:
-                found = piece(c)
+                # most are a word, or a word and a mark; the pattern says the same
+                found = [c] if c.isalpha() else [c[:-1], c[-1]] if c[:-1].isalpha() and not c[-1].isalnum() else piece(c)
                 for w in found:
                     if w not in words:
                         raw = w if w.isascii() else "".join([self.bytes[x] for x in w.encode()])
-                        words[w] = np.array([t.id for t in self.lib.model.tokenize(raw)], self.kind).tobytes()
-                chunks[c] = b"".join([words[w] for w in found])
-        return np.frombuffer(b"".join([chunks[c] for c in parts]), self.kind)
+                        words[w] = array(self.code, [t.id for t in tokenize(raw)]).tobytes()
+                chunks[c] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
+        return [chunks[c] for c in names]
 
 
 _KEPT: dict[str, WordEncoder] = {}
 
 
+def _slices(texts: list[str | None], most: int = 1 << 23):
+    """Texts (null: empty) in lists of about ``most`` characters, whole."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t or "")
+        size += len(some[-1])
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def word_encoder(file: str) -> WordEncoder:
     if file not in _KEPT:
         _KEPT[file] = WordEncoder(file)
@@ -307,8 +347,9 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
 
         for b in batches:
             kind = b.schema.field(0).type
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                a = np.concatenate([enc.ids(text or ""), tail])
+            each = (a for some in _slices(b.column(1).to_pylist()) for a in enc.many(some))
+            for i, a in zip(b.column(0).to_pylist(), each):
+                a = np.concatenate([a, tail])
                 ids.append(i)
                 arrays.append(a)
                 total += len(a)

@@ -377,6 +377,22 @@ def test_words_like_library(spark):
         assert enc.ids(text).tolist() == enc.lib.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_many_texts(monkeypatch):
+    """Texts encoded together have the library's ids, each alone, and what repeats in them is looked up once."""
+    enc = tokenbin.WordEncoder(WORDS)
+    marks = ["it's we'll 'tis ''s x's' a.b c, d! (e) f-g 1,234 \u00c0\u00df\u00ff \u00dcber,\u00fc", " \t lead and trail \r\n", "", "<|endoftext|> a", "a\u2028b", "'", "a'", "a''s", "A1 1A a1,"]
+    texts = [t for t in ODD if t is not None] + marks + ["over and over, " * 2000]
+    asked = []
+    real = enc._known
+    monkeypatch.setattr(enc, "_known", lambda names: asked.append(list(names)) or real(names))
+    for _ in range(2):
+        assert [x.tolist() for x in enc.many(texts)] == [enc.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == 2 and all(len(a) == len(set(a)) for a in asked)
+    assert enc.many([]) == [] and [x.tolist() for x in enc.many([""])] == [[]]
+    for most in (1, 10, 1 << 23):
+        assert [t for some in tokenbin._slices([None, *texts], most) for t in some] == ["", *texts]
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(0)
     for base in (300, 70_000):
