@@ -33,6 +33,11 @@ def normal_diagnosis(diagnosis: Column) -> Column:
     return F.lower(F.trim(diagnosis))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """``x`` with that many decimals, rounded by its binary value as C's printf does; ``format_string`` rounds its shortest decimal form, which differs where that ends in 5."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
+
+
 def format_lift(lift: Column) -> Column:
     """Two decimals; very large and infinite lifts as words."""
     return F.when(lift > 1e4, "only in anomalous windows").otherwise(F.format_string("%.2f", lift))

@@ -217,8 +217,8 @@ def sets_files(spark, d):
     a, b = shared_path(spark, "semicolon"), shared_path(spark, "ratio")
     writers.sets_semicolon(sets, a)
     writers.sets_ratio(sets, total, b)
-    ratio = F.round(F.regexp_extract("value", r"\(([^)]*)\)", 1).cast("double"), 9).cast("string")
-    return spark.read.text(a).select(F.lit("semicolon").alias("form"), F.col("value").alias("line")).union(spark.read.text(b).select(F.lit("ratio"), F.concat_ws(" ", F.regexp_extract("value", r"^([^(]*) \(", 1), F.format_string("%.6f", ratio.cast("double")))))
+    ratio = F.round(F.regexp_extract("value", r"\(([^)]*)\)", 1).cast("double") * 1e9) / 1e9
+    return spark.read.text(a).select(F.lit("semicolon").alias("form"), F.col("value").alias("line")).union(spark.read.text(b).select(F.lit("ratio"), F.concat_ws(" ", F.regexp_extract("value", r"^([^(]*) \(", 1), text.fixed(ratio, 6))))
 
 
 def append_log(spark, d):

@@ -39,6 +39,16 @@ def test_query(spark, con, name):
     assert sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr) == want
 
 
+def test_sets_files_shares(spark, tmp_path):
+    """Of 640 rows every odd count is a share whose seventh and last decimal is 5."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * FROM '{DIR}/lineitem.parquet' ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 640) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = c.execute(oracle.oracle_sql()["sets_files"]).fetchall()
+    assert sum(int(line.split(";")[1]) % 2 for form, line in want if form == "semicolon") > 20
+    assert sorted((r["form"], r["line"]) for r in catalog.queries()["sets_files"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_seeded_queries(spark, con):
     """What no SQL draws: the cases and control sets of the tables, with counts by plain Python."""
     import random

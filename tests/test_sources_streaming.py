@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from patternlake.functions import text
 from patternlake.operators import online
 from patternlake.sources import readers, writers
 from patternlake.streaming import states
@@ -55,6 +56,14 @@ def test_results_round_trip(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "w")).collect()) == ["1 4 (0.7)", "2 (0.9)"]
 
 
+def test_fixed_decimals(spark):
+    """640ths have seven decimals that end in 5: printf goes by their binary value."""
+    x = F.col("id") / 640
+    got = spark.range(640).select(x.alias("x"), text.fixed(x, 6).alias("line")).collect()
+    assert [r["line"] for r in got] == [f"{r['x']:.6f}" for r in got]
+    assert spark.range(1).select(text.fixed(F.lit(0.0853625), 6), text.fixed(F.lit(1.0), 6), text.fixed(F.lit(1234.5), 1)).first()[:] == ("0.085362", "1.000000", "1234.5")
+
+
 def test_dictionary_labels_checksums(spark, tmp_path):
     words = spark.createDataFrame([("a=0", 1), ("b=1", 2)], "item string, item_id int")
     writers.dictionary_json(words, str(tmp_path / "d"))
