@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from math import comb, erfc, sqrt
+from sys import float_info
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 Z95 = 1.96
+#: Pairs up to which the binomial test is a quotient of whole numbers, rounded once.
+WHOLE = 1000
 
 
 def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -34,13 +37,31 @@ def chi2_p(stat: pd.Series) -> pd.Series:
     return stat.map(lambda x: None if pd.isna(x) else erfc(sqrt(x / 2)))
 
 
+def _tail(n: int, k: int) -> float:
+    """P(X <= k) of n fair draws, k at most n / 2.
+
+    Coefficients from the middle outward, relative to the middle one; both halves sum to 2^n in the same measure,
+    so no factorial is needed. After some 20 sqrt(n) steps they are less than a double holds.
+    """
+    i, term, whole, tail = n // 2, 1.0, 0.0, 0.0
+    while term >= float_info.min:
+        whole += term
+        if i <= k:
+            tail += term
+        term *= i / (n - i + 1)
+        i -= 1
+    return tail / (2 * whole - (n % 2 == 0))  # the middle of an even number has no twin
+
+
 @F.pandas_udf(T.DoubleType())
 def mcnemar_exact_p(b: pd.Series, c: pd.Series) -> pd.Series:
     """Two-sided binomial test of ``b`` against ``c`` discordant pairs."""
 
     def p(b, c):
         n, k = int(b + c), int(min(b, c))
-        return 1.0 if n == 0 else min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n)
+        if n == 0:
+            return 1.0
+        return min(1.0, 2 * (sum(comb(n, i) for i in range(k + 1)) / 2**n if n <= WHOLE else _tail(n, k)))
 
     return pd.Series([p(x, y) for x, y in zip(b, c)], dtype="float64")
 

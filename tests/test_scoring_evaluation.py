@@ -2,7 +2,9 @@
 
 import math
 import random
+import signal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,32 @@ def test_statistics(spark):
     assert math.isclose(p[0], 14 / 64) and p[1] == 1.0 and math.isclose(p[2], 0.05, abs_tol=1e-3)
 
 
+@pytest.fixture
+def minute():
+    """Ends a test that takes longer."""
+
+    def late(*_):
+        raise TimeoutError("over a minute")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(60)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
+
+
+def test_exact_test_of_many_pairs(minute):
+    """Whole numbers where those are quick; of millions the normal tail with continuity correction, which is near to it then."""
+    p = lambda rows: list(stats.mcnemar_exact_p.func(*map(pd.Series, zip(*rows))))
+    few = [(b, n - b) for n in (999, 1000, 1001, 1002, 4001) for b in (n // 2, n // 2 - 3, n // 2 + 40, n // 3)]
+    want = [min(1.0, 2 * sum(math.comb(b + c, i) for i in range(min(b, c) + 1)) / 2 ** (b + c)) for b, c in few]
+    assert all(math.isclose(x, y, rel_tol=1e-13) for x, y in zip(p(few), want))
+    many = [(1_000_000, 1_002_000), (300_500_000, 300_480_000), (5, 3_000_000_000), (2_000_000, 2_000_000)]
+    got = p(many)
+    assert all(math.isclose(x, math.erfc((abs(b - c) - 1) / math.sqrt(2 * (b + c))), rel_tol=1e-5) for x, (b, c) in zip(got[:2], many))
+    assert got[2:] == [0.0, 1.0]
+
+
 def test_holm(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "k string, p double")
     assert [round(r["p_holm"], 9) for r in stats.holm(df, "p", key=["k"]).orderBy("k").collect()] == [0.03, 0.06, 0.06]
